@@ -104,7 +104,7 @@ raw AS (
     CASE WHEN fm0 = 'E' THEN '0' ELSE concat(CAST(60 + p_size * 3 AS VARCHAR),
          CASE WHEN k % 3 = 0 THEN ',' ELSE '.' END, CAST(p_partkey % 10 AS VARCHAR)) END AS ewltp,
     CASE WHEN k % 2 = 0 THEN upper(ft0) ELSE ft0 END AS ft,
-    CASE WHEN k % 6 = 5 THEN concat(' ', lower(fm0), ' ') ELSE fm0 END AS fm,
+    CASE WHEN k % 6 = 5 THEN ' ' || lower(fm0) || ' ' ELSE fm0 END AS fm,
     CAST(p_size * 3 + 40 AS VARCHAR) AS ep_kw,
     CASE WHEN fm0 IN ('E', 'P') THEN CAST(p_size * 4 + 120 AS VARCHAR) END AS z_whkm,
     CASE k % 4 WHEN 0 THEN concat({_E}, ' ', {_C1}, ' ', {_C2})

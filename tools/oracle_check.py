@@ -20,8 +20,11 @@ from gapmeter.sources.tables import TABLES  # noqa: E402
 
 
 def norm(v):
+    import pandas as pd
     if v is None:
         return None
+    if not isinstance(v, (list, tuple)) and not hasattr(v, "tolist") and pd.isna(v):
+        return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
@@ -31,7 +34,8 @@ def norm(v):
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if hasattr(v, "isoformat"):
-        return str(v)[:19]
+        t = str(v)[:19]
+        return t[:10] if t.endswith("00:00:00") else t
     return v
 
 
@@ -39,7 +43,7 @@ def rows(df_pd):
     cols = sorted(df_pd.columns)
     out = []
     for rec in df_pd[cols].itertuples(index=False):
-        out.append(tuple(norm(x) if not (isinstance(x, float) and math.isnan(x)) else None for x in rec))
+        out.append(tuple(norm(x) for x in rec))
     return cols, sorted(out, key=repr)
 
 
