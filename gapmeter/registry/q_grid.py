@@ -78,7 +78,7 @@ def series_plausibility(spark, d):
 
 
 @query("hour_year_parts", """
-SELECT event_id, epoch_ms(ts) AS epoch_ms, make_timestamp(epoch_ms(ts) * 1000) AS zeitpunkt,
+SELECT event_id, epoch_us(ts) // 1000 AS epoch_ms, make_timestamp((epoch_us(ts) // 1000) * 1000) AS zeitpunkt,
   CAST(year(ts) AS INTEGER) AS jahr, CAST(month(ts) AS INTEGER) AS monat, CAST(hour(ts) AS INTEGER) AS stunde
 FROM events""")
 def hour_year_parts(spark, d):
