@@ -107,6 +107,8 @@ raw AS (
     CASE WHEN k % 6 = 5 THEN ' ' || lower(fm0) || ' ' ELSE fm0 END AS fm,
     CAST(p_size * 3 + 40 AS VARCHAR) AS ep_kw,
     CASE WHEN fm0 IN ('E', 'P') THEN CAST(p_size * 4 + 120 AS VARCHAR) END AS z_whkm,
+    CASE WHEN fm0 = 'E' THEN NULL ELSE concat(CAST(4 + p_size // 5 AS VARCHAR), '.',
+         CAST(p_size % 5 * 2 AS VARCHAR)) END AS fc,
     CASE k % 4 WHEN 0 THEN concat({_E}, ' ', {_C1}, ' ', {_C2})
                WHEN 1 THEN concat({_E}, ' ', {_C1}, {_C2})
                WHEN 2 THEN concat({_E}, {_C1}, '  ', {_C2}) END AS it_code,
@@ -121,7 +123,7 @@ raw AS (
   FROM base2
 )"""
 
-_RAW_COLS = ("ms mp mh man mk cn ct m_kg mt ewltp ft fm ep_kw z_whkm it_code erwltp dr "
+_RAW_COLS = ("ms mp mh man mk cn ct m_kg mt ewltp ft fm ep_kw z_whkm fc it_code erwltp dr "
              "status version_file").split()
 _ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in _RAW_COLS)
 
@@ -140,7 +142,7 @@ reg AS (
     {drive_class('ft', 'fm')} IN ('BEV', 'PHEV', 'HEV', 'FCEV') AS ist_elektrifiziert,
     {drive_class('ft', 'fm')} IN ('BEV', 'PHEV') AS ist_extern_ladbar,
     {num('m_kg')} AS masse_kg, {num('mt')} AS pruefmasse_kg, {num('ewltp')} AS co2_wltp,
-    {num('ep_kw')} AS leistung_kw, {num('z_whkm')} AS strom_wh_km,
+    {num('ep_kw')} AS leistung_kw, {num('z_whkm')} AS strom_wh_km, {num('fc')} AS verbrauch_l,
     {blank('it_code')} AS oeko_code_roh, {eco('it_code')} AS oeko_codes,
     {num('erwltp')} AS oeko_gutschrift, {date('dr')} AS zulassung_datum,
     {letter('status')} AS data_status, {blank('version_file')} AS source_version

@@ -46,6 +46,7 @@ def type_registration(raw: DataFrame, whitelist: list[str] | None = None) -> Dat
         S.parse_number("ewltp").alias("co2_wltp"),
         S.parse_number("ep_kw").alias("leistung_kw"),
         S.parse_number("z_whkm").alias("strom_wh_km"),
+        S.parse_number("fc").alias("verbrauch_l"),
         S.blank_to_null("it_code").alias("oeko_code_roh"),
         A.eco_codes("it_code", whitelist).alias("oeko_codes"),
         S.parse_number("erwltp").alias("oeko_gutschrift"),

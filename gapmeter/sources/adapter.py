@@ -88,6 +88,8 @@ def registration_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN k % 6 = 5 THEN concat(' ', lower(fm0), ' ') ELSE fm0 END AS fm",
         "cast(p_size * 3 + 40 AS string) AS ep_kw",
         "CASE WHEN fm0 IN ('E', 'P') THEN cast(p_size * 4 + 120 AS string) END AS z_whkm",
+        "CASE WHEN fm0 = 'E' THEN NULL ELSE concat(cast(4 + p_size div 5 AS string), '.', "
+        "cast(p_size % 5 * 2 AS string)) END AS fc",
         f"CASE k % 4 WHEN 0 THEN concat({e}, ' ', {c1}, ' ', {c2}) "
         f"WHEN 1 THEN concat({e}, ' ', {c1}, {c2}) "
         f"WHEN 2 THEN concat({e}, {c1}, '  ', {c2}) END AS it_code",
