@@ -44,3 +44,62 @@ SELECT count(*) AS phev_gesamt, count(*) FILTER (WHERE gap_pct BETWEEN 0 AND 200
 FROM ok WHERE antriebsklasse = 'PHEV'"""))
 def plugin_completeness(spark, d):
     return T.plugin_completeness(rw(spark, d))
+
+
+# -- model workflow (L1-L7, G3) ---------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..plans import ml as ML  # noqa: E402
+from ..session import materialize  # noqa: E402
+
+SEED = 1234
+
+
+@query("sample_deterministic")
+def sample_deterministic(spark, d):
+    """Repeatable sample of the training rows (rows-only: the hash is Spark's)."""
+    return ML.training_set(rw(spark, d), plugin=False, seed=SEED)
+
+
+_TRAIN_SQL = f"""ok2 AS (SELECT * FROM ok WHERE gap_pct BETWEEN -50 AND 900 AND {_FULL})"""
+
+
+@query("split_stratified", O.with_rw(f""", {_TRAIN_SQL},
+n AS (SELECT antriebsklasse, count(*) AS n FROM ok2 GROUP BY antriebsklasse)
+SELECT antriebsklasse, 'train' AS split, CAST(round(n * 0.7) AS BIGINT) AS n FROM n
+UNION ALL SELECT antriebsklasse, 'test', CAST(n - round(n * 0.7) AS BIGINT) FROM n"""))
+def split_stratified(spark, d):
+    """L4: exact 70/30 split per class; the per-class counts are checked."""
+    t = ML.training_set(rw(spark, d), plugin=False, seed=SEED)
+    s = ML.exact_split(t, "vehicle_id", "antriebsklasse", 0.7, SEED)
+    return s.groupBy("antriebsklasse", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("split_random", O.with_rw(f""", {_TRAIN_SQL}
+SELECT 'train' AS split, CAST(round(count(*) * 0.7) AS BIGINT) AS n FROM ok2
+UNION ALL SELECT 'test', CAST(count(*) - round(count(*) * 0.7) AS BIGINT) FROM ok2"""))
+def split_random(spark, d):
+    """L4: exact 70/30 split without strata."""
+    t = ML.training_set(rw(spark, d), plugin=False, seed=SEED)
+    return ML.exact_split(t, "vehicle_id", None, 0.7, SEED).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _model_metrics(spark, d, plugin):
+    feats = ML.FEATURES_PHEV if plugin else ML.FEATURES_ALL
+    t = ML.fill_unknown(ML.training_set(rw(spark, d), plugin=plugin, seed=SEED))
+    s = materialize(ML.exact_split(t, "vehicle_id", None if plugin else "antriebsklasse", 0.7, SEED))
+    model = ML.fit_linear(s.filter(F.col("split") == "train"), feats)
+    pred = model.transform(s.filter(F.col("split") == "test"))
+    return ML.score(pred, len(feats))
+
+
+@query("linreg_metrics")
+def linreg_metrics(spark, d):
+    """Model over all classes, scored on the test part (rows-only)."""
+    return _model_metrics(spark, d, plugin=False)
+
+
+@query("linreg_metrics_plugin")
+def linreg_metrics_plugin(spark, d):
+    """Plug-in hybrids only, two more features (rows-only)."""
+    return _model_metrics(spark, d, plugin=True)
