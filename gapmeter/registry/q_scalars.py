@@ -137,3 +137,18 @@ SELECT jahr, count(*) AS n FROM reg WHERE oeko_code_roh IS NOT NULL AND oeko_cod
 def eco_unresolved(spark, d):
     return (reg(spark, d).filter(A.code_text_unresolved("oeko_code_roh", "oeko_codes"))
             .groupBy("jahr").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("sql_functions", O.with_raw(f"""
+SELECT id, {O.num('m_kg')} AS masse_kg, {O.date('dr')} AS datum, {O.norm('cn')} AS modell_norm,
+  {O.drive_class('ft', 'fm')} AS klasse, array_to_string({O.eco('it_code')}, ' ') AS codes
+FROM raw WHERE {O.num('m_kg')} >= 900"""))
+def sql_functions(spark, d):
+    """K1-K6 as SQL functions, K8 as a named parameter of ``spark.sql``."""
+    from ..functions.sqlfuncs import register_sql_functions
+    register_sql_functions(spark)
+    raw(spark, d).createOrReplaceTempView("gm_raw_registration")
+    return spark.sql(
+        "SELECT id, zu_zahl(m_kg) AS masse_kg, zu_datum(dr) AS datum, norm_name(cn) AS modell_norm, "
+        "antriebsklasse(ft, fm) AS klasse, array_join(oeko_codes(it_code), ' ') AS codes "
+        "FROM gm_raw_registration WHERE zu_zahl(m_kg) >= :mindest", args={"mindest": 900})
