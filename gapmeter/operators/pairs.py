@@ -11,7 +11,9 @@ a ``>`` predicate. Here every number comes from sorted scans:
 * ``prefix_max``        -- best partner value per query (running max);
 * the top-k pair list   -- exact: a pair in the top k needs both of its ends in
                            the top k by their best possible score (ties kept), so
-                           only those <= k (+ties) rows per side are paired.
+                           only those <= k (+ties) candidates per side are paired
+                           (the plug-in side, bounded by k, travels as a literal
+                           array; no cartesian product is planned).
 """
 
 from __future__ import annotations
@@ -134,19 +136,36 @@ def reversal_pair_list(rev: DataFrame, k: int = 25, buckets: int = 32) -> DataFr
     bp = prefix_max(neg_ice, phev.withColumn("_nw", -F.col("wltp_l")), "_nw", "_nr", key, "_best", buckets) \
         .withColumn("_s", F.col("real_l") + F.col("_best")).filter(F.col("_s") > 0)
     top_i, top_p = _top_with_ties(bi, "_s", k), _top_with_ties(bp, "_s", k)
-    i, p = top_i.alias("i"), top_p.alias("p")
-    pairs = i.join(p, (F.col("i.wltp_l") > F.col("p.wltp_l")) & (F.col("i.real_l") < F.col("p.real_l")))
+    # The plug-in candidates are at most k (+ ties) rows: read them once and
+    # attach them to each combustion candidate as a literal array (Generate),
+    # so no join without a key is planned.
+    cand = [F.struct(F.lit(r["marke"]).alias("marke"), F.lit(r["modell"]).alias("modell"),
+                     F.lit(r["wltp_l"]).cast("double").alias("wltp_l"),
+                     F.lit(r["real_l"]).cast("double").alias("real_l"))
+            for r in top_p.select(*key, "wltp_l", "real_l").collect()]
+    if not cand:
+        return _empty_list(rev)
+    x = top_i.withColumn("p", F.explode(F.array(*cand)))
+    pairs = x.filter((F.col("wltp_l") > F.col("p.wltp_l")) & (F.col("real_l") < F.col("p.real_l")))
     return (pairs.select(
-        F.concat(F.col("i.marke"), F.lit(" "), F.col("i.modell")).alias("verbrenner"),
-        F.col("i.antriebsklasse").alias("antriebsklasse"),
-        F.col("i.wltp_l").alias("v_papier"), F.col("i.real_l").alias("v_strasse"),
+        F.concat(F.col("marke"), F.lit(" "), F.col("modell")).alias("verbrenner"),
+        F.col("antriebsklasse"),
+        F.col("wltp_l").alias("v_papier"), F.col("real_l").alias("v_strasse"),
         F.concat(F.col("p.marke"), F.lit(" "), F.col("p.modell")).alias("phev"),
         F.col("p.wltp_l").alias("p_papier"), F.col("p.real_l").alias("p_strasse"),
-        rnd(F.col("i.real_l") - F.col("p.real_l"), 2).alias("differenz_real_l"),
-        (F.col("p.real_l") - F.col("i.real_l")).alias("_d"))
+        rnd(F.col("real_l") - F.col("p.real_l"), 2).alias("differenz_real_l"),
+        (F.col("p.real_l") - F.col("real_l")).alias("_d"))
         .orderBy(F.col("_d").desc(), "verbrenner", "phev").limit(k).drop("_d"))
 
 
+def _empty_list(rev: DataFrame) -> DataFrame:
+    return rev.limit(0).select(
+        F.lit(None).cast("string").alias("verbrenner"), F.col("antriebsklasse"),
+        F.lit(None).cast("double").alias("v_papier"), F.lit(None).cast("double").alias("v_strasse"),
+        F.lit(None).cast("string").alias("phev"), F.lit(None).cast("double").alias("p_papier"),
+        F.lit(None).cast("double").alias("p_strasse"), F.lit(None).cast("double").alias("differenz_real_l"))
+
+
 def _top_with_ties(df: DataFrame, score: str, k: int) -> DataFrame:
     """Rows whose score is at least the k-th largest (ties kept). The k-th
     value comes from a distributed top-k (TakeOrdered), one number to the driver."""
