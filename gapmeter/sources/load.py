@@ -69,8 +69,9 @@ def quarantine_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[
     # Spark requires the corrupt column to be materialised before filtering on it
     df = df.withColumn("_bad", F.col("_corrupt").isNotNull())
     good = df.filter(~F.col("_bad")).select(*columns)
+    # the quarantine keeps the raw line and what the parser could read of it
     bad = df.filter(F.col("_bad")).select(F.col("_corrupt").alias("zeile"),
-                                          F.size(F.split("_corrupt", ",")).alias("felder"))
+                                          F.size(F.split("_corrupt", ",")).alias("felder"), *columns)
     return good, bad
 
 
