@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import core as C
+from .plans import layers as L
 from .sources import adapter as AD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,18 +28,36 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-# -- shared inputs -----------------------------------------------------------
+# -- shared inputs: the pipeline's layers ---------------------------------------
+# raw -> core -> star are written once per session and input folder as Parquet
+# tables below the shared checkpoint folder (the reference persists the same
+# layers), so every mart reads a finished table instead of re-deriving it.
 
 def raw(spark, d):
-    return AD.registration_raw(spark, d)
+    return L.layer(spark, d, "raw_registration", lambda: AD.registration_raw(spark, d))
 
 
 def reg(spark, d):
-    return C.type_registration(AD.registration_raw(spark, d))
+    return L.layer(spark, d, "core_registration", lambda: C.type_registration(raw(spark, d)))
 
 
 def rw(spark, d):
-    return AD.realworld(spark, d)
+    return L.layer(spark, d, "core_realworld", lambda: AD.realworld(spark, d))
+
+
+
+
+def star_fact(spark, d):
+    """Year-partitioned fact table (A19), written once."""
+    from .plans import star as ST
+    return L.layer(spark, d, "star_fact", lambda: ST.fact(reg(spark, d)), partition_by=["jahr"])
+
+
+def star_dim(spark, d, name):
+    from .plans import star as ST
+    build = {"manufacturer": ST.dim_manufacturer, "model": ST.dim_model, "powertrain": ST.dim_powertrain,
+             "country": ST.dim_country}[name]
+    return L.layer(spark, d, f"star_dim_{name}", lambda: build(reg(spark, d)))
 
 
 # Importing the query modules fills QUERIES.

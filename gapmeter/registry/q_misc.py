@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import query, raw, reg, rw
+from ..catalog import query, raw, reg, rw, star_dim, star_fact
 from ..functions import scalars as S
 from ..functions.scalars import rnd
 from ..oracle.adapter import rnd as srnd
@@ -52,8 +52,8 @@ def global_stats(spark, d):
 SELECT antrieb_label, count(*) AS n, {srnd('avg(co2_wltp)', 1)} AS avg_co2 FROM f GROUP BY antrieb_label"""))
 def fact_dim_stats(spark, d):
     """Fact joined to one dimension for an analysis."""
-    r = reg(spark, d)
-    f = ST.fact(r).join(ST.dim_powertrain(r).select("powertrain_sk", "antrieb_label"), "powertrain_sk")
+    f = star_fact(spark, d).join(star_dim(spark, d, "powertrain").select("powertrain_sk", "antrieb_label"),
+                                 "powertrain_sk")
     return f.groupBy("antrieb_label").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("co2_wltp"), 1).alias("avg_co2"))
 
 

@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # generated methods above the JIT's 8000-byte limit would run interpreted:
+    # let Spark split such stages instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

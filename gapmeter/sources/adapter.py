@@ -38,7 +38,14 @@ def base_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = (o.join(c, o.o_custkey == c.c_custkey)
            .join(n, c.c_nationkey == n.n_nationkey)
            .join(r, n.n_regionkey == r.r_regionkey))
-    return (li.join(geo, li.l_orderkey == geo.o_orderkey)
+    # Hash-distribute the line items on the order key. At scale this IS the
+    # sort-merge join's exchange (the orders side is shuffled to match, no
+    # extra pass); when orders is small enough to broadcast it still spreads
+    # a few large input files over all cores instead of one task per file.
+    # Both sides of this join grow with the data: never broadcast either, join
+    # by key (sort-merge, spills instead of holding a build side in memory).
+    li = li.repartition(F.col("l_orderkey"))
+    return (li.join(geo.hint("merge"), li.l_orderkey == geo.o_orderkey)
             .join(p, li.l_partkey == p.p_partkey)
             .join(s, li.l_suppkey == s.s_suppkey))
 
