@@ -28,7 +28,9 @@ hourly AS (
 
 
 def _hourly(spark, d):
-    return GM.hourly_intensity(generation_long(spark, d), GM.factor_table(spark))
+    from ..sources.load import require_rows
+    long = require_rows(generation_long(spark, d), "generation series")      # H17 guard
+    return GM.hourly_intensity(long, GM.factor_table(spark))
 
 
 @query("hourly_intensity", _LONG + "SELECT * FROM hourly")

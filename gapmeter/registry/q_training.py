@@ -103,3 +103,13 @@ def linreg_metrics(spark, d):
 def linreg_metrics_plugin(spark, d):
     """Plug-in hybrids only, two more features (rows-only)."""
     return _model_metrics(spark, d, plugin=True)
+
+
+@query("linreg_predictions")
+def linreg_predictions(spark, d):
+    """Predictions on the test part, column 'Prediction (gap_pct)' (rows-only)."""
+    t = ML.fill_unknown(ML.training_set(rw(spark, d), plugin=False, seed=SEED))
+    s = materialize(ML.exact_split(t, "vehicle_id", "antriebsklasse", 0.7, SEED))
+    model = ML.fit_linear(s.filter(F.col("split") == "train"), ML.FEATURES_ALL)
+    return (model.transform(s.filter(F.col("split") == "test"))
+            .select("vehicle_id", "antriebsklasse", "gap_pct", F.col("prediction").alias("Prediction (gap_pct)")))

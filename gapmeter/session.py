@@ -61,8 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def apply_session_defaults(spark: SparkSession) -> None:
     """Make a foreign session (e.g. the driver's) behave like ours for the
-    settings results depend on: ANSI casts and UTC."""
-    for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone"):
+    runtime settings results and plans depend on: ANSI casts, UTC, AQE."""
+    for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
+              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.codegen.hugeMethodLimit"):
         try:
             spark.conf.set(k, DEFAULT_CONF[k])
         except Exception:  # pragma: no cover - static conf on some clusters

@@ -115,6 +115,34 @@ def reload_years(df: DataFrame, path: str, year_col: str = "jahr") -> None:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
 
+def write_mart(df: DataFrame, path: str) -> None:
+    """Drop-and-create a result table (whole overwrite)."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def append_findings(findings: DataFrame, path: str, truncate: bool = False) -> None:
+    """Append findings to the findings table; ``truncate`` empties it first
+    (the reference clears findings at the start of the raw checks)."""
+    findings.write.mode("overwrite" if truncate else "append").parquet(path)
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """Empty-input guard -- abort before computing on nothing. One cheap
+    action (``isEmpty`` stops at the first row)."""
+    if df.isEmpty():
+        raise ValueError(f"input '{what}' is empty: step aborted, nothing written")
+    return df
+
+
+def optional_input(spark: SparkSession, path: str, what: str) -> DataFrame | None:
+    """Read an optional input; a missing one is skipped with a notice."""
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - path missing or unreadable
+        print(f"notice: optional input '{what}' not found at {path}; dependent step skipped")
+        return None
+
+
 def insert_if_absent(target: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``target`` appended to ``target``."""
     return target.unionByName(new.join(target.select(*key), key, "left_anti"))

@@ -112,3 +112,25 @@ def test_stream_dedup(spark, tmp_path):
     sink, ck = str(tmp_path / "dsink"), str(tmp_path / "dck")
     INC.run_available_now(INC.dedup_stream(s, ["jahr", "id"]), sink, ck)
     assert spark.read.parquet(sink).count() == 20
+
+
+def test_empty_input_guard(spark, tmp_path):
+    import pytest
+    from gapmeter.plans import gridmix as GM
+    empty = spark.createDataFrame([], "zeitpunkt timestamp, traeger string, mwh double")
+    out = str(tmp_path / "mart")
+    with pytest.raises(ValueError):
+        L.write_mart(GM.hourly_intensity(L.require_rows(empty, "generation"), GM.factor_table(spark)), out)
+    assert not os.path.exists(out)
+    assert L.optional_input(spark, str(tmp_path / "nope"), "histogram") is None
+
+
+def test_findings_append_and_truncate(spark, tmp_path):
+    from gapmeter.operators import quality as Q
+    path = str(tmp_path / "dq")
+    one = Q.finding(spark.range(1), "raw", "t", "c", "p", 1, "Zeilen", 0, "ok", None)
+    L.append_findings(one, path, truncate=True)
+    L.append_findings(one, path)
+    assert spark.read.parquet(path).count() == 2
+    L.append_findings(one, path, truncate=True)
+    assert spark.read.parquet(path).count() == 1
