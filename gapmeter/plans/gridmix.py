@@ -39,7 +39,7 @@ def wide_to_long(wide: DataFrame, ts_col: str, carriers: list[str], keep_nulls:
 def epoch_ms_to_parts(ms_col: str) -> list:
     """Epoch ms -> timestamp and year / month / hour in the session time zone."""
     ts = F.timestamp_millis(F.col(ms_col))
-    return [ts.alias("zeitpunkt"), F.year(ts).alias("jahr"), F.month(ts).alias("monat"),
+    return [ts.cast("timestamp_ntz").alias("zeitpunkt"), F.year(ts).alias("jahr"), F.month(ts).alias("monat"),
             F.hour(ts).alias("stunde")]
 
 

@@ -170,7 +170,7 @@ def squeeze_text(spark, d):
     """Collapse whitespace over the whole text; the 70-char label is the display feature."""
     p = read_table(spark, d, "pages")
     sq = F.regexp_replace("html", r"\s+", " ")
-    return p.select("page_id", S.squeeze_text("html", 70).alias("kurz"), F.length(sq).alias("laenge"))
+    return p.select("page_id", S.squeeze_text("html", 70).alias("kurz"), F.length(sq).cast("bigint").alias("laenge"))
 
 
 @query("cost_of_gap", O.with_rw(f", p AS ({_POOLED})\n" + f"""

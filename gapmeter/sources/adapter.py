@@ -147,6 +147,6 @@ def generation_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``events``: the hour bucket is the instant, the event type the carrier,
     the summed value the energy. Partial aggregation happens map-side."""
     ev = read_table(spark, sf_dir, "events")
-    return (ev.groupBy(F.date_trunc("hour", "ts").alias("zeitpunkt"),
+    return (ev.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("zeitpunkt"),
                        F.col("event_type").alias("traeger"))
             .agg(F.sum("value").alias("mwh")))
