@@ -298,3 +298,46 @@ def key_windows(spark, d):
     o = read_table(spark, d, "orders")
     wins = L.plan_key_windows(o, "o_orderkey", target_rows=2000)
     return L.window_counts(o, "o_orderkey", wins)
+
+
+@query("like_prefix", O.with_raw("""
+SELECT jahr, count(*) FILTER (WHERE version_file LIKE 'co2cars_20%') AS neu, count(*) AS n FROM raw GROUP BY jahr"""))
+def like_prefix(spark, d):
+    """LIKE prefix predicate."""
+    r = raw(spark, d)
+    return r.groupBy("jahr").agg(F.count(F.when(F.col("version_file").like("co2cars_20%"), 1)).alias("neu"),
+                                 F.count(F.lit(1)).alias("n"))
+
+
+@query("blank_label", O.with_raw("""
+SELECT coalesce(nullif(mp, ''), '(leer)') AS pool, count(*) AS n FROM raw GROUP BY 1"""))
+def blank_label(spark, d):
+    """NULL or '' shown as '(leer)'."""
+    return raw(spark, d).groupBy(S.blank_label("mp").alias("pool")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rating_rule", O.with_raw("""
+, c AS (SELECT jahr, ms, count(*) AS n FROM raw GROUP BY ALL)
+SELECT jahr, ms, n, CASE WHEN n % 10 = 0 THEN 'ok' WHEN n % 10 < 5 THEN 'auffaellig' ELSE 'kritisch' END AS bewertung
+FROM c"""))
+def rating_rule(spark, d):
+    """Three-tier rating (ok / auffaellig / kritisch) of a measured value."""
+    c = raw(spark, d).groupBy("jahr", "ms").agg(F.count(F.lit(1)).alias("n"))
+    r = F.col("n") % 10
+    return c.withColumn("bewertung", S.rating(r, noticeable_below=5))
+
+
+@query("finding_message", O.with_raw("""
+SELECT jahr, printf('Soll %d, Ist %d', count(*), count(m_kg)) AS kommentar FROM raw GROUP BY jahr"""))
+def finding_message(spark, d):
+    """Finding messages from counts."""
+    g = raw(spark, d).groupBy("jahr").agg(F.count(F.lit(1)).alias("a"), F.count("m_kg").alias("b"))
+    return g.select("jahr", S.message("Soll %d, Ist %d", "a", "b").alias("kommentar"))
+
+
+@query("label_concat", O.with_reg("""
+SELECT DISTINCT marke || ' ' || handelsname AS bezeichnung FROM reg"""))
+def label_concat(spark, d):
+    """Brand || ' ' || model (NULL-propagating)."""
+    return (reg(spark, d).select(F.concat(F.col("marke"), F.lit(" "), F.col("handelsname")).alias("bezeichnung"))
+            .distinct())
