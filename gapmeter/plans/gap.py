@@ -159,3 +159,25 @@ def top_movers(reversal: DataFrame, n: int = 25, losers: bool = True) -> DataFra
     """I11 top lists: biggest losers (desc) / winners (asc), unique tie-break."""
     d = F.col("rang_differenz").desc() if losers else F.col("rang_differenz").asc()
     return reversal.orderBy(d, "marke", "modell").limit(n)
+
+
+def gap_pooled_scan(rw: DataFrame, buckets: int | None = None) -> DataFrame:
+    """I9 with the bucketed exact percentile (``operators.quantiles``): the same
+    numbers as ``gap_pooled`` when a value domain is too large for one task's
+    value->count map. Each measure is one bounded pass; results join on the group key."""
+    from ..operators.quantiles import exact_percentiles
+    a = analysable(rw)
+    keys = ["land", "antriebsklasse"]
+    base = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("fahrzeuge"), F.min("jahr").alias("jahr_von"),
+                                F.max("jahr").alias("jahr_bis"))
+    parts = {"fc_real": [0.5], "fc_wltp": [0.5], "gap_abs": [0.5], "gap_pct": [0.1, 0.5, 0.9],
+             "anteil_elektrisch": [0.5], "dist_total_km": [0.5]}
+    out = base
+    for col, probs in parts.items():
+        out = out.join(exact_percentiles(a, keys, col, probs, prefix=f"{col}__", buckets=buckets), keys, "left")
+    return out.select(
+        *keys, "fahrzeuge", rnd("fc_real__0", 2).alias("real_l"), rnd("fc_wltp__0", 2).alias("wltp_l"),
+        rnd("gap_abs__0", 2).alias("gap_l"), rnd("gap_pct__1", 1).alias("gap_median_pct"),
+        rnd("gap_pct__2", 1).alias("gap_p90_pct"), rnd("gap_pct__0", 1).alias("gap_p10_pct"),
+        rnd("anteil_elektrisch__0", 1).alias("e_anteil_pct"), rnd("dist_total_km__0", 0).alias("laufleistung_km"),
+        "jahr_von", "jahr_bis")

@@ -111,3 +111,18 @@ def test_lag_uses_previous_existing_row(spark):
                                      "co2_wltp double, masse_kg double, data_status string")
     out = {r.jahr: r.zulassungen_vorjahr for r in powertrain_mix(df).collect()}
     assert out == {2021: None, 2023: 1}
+
+
+def test_exact_percentiles_scan_equals_percentile(spark):
+    from gapmeter.operators.quantiles import exact_percentiles
+    random.seed(5)
+    rows = [("A" if i % 3 else "B", float(random.choice([0, 0, 0, random.randint(0, 50)])) +
+             random.random() * (i % 2)) for i in range(3000)]
+    rows += [("C", 7.0)] + [("D", float(x)) for x in (1, 2)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.1, 0.5, 0.9]
+    a = {r.g: (r.p0, r.p1, r.p2) for r in exact_percentiles(df, ["g"], "x", probs, buckets=8).collect()}
+    b = {r.g: tuple(r.q) for r in df.groupBy("g").agg(F.percentile("x", probs).alias("q")).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert all(abs(u - w) < 1e-9 for u, w in zip(a[k], b[k])), (k, a[k], b[k])
