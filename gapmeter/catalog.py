@@ -37,8 +37,13 @@ def raw(spark, d):
     return L.layer(spark, d, "raw_registration", lambda: AD.registration_raw(spark, d))
 
 
+def cars(spark, d):
+    """Passenger-car rows, one per (year, id) -- the dedup step (F8), written once."""
+    return L.layer(spark, d, "cars_dedup", lambda: C.dedup_cars(raw(spark, d)))
+
+
 def reg(spark, d):
-    return L.layer(spark, d, "core_registration", lambda: C.type_registration(raw(spark, d)))
+    return L.layer(spark, d, "core_registration", lambda: C.type_cars(cars(spark, d)))
 
 
 def rw(spark, d):

@@ -20,9 +20,18 @@ def car_rows(raw: DataFrame) -> DataFrame:
     return raw.filter(S.is_car_class("ct"))
 
 
+def dedup_cars(raw: DataFrame) -> DataFrame:
+    """F8 after B10: one row per (jahr, id) among passenger-car rows."""
+    return keep_one(car_rows(raw), ["jahr", "id"])
+
+
 def type_registration(raw: DataFrame, whitelist: list[str] | None = None) -> DataFrame:
     """core.registration: class filter, dedup on (jahr, id), typed columns."""
-    r = keep_one(car_rows(raw), ["jahr", "id"])
+    return type_cars(dedup_cars(raw), whitelist)
+
+
+def type_cars(r: DataFrame, whitelist: list[str] | None = None) -> DataFrame:
+    """Typed core columns of de-duplicated car rows (all conversions NULL-tolerant)."""
     cls = S.drive_class("ft", "fm")
     return r.select(
         S.parse_number("id").cast("bigint").alias("src_id"),

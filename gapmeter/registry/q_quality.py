@@ -274,7 +274,9 @@ def filter_effects(spark, d):
 
 @query("dedup_latest", O.with_reg("SELECT jahr, id, m_kg, ewltp, mk, cn, dr FROM dedup"))
 def dedup_latest(spark, d):
-    return DD.keep_one(car_rows(raw(spark, d)), ["jahr", "id"]).select("jahr", "id", "m_kg", "ewltp", "mk", "cn", "dr")
+    """F8: the surviving row per (year, id); the dedup layer is what core is typed from."""
+    from ..catalog import cars
+    return cars(spark, d).select("jahr", "id", "m_kg", "ewltp", "mk", "cn", "dr")
 
 
 @query("duplicate_groups", O.with_raw("""

@@ -67,3 +67,13 @@ def hourly_windows(df: DataFrame, ts: str, key: str, value: str, delay: str = "2
             .agg(F.sum(value).alias("summe"), F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("fenster_start"), F.col("w.end").alias("fenster_ende"), key,
                     "summe", "n"))
+
+
+def rows_dropped_by_watermark(q: StreamingQuery) -> int:
+    """Late rows dropped by the watermark over the query's recent batches
+    (Spark's ``numRowsDroppedByWatermark`` state-operator metric)."""
+    total = 0
+    for p in q.recentProgress:
+        for op in p.get("stateOperators", []) or []:
+            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
+    return total

@@ -134,3 +134,21 @@ def test_findings_append_and_truncate(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     L.append_findings(one, path, truncate=True)
     assert spark.read.parquet(path).count() == 1
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    import datetime as dt
+    src = str(tmp_path / "late")
+    base = dt.datetime(2024, 1, 1, 10, 0, 0)
+    schema = "ts timestamp, k string, v double"
+    spark.createDataFrame([(base + dt.timedelta(hours=h), "a", 1.0) for h in range(6)], schema) \
+        .write.parquet(src + "/b1")
+    sink, ck = str(tmp_path / "lsink"), str(tmp_path / "lck")
+    mk = lambda: INC.file_stream(spark, src + "/*", spark.read.parquet(src + "/b1").schema, max_files=1)  # noqa
+    INC.run_available_now(INC.hourly_windows(mk(), "ts", "k", "v"), sink, ck)
+    # a row 5 hours behind the newest event arrives later: beyond the 2-hour watermark
+    spark.createDataFrame([(base, "a", 100.0)], schema).write.parquet(src + "/b2")
+    q = INC.run_available_now(INC.hourly_windows(mk(), "ts", "k", "v"), sink, ck)
+    assert INC.rows_dropped_by_watermark(q) == 1
+    out = spark.read.parquet(sink)
+    assert out.agg(F.max("summe")).first()[0] == 1.0        # the late row never reached a window
