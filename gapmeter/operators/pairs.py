@@ -7,7 +7,8 @@ a ``>`` predicate. Here every number comes from sorted scans:
 * ``dominance_count``   -- 2-D: points with x < q.x and y > q.y; buckets on x,
                            earlier buckets answered by a per-bucket sorted scan
                            over pre-aggregated (bucket, y, count) rows, the own
-                           bucket inside one pandas group of bounded size;
+                           bucket by an O(m log m) sweep (Fenwick tree) inside
+                           one pandas group of bounded size;
 * ``prefix_max``        -- best partner value per query (running max);
 * the top-k pair list   -- exact: a pair in the top k needs both of its ends in
                            the top k by their best possible score (ties kept), so
@@ -58,16 +59,39 @@ def prefix_max(points: DataFrame, queries: DataFrame, x: str, y: str, key: list[
 
 
 def _same_bucket_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one bucket: for each query, points with x < qx and y > qy."""
+    """Within one bucket: for each query, points with x < qx and y > qy.
+
+    Offline sweep in x order with a Fenwick tree over the y ranks of the
+    points inserted so far: O(m log m) for m rows of the bucket, no pairs."""
     pts = pdf[pdf["_isp"] == 1]
     qs = pdf[pdf["_isp"] == 0]
     px, py = pts["_x"].to_numpy(float), pts["_y"].to_numpy(float)
-    out = np.zeros(len(qs), dtype=np.int64)
     qx, qy = qs["_x"].to_numpy(float), qs["_y"].to_numpy(float)
-    step = max(1, 2_000_000 // max(1, len(px)))      # bound memory per chunk
-    for s in range(0, len(qs), step):
-        m = (px[None, :] < qx[s:s + step, None]) & (py[None, :] > qy[s:s + step, None])
-        out[s:s + step] = m.sum(axis=1)
+    ys = np.unique(py)
+    tree = np.zeros(len(ys) + 1, dtype=np.int64)
+
+    def add(i):                       # 1-based Fenwick update
+        while i <= len(ys):
+            tree[i] += 1
+            i += i & -i
+
+    def prefix(i):                    # number of inserted points with y-rank <= i
+        c = 0
+        while i > 0:
+            c += tree[i]
+            i -= i & -i
+        return int(c)
+
+    p_order = np.argsort(px, kind="stable")
+    p_rank = np.searchsorted(ys, py) + 1
+    out = np.zeros(len(qs), dtype=np.int64)
+    j = 0
+    for qi in np.argsort(qx, kind="stable"):
+        while j < len(p_order) and px[p_order[j]] < qx[qi]:
+            add(int(p_rank[p_order[j]]))
+            j += 1
+        not_greater = prefix(int(np.searchsorted(ys, qy[qi], side="right")))
+        out[qi] = j - not_greater
     return pd.DataFrame({"_qid": qs["_qid"].to_numpy(), "_c": out})
 
 
