@@ -7,7 +7,8 @@ These helpers compute the same numbers with a two-level scan instead:
    (a handful of boundary numbers -- the only thing that reaches the driver);
 2. count rows per bucket and take the running total over buckets (one tiny
    table of ``buckets`` rows, joined back by bucket id);
-3. finish inside each bucket with a window partitioned by the bucket.
+3. finish inside each bucket with a window partitioned by the bucket (over
+   distinct values with their counts, so heavy ties cost one row).
 
 Boundaries only steer balance, never the result: every row lands in exactly
 one bucket and buckets are ordered, so ranks are exact.
@@ -39,17 +40,24 @@ def bucket_of(col: Column, bounds: list[float]) -> Column:
 
 def global_rank(df: DataFrame, col: str, out: str, buckets: int = 64,
                 bounds: list[float] | None = None) -> DataFrame:
-    """SQL ``rank() OVER (ORDER BY col ASC NULLS FIRST)`` without a single-task window."""
-    bounds = value_boundaries(df, col, buckets) if bounds is None else bounds
-    x = df.withColumn("_b", F.when(F.col(col).isNull(), F.lit(-1)).otherwise(bucket_of(F.col(col), bounds)))
-    per = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    """SQL ``rank() OVER (ORDER BY col ASC NULLS FIRST)`` without a single-task window.
+
+    Ties are collapsed first (value -> count, partially aggregated), so a value
+    repeated by a third of all rows is one row of the ranking; ranks are then
+    joined back on the value (NULL-safe equi join)."""
+    vc = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    bounds = value_boundaries(vc.withColumnRenamed("_v", col), col, buckets) if bounds is None else bounds
+    x = vc.withColumn("_b", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(bucket_of(F.col("_v"), bounds)))
+    per = x.groupBy("_b").agg(F.sum("_c").alias("_n"))
     # running total over at most len(bounds)+2 rows: a tiny table
     offs = per.withColumn("_off", F.sum("_n").over(Window.orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1))).select("_b", F.coalesce("_off", F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_b").orderBy(F.col(col).asc_nulls_first())
-    return (x.join(F.broadcast(offs), "_b")
-            .withColumn(out, (F.rank().over(w) + F.col("_off")).cast("int"))
-            .drop("_b", "_off"))
+    w = (Window.partitionBy("_b").orderBy(F.col("_v").asc_nulls_first())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    ranks = (x.join(F.broadcast(offs), "_b")
+             .withColumn(out, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + F.col("_off") + 1).cast("int"))
+             .select("_v", out))
+    return df.join(ranks, F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def count_less(points: DataFrame, queries: DataFrame, col: str, key: list[str], out: str,
