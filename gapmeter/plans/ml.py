@@ -1,7 +1,8 @@
 """What drives the gap: training sets, exact splits, linear model, scores.
 
-* sampling is a repeatable top-k by a seeded hash (``orderBy(xxhash64).limit``
-  runs as a distributed TakeOrdered, only k rows per task travel);
+* sampling is a repeatable top-k by a seeded hash: counts per hash prefix,
+  a filter below the boundary prefix, an ordered cut only inside it (never
+  k rows per task funnelled into one task);
 * the 70/30 split is exact per stratum: a row's rank inside its stratum is
   computed from hash-range buckets (per-bucket counts -> offsets -> a window
   inside (stratum, bucket)), so no stratum -- even one holding a third of
@@ -47,9 +48,24 @@ def training_set(rw: DataFrame, plugin: bool = False, n: int = 200_000, seed: in
     return deterministic_sample(out, "vehicle_id", n, seed)
 
 
-def deterministic_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """The n rows with the smallest seeded hash -- same rows on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+def deterministic_sample(df: DataFrame, key: str, n: int, seed: int, prefix_bits: int = 16) -> DataFrame:
+    """The n rows with the smallest seeded hash (ties by key) -- the same
+    rows as ``orderBy(hash, key).limit(n)`` on every run, but without pulling
+    n rows per task into one final task: rows are counted per hash prefix
+    (2**prefix_bits tiny counts), every prefix below the boundary is taken by
+    a filter, and only the boundary prefix is ordered and cut."""
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    x = df.withColumn("_h", h).withColumn("_p", F.shiftright("_h", 64 - prefix_bits))
+    counts = sorted((r["_p"], r["count"]) for r in x.groupBy("_p").count().collect())
+    taken = 0
+    for p, c in counts:
+        if taken + c >= n:
+            need = n - taken
+            below = x.filter(F.col("_p") < p)
+            edge = x.filter(F.col("_p") == p).orderBy("_h", key).limit(need)
+            return below.unionByName(edge).drop("_h", "_p")
+        taken += c
+    return df                                   # fewer than n rows: all of them
 
 
 def fill_unknown(df: DataFrame, value: str = "unbekannt") -> DataFrame:

@@ -126,3 +126,12 @@ def test_exact_percentiles_scan_equals_percentile(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert all(abs(u - w) < 1e-9 for u, w in zip(a[k], b[k])), (k, a[k], b[k])
+
+
+def test_deterministic_sample_equals_topk(spark):
+    rows = [(f"v{i}", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "vehicle_id string, x int")
+    a = {r.vehicle_id for r in ML.deterministic_sample(df, "vehicle_id", 777, 1234, prefix_bits=6).collect()}
+    b = {r.vehicle_id for r in df.orderBy(F.xxhash64("vehicle_id", F.lit(1234)), "vehicle_id").limit(777).collect()}
+    assert a == b and len(a) == 777
+    assert ML.deterministic_sample(df, "vehicle_id", 10_000, 1234).count() == 5000
