@@ -141,13 +141,14 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     src = str(tmp_path / "late")
     base = dt.datetime(2024, 1, 1, 10, 0, 0)
     schema = "ts timestamp, k string, v double"
+    # one file per delivery, so each run is one micro-batch and the first run drops nothing
     spark.createDataFrame([(base + dt.timedelta(hours=h), "a", 1.0) for h in range(6)], schema) \
-        .write.parquet(src + "/b1")
+        .coalesce(1).write.parquet(src + "/b1")
     sink, ck = str(tmp_path / "lsink"), str(tmp_path / "lck")
-    mk = lambda: INC.file_stream(spark, src + "/*", spark.read.parquet(src + "/b1").schema, max_files=1)  # noqa
+    mk = lambda: INC.file_stream(spark, src + "/*", spark.read.parquet(src + "/b1").schema)  # noqa
     INC.run_available_now(INC.hourly_windows(mk(), "ts", "k", "v"), sink, ck)
     # a row 5 hours behind the newest event arrives later: beyond the 2-hour watermark
-    spark.createDataFrame([(base, "a", 100.0)], schema).write.parquet(src + "/b2")
+    spark.createDataFrame([(base, "a", 100.0)], schema).coalesce(1).write.parquet(src + "/b2")
     q = INC.run_available_now(INC.hourly_windows(mk(), "ts", "k", "v"), sink, ck)
     assert INC.rows_dropped_by_watermark(q) == 1
     out = spark.read.parquet(sink)
