@@ -48,7 +48,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     from gapmeter.catalog import QUERIES
     from gapmeter.session import build_session
-    spark = build_session(f"local[{cpus}]", int(cpus) * 2, "gapmeter-bench",
+    spark = build_session(f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE", int(cpus) * 2)), "gapmeter-bench",
                           {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="gm-bench-ckpt-"),
                            "spark.driver.memory": "16g"})
     # warm-up of the JVM only (touches no pipeline layer, so every layer build
