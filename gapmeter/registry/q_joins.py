@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, raw, reg
 from ..functions import arrays as A
-from ..functions import scalars as S
 from ..operators.quality import counts_row
 from ..oracle import adapter as O
 from ..plans import gap as G

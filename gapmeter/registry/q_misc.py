@@ -13,7 +13,6 @@ from ..functions import scalars as S
 from ..functions.scalars import rnd
 from ..oracle.adapter import rnd as srnd
 from ..oracle import adapter as O
-from ..plans import star as ST
 from ..plans.core import analysable
 from ..sources import load as L
 from ..sources.tables import read_table
