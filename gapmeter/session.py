@@ -53,9 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a shared folder (e.g. on the cluster's "
+                             "distributed file system) -- a machine-local folder does not survive executor loss")
         d = tempfile.mkdtemp(prefix="gapmeter-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
