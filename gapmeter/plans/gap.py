@@ -164,20 +164,22 @@ def top_movers(reversal: DataFrame, n: int = 25, losers: bool = True) -> DataFra
 def gap_pooled_scan(rw: DataFrame, buckets: int | None = None) -> DataFrame:
     """I9 with the bucketed exact percentile (``operators.quantiles``): the same
     numbers as ``gap_pooled`` when a value domain is too large for one task's
-    value->count map. Each measure is one bounded pass; results join on the group key."""
+    value->count map. The six measures are stacked into (measure, value) rows
+    so one bounded pass serves all of them."""
     from ..operators.quantiles import exact_percentiles
     a = analysable(rw)
     keys = ["land", "antriebsklasse"]
     base = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("fahrzeuge"), F.min("jahr").alias("jahr_von"),
                                 F.max("jahr").alias("jahr_bis"))
-    parts = {"fc_real": [0.5], "fc_wltp": [0.5], "gap_abs": [0.5], "gap_pct": [0.1, 0.5, 0.9],
-             "anteil_elektrisch": [0.5], "dist_total_km": [0.5]}
-    out = base
-    for col, probs in parts.items():
-        out = out.join(exact_percentiles(a, keys, col, probs, prefix=f"{col}__", buckets=buckets), keys, "left")
+    measures = ["fc_real", "fc_wltp", "gap_abs", "gap_pct", "anteil_elektrisch", "dist_total_km"]
+    st = F.stack(F.lit(len(measures)), *[x for m in measures for x in (F.lit(m), F.col(m).cast("double"))])
+    long = a.select(*keys, st.alias("_m", "_x"))
+    q = exact_percentiles(long, keys + ["_m"], "_x", [0.1, 0.5, 0.9], prefix="q", buckets=buckets)
+    wide = q.groupBy(*keys).pivot("_m", measures).agg(F.first(F.array("q0", "q1", "q2")))
+    out = base.join(wide, keys, "left")
     return out.select(
-        *keys, "fahrzeuge", rnd("fc_real__0", 2).alias("real_l"), rnd("fc_wltp__0", 2).alias("wltp_l"),
-        rnd("gap_abs__0", 2).alias("gap_l"), rnd("gap_pct__1", 1).alias("gap_median_pct"),
-        rnd("gap_pct__2", 1).alias("gap_p90_pct"), rnd("gap_pct__0", 1).alias("gap_p10_pct"),
-        rnd("anteil_elektrisch__0", 1).alias("e_anteil_pct"), rnd("dist_total_km__0", 0).alias("laufleistung_km"),
-        "jahr_von", "jahr_bis")
+        *keys, "fahrzeuge", rnd(F.col("fc_real")[1], 2).alias("real_l"), rnd(F.col("fc_wltp")[1], 2).alias("wltp_l"),
+        rnd(F.col("gap_abs")[1], 2).alias("gap_l"), rnd(F.col("gap_pct")[1], 1).alias("gap_median_pct"),
+        rnd(F.col("gap_pct")[2], 1).alias("gap_p90_pct"), rnd(F.col("gap_pct")[0], 1).alias("gap_p10_pct"),
+        rnd(F.col("anteil_elektrisch")[1], 1).alias("e_anteil_pct"),
+        rnd(F.col("dist_total_km")[1], 0).alias("laufleistung_km"), "jahr_von", "jahr_bis")
