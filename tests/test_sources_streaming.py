@@ -153,3 +153,30 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert INC.rows_dropped_by_watermark(q) == 1
     out = spark.read.parquet(sink)
     assert out.agg(F.max("summe")).first()[0] == 1.0        # the late row never reached a window
+
+
+def test_hour_and_year_follow_session_zone(spark):
+    from gapmeter.plans.gridmix import epoch_ms_to_parts
+    ms = 1735687800000            # 2024-12-31 23:30 UTC = 2025-01-01 00:30 in Berlin (UTC+1)
+    df = spark.createDataFrame([(ms,)], "t long")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        utc = df.select(*epoch_ms_to_parts("t")).first()
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        ber = df.select(*epoch_ms_to_parts("t")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert (utc.jahr, utc.stunde) == (2024, 23)
+    assert (ber.jahr, ber.stunde) == (2025, 0)
+
+
+def test_stream_dedup_within_watermark(spark, tmp_path):
+    import datetime as dt
+    src = str(tmp_path / "wsrc")
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(minutes=i), i % 10) for i in range(40)]
+    spark.createDataFrame(rows, "ts timestamp, id int").coalesce(1).write.parquet(src)
+    s = INC.file_stream(spark, src, spark.read.parquet(src).schema)
+    sink, ck = str(tmp_path / "wsink"), str(tmp_path / "wck")
+    INC.run_available_now(INC.dedup_stream(s, ["id"], event_time="ts", delay="1 day"), sink, ck)
+    assert spark.read.parquet(sink).count() == 10
