@@ -23,6 +23,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import bucket_of_array
+
 
 def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[float], prefix: str = "p",
                       buckets: int | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -36,7 +38,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                  F.percentile_approx("_v", grid, accuracy).alias("_cuts"))
     x = v.join(stats, keys)   # one row per group on the right: shuffled by key, broadcast when small
-    x = x.withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
+    x = x.withColumn("_b", bucket_of_array(F.col("_v"), F.col("_cuts"), len(grid)))   # O(log B) per row
     per = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_first", F.coalesce(F.sum("_c").over(w), F.lit(0)))
@@ -67,5 +69,6 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
 
 
 def suggested_buckets(rows_per_group: int, target_per_bucket: int = 1_000_000) -> int:
-    """Bucket count so that a bucket holds about ``target_per_bucket`` rows (8 .. 10,000)."""
-    return max(8, min(10_000, math.ceil(rows_per_group / target_per_bucket)))
+    """Bucket count so that a bucket holds about ``target_per_bucket`` rows (8 .. 1,024;
+    beyond that a bucket's rows are still collapsed to distinct values)."""
+    return max(8, min(1_024, math.ceil(rows_per_group / target_per_bucket)))

@@ -31,11 +31,24 @@ def value_boundaries(df: DataFrame, col: str, buckets: int = 64) -> list[float]:
 
 
 def bucket_of(col: Column, bounds: list[float]) -> Column:
-    """Bucket id = number of boundaries <= value (0..len(bounds))."""
-    b = F.lit(0)
-    for v in bounds:
-        b = b + F.when(col >= F.lit(v), 1).otherwise(0)
-    return b
+    """Bucket id = number of boundaries <= value (0..len(bounds)), as a
+    balanced tree of comparisons: O(log B) per row, code-generated."""
+    def tree(lo: int, hi: int) -> Column:          # answer lies in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2                  # is bounds[mid-1] <= value ?
+        return F.when(col >= F.lit(bounds[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+    return tree(0, len(bounds))
+
+
+def bucket_of_array(col: Column, cuts: Column, n: int) -> Column:
+    """Same as ``bucket_of`` for a per-row array of ``n`` sorted cut points."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(col >= F.element_at(cuts, mid), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+    return tree(0, n)
 
 
 def global_rank(df: DataFrame, col: str, out: str, buckets: int = 64,

@@ -182,11 +182,14 @@ def pick_versions(names: DataFrame, name_col: str = "tabelle") -> DataFrame:
             .select("jahr", name_col, "status", "version"))
 
 
-def plan_key_windows(df: DataFrame, key: str, target_rows: int = 50_000, accuracy: int = 10_000) -> list[float]:
+def plan_key_windows(df: DataFrame, key: str, target_rows: int = 50_000, accuracy: int = 10_000,
+                     max_windows: int = 4_096) -> list[float]:
     """A7 re-aimed: window bounds from the key distribution (approximate
-    quantiles), ~``target_rows`` rows per window. Returns the inner cut points."""
+    quantiles), ~``target_rows`` rows per window but at most ``max_windows``
+    windows (a window is a read task, not a result: larger windows beyond the
+    cap still cover every row). Returns the inner cut points."""
     stats = df.agg(F.count(F.lit(1)).alias("n")).first()
-    k = max(1, math.ceil((stats["n"] or 0) / target_rows))
+    k = min(max_windows, max(1, math.ceil((stats["n"] or 0) / target_rows)))
     if k == 1:
         return []
     probs = [i / k for i in range(1, k)]
