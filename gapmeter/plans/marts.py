@@ -108,14 +108,14 @@ def target_summary(targets: DataFrame) -> DataFrame:
 
 def mass_histogram(raw: DataFrame, width: int = 50) -> DataFrame:
     """Source-side pre-aggregation: bucket (int(mass) div width) * width
-    per year x country x fuel with count and four means."""
+    per year x country x fuel with count and means (published to 4 digits)."""
     m = S.parse_number("m_kg")
     return (raw.groupBy(S.parse_number("jahr").cast("int").alias("jahr"), S.upper_code("ms").alias("ms"),
                         ((m.cast("int") / width).cast("int") * width).alias("mass_bucket"),
                         S.fold_case("ft").alias("ft"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(m).alias("avg_mass"),
-                 F.avg(S.parse_number("ewltp")).alias("avg_ewltp"),
-                 F.avg(S.parse_number("ep_kw")).alias("avg_kw")))
+            .agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(m), 4).alias("avg_mass"),
+                 rnd(F.avg(S.parse_number("ewltp")), 4).alias("avg_ewltp"),
+                 rnd(F.avg(S.parse_number("ep_kw")), 4).alias("avg_kw")))
 
 
 def mass_trend(hist: DataFrame, fact_c: DataFrame) -> DataFrame:
