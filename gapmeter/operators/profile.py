@@ -21,18 +21,24 @@ def frequency_table(df: DataFrame, cols: list[str], top_cols: list[str] | None =
                     top_n: int = 300) -> DataFrame:
     """Value frequencies with share of the column total, descending.
     For ``top_cols`` only the ``top_n`` most frequent values are kept and the
-    share is relative to them, as in the reference."""
+    share is relative to them, as in the reference. The top-N filter stands
+    alone on the rank, so Spark plans a partial per-task ``WindowGroupLimit``
+    before the shuffle: a high-cardinality column never sends all its values
+    to one task. The full lists are only kept for the categorical columns."""
     top_cols = top_cols or []
     allc = cols + top_cols
     st = F.stack(F.lit(len(allc)), *[x for c in allc for x in (F.lit(c), F.col(c).cast("string"))])
-    long = df.select(st.alias("spalte", "wert"))
-    g = long.groupBy("spalte", "wert").agg(F.count(F.lit(1)).alias("anzahl"))
-    rn = F.row_number().over(Window.partitionBy("spalte").orderBy(F.col("anzahl").desc(),
-                                                                    F.col("wert").asc_nulls_first()))
-    g = g.withColumn("_rn", rn).filter(~F.col("spalte").isin(top_cols) | (F.col("_rn") <= top_n))
+    g = df.select(st.alias("spalte", "wert")).groupBy("spalte", "wert").agg(F.count(F.lit(1)).alias("anzahl"))
+    parts = [g.filter(F.col("spalte").isin(cols))]
+    if top_cols:
+        rn = F.row_number().over(Window.partitionBy("spalte").orderBy(F.col("anzahl").desc(),
+                                                                        F.col("wert").asc_nulls_first()))
+        parts.append(g.filter(F.col("spalte").isin(top_cols)).withColumn("_rn", rn)
+                     .filter(F.col("_rn") <= top_n).drop("_rn"))
+    kept = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     tot = F.sum("anzahl").over(Window.partitionBy("spalte"))
-    return g.select("spalte", S.blank_label("wert").alias("wert"), "anzahl",
-                    rnd(F.col("anzahl") * 100.0 / tot, 4).alias("prozent"))
+    return kept.select("spalte", S.blank_label("wert").alias("wert"), "anzahl",
+                       rnd(F.col("anzahl") * 100.0 / tot, 4).alias("prozent"))
 
 
 def fill_rates(df: DataFrame, cols: list[str], empty_is_missing: bool = False) -> DataFrame:
