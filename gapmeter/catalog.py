@@ -33,8 +33,13 @@ def query(name: str, sql: str | None = None):
 # tables below the shared checkpoint folder (the reference persists the same
 # layers), so every mart reads a finished table instead of re-deriving it.
 
+def base(spark, d):
+    """Joined line items with derived keys: the one big join, written once."""
+    return L.layer(spark, d, "base_rows", lambda: AD.base_rows(spark, d))
+
+
 def raw(spark, d):
-    return L.layer(spark, d, "raw_registration", lambda: AD.registration_raw(spark, d))
+    return L.layer(spark, d, "raw_registration", lambda: AD.registration_raw(spark, d, base(spark, d)))
 
 
 def cars(spark, d):
@@ -47,7 +52,7 @@ def reg(spark, d):
 
 
 def rw(spark, d):
-    return L.layer(spark, d, "core_realworld", lambda: AD.realworld(spark, d))
+    return L.layer(spark, d, "core_realworld", lambda: AD.realworld(spark, d, base(spark, d)))
 
 
 

@@ -11,7 +11,6 @@ from ..operators import quality as Q
 from ..oracle import adapter as O
 from ..oracle.adapter import rnd
 from ..plans.core import car_rows
-from ..sources.adapter import base_join
 
 MISSING_COLS = "mp mk cn m_kg mt ewltp ft fm ep_kw z_whkm fc it_code erwltp dr".split()
 NUMERIC_COLS = "m_kg mt ewltp ep_kw z_whkm erwltp fc".split()
@@ -28,8 +27,9 @@ def _fc(schicht, objekt, spalte, pruefung, ergebnis, einheit, schwelle, bewertun
 
 
 def _expected(spark, d):
-    b = base_join(spark, d)
-    return (b.groupBy(F.year("o_orderdate").cast("string").alias("jahr"), F.col("n_name").alias("ms"))
+    """Rows counted at the source per year x country (the joined source rows)."""
+    from ..catalog import base
+    return (base(spark, d).groupBy(F.col("yr").cast("string").alias("jahr"), F.col("n_name").alias("ms"))
             .agg(F.count(F.lit(1)).alias("soll")))
 
 
@@ -232,9 +232,9 @@ SELECT {_fc("'core'", "'registration'", "'jahr ' || CAST(s.jahr AS VARCHAR)",
             "printf('Ist %d, Soll %d', coalesce(c.n, 0), s.soll)")}
 FROM s LEFT JOIN c ON c.jahr = s.jahr"""))
 def unique_vs_source(spark, d):
-    b = base_join(spark, d)
-    soll = (b.groupBy(F.year("o_orderdate").alias("jahr"))
-            .agg(F.countDistinct(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("soll")))
+    from ..catalog import base
+    soll = (base(spark, d).groupBy(F.col("yr").alias("jahr"))
+            .agg(F.countDistinct(F.col("k") * 10 + F.col("l_linenumber")).alias("soll")))
     c = reg(spark, d).groupBy("jahr").agg(F.count(F.lit(1)).alias("n"))
     j = soll.join(c, "jahr", "left").withColumn("n", F.coalesce("n", F.lit(0)))   # D3/D4
     diff = F.col("n") - F.col("soll")
@@ -266,9 +266,8 @@ SELECT {_fc("'core'", "'realworld'", 'spalte', 'pruefung', 'n', 'einheit', 'NULL
   UNION ALL SELECT 'ft', 'Uneinheitliche Schreibweise in der Quelle vor lower()',
     (SELECT count(DISTINCT ft) FROM rwsrc) - (SELECT count(DISTINCT ft) FROM rw), 'Auspraegungen')"""))
 def filter_effects(spark, d):
-    from ..sources.adapter import _with_keys
-    src_ft = _with_keys(base_join(spark, d)).select(
-        F.when(F.col("k") % 2 == 0, F.upper("ft0")).otherwise(F.col("ft0")).alias("ft"))
+    from ..catalog import base
+    src_ft = base(spark, d).select(F.when(F.col("k") % 2 == 0, F.upper("ft0")).otherwise(F.col("ft0")).alias("ft"))
     return Q.filter_effects(rw(spark, d), src_ft)
 
 

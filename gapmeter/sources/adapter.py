@@ -66,10 +66,22 @@ def _with_keys(df: DataFrame) -> DataFrame:
             .withColumn("mass", F.col("p_size") * 40 + 500))
 
 
-def registration_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+BASE_COLUMNS = ["k", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity",
+                "l_extendedprice", "l_discount", "l_tax", "o_orderdate", "o_orderpriority", "o_orderstatus",
+                "c_custkey", "c_mktsegment", "n_name", "r_name", "p_partkey", "p_name", "p_brand", "p_size",
+                "p_retailprice", "s_name", "fm0", "ft0", "yr", "mass"]
+
+
+def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined line items with the derived keys -- computed once and shared
+    by the registration and the meter derivation (one big join, not two)."""
+    return _with_keys(base_join(spark, sf_dir)).select(*BASE_COLUMNS)
+
+
+def registration_raw(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """All-text registration staging table (A1 shape): comma decimals, blanks,
     junk words, mixed case, run-together code text, several date formats."""
-    b = _with_keys(base_join(spark, sf_dir))
+    b = base if base is not None else base_rows(spark, sf_dir)
     cyc = "array(" + ",".join(f"'{c}'" for c in CODE_CYCLE) + ")"
     c1 = f"element_at({cyc}, cast(l_partkey % 12 + 1 as int))"
     c2 = f"element_at({cyc}, cast(l_suppkey % 12 + 1 as int))"
@@ -112,14 +124,14 @@ def registration_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def realworld(spark: SparkSession, sf_dir: str) -> DataFrame:
+def realworld(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Typed on-board-meter table (core.realworld shape), one row per vehicle.
 
     Measures: lab l/100 km from the part price, lifetime fuel and distance
     from price and quantity, electric distance and grid energy for plug-ins.
     """
     from ..plans.core import type_realworld  # local import: plans depend on sources
-    b = _with_keys(base_join(spark, sf_dir))
+    b = base if base is not None else base_rows(spark, sf_dir)
     src = b.selectExpr(
         "concat(cast(k AS string), '-', cast(l_linenumber AS string)) AS vehicle_id",
         "n_name AS country", "r_name AS region", "cast(yr AS string) AS jahr_txt",
