@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import WordHasher, pack, pack_sorted, rolling, unpack, unpack_sorted
 
@@ -36,6 +37,7 @@ class Chunk:
     def __init__(self, rows: pa.Table):
         ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] is not None, texts[i] or b""))
+        self.order = order
         self.ids = [ids[i] for i in order]
         self.null_text = [texts[i] is None for i in order]
         self.texts = [texts[i] or b"" for i in order]
@@ -187,8 +189,12 @@ def _remove(window, with_text):
         fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
         schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
+        others = [(n, docs.column(n)) for n in docs.column_names if n.startswith("keep_")]
         if not docs.num_rows:
-            return _empty(schema)
+            out = _empty(schema)
+            for n, col in others:
+                out = out.append_column(n, col)
+            return out
         c = Chunk(docs)
         cover = np.zeros(len(c.hash) + 1, np.int64)
         if found.num_rows:
@@ -226,17 +232,21 @@ def _remove(window, with_text):
             kept = b" ".join(words)
             row = (c.ids[i], b - a, k, hashlib.sha256(kept).hexdigest(), spans)
             out.append(row + ((None if c.null_text[i] else (kept if k else text).decode(),) if with_text else ()))
-        return pa.table(list(map(list, zip(*out))), schema=schema)
+        table = pa.table(list(map(list, zip(*out))), schema=schema)
+        for n, col in others:
+            table = table.append_column(n, col.take(pa.array(c.order)))
+        return table
     return run
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, docs_per_chunk: int = 2000, with_text: bool = False,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words covered by a ``window``-word sequence that also starts in a document with a smaller id.
 
     Returns one row per input row: doc_id, n_words, n_removed, kept_sha256 and the
     removed maximal ``spans`` [start, end) in words; ``with_text`` adds kept_text (the
-    text itself where nothing is removed). Other columns are ignored, whatever their names.
+    text itself where nothing is removed), ``keep`` adds those columns of the input as keep_<name>.
+    Other columns are ignored, whatever their names.
 
     Null text: no words (kept_text null). Null id: never removed, and no reference for others.
     Rows with one id: none of them counts as smaller than the other. Fewer words than
@@ -250,7 +260,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, docs_per_chunk: int = 200
     chunks = max(1, math.ceil(n / docs_per_chunk))
     bits = max(20, math.ceil(math.log2(max(n, 1) * 600)) + 8)
     block = (window + 1) // 2
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *[F.col(c).alias(f"keep_{c}") for c in keep or []])
     base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     by_chunk = base.groupBy("chunk")
     # the wide exchange of ``base`` by chunk is planned once and reused by the three passes
@@ -260,5 +271,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, docs_per_chunk: int = 200
         _around_hits(block, window, bits, chunks),
         "bucket long, chunk long, n long, keys binary, checks binary, least binary, most binary")
     found = windows.groupBy("bucket").applyInArrow(_match_windows, "chunk long, bucket long, n long, keys binary, checks binary, least binary")
-    return base.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
-        _remove(window, with_text), RESULT + ", kept_text string" * with_text)
+    schema = StructType.fromDDL(RESULT + ", kept_text string" * with_text)
+    for f in base.schema:
+        if f.name.startswith("keep_"):
+            schema.add(f.name, f.dataType)
+    return base.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_remove(window, with_text), schema)

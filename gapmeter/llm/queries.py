@@ -2,20 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, simhash
-from .common import table
-
-ORACLE: dict[str, str] = {}
+from . import anchors, bpe, langid, mixing, simhash
+from .common import held_out_column, table
+from .stages import read_vocabulary
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.substring_dedup(table(spark, sf_dir, "documents"), window=13)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, ~held_out_column())
+    return langid.identify(docs.select("doc_id", held_out_column().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_simhash)}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = mixing.label_quality(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0, quality=quality)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), read_vocabulary(), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_language_id, op5_simhash, op6_mixing, op10_bpe)}
+
+ORACLE = {
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+q AS (SELECT doc_id, 0.2 + 0.8 * AVG(quality) AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+k AS (SELECT d.*, -ln((CAST('0x' || substr(md5(COALESCE(CAST(d.doc_id AS VARCHAR), 'null') || ':6'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+             / COALESCE(q.weight, 0.6) AS key
+      FROM d LEFT JOIN q ON d.doc_id = q.doc_id),
+s AS (SELECT source, SUM(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
+r AS (SELECT *, 2.0 * source_size AS lim, row_number() OVER (ORDER BY 2.0 * source_size / weight, encode(source) NULLS LAST) AS place FROM w),
+l AS (SELECT *, ((SELECT SUM(source_size) FROM r) * 1.5 - COALESCE(SUM(lim) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / SUM(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+v AS (SELECT level FROM l WHERE lim / weight >= level ORDER BY place LIMIT 1),
+t AS (SELECT source, source_size, LEAST(lim, weight * (SELECT level FROM v)) AS target FROM l),
+p AS (SELECT k.doc_id, k.size, t.source_size, t.target,
+             CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs,
+             SUM(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, upto - (target - epochs * source_size) AS gap FROM p),
+e AS (SELECT *, epochs + CASE WHEN gap <= 0 OR (gap < size AND gap < size - gap) THEN 1 ELSE 0 END AS c FROM g)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * c AS BIGINT) AS taken, CAST(CASE WHEN size > 0 THEN c ELSE 0 END AS BIGINT) AS copies
+FROM e""",
+}

@@ -1,11 +1,67 @@
-"""Stages of the corpus pipeline; each keeps the columns of ``docs`` and applies one operator's decisions."""
+"""Stages of the corpus pipeline; each applies one operator's decisions to ``docs``.
+
+All but the last keep the columns of documents. A stage's result depends on ``docs``
+alone (the language model learns from it, quality weights come from labels).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import anchors, bpe, langid, mixing, simhash
+from ..session import materialize
+from .common import WORD, held_out_column, table
+
+#: A prediction below this probability counts as rejected, like ``und``.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go: no letters or null text (``und``), or no language reaches LEAST_SCORE."""
+    model = langid.learn(docs, ~held_out_column())
+    found = langid.identify(docs, model, keep=docs.columns, pred_col="__lang", score_col="__score")
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group stays: the smallest doc_id, of its rows the first by content.
 
-from . import anchors
+    Rows without an id can't be named by a group and all stay.
+    """
+    found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
+    keep = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
+    joined = docs.join(keep, F.col("doc_id") == F.col("__id"))
+    out = joined.where("__n = 1").select(*docs.columns)
+    if keep.where("__n > 1").limit(1).count():
+        first = joined.where("__n > 1").select("__id", F.struct(*docs.columns).alias("__row")).groupBy("__id").agg(F.min("__row").alias("r"))
+        out = out.union(first.select("r.*"))
+    return out.union(docs.where("doc_id is null"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Repeated passages leave the text (n_chars follows); a document that is nothing else goes."""
+    found = anchors.substring_dedup(docs, window=13, with_text=True, keep=docs.columns).where("n_removed = 0 or n_removed < n_words")
+    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("keep_n_chars"))}
+    return found.select(*[new.get(c, F.col(f"keep_{c}")).alias(c) for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; what it doesn't take goes."""
+    keyed = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
+    found = mixing.mix(docs, quality=mixing.label_quality(table(spark, sf_dir, "labels")))
+    copies = found.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__s"), "source_size") \
+        .agg(F.max("copies").alias("__copies"))
+    taken = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__k")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests and the token ids of each document left."""
+    return bpe.encode_documents(docs, read_vocabulary(), public_tokenizers.PATTERN, with_ids=True)
+
+
+def read_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
