@@ -14,10 +14,14 @@ from gapmeter.llm import stages
 from gapmeter.session import ensure_checkpoint_dir
 
 STAGES = [
+    ("language_id", stages.language),
+    ("simhash_near_dedup", stages.near_duplicates),
     ("substring_dedup", stages.substring),
+    ("mixing", stages.mixture),
+    ("bpe", stages.tokens),
 ]
 
-#: Not expressible in SQL (learned models, BPE); tested against brute force.
+#: Not expressible in SQL (learned model, link components, BPE); tested against brute force.
 ORACLE_SQL = None
 
 
