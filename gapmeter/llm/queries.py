@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import anchors, bpe, langid, mixing, simhash
+from . import anchors, bpe, chat, divergence, improbable, langid, mixing, simhash, toxicity, warc
 from .common import held_out_column, table
 from .stages import read_vocabulary
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=100)
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improbable.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.substring_dedup(table(spark, sf_dir, "documents"), window=13)
 
@@ -29,13 +38,88 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0, quality=quality)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out_column())
+    return toxicity.score(docs, model, [F.col("doc_id"), held_out_column().alias("held_out")])
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), read_vocabulary(), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_language_id, op5_simhash, op6_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_substring_dedup, op4_language_id, op5_simhash, op6_mixing,
+                                  op7_chat, op8_toxicity, op9_quality, op10_bpe)}
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def _divergence_sql(max_class_distance=0.28, max_word_distance=0.45, least_chars=200, least_words=80) -> str:
+    """op9 in SQL: counts, reference histograms per language, Jensen-Shannon distances to the nearest."""
+    classes = [*divergence.CLASSES.values()]
+    counted = [f"len(regexp_replace(text, '[^{c.replace(chr(39), chr(39) * 2)}]+', '', 'g'))" for c in classes]
+    total = " + ".join(counted)
+    known = [f"len(list_filter(w, lambda x: x = '{x}'))" for x in divergence.WORDS]
+
+    def js(a):  # list positions hold the classes; p and q are shares
+        half = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+        x, y = f"(d.{a}[i] / GREATEST(list_sum(d.{a}), 1)::DOUBLE)", f"(r.{a}[i] / list_sum(r.{a})::DOUBLE)"
+        return f"sqrt(GREATEST(list_sum([({half.format(x, y)} + {half.format(y, x)}) / 2 for i in range(1, len(d.{a}) + 1)]), 0))"
+
+    def sums(a, n):
+        return "[" + ", ".join(f"SUM({a}[{i}])" for i in range(1, n + 1)) + f"] AS {a}"
+
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, COALESCE(text, '') AS text FROM documents),
+s AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT rid, i, (w[i], w[i + 1], w[i + 2]) AS k FROM s, unnest(range(1, len(w) - 1)) u(i)),
+r AS (SELECT rid, i FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, k) AS n FROM g) WHERE n > 1),
+c AS (SELECT rid, SUM(LEAST(3, COALESCE(nxt - i, 3))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM r) GROUP BY rid),
+d AS (SELECT s.doc_id, s.lang, len(w) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             COALESCE(c.n, 0) AS n_repeat_words, [{', '.join(counted)}, len(text) - ({total})] AS classes,
+             [{', '.join(known)}, len(w) - ({' + '.join(known)})] AS common, s.rid
+      FROM s LEFT JOIN c ON s.rid = c.rid),
+b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM d),
+ref AS (SELECT lang, {sums('classes', len(classes) + 1)}, {sums('common', len(known) + 1)} FROM b
+        WHERE NOT base_failed AND lang IN ({', '.join(repr(x) for x in sorted(divergence.COMMON))}) GROUP BY lang),
+j AS (SELECT d.rid, ROUND(MIN({js('classes')}), 6) AS class_distance, ROUND(MIN({js('common')}), 6) AS word_distance FROM b d, ref r GROUP BY d.rid)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, class_distance, word_distance,
+       NOT base_failed AND NOT COALESCE((word_chars >= {least_chars} AND class_distance > {max_class_distance})
+                                        OR (n_words >= {least_words} AND word_distance > {max_word_distance}), FALSE) AS kept
+FROM b LEFT JOIN j ON b.rid = j.rid"""
+
 
 ORACLE = {
+    "op9_quality": _divergence_sql(),
+    "op1_warc": """
+WITH p AS (SELECT page_id, encode(COALESCE(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, MIN(page_id) AS first_id, COUNT(*) AS n FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+       CASE WHEN f.n > 1 AND d.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.n > 1 AND d.page_id <> f.first_id THEN f.first_id END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest""",
+    "op7_chat": """
+WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, turn FROM conversations),
+c AS (SELECT conv_id, COUNT(*) AS n, list(sha256(length(role) || ':' || role || text) ORDER BY turn NULLS FIRST, role, text) AS own,
+             string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>', chr(10) ORDER BY turn NULLS FIRST, role, text) AS rendered
+      FROM t GROUP BY conv_id),
+k AS (SELECT conv_id, n, rendered, i, list_reduce(list_concat([''], own[1:i]), lambda a, x: sha256(a || x)) AS chain
+      FROM c, unnest(range(1, n + 1)) u(i)),
+m AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY conv_id NULLS LAST) AS place FROM k
+      WHERE i = n AND chain NOT IN (SELECT chain FROM k WHERE i < n))
+SELECT conv_id, CAST(n AS INTEGER) AS n_turns, rendered, chain AS chain_sha256 FROM m WHERE place = 1""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 q AS (SELECT doc_id, 0.2 + 0.8 * AVG(quality) AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
