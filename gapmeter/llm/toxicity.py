@@ -55,7 +55,7 @@ class Features:
                     y = h[:self.SLICE] ^ self.salt[k + 1]
                     y = (y ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                     parts.append((y >> shift).astype(np.int32))
-            yield int((c[at + 1:at + 1 + self.SLICE] == 32).sum()), np.concatenate(parts)
+            yield int((c[at + 1:at + 1 + self.SLICE] == 32).sum()), np.concatenate(parts or [np.zeros(0, np.int32)])
 
     def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(distinct places, occurrences per 100 words)."""
