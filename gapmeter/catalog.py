@@ -70,6 +70,24 @@ def star_dim(spark, d, name):
     return L.layer(spark, d, f"star_dim_{name}", lambda: build(reg(spark, d)))
 
 
+def mart_gap_by_year(spark, d):
+    from .plans import gap as G
+    return L.layer(spark, d, "mart_gap_by_year", lambda: G.gap_by_year(rw(spark, d)))
+
+
+def mart_reversal(spark, d, min_vehicles=10):
+    from .plans import gap as G
+    return L.layer(spark, d, f"mart_reversal_{min_vehicles}", lambda: G.rank_reversal(rw(spark, d), None, min_vehicles))
+
+
+def mart_mix(spark, d, build):
+    return L.layer(spark, d, "mart_mix", build)
+
+
+def mart_hourly(spark, d, build):
+    return L.layer(spark, d, "mart_hourly", build)
+
+
 # Importing the query modules fills QUERIES.
 from .registry import (  # noqa: E402,F401
     q_scalars, q_gap, q_quality, q_star, q_joins, q_profile, q_grid, q_marts,

@@ -17,6 +17,19 @@ ColumnOrName = Column | str
 NUMBER_SHAPE = r"\A-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?\z"
 # Date prefix shape (B2).
 DATE_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+# Drive class by fuel type and fuel mode, first matching row wins; None matches anything.
+DRIVE_RULES = [
+    ("hydrogen", None, "FCEV"),
+    (None, "E", "BEV"),
+    (None, "P", "PHEV"),
+    (None, "H", "HEV"),
+    (None, "B", "BIFUEL"),
+    (None, "F", "FLEX"),
+    ("diesel", "M", "ICE_DIESEL"),
+    ("petrol", "M", "ICE_BENZIN"),
+    (None, "M", "ICE_SONSTIGE"),
+]
+NO_DRIVE_RULE = "UNBEKANNT"
 # Electrified and chargeable drive classes.
 ELECTRIFIED = ["BEV", "PHEV", "HEV", "FCEV"]
 CHARGEABLE = ["BEV", "PHEV"]
@@ -91,16 +104,9 @@ def drive_class(ft: ColumnOrName, fm: ColumnOrName) -> Column:
     The whole fuel-mode text is compared (not only its first letter)."""
     t = F.lower(F.trim(F.coalesce(_c(ft), F.lit(""))))
     m = F.upper(F.trim(F.coalesce(_c(fm), F.lit(""))))
-    return (F.when(t == "hydrogen", "FCEV")
-            .when(m == "E", "BEV")
-            .when(m == "P", "PHEV")
-            .when(m == "H", "HEV")
-            .when(m == "B", "BIFUEL")
-            .when(m == "F", "FLEX")
-            .when((m == "M") & (t == "diesel"), "ICE_DIESEL")
-            .when((m == "M") & (t == "petrol"), "ICE_BENZIN")
-            .when(m == "M", "ICE_SONSTIGE")
-            .otherwise("UNBEKANNT"))
+    found = [F.when((F.lit(True) if ft_ is None else t == ft_) & (F.lit(True) if fm_ is None else m == fm_), cls)
+             for ft_, fm_, cls in DRIVE_RULES]
+    return F.coalesce(*found, F.lit(NO_DRIVE_RULE))
 
 
 def is_electrified(cls: ColumnOrName) -> Column:

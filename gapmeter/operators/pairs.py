@@ -3,29 +3,25 @@
 The reference counts (combustion, plug-in) model pairs with a cross join and
 a ``>`` predicate. Here every number comes from sorted scans:
 
-* ``count_less``        -- 1-D: points below each query (two-level bucketed scan);
-* ``dominance_count``   -- 2-D: points with x < q.x and y > q.y; buckets on x,
-                           earlier buckets answered by a per-bucket sorted scan
-                           over pre-aggregated (bucket, y, count) rows, the own
-                           bucket by an O(m log m) sweep (Fenwick tree) inside
-                           one pandas group of bounded size;
-* ``prefix_max``        -- best partner value per query (running max);
-* the top-k pair list   -- exact: a pair in the top k needs both of its ends in
-                           the top k by their best possible score (ties kept), so
-                           only those <= k (+ties) candidates per side are paired
-                           (the plug-in side, bounded by k, travels as a literal
-                           array; no cartesian product is planned).
+* ``dominated``   -- pairs with point.x < query.x and point.y > query.y. Ranks replace
+                     values; a rank's lower ranks are a union of at most log2(N) dyadic
+                     ranges, so a point stands in one range per level, a query in those
+                     that make up its prefix, and within a range a weighted prefix sum
+                     over the rank of y counts (``scan.weighted_less``). log2(N) rows per
+                     row, no pairs, equal values collapsed to one row with a count;
+* ``prefix_max``  -- best partner value per query (running max);
+* the top-k list  -- exact: a pair among the first k has its combustion end among the k
+                     first by best score and name; those k rows meet the plug-in models.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
-from .scan import bucket_of, count_less, value_boundaries
+from ..session import materialize
+from .scan import bucket_of, global_rank, value_boundaries, weighted_less
 
 ICE = ["ICE_BENZIN", "ICE_DIESEL"]
 
@@ -38,7 +34,7 @@ def _offsets(per: DataFrame, val: str, how: str) -> DataFrame:
 
 
 def prefix_max(points: DataFrame, queries: DataFrame, x: str, y: str, key: list[str],
-               out: str, buckets: int = 64) -> DataFrame:
+               out: str, buckets: int | None = None) -> DataFrame:
     """For each query: max(points.y) over points with points.x < query.x (NULL if none)."""
     bounds = value_boundaries(points, x, buckets)
     q = queries.withColumn("_qid", F.to_json(F.struct(*key)))
@@ -58,127 +54,59 @@ def prefix_max(points: DataFrame, queries: DataFrame, x: str, y: str, key: list[
     return q.join(res, "_qid", "left").drop("_qid")
 
 
-def _same_bucket_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one bucket: for each query, points with x < qx and y > qy.
-
-    Offline sweep in x order with a Fenwick tree over the y ranks of the
-    points inserted so far: O(m log m) for m rows of the bucket, no pairs."""
-    pts = pdf[pdf["_isp"] == 1]
-    qs = pdf[pdf["_isp"] == 0]
-    px, py = pts["_x"].to_numpy(float), pts["_y"].to_numpy(float)
-    qx, qy = qs["_x"].to_numpy(float), qs["_y"].to_numpy(float)
-    ys = np.unique(py)
-    tree = np.zeros(len(ys) + 1, dtype=np.int64)
-
-    def add(i):                       # 1-based Fenwick update
-        while i <= len(ys):
-            tree[i] += 1
-            i += i & -i
-
-    def prefix(i):                    # number of inserted points with y-rank <= i
-        c = 0
-        while i > 0:
-            c += tree[i]
-            i -= i & -i
-        return int(c)
-
-    p_order = np.argsort(px, kind="stable")
-    p_rank = np.searchsorted(ys, py) + 1
-    out = np.zeros(len(qs), dtype=np.int64)
-    j = 0
-    for qi in np.argsort(qx, kind="stable"):
-        while j < len(p_order) and px[p_order[j]] < qx[qi]:
-            add(int(p_rank[p_order[j]]))
-            j += 1
-        not_greater = prefix(int(np.searchsorted(ys, qy[qi], side="right")))
-        out[qi] = j - not_greater
-    return pd.DataFrame({"_qid": qs["_qid"].to_numpy(), "_c": out})
-
-
-def dominance_count(points: DataFrame, queries: DataFrame, x: str, y: str, key: list[str],
-                    out: str, buckets: int = 32) -> DataFrame:
-    """For each query: number of points with point.x < q.x and point.y > q.y."""
-    bounds = value_boundaries(points, x, buckets)
-    nb = len(bounds) + 1
-    q = queries.withColumn("_qid", F.to_json(F.struct(*key)))
-    p = (points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-         .select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-         .withColumn("_b", bucket_of(F.col("_x"), bounds)))
-    qq = (q.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-          .select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), "_qid")
-          .withColumn("_b", bucket_of(F.col("_x"), bounds)))
-    # (a) points in strictly earlier buckets: pre-aggregate by (bucket, y), fan out
-    #     each distinct (bucket, y) to the later buckets, then a sorted scan per bucket.
-    py = p.groupBy("_b", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    fan = (py.withColumn("_t", F.explode(F.sequence(F.col("_b") + 1, F.lit(nb))))
-           .filter(F.col("_t") < nb)
-           .select(F.col("_t").alias("_b"), "_y", "_n", F.lit(None).cast("string").alias("_qid")))
-    u = fan.unionByName(qq.select("_b", "_y", F.lit(0).cast("long").alias("_n"), "_qid"))
-    # strictly greater y: on equal y the query row sorts before the point rows
-    w = (Window.partitionBy("_b").orderBy(F.col("_y").desc(), F.col("_qid").isNull().asc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    earlier = (u.withColumn("_c", F.sum("_n").over(w)).filter(F.col("_qid").isNotNull())
-               .select("_qid", F.col("_c").alias("_c1")))
-    # (b) points in the same bucket: bounded pandas group per bucket
-    same_in = (p.select("_b", "_x", "_y", F.lit(1).alias("_isp"), F.lit(None).cast("string").alias("_qid"))
-               .unionByName(qq.select("_b", "_x", "_y", F.lit(0).alias("_isp"), "_qid")))
-    same = (same_in.groupBy("_b")
-            .applyInPandas(_same_bucket_counts, "_qid string, _c long")
-            .select("_qid", F.col("_c").alias("_c2")))
-    res = (q.join(earlier, "_qid", "left").join(same, "_qid", "left")
-           .withColumn(out, (F.coalesce("_c1", F.lit(0)) + F.coalesce("_c2", F.lit(0))).cast("long"))
-           .drop("_qid", "_c1", "_c2"))
-    return res
-
-
-def reversal_pair_counts(rev: DataFrame, buckets: int = 32) -> DataFrame:
+def _ranked(points: DataFrame, queries: DataFrame, x: str, y: str) -> DataFrame:
+    """(rx, ry, points, queries): ranks of x ascending and y descending over both sides, with
+    counts. Rows with a null x or y are in no pair."""
+    both = (points.select(F.col(x).cast("double").alias("_x"), (-F.col(y).cast("double")).alias("_y"), F.lit(1).alias("p"), F.lit(0).alias("q"))
+            .unionByName(queries.select(F.col(x).cast("double").alias("_x"), (-F.col(y).cast("double")).alias("_y"), F.lit(0).alias("p"), F.lit(1).alias("q"))))
+    both = both.where("_x is not null and _y is not null").groupBy("_x", "_y").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    both = global_rank(global_rank(materialize(both), "_x", "rx"), "_y", "ry")
+    return materialize(both.select(F.col("rx").cast("long").alias("rx"), F.col("ry").cast("long").alias("ry"), "p", "q"))
+
+
+def dominated(ranked: DataFrame) -> DataFrame:
+    """One row, column ``n``: pairs of a point and a query with smaller rx and smaller ry of the point."""
+    top = ranked.agg(F.max("rx")).first()[0] or 0
+    level = F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length()))).alias("level")
+    at_points = ranked.where("p > 0").select(level, "rx", "ry", "p").select(
+        "level", F.expr("shiftright(rx, level)").alias("node"), "ry", "p", F.lit(0).cast("long").alias("q"))
+    at_queries = ranked.where("q > 0").select(level, "rx", "ry", "q").where("shiftright(rx, level) % 2 = 1").select(
+        "level", F.expr("shiftright(rx, level) - 1").alias("node"), "ry", F.lit(0).cast("long").alias("p"), "q")
+    return weighted_less(at_points.unionByName(at_queries), ["level", "node"], "ry", "p", "q")
+
+
+def reversal_pair_counts(rev: DataFrame) -> DataFrame:
     """Pairs (combustion i, plug-in p) with i.wltp > p.wltp, how many
     of them have i.real < p.real, and the share -- no pair is materialised."""
-    ice = rev.filter(F.col("antriebsklasse").isin(ICE)).select("marke", "modell", "wltp_l", "real_l")
-    phev = rev.filter(F.col("antriebsklasse") == "PHEV").select("wltp_l", "real_l")
-    key = ["marke", "modell"]
-    n1 = count_less(phev, ice, "wltp_l", key, "_pairs", strict=True, buckets=buckets)
-    n2 = dominance_count(phev, ice, "wltp_l", "real_l", key, "_better", buckets)
-    j = n1.join(n2.select(*key, "_better"), key)
-    return j.agg(F.coalesce(F.sum("_pairs"), F.lit(0)).cast("bigint").alias("modellpaare"),
-                 F.coalesce(F.sum("_better"), F.lit(0)).cast("bigint").alias("verbrenner_real_besser")) \
-        .withColumn("anteil_prozent", rnd(F.try_divide(F.col("verbrenner_real_besser") * 100.0,
-                                                       F.nullif("modellpaare", F.lit(0))), 1))
-
-
-def reversal_pair_list(rev: DataFrame, k: int = 25, buckets: int = 32) -> DataFrame:
+    ice = rev.filter(F.col("antriebsklasse").isin(ICE)).withColumn("real_l", F.coalesce("real_l", F.lit(float("inf"))))
+    phev = rev.filter(F.col("antriebsklasse") == "PHEV").withColumn("real_l", F.coalesce("real_l", F.lit(float("-inf"))))
+    r = _ranked(phev, ice, "wltp_l", "real_l")   # a missing real value is in a pair, but never better
+    every = weighted_less(r, [], "rx", "p", "q").withColumnRenamed("n", "modellpaare")
+    better = dominated(r).withColumnRenamed("n", "verbrenner_real_besser")
+    one = every.withColumn("_k", F.lit(0)).join(better.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return one.withColumn("anteil_prozent", rnd(F.try_divide(F.col("verbrenner_real_besser") * 100.0, F.nullif("modellpaare", F.lit(0))), 1))
+
+
+def reversal_pair_list(rev: DataFrame, k: int = 25) -> DataFrame:
     """I12 A5d: the k pairs with the largest p.real - i.real among
-    i.wltp > p.wltp and i.real < p.real (exact, see module doc)."""
-    key = ["marke", "modell"]
-    ice = rev.filter(F.col("antriebsklasse").isin(ICE)).select(*key, "antriebsklasse", "wltp_l", "real_l")
-    phev = rev.filter(F.col("antriebsklasse") == "PHEV").select(*key, "wltp_l", "real_l")
-    # best partner per combustion model: max p.real over p.wltp < i.wltp
-    bi = prefix_max(phev, ice, "wltp_l", "real_l", key, "_best", buckets) \
+    i.wltp > p.wltp and i.real < p.real, ties by both names."""
+    name = F.concat(F.col("marke"), F.lit(" "), F.col("modell"))
+    side = rev.select(name.alias("name"), "antriebsklasse", "wltp_l", "real_l")
+    ice, phev = side.filter(F.col("antriebsklasse").isin(ICE)), side.filter(F.col("antriebsklasse") == "PHEV")
+    best = prefix_max(phev, ice, "wltp_l", "real_l", ["name", "antriebsklasse", "wltp_l", "real_l"], "_best") \
         .withColumn("_s", F.col("_best") - F.col("real_l")).filter(F.col("_s") > 0)
-    # best partner per plug-in: max(-i.real) over i.wltp > p.wltp  (mirror the axis)
-    neg_ice = ice.select((-F.col("wltp_l")).alias("_nw"), (-F.col("real_l")).alias("_nr"))
-    bp = prefix_max(neg_ice, phev.withColumn("_nw", -F.col("wltp_l")), "_nw", "_nr", key, "_best", buckets) \
-        .withColumn("_s", F.col("real_l") + F.col("_best")).filter(F.col("_s") > 0)
-    top_i, top_p = _top_with_ties(bi, "_s", k), _top_with_ties(bp, "_s", k)
-    # The plug-in candidates are at most k (+ ties) rows: read them once and
-    # attach them to each combustion candidate as a literal array (Generate),
-    # so no join without a key is planned.
-    cand = [F.struct(F.lit(r["marke"]).alias("marke"), F.lit(r["modell"]).alias("modell"),
-                     F.lit(r["wltp_l"]).cast("double").alias("wltp_l"),
-                     F.lit(r["real_l"]).cast("double").alias("real_l"))
-            for r in top_p.select(*key, "wltp_l", "real_l").collect()]
-    if not cand:
+    # whoever isn't among these k has k pairs of others before all of its own; k rows at most
+    first = best.orderBy(F.col("_s").desc(), "name").limit(k).collect()
+    if not first:
         return _empty_list(rev)
-    x = top_i.withColumn("p", F.explode(F.array(*cand)))
-    pairs = x.filter((F.col("wltp_l") > F.col("p.wltp_l")) & (F.col("real_l") < F.col("p.real_l")))
+    i = F.explode(F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["antriebsklasse"]).alias("cls"), F.lit(r["wltp_l"]).cast("double").alias("wltp_l"),
+                                     F.lit(r["real_l"]).cast("double").alias("real_l")) for r in first])).alias("i")
+    pairs = phev.select("name", "wltp_l", "real_l", i).filter((F.col("i.wltp_l") > F.col("wltp_l")) & (F.col("i.real_l") < F.col("real_l")))
     return (pairs.select(
-        F.concat(F.col("marke"), F.lit(" "), F.col("modell")).alias("verbrenner"),
-        F.col("antriebsklasse"),
-        F.col("wltp_l").alias("v_papier"), F.col("real_l").alias("v_strasse"),
-        F.concat(F.col("p.marke"), F.lit(" "), F.col("p.modell")).alias("phev"),
-        F.col("p.wltp_l").alias("p_papier"), F.col("p.real_l").alias("p_strasse"),
-        rnd(F.col("real_l") - F.col("p.real_l"), 2).alias("differenz_real_l"),
-        (F.col("p.real_l") - F.col("real_l")).alias("_d"))
+        F.col("i.name").alias("verbrenner"), F.col("i.cls").alias("antriebsklasse"),
+        F.col("i.wltp_l").alias("v_papier"), F.col("i.real_l").alias("v_strasse"), F.col("name").alias("phev"),
+        F.col("wltp_l").alias("p_papier"), F.col("real_l").alias("p_strasse"),
+        rnd(F.col("i.real_l") - F.col("real_l"), 2).alias("differenz_real_l"), (F.col("real_l") - F.col("i.real_l")).alias("_d"))
         .orderBy(F.col("_d").desc(), "verbrenner", "phev").limit(k).drop("_d"))
 
 
@@ -188,12 +116,3 @@ def _empty_list(rev: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("v_papier"), F.lit(None).cast("double").alias("v_strasse"),
         F.lit(None).cast("string").alias("phev"), F.lit(None).cast("double").alias("p_papier"),
         F.lit(None).cast("double").alias("p_strasse"), F.lit(None).cast("double").alias("differenz_real_l"))
-
-
-def _top_with_ties(df: DataFrame, score: str, k: int) -> DataFrame:
-    """Rows whose score is at least the k-th largest (ties kept). The k-th
-    value comes from a distributed top-k (TakeOrdered), one number to the driver."""
-    row = df.orderBy(F.col(score).desc()).limit(k).agg(F.min(score).alias("t")).first()
-    if row is None or row["t"] is None:
-        return df.limit(0)
-    return df.filter(F.col(score) >= F.lit(row["t"]))

@@ -37,7 +37,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     grid = [i / buckets for i in range(1, buckets)]
     stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                  F.percentile_approx("_v", grid, accuracy).alias("_cuts"))
-    x = v.join(stats, keys)   # one row per group on the right: shuffled by key, broadcast when small
+    x = _join(v, stats, keys)   # one row per group on the right: shuffled by key, broadcast when small
     x = x.withColumn("_b", bucket_of_array(F.col("_v"), F.col("_cuts"), len(grid)))   # O(log B) per row
     per = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,17 +50,17 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
            .filter((F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_c")))
            .select(*keys, "_b", "_first", F.col("_w.i").alias("_i"), "_h", "_r"))
     need = tgt.select(*keys, "_b").distinct()
-    vals = (x.join(need, keys + ["_b"], "left_semi")
+    vals = (_join(x, need, keys + ["_b"])
             .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_k")))
     wv = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vals = vals.withColumn("_end", F.sum("_k").over(wv))               # ranks [end-k, end) within bucket
-    hit = (tgt.join(vals, keys + ["_b"])
+    hit = (_join(tgt, vals, keys + ["_b"])
            .filter((F.col("_r") - F.col("_first") >= F.col("_end") - F.col("_k")) &
                    (F.col("_r") - F.col("_first") < F.col("_end")))
            .select(*keys, "_i", "_h", "_r", "_v"))
     lo = hit.filter(F.col("_r") == F.floor("_h")).select(*keys, "_i", "_h", F.col("_v").alias("_lo"))
     hi = hit.filter(F.col("_r") == F.ceil("_h")).select(*keys, "_i", F.col("_v").alias("_hi"))
-    res = (lo.join(hi, keys + ["_i"])
+    res = (_join(lo, hi, keys + ["_i"])
            .withColumn("_p", F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo"))))
     out = res.groupBy(*keys).pivot("_i", list(range(len(probs)))).agg(F.first("_p"))
     for i in range(len(probs)):
@@ -69,6 +69,14 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
 
 
 def suggested_buckets(rows_per_group: int, target_per_bucket: int = 1_000_000) -> int:
-    """Bucket count so that a bucket holds about ``target_per_bucket`` rows (8 .. 1,024;
-    beyond that a bucket's rows are still collapsed to distinct values)."""
-    return max(8, min(1_024, math.ceil(rows_per_group / target_per_bucket)))
+    """Bucket count so that a bucket holds about ``target_per_bucket`` rows."""
+    return max(1, math.ceil(rows_per_group / target_per_bucket))
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join where a null key equals a null key; ``right`` has one row per key or many."""
+    r = right
+    for k in keys:
+        r = r.withColumnRenamed(k, f"_r{k}")
+    on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
+    return left.join(r, on).drop(*[f"_r{k}" for k in keys])

@@ -20,8 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_boundaries(df: DataFrame, col: str, buckets: int = 64) -> list[float]:
-    """Sorted distinct approximate quantile cut points (at most buckets-1)."""
+ROWS_PER_BUCKET = 50_000
+
+
+def value_boundaries(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
+    """Sorted distinct approximate quantile cut points (at most buckets-1); by
+    default as many buckets as give ROWS_PER_BUCKET rows each."""
+    if buckets is None:
+        buckets = -(-df.count() // ROWS_PER_BUCKET)
     if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
@@ -51,7 +57,7 @@ def bucket_of_array(col: Column, cuts: Column, n: int) -> Column:
     return tree(0, n)
 
 
-def global_rank(df: DataFrame, col: str, out: str, buckets: int = 64,
+def global_rank(df: DataFrame, col: str, out: str, buckets: int | None = None,
                 bounds: list[float] | None = None) -> DataFrame:
     """SQL ``rank() OVER (ORDER BY col ASC NULLS FIRST)`` without a single-task window.
 
@@ -73,27 +79,19 @@ def global_rank(df: DataFrame, col: str, out: str, buckets: int = 64,
     return df.join(ranks, F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
 
 
-def count_less(points: DataFrame, queries: DataFrame, col: str, key: list[str], out: str,
-               strict: bool = True, buckets: int = 64) -> DataFrame:
-    """For each query row: number of ``points`` whose ``col`` is < (or <=) its ``col``.
-
-    Runs as a union of points and queries sorted inside value buckets plus
-    per-bucket offsets; never pairs points with queries.
-    """
-    bounds = value_boundaries(points, col, buckets)
-    q = queries.withColumn("_qid", F.to_json(F.struct(*key)))  # unique query key
-    p = points.select(F.col(col).alias("_v"), F.lit(1).alias("_isp"), F.lit(None).cast("string").alias("_qid"))
-    qq = q.select(F.col(col).alias("_v"), F.lit(0).alias("_isp"), "_qid")
-    u = p.unionByName(qq).filter(F.col("_v").isNotNull())
-    u = u.withColumn("_b", bucket_of(F.col("_v"), bounds))
-    per = u.groupBy("_b").agg(F.sum("_isp").alias("_n"))
-    offs = per.withColumn("_off", F.sum("_n").over(Window.orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1))).select("_b", F.coalesce("_off", F.lit(0)).alias("_off"))
-    # points sort before queries on equal value when counting <=, after when counting <
-    tie = F.col("_isp").desc() if not strict else F.col("_isp").asc()
-    w = (Window.partitionBy("_b").orderBy(F.col("_v").asc(), tie)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cnt = (u.join(F.broadcast(offs), "_b")
-           .withColumn("_c", F.sum("_isp").over(w) + F.col("_off"))
-           .filter(F.col("_isp") == 0).select("_qid", F.col("_c").cast("long").alias(out)))
-    return q.join(cnt, "_qid", "left").fillna({out: 0}).drop("_qid")
+def weighted_less(df: DataFrame, parts: list[str], order: str, points: str, queries: str,
+                  rows_per_bucket: int = 4096) -> DataFrame:
+    """One row, column ``n``: over all rows, ``queries`` times the sum of ``points`` of the rows
+    of the same ``parts`` with a smaller ``order`` (an integer).
+
+    Equal (parts, order) collapse first, so a frequent value is one row. Sums per range of
+    ``order`` give each range's offset, a window finishes inside a range: no window holds
+    more than ``rows_per_bucket`` rows, and no point meets a query."""
+    d = df.groupBy(*parts, order).agg(F.sum(points).alias("_p"), F.sum(queries).alias("_q"))
+    d = d.withColumn("_b", F.floor(F.col(order) / rows_per_bucket))
+    per = d.groupBy(*parts, "_b").agg(F.sum("_p").alias("_s"))
+    before = Window.unboundedPreceding, -1
+    per = per.withColumn("_off", F.coalesce(F.sum("_s").over(Window.partitionBy(*parts).orderBy("_b").rowsBetween(*before)), F.lit(0)))
+    inside = F.coalesce(F.sum("_p").over(Window.partitionBy(*parts, "_b").orderBy(order).rowsBetween(*before)), F.lit(0))
+    joined = d.withColumn("_in", inside).where("_q > 0").join(per.drop("_s"), [*parts, "_b"])
+    return joined.agg(F.coalesce(F.sum(F.col("_q") * (F.col("_off") + F.col("_in"))), F.lit(0)).cast("bigint").alias("n"))

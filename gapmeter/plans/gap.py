@@ -5,7 +5,7 @@ probabilities of one column in one pass. ``percentile`` aggregates partially
 (map-side value->count maps), so a hot group -- a third of all rows in one
 drive class -- is combined per task before the shuffle; its state is bounded
 by the number of distinct values (consumption rounded to 3 digits, gap to 2).
-``approx=True`` switches to ``percentile_approx`` for unbounded value domains.
+Unbounded value domains go through ``operators.quantiles``.
 """
 
 from __future__ import annotations
@@ -19,25 +19,22 @@ from ..operators.scan import global_rank
 from .core import analysable
 
 
-def pct(col: str, p: float | list[float], approx: bool = False) -> Column:
-    x = F.col(col).cast("double")
-    if approx:
-        return F.percentile_approx(x, p, 10000)
-    return F.percentile(x, p)
+def pct(col: str, p: float | list[float]) -> Column:
+    return F.percentile(F.col(col).cast("double"), p)
 
 
-def gap_by_year(rw: DataFrame, approx: bool = False) -> DataFrame:
+def gap_by_year(rw: DataFrame) -> DataFrame:
     """I8 (A4): per country x class x year, 13 measures incl. p10/p50/p90."""
     g = (analysable(rw).groupBy("land", "antriebsklasse", "jahr")
          .agg(F.count(F.lit(1)).alias("fahrzeuge"),
-              pct("dist_total_km", 0.5, approx).alias("_km"),
-              pct("fc_real", 0.5, approx).alias("_real"),
-              pct("fc_wltp", 0.5, approx).alias("_wltp"),
-              pct("gap_abs", 0.5, approx).alias("_gapl"),
-              pct("gap_pct", [0.1, 0.5, 0.9], approx).alias("_gp"),
+              pct("dist_total_km", 0.5).alias("_km"),
+              pct("fc_real", 0.5).alias("_real"),
+              pct("fc_wltp", 0.5).alias("_wltp"),
+              pct("gap_abs", 0.5).alias("_gapl"),
+              pct("gap_pct", [0.1, 0.5, 0.9]).alias("_gp"),
               F.avg("gap_pct").alias("_avg"),
-              pct("anteil_elektrisch", 0.5, approx).alias("_e"),
-              pct("grid_kwh", 0.5, approx).alias("_kwh")))
+              pct("anteil_elektrisch", 0.5).alias("_e"),
+              pct("grid_kwh", 0.5).alias("_kwh")))
     return g.select(
         "land", "antriebsklasse", "jahr", "fahrzeuge",
         rnd("_km", 0).alias("median_laufleistung"),
@@ -52,16 +49,16 @@ def gap_by_year(rw: DataFrame, approx: bool = False) -> DataFrame:
         rnd("_kwh", 0).alias("median_netzstrom_kwh"))
 
 
-def gap_pooled(rw: DataFrame, approx: bool = False) -> DataFrame:
+def gap_pooled(rw: DataFrame) -> DataFrame:
     """I9 (A4 pooled, the authoritative one): per country x class over all years."""
     g = (analysable(rw).groupBy("land", "antriebsklasse")
          .agg(F.count(F.lit(1)).alias("fahrzeuge"),
-              pct("fc_real", 0.5, approx).alias("_real"),
-              pct("fc_wltp", 0.5, approx).alias("_wltp"),
-              pct("gap_abs", 0.5, approx).alias("_gapl"),
-              pct("gap_pct", [0.1, 0.5, 0.9], approx).alias("_gp"),
-              pct("anteil_elektrisch", 0.5, approx).alias("_e"),
-              pct("dist_total_km", 0.5, approx).alias("_km"),
+              pct("fc_real", 0.5).alias("_real"),
+              pct("fc_wltp", 0.5).alias("_wltp"),
+              pct("gap_abs", 0.5).alias("_gapl"),
+              pct("gap_pct", [0.1, 0.5, 0.9]).alias("_gp"),
+              pct("anteil_elektrisch", 0.5).alias("_e"),
+              pct("dist_total_km", 0.5).alias("_km"),
               F.min("jahr").alias("jahr_von"), F.max("jahr").alias("jahr_bis")))
     return g.select(
         "land", "antriebsklasse", "fahrzeuge",
@@ -139,15 +136,15 @@ def model_medians(rw: DataFrame, country: str | None, min_vehicles: int,
 
 
 def rank_reversal(rw: DataFrame, country: str | None = None, min_vehicles: int = 10,
-                  class_rule: str = "mode", buckets: int = 64) -> DataFrame:
+                  class_rule: str = "mode") -> DataFrame:
     """I11 (A5): paper rank vs road rank per model, ranked on unrounded medians.
 
     The global ranks come from a bucketed two-level scan, not a single-task
     window, so the model table may grow without funnelling into one task.
     """
     m = materialize(model_medians(rw, country, min_vehicles, class_rule))
-    m = global_rank(m, "wltp_x", "rang_papier", buckets)
-    m = global_rank(m, "real_x", "rang_strasse", buckets)
+    m = global_rank(m, "wltp_x", "rang_papier")
+    m = global_rank(m, "real_x", "rang_strasse")
     return m.select("marke", "modell", "antriebsklasse", "fahrzeuge",
                     rnd("wltp_x", 2).alias("wltp_l"), rnd("real_x", 2).alias("real_l"),
                     rnd("gap_x", 1).alias("gap_pct"), rnd("masse_x", 0).alias("masse_kg"),
@@ -176,7 +173,8 @@ def gap_pooled_scan(rw: DataFrame, buckets: int | None = None) -> DataFrame:
     long = a.select(*keys, st.alias("_m", "_x"))
     q = exact_percentiles(long, keys + ["_m"], "_x", [0.1, 0.5, 0.9], prefix="q", buckets=buckets)
     wide = q.groupBy(*keys).pivot("_m", measures).agg(F.first(F.array("q0", "q1", "q2")))
-    out = base.join(wide, keys, "left")
+    w = wide.withColumnsRenamed({k: f"_w{k}" for k in keys})
+    out = base.join(w, [F.col(k).eqNullSafe(F.col(f"_w{k}")) for k in keys], "left").drop(*[f"_w{k}" for k in keys])
     return out.select(
         *keys, "fahrzeuge", rnd(F.col("fc_real")[1], 2).alias("real_l"), rnd(F.col("fc_wltp")[1], 2).alias("wltp_l"),
         rnd(F.col("gap_abs")[1], 2).alias("gap_l"), rnd(F.col("gap_pct")[1], 1).alias("gap_median_pct"),

@@ -1,14 +1,14 @@
-"""Persisted pipeline layers (raw -> core -> star), written once and re-read.
+"""Persisted pipeline layers (raw -> core -> star -> marts), written once and re-read.
 
-Each layer is a Parquet table in a folder below the shared
-``spark.checkpoint.dir``; a lost executor therefore loses nothing, and lineage
-is cut at every layer boundary (as the reference's staged tables do). The
-registry is per Spark application and input folder.
+Each layer is a Parquet table in a folder below the shared ``spark.checkpoint.dir``; a
+lost executor therefore loses nothing, and lineage is cut at every layer boundary. A
+layer belongs to one Spark application and one state of its input folder (names, sizes
+and times of the files): changed input builds it anew and deletes the old one.
+``drop_layers`` deletes all layers of an application; call it when a batch is done.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -16,18 +16,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the files below ``folder``, on any store Spark reads."""
+    fs, p = _file_system(spark, folder)
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return "|".join(sorted(found))
 
 
 def layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
           partition_by: list[str] | None = None) -> DataFrame:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
-    path = _WRITTEN.get(key)
-    if path is None:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    state = fingerprint(spark, sf_dir)
+    known, path = _WRITTEN.get(key, ("", ""))
+    if known != state:
+        if path:
+            _delete(spark, path)
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers/{uuid.uuid4().hex[:12]}/{name}"
         w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
-        _WRITTEN[key] = path
+        _WRITTEN[key] = (state, path)
     return spark.read.parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p.getParent(), True)
+
+
+def drop_layers(spark: SparkSession) -> None:
+    """Delete every layer this application has written."""
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
+        _delete(spark, _WRITTEN.pop(key)[1])

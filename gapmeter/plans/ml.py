@@ -1,22 +1,20 @@
 """What drives the gap: training sets, exact splits, linear model, scores.
 
-* sampling is a repeatable top-k by a seeded hash: counts per hash prefix,
-  a filter below the boundary prefix, an ordered cut only inside it (never
-  k rows per task funnelled into one task);
-* the 70/30 split is exact per stratum: a row's rank inside its stratum is
-  computed from hash-range buckets (per-bucket counts -> offsets -> a window
-  inside (stratum, bucket)), so no stratum -- even one holding a third of
-  all rows -- is sorted in one task;
-* the model is Spark ML (StringIndexer -> OneHotEncoder -> VectorAssembler ->
-  LinearRegression), trained and scored distributed.
+* sample and 70/30 split follow one lottery: md5 of key and seed, ties by all
+  columns. A row's rank is computed from prefix buckets (per-bucket counts ->
+  offsets -> a window inside (stratum, bucket)), so no stratum -- even one
+  holding a third of all rows -- is sorted in one task;
+* the model is Spark ML (VectorAssembler -> LinearRegression) over explicit dummy
+  columns, trained and scored distributed.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+import math
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import analysable
@@ -29,8 +27,8 @@ CATEGORICAL = ["antriebsklasse", "land", "jahr"]
 LABEL = "gap_pct"
 
 
-def training_set(rw: DataFrame, plugin: bool = False, n: int = 200_000, seed: int = 1234) -> DataFrame:
-    """L1/L2: filtered, NULL-handled training rows; a repeatable sample of n."""
+def training_set(rw: DataFrame, plugin: bool = False) -> DataFrame:
+    """L1/L2: filtered, NULL-handled training rows, all of them."""
     df = analysable(rw)
     req = ["masse_kg", "leistung_kw", "fc_wltp", "co2_wltp", "dist_total_km"]
     if plugin:
@@ -41,31 +39,39 @@ def training_set(rw: DataFrame, plugin: bool = False, n: int = 200_000, seed: in
     for c in req:
         df = df.filter(F.col(c).isNotNull())
     cols = (FEATURES_PHEV if plugin else FEATURES_ALL)
-    out = df.select("vehicle_id", *[
+    return df.select("vehicle_id", *[
         F.col("jahr").cast("string").alias("jahr") if c == "jahr" else
         F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in ("hubraum_cm3", "e_reichweite_km") else F.col(c)
         for c in cols], LABEL)
-    return deterministic_sample(out, "vehicle_id", n, seed)
-
-
-def deterministic_sample(df: DataFrame, key: str, n: int, seed: int, prefix_bits: int = 16) -> DataFrame:
-    """The n rows with the smallest seeded hash (ties by key) -- the same
-    rows as ``orderBy(hash, key).limit(n)`` on every run, but without pulling
-    n rows per task into one final task: rows are counted per hash prefix
-    (2**prefix_bits tiny counts), every prefix below the boundary is taken by
-    a filter, and only the boundary prefix is ordered and cut."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    x = df.withColumn("_h", h).withColumn("_p", F.shiftright("_h", 64 - prefix_bits))
-    counts = sorted((r["_p"], r["count"]) for r in x.groupBy("_p").count().collect())
-    taken = 0
-    for p, c in counts:
-        if taken + c >= n:
-            need = n - taken
-            below = x.filter(F.col("_p") < p)
-            edge = x.filter(F.col("_p") == p).orderBy("_h", key).limit(need)
-            return below.unionByName(edge).drop("_h", "_p")
-        taken += c
-    return df                                   # fewer than n rows: all of them
+
+
+def draw(key: str, seed: int) -> Column:
+    """A row's place in the lottery: md5 of key and seed, the same in every engine."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+
+
+def _with_place(df: DataFrame, key: str, strata: str | None, seed: int, rows_per_bucket: int = 10_000) -> DataFrame:
+    """Adds _rank (1-based, in the order of the draw, ties by all columns) and _tot, per stratum.
+
+    Buckets are prefixes of the draw, as long as the row count asks for: counts per
+    (stratum, bucket) give offsets, a window finishes inside a bucket. Rows that are
+    equal in every column are interchangeable."""
+    digits = max(1, math.ceil(math.log(max(df.count(), 1) / rows_per_bucket, 16)))
+    x = df.withColumn("_s", F.col(strata) if strata else F.lit("_all")).withColumn("_h", draw(key, seed))
+    x = x.withColumn("_b", F.substring("_h", 1, digits))
+    per = x.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy("_s").orderBy("_b")
+    per = (per.withColumn("_off", F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+           .withColumn("_tot", F.sum("_n").over(Window.partitionBy("_s")))
+           .select(F.col("_s").alias("_ps"), F.col("_b").alias("_pb"), "_off", "_tot"))
+    w = Window.partitionBy("_s", "_b").orderBy("_h", *df.columns)
+    joined = x.withColumn("_in", F.row_number().over(w)).join(per, F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("_b") == F.col("_pb")))
+    return joined.withColumn("_rank", F.col("_in") + F.col("_off")).drop("_s", "_h", "_b", "_ps", "_pb", "_in", "_off")
+
+
+def deterministic_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The n rows that the draw puts first (ties by all columns), found without a global sort."""
+    return _with_place(df, key, None, seed).filter(F.col("_rank") <= n).drop("_rank", "_tot")
 
 
 def fill_unknown(df: DataFrame, value: str = "unbekannt") -> DataFrame:
@@ -74,52 +80,42 @@ def fill_unknown(df: DataFrame, value: str = "unbekannt") -> DataFrame:
     return df.fillna(value, subset=strings)
 
 
-def exact_split(df: DataFrame, key: str, strata: str | None, frac: float = 0.7, seed: int = 1234,
-                buckets: int = 64) -> DataFrame:
+def exact_split(df: DataFrame, key: str, strata: str | None, frac: float = 0.7, seed: int = 1234) -> DataFrame:
     """L4: column ``split`` = 'train' for exactly round(frac * n) rows of each
-    stratum (or of all rows when ``strata`` is None), chosen by a seeded hash."""
-    s = F.col(strata) if strata else F.lit("_all")
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    shift = 64 - (buckets - 1).bit_length()
-    x = df.withColumn("_s", s).withColumn("_h", h).withColumn("_b", F.shiftright("_h", shift))
-    per = x.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))      # strata x buckets rows
-    wb = Window.partitionBy("_s").orderBy("_b")
-    per = (per.withColumn("_off", F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                                             F.lit(0)))
-           .withColumn("_tot", F.sum("_n").over(Window.partitionBy("_s")))
-           .select("_s", "_b", "_off", "_tot"))
-    w = Window.partitionBy("_s", "_b").orderBy("_h", key)
-    r = (x.join(F.broadcast(per), ["_s", "_b"])
-         .withColumn("_rank", F.row_number().over(w) + F.col("_off")))
-    train = F.col("_rank") <= F.round(F.col("_tot") * frac)
-    return r.withColumn("split", F.when(train, "train").otherwise("test")).drop("_s", "_h", "_b", "_off", "_tot", "_rank")
+    stratum (or of all rows when ``strata`` is None), those that the draw puts first."""
+    r = _with_place(df, key, strata, seed)
+    return r.withColumn("split", F.when(F.col("_rank") <= F.round(F.col("_tot") * frac), "train").otherwise("test")).drop("_rank", "_tot")
 
 
-def fit_linear(train: DataFrame, features: list[str], label: str = LABEL):
-    """Categoricals as dummies (dropLast), numeric as is, with intercept."""
+def fit_linear(train: DataFrame, features: list[str], label: str = LABEL, fit_rows: int | None = None, seed: int = 1234):
+    """Categoricals as dummies (the first level is the reference), numeric as is, with
+    intercept. ``fit_rows`` bounds only the rows that the model is fitted on; split,
+    prediction and scores use all rows. A level that the training part lacks is predicted
+    with the reference level."""
+    rows = train if fit_rows is None else deterministic_sample(train, "vehicle_id", fit_rows, seed)
     cats = [c for c in features if c in CATEGORICAL]
     nums = [c for c in features if c not in CATEGORICAL]
-    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cats]
-    stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_oh" for c in cats],
-                                dropLast=True, handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[f"{c}_oh" for c in cats] + nums, outputCol="features"))
-    stages.append(LinearRegression(featuresCol="features", labelCol=label, fitIntercept=True,
-                                   predictionCol="prediction"))
-    return Pipeline(stages=stages).fit(train)
-
-
-def score(pred: DataFrame, n_features: int, label: str = LABEL) -> DataFrame:
-    """R², adjusted R², MAE, RMSE, mean signed difference, MAPE (NULL when
-    an actual value is 0, with the count of such rows) -- one aggregate."""
+    levels = {c: sorted(r[0] for r in rows.select(c).distinct().collect()) for c in cats}   # few by nature: classes, countries, years
+    dummies = {f"{c}={v}": (F.col(c) == v).cast("double") for c in cats for v in levels[c][1:]}
+    assembler = VectorAssembler(inputCols=[f"_d{i}" for i in range(len(dummies))] + nums, outputCol="features")
+
+    def prepared(df: DataFrame) -> DataFrame:
+        return assembler.transform(df.withColumns({f"_d{i}": e for i, e in enumerate(dummies.values())})) \
+            .drop(*[f"_d{i}" for i in range(len(dummies))])
+
+    model = LinearRegression(featuresCol="features", labelCol=label, fitIntercept=True, predictionCol="prediction", solver="normal").fit(prepared(rows))
+    return lambda df: model.transform(prepared(df)).drop("features")
+
+
+def score(pred: DataFrame, label: str = LABEL) -> DataFrame:
+    """R², adjusted R² (the published scorer counts 0 predictors, so it equals R²), MAE,
+    RMSE, mean signed difference, MAPE (NULL when an actual value is 0, with the count of
+    such rows) -- one aggregate."""
     y, p = F.col(label), F.col("prediction")
-    a = pred.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("_my"),
-                 F.sum((y - p) * (y - p)).alias("_sse"), F.avg(F.abs(y - p)).alias("mae"),
+    a = pred.agg(F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("_sse"), F.avg(F.abs(y - p)).alias("mae"),
                  F.avg(p - y).alias("mittlere_abweichung"),
                  F.avg(F.abs((y - p) / F.nullif(y, F.lit(0.0)))).alias("_mape"),
-                 F.count(F.when(y == 0, 1)).alias("null_ist"), F.sum(y * y).alias("_syy"))
-    sst = F.col("_syy") - F.col("n") * F.col("_my") * F.col("_my")
-    r2 = 1 - F.col("_sse") / sst
-    return a.select("n", r2.alias("r2"),
-                    (1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - n_features - 1)).alias("r2_adj"),
-                    "mae", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"), "mittlere_abweichung",
-                    F.when(F.col("null_ist") == 0, F.col("_mape") * 100).alias("mape"), "null_ist")
+                 F.count(F.when(y == 0, 1)).alias("null_ist"), F.var_pop(y).alias("_var"))
+    r2 = 1 - F.try_divide(F.col("_sse"), F.col("_var") * F.col("n"))
+    return a.select("n", r2.alias("r2"), r2.alias("r2_adj"), "mae", F.sqrt(F.try_divide(F.col("_sse"), F.col("n"))).alias("rmse"),
+                    "mittlere_abweichung", F.when(F.col("null_ist") == 0, F.col("_mape") * 100).alias("mape"), "null_ist")

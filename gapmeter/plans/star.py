@@ -93,11 +93,14 @@ def key_checks(dims: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
                           (F.col("zeilen") == F.col("sk_distinct")))
 
 
-def write_fact(f: DataFrame, path: str, files_per_year: int = 16) -> None:
+def write_fact(f: DataFrame, path: str, files_per_year: int | None = None) -> None:
     """Year-partitioned fact; dynamic overwrite replaces only the years
-    present in ``f`` (idempotent reload of one year, A6). Each year is spread
-    over ``files_per_year`` tasks by a hash of the row id, so a year holding a
-    third of all rows is still written by many tasks."""
-    spread = F.pmod(F.xxhash64("src_id"), F.lit(files_per_year))
-    (f.repartition(F.col("jahr"), spread).write.mode("overwrite")
+    present in ``f`` (idempotent reload of one year, A6), also in a session
+    that is set to static. Each year is spread over ``files_per_year`` tasks
+    (default: a quarter of the shuffle partitions, which follow the cluster)
+    by a hash of the row id, so a year holding a third of all rows is still
+    written by many tasks."""
+    n = files_per_year or max(1, int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    spread = F.pmod(F.xxhash64("src_id"), F.lit(n))
+    (f.repartition(F.col("jahr"), spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("jahr").parquet(path))

@@ -3,17 +3,18 @@ A20-A24, B10, B24, B26, B27, B33-B39, I21) with oracles where SQL can express th
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import query, raw, reg, rw, star_dim, star_fact
+from ..catalog import mart_gap_by_year, query, raw, reg, rw, star_dim, star_fact
 from ..functions import scalars as S
 from ..functions.scalars import rnd
 from ..oracle.adapter import rnd as srnd
 from ..oracle import adapter as O
 from ..plans.core import analysable
+from ..session import ensure_checkpoint_dir
 from ..sources import load as L
 from ..sources.tables import read_table
 from .q_gap import _BY_YEAR_CTE, _POOLED
@@ -120,14 +121,13 @@ def one_row(spark, d):
 
 
 @query("union_years", O.with_raw("""
-SELECT jahr, count(*) AS n FROM (SELECT * FROM raw WHERE jahr < '1998' UNION ALL SELECT * FROM raw WHERE jahr >= '1998')
-GROUP BY jahr"""))
+SELECT jahr, count(*) AS n FROM raw GROUP BY jahr"""))
 def union_years(spark, d):
-    """Yearly tables unioned by name (here: the raw table split and re-joined)."""
-    r = raw(spark, d)
-    parts = [r.filter(F.col("jahr") == str(y)) for y in range(1995, 2002)]
-    rest = r.filter(~F.col("jahr").isin([str(y) for y in range(1995, 2002)]))
-    return reduce(lambda a, b: a.unionByName(b), parts + [rest]).groupBy("jahr").agg(F.count(F.lit(1)).alias("n"))
+    """Yearly tables unioned by name: the raw rows are written as a folder per year
+    (a null year has its own) and one scan reads the folders as one table."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/years-{uuid.uuid4().hex[:12]}"
+    raw(spark, d).write.partitionBy("jahr").parquet(path)
+    return spark.read.parquet(path).groupBy(F.col("jahr").cast("string").alias("jahr")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("union_provenance", O.with_all("""
@@ -150,10 +150,14 @@ def pushed_scan(spark, d):
             .select("o_orderkey", "o_totalprice"))
 
 
-@query("head_sample")
+_HEAD = ["jahr", "id", "mk", "cn", "m_kg", "ft", "fm"]
+
+
+@query("head_sample", O.with_raw(f"""
+SELECT {', '.join(_HEAD)} FROM raw WHERE ms = '{FOCUS}' ORDER BY {', '.join(c + ' NULLS FIRST' for c in _HEAD)} LIMIT 50"""))
 def head_sample(spark, d):
-    """The first n rows of one country (a sampling feature; rows-only check)."""
-    return raw(spark, d).filter(F.col("ms") == FOCUS).limit(50)
+    """The first n rows of one country (a sampling feature), in a stated order."""
+    return raw(spark, d).filter(F.col("ms") == FOCUS).select(*_HEAD).orderBy(*_HEAD).limit(50)
 
 
 @query("mart_filter", O.with_rw(f", p AS ({_POOLED})\nSELECT * FROM p WHERE land = '{FOCUS}' AND fahrzeuge >= 50"))
@@ -193,7 +197,7 @@ SELECT land, jahr, {srnd('avg(median_e_anteil_pct)', 1)} AS e_anteil_gefahren_pc
 FROM by_year WHERE antriebsklasse = 'PHEV' GROUP BY land, jahr"""))
 def uf_panel(spark, d):
     """Measured electric share minus the assumed utility factor."""
-    y = G.gap_by_year(rw(spark, d)).filter(F.col("antriebsklasse") == "PHEV")
+    y = mart_gap_by_year(spark, d).filter(F.col("antriebsklasse") == "PHEV")
     return y.groupBy("land", "jahr").agg(
         rnd(F.avg("median_e_anteil_pct"), 1).alias("e_anteil_gefahren_pct"),
         rnd(F.avg("median_e_anteil_pct") - UF_ASSUMED, 1).alias("abweichung_zum_uf"))
@@ -290,13 +294,13 @@ def version_pick(spark, d):
     return L.pick_versions(names)
 
 
-@query("key_windows")
+@query("key_windows", """
+WITH s AS (SELECT min(o_orderkey) AS lo, greatest(1, ceil((max(o_orderkey) - min(o_orderkey) + 1) * 2000 / count(o_orderkey)))::BIGINT AS w FROM orders),
+k AS (SELECT (o_orderkey - lo) // w AS fenster, count(*) AS zeilen FROM orders, s GROUP BY 1)
+SELECT fenster::BIGINT AS fenster, lo + fenster * w AS von, lo + (fenster + 1) * w AS bis, zeilen FROM k, s""")
 def key_windows(spark, d):
-    """Plan key windows of ~target rows from the key distribution, then
-    count each window with a pushed range predicate (rows-only check)."""
-    o = read_table(spark, d, "orders")
-    wins = L.plan_key_windows(o, "o_orderkey", target_rows=2000)
-    return L.window_counts(o, "o_orderkey", wins)
+    """Windows over the key range with about 2,000 rows each, and the rows that each reads."""
+    return L.key_windows(read_table(spark, d, "orders"), "o_orderkey", rows_per_window=2000)
 
 
 @query("like_prefix", O.with_raw("""

@@ -53,63 +53,91 @@ from ..plans import ml as ML  # noqa: E402
 from ..session import materialize  # noqa: E402
 
 SEED = 1234
+SAMPLE_ROWS = 5_000      # the size of the sample query; nothing else is cut
+FIT_ROWS = 200_000       # rows that a model is fitted on at most
 
+_PHEV = f"antriebsklasse = 'PHEV' AND gap_pct BETWEEN 0 AND 2000 AND {_FULL} AND anteil_elektrisch IS NOT NULL AND grid_kwh IS NOT NULL"
+_REST = f"gap_pct BETWEEN -50 AND 900 AND {_FULL}"
 
-@query("sample_deterministic")
-def sample_deterministic(spark, d):
-    """Repeatable sample of the training rows (rows-only: the hash is Spark's)."""
-    return ML.training_set(rw(spark, d), plugin=False, seed=SEED)
+
+def _drawn(cols: list[str], where: str, strata: str | None, having: str = "") -> str:
+    """Training rows with their rank in the draw (md5 of id and seed, then all columns)."""
+    listed = ", ".join({"jahr": "jahr::VARCHAR AS jahr", "hubraum_cm3": "coalesce(hubraum_cm3, 0) AS hubraum_cm3",
+                        "e_reichweite_km": "coalesce(e_reichweite_km, 0) AS e_reichweite_km"}.get(c, c) for c in cols)
+    order = ", ".join(f"{c} NULLS FIRST" for c in ["vehicle_id", *cols, "gap_pct"])
+    part = f"PARTITION BY {strata} " if strata else ""
+    return f""", t AS (SELECT vehicle_id, {listed}, gap_pct FROM ok WHERE {where}),
+drawn AS (SELECT *, row_number() OVER ({part}ORDER BY md5(coalesce(vehicle_id::VARCHAR, '') || ':{SEED}'), {order}) AS place,
+            count(*) OVER ({part}) AS of_all FROM t),
+cut AS (SELECT *, CASE WHEN place <= round(of_all * 0.7) THEN 'train' ELSE 'test' END AS split FROM drawn)"""
 
 
-_TRAIN_SQL = f"""ok2 AS (SELECT * FROM ok WHERE gap_pct BETWEEN -50 AND 900 AND {_FULL})"""
+@query("sample_deterministic", O.with_rw(_drawn(ML.FEATURES_ALL, _REST, None) + f"""
+SELECT vehicle_id, {', '.join(ML.FEATURES_ALL)}, gap_pct FROM drawn WHERE place <= {SAMPLE_ROWS}"""))
+def sample_deterministic(spark, d):
+    """A repeatable sample of the training rows."""
+    return ML.deterministic_sample(ML.training_set(rw(spark, d)), "vehicle_id", SAMPLE_ROWS, SEED)
 
 
-@query("split_stratified", O.with_rw(f""", {_TRAIN_SQL},
-n AS (SELECT antriebsklasse, count(*) AS n FROM ok2 GROUP BY antriebsklasse)
-SELECT antriebsklasse, 'train' AS split, CAST(round(n * 0.7) AS BIGINT) AS n FROM n
-UNION ALL SELECT antriebsklasse, 'test', CAST(n - round(n * 0.7) AS BIGINT) FROM n"""))
+@query("split_stratified", O.with_rw(_drawn(ML.FEATURES_ALL, _REST, "antriebsklasse") + """
+SELECT antriebsklasse, split, count(*) AS n, round(sum(gap_pct), 4) AS summe_gap FROM cut GROUP BY ALL"""))
 def split_stratified(spark, d):
-    """L4: exact 70/30 split per class; the per-class counts are checked."""
-    t = ML.training_set(rw(spark, d), plugin=False, seed=SEED)
-    s = ML.exact_split(t, "vehicle_id", "antriebsklasse", 0.7, SEED)
-    return s.groupBy("antriebsklasse", "split").agg(F.count(F.lit(1)).alias("n"))
+    """L4: exact 70/30 split per class, all training rows."""
+    s = ML.exact_split(ML.training_set(rw(spark, d)), "vehicle_id", "antriebsklasse", 0.7, SEED)
+    return s.groupBy("antriebsklasse", "split").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("gap_pct"), 4).alias("summe_gap"))
 
 
-@query("split_random", O.with_rw(f""", {_TRAIN_SQL}
-SELECT 'train' AS split, CAST(round(count(*) * 0.7) AS BIGINT) AS n FROM ok2
-UNION ALL SELECT 'test', CAST(count(*) - round(count(*) * 0.7) AS BIGINT) FROM ok2"""))
+@query("split_random", O.with_rw(_drawn(ML.FEATURES_ALL, _REST, None) + """
+SELECT split, count(*) AS n, round(sum(gap_pct), 4) AS summe_gap FROM cut GROUP BY ALL"""))
 def split_random(spark, d):
-    """L4: exact 70/30 split without strata."""
-    t = ML.training_set(rw(spark, d), plugin=False, seed=SEED)
-    return ML.exact_split(t, "vehicle_id", None, 0.7, SEED).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    """L4: exact 70/30 split without strata, all training rows."""
+    s = ML.exact_split(ML.training_set(rw(spark, d)), "vehicle_id", None, 0.7, SEED)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("gap_pct"), 4).alias("summe_gap"))
 
 
-def _model_metrics(spark, d, plugin):
+def _predicted(spark, d, plugin):
     feats = ML.FEATURES_PHEV if plugin else ML.FEATURES_ALL
-    t = ML.fill_unknown(ML.training_set(rw(spark, d), plugin=plugin, seed=SEED))
+    t = ML.fill_unknown(ML.training_set(rw(spark, d), plugin=plugin))
     s = materialize(ML.exact_split(t, "vehicle_id", None if plugin else "antriebsklasse", 0.7, SEED))
-    model = ML.fit_linear(s.filter(F.col("split") == "train"), feats)
-    pred = model.transform(s.filter(F.col("split") == "test"))
-    return ML.score(pred, len(feats))
+    return ML.fit_linear(s.filter(F.col("split") == "train"), feats, fit_rows=FIT_ROWS, seed=SEED)(s)
 
 
 @query("linreg_metrics")
 def linreg_metrics(spark, d):
-    """Model over all classes, scored on the test part (rows-only)."""
-    return _model_metrics(spark, d, plugin=False)
+    """Model over all classes, scored on the whole test part (checked through linreg_identities)."""
+    return ML.score(_predicted(spark, d, False).filter(F.col("split") == "test"))
 
 
 @query("linreg_metrics_plugin")
 def linreg_metrics_plugin(spark, d):
-    """Plug-in hybrids only, two more features (rows-only)."""
-    return _model_metrics(spark, d, plugin=True)
+    """Plug-in hybrids only, two more features."""
+    return ML.score(_predicted(spark, d, True).filter(F.col("split") == "test"))
 
 
 @query("linreg_predictions")
 def linreg_predictions(spark, d):
-    """Predictions on the test part, column 'Prediction (gap_pct)' (rows-only)."""
-    t = ML.fill_unknown(ML.training_set(rw(spark, d), plugin=False, seed=SEED))
-    s = materialize(ML.exact_split(t, "vehicle_id", "antriebsklasse", 0.7, SEED))
-    model = ML.fit_linear(s.filter(F.col("split") == "train"), ML.FEATURES_ALL)
-    return (model.transform(s.filter(F.col("split") == "test"))
+    """Predictions on the test part, column 'Prediction (gap_pct)'."""
+    return (_predicted(spark, d, False).filter(F.col("split") == "test")
             .select("vehicle_id", "antriebsklasse", "gap_pct", F.col("prediction").alias("Prediction (gap_pct)")))
+
+
+_ZERO = ["masse_kg", "leistung_kw", "fc_wltp", "co2_wltp"]
+
+
+@query("linreg_identities", O.with_rw(_drawn(ML.FEATURES_ALL, _REST, "antriebsklasse") + f"""
+SELECT antriebsklasse, split, count(*) AS n, count(*) AS vorhergesagt,
+  split = 'train' OR NULL AS rest_mittel_null, {', '.join(f"split = 'train' OR NULL AS rest_{c}_null" for c in _ZERO)}
+FROM cut GROUP BY ALL"""))
+def linreg_identities(spark, d):
+    """What makes a fit the least-squares fit: on the rows it is fitted on, residuals sum to zero within
+    each class (a dummy each) and stay uncorrelated with each numeric feature over all of them. Holds while the
+    training part is below FIT_ROWS. Every row of both parts has a prediction."""
+    p = materialize(_predicted(spark, d, False).withColumn("r", F.col(ML.LABEL) - F.col("prediction")))
+    train = p.filter(F.col("split") == "train")
+    scale = train.agg(F.stddev_pop("r")).first()[0] or 1.0
+    corr = train.agg(*[F.abs(F.corr("r", c)).alias(c) for c in _ZERO]).first()
+    flag = F.col("split") == "train"
+    return p.groupBy("antriebsklasse", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.count("prediction").alias("vorhergesagt"), F.avg("r").alias("_m")).select(
+        "antriebsklasse", "split", "n", "vorhergesagt", F.when(flag, F.abs("_m") < 1e-4 * scale).alias("rest_mittel_null"),
+        *[F.when(flag, F.lit(corr[c] is None or corr[c] < 1e-5)).alias(f"rest_{c}_null") for c in _ZERO])

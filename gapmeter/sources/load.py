@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.scan import bucket_of
+from ..session import materialize
+
 
 EMPTY_SENTINEL = "\u0000EMPTY\u0000"
 # Fixed value: the reference's table-name pattern for year, status and version.
@@ -23,11 +24,13 @@ VERSION_PATTERN = r"^co2cars_([0-9]{4})([FP])v([0-9]+)$"
 
 # -- readers -------------------------------------------------------------------
 
-def read_text_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """A1: all-text CSV with header; an unquoted empty field is NULL, a quoted
-    "" stays the empty string (a sentinel carries it through the reader)."""
+    "" stays the empty string (a sentinel carries it through the reader).
+    Quotes inside a field are doubled. ``multi_line`` also reads line breaks
+    inside quotes; such files can't be split, so use many files."""
     df = (spark.read.option("header", True).option("sep", sep).option("emptyValue", EMPTY_SENTINEL)
-          .option("inferSchema", False).csv(path))
+          .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).csv(path))
     return df.select(*[F.when(F.col(c) == EMPTY_SENTINEL, F.lit("")).otherwise(F.col(c)).alias(c)
                        for c in df.columns])
 
@@ -43,12 +46,29 @@ def read_by_header(spark: SparkSession, path: str, wanted: list[str] | None = No
     """A5: bind by header names (never by position); fewer than ``min_columns`` is an error.
     With ``wanted`` the columns are selected by name in that order; missing
     ones are added as NULL (A10)."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    if len(df.columns) < min_columns:
-        raise ValueError(f"header of {path} has {len(df.columns)} columns, expected >= {min_columns}")
-    if wanted is None:
-        return df
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in wanted])
+    files = _files(spark, path)
+    out = None
+    for group in files.values():      # one read per distinct header, not per file
+        df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+              .option("inferSchema", False).csv(group))
+        if len(df.columns) < min_columns:
+            raise ValueError(f"header of {group[0]} has {len(df.columns)} columns, expected >= {min_columns}")
+        if wanted is not None:
+            df = df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in wanted])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> files below ``path`` that begin with it (first lines come from a distributed read)."""
+    lines = spark.read.format("csv").option("sep", "\u0001").option("quote", "").option("header", False).schema("line string")
+    first = (lines.load(path).select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+             .withColumn("n", F.monotonically_increasing_id()).where("at = 0")
+             .groupBy("file").agg(F.min_by("line", "n").alias("line")).collect())   # a row per file
+    out: dict[str, list[str]] = {}
+    for r in sorted(first, key=lambda r: r["file"]):
+        out.setdefault(r["line"], []).append(r["file"])
+    return out
 
 
 def missing_columns(df: DataFrame, expected: list[str]) -> list[str]:
@@ -59,10 +79,13 @@ def missing_columns(df: DataFrame, expected: list[str]) -> list[str]:
 def quarantine_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Split rows with the wrong number of fields into a quarantine frame
     (raw line kept), good rows typed as text. Too few and too many fields
-    are both caught by the PERMISSIVE parser's corrupt-record column."""
+    are both caught by the PERMISSIVE parser's corrupt-record column. The
+    header line of each file is no row; commas inside quotes separate nothing."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] +
                           [T.StructField("_corrupt", T.StringType())])
-    df = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+          .option("quote", '"').option("escape", '"').option("enforceSchema", True)
+          .option("columnPruning", False)   # a pruned parse doesn't see how many fields a line has
           .option("columnNameOfCorruptRecord", "_corrupt").option("emptyValue", EMPTY_SENTINEL).csv(path))
     df = df.select(*[F.when(F.col(c) == EMPTY_SENTINEL, F.lit("")).otherwise(F.col(c)).alias(c) for c in columns],
                    "_corrupt")
@@ -71,10 +94,25 @@ def quarantine_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[
     good = df.filter(~F.col("_bad")).select(*columns)
     # the quarantine keeps the raw line and what the parser could read of it
     bad = df.filter(F.col("_bad")).select(F.col("_corrupt").alias("zeile"),
-                                          F.size(F.split("_corrupt", ",")).alias("felder"), *columns)
+                                          count_fields(F.col("_corrupt")).alias("felder"), *columns)
     return good, bad
 
 
+def count_fields(line: Column) -> Column:
+    """Fields of a CSV line: separators outside quotes, plus one."""
+    return F.regexp_count(F.regexp_replace(line, '"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+
+
+def quarantine_report(good: DataFrame, bad: DataFrame, key: str, expected: int) -> DataFrame:
+    """One row: good and bad lines, repeated ids among the good ones, difference to the expected count."""
+    ids = good.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("gut"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("doppelte_ids"))
+    # written first: Spark refuses to parse text for the corrupt line alone
+    counts = materialize(bad).agg(F.count(F.lit(1)).alias("quarantaene"), F.min("felder").cast("long").alias("felder_min"), F.max("felder").cast("long").alias("felder_max"))
+    one = ids.select("*", F.lit(0).alias("_k")).join(counts.select("*", F.lit(0).alias("_k")), "_k").drop("_k")
+    return one.withColumn("differenz", F.col("gut") + F.col("quarantaene") - F.lit(expected))
+
+
 def read_series_json(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per carrier and week, {"series": [[epoch_ms, value], ...]};
     carrier from the file name (``<carrier>_<week>.json``). Null values are
@@ -106,13 +144,7 @@ def write_semicolon_csv(df: DataFrame, path: str) -> None:
 def reload_years(df: DataFrame, path: str, year_col: str = "jahr") -> None:
     """Idempotent reload -- dynamic partition overwrite replaces only the
     years present in ``df``; other years stay untouched."""
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(year_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year_col).parquet(path)
 
 
 def write_mart(df: DataFrame, path: str) -> None:
@@ -136,11 +168,11 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 def optional_input(spark: SparkSession, path: str, what: str) -> DataFrame | None:
     """Read an optional input; a missing one is skipped with a notice."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - path missing or unreadable
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         print(f"notice: optional input '{what}' not found at {path}; dependent step skipped")
         return None
+    return spark.read.parquet(path)
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -175,6 +207,7 @@ def load_audit(raw: DataFrame, expected: DataFrame) -> DataFrame:
 
 def pick_versions(names: DataFrame, name_col: str = "tabelle") -> DataFrame:
     """Per year the final (F) table before a provisional (P) one, then the highest version."""
+    # the source publishes a new version only with corrections, so the highest one is taken
     p = names.select(name_col, *parse_version(name_col)).withColumnRenamed("jahr_name", "jahr") \
         .withColumnRenamed("data_status", "status")
     w = Window.partitionBy("jahr").orderBy(F.when(F.col("status") == "F", 0).otherwise(1), F.col("version").desc())
@@ -182,23 +215,17 @@ def pick_versions(names: DataFrame, name_col: str = "tabelle") -> DataFrame:
             .select("jahr", name_col, "status", "version"))
 
 
-def plan_key_windows(df: DataFrame, key: str, target_rows: int = 50_000, accuracy: int = 10_000,
-                     max_windows: int = 4_096) -> list[float]:
-    """A7 re-aimed: window bounds from the key distribution (approximate
-    quantiles), ~``target_rows`` rows per window but at most ``max_windows``
-    windows (a window is a read task, not a result: larger windows beyond the
-    cap still cover every row). Returns the inner cut points."""
-    stats = df.agg(F.count(F.lit(1)).alias("n")).first()
-    k = min(max_windows, max(1, math.ceil((stats["n"] or 0) / target_rows)))
-    if k == 1:
-        return []
-    probs = [i / k for i in range(1, k)]
-    q = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, accuracy).alias("q")).first()["q"]
-    return sorted(set(float(v) for v in q))
-
-
-def window_counts(df: DataFrame, key: str, cuts: list[float]) -> DataFrame:
-    """Rows per planned window [lo, hi), one scan (bucketised, not one scan per window)."""
-    b = df.select(bucket_of(F.col(key), cuts).alias("fenster"), F.col(key).alias("_k"))
-    return b.groupBy("fenster").agg(F.count(F.lit(1)).alias("zeilen"), F.min("_k").alias("erster_schluessel"),
-                                    F.max("_k").alias("letzter_schluessel"))
+def key_windows(df: DataFrame, key: str, rows_per_window: int = 50_000) -> DataFrame:
+    """A7 re-aimed: equal-width windows [von, bis) over the key range, as many as give
+    ``rows_per_window`` rows on average, with their rows. The window of a row is
+    arithmetic on its key, so neither the number of windows nor the plan has a bound.
+    Empty windows have no row; null keys are in none."""
+    s = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
+    if not s["n"]:
+        return df.select(F.lit(0).cast("long").alias("fenster"), F.lit(0).cast("long").alias("von"), F.lit(0).cast("long").alias("bis"),
+                         F.lit(0).cast("long").alias("zeilen")).limit(0)
+    width = max(1, math.ceil((s["hi"] - s["lo"] + 1) * rows_per_window / s["n"]))
+    w = F.floor((F.col(key) - F.lit(s["lo"])) / F.lit(width)).cast("long")
+    return (df.where(F.col(key).isNotNull()).groupBy(w.alias("fenster")).agg(F.count(F.lit(1)).alias("zeilen"))
+            .select("fenster", (F.lit(s["lo"]).cast("long") + F.col("fenster") * width).alias("von"),
+                    (F.lit(s["lo"]).cast("long") + (F.col("fenster") + 1) * width).alias("bis"), "zeilen"))

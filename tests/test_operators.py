@@ -36,17 +36,15 @@ def test_rank_ties(spark):
     assert sorted(r.rk for r in SC.global_rank(df, "v", "rk", buckets=2).collect()) == [1, 2, 2, 4]
 
 
-def test_count_less_and_dominance_vs_brute_force(spark):
+def test_weighted_less_and_dominated_vs_brute_force(spark):
     random.seed(7)
-    pts = [(round(random.uniform(0, 10), 1), round(random.uniform(0, 10), 1)) for _ in range(300)]
-    qs = [(f"q{i}", round(random.uniform(0, 10), 1), round(random.uniform(0, 10), 1)) for i in range(200)]
-    p = spark.createDataFrame(pts, "x double, y double")
-    q = spark.createDataFrame(qs, "id string, x double, y double")
-    c1 = {r.id: r.c for r in SC.count_less(p, q, "x", ["id"], "c", strict=True, buckets=6).collect()}
-    c2 = {r.id: r.c for r in PR.dominance_count(p, q, "x", "y", ["id"], "c", buckets=5).collect()}
-    for i, qx, qy in qs:
-        assert c1[i] == sum(1 for px, _ in pts if px < qx)
-        assert c2[i] == sum(1 for px, py in pts if px < qx and py > qy)
+    pts = [(round(random.uniform(0, 10), 1), round(random.uniform(0, 10), 1)) for _ in range(300)] + [(5.0, 5.0)] * 400
+    qs = [(round(random.uniform(0, 10), 1), round(random.uniform(0, 10), 1)) for _ in range(200)] + [(5.0, 5.0), (5.1, 4.9)] * 50
+    p = spark.createDataFrame(pts + [(None, 1.0)], "x double, y double")
+    q = spark.createDataFrame(qs + [(1.0, None)], "x double, y double")
+    r = PR._ranked(p, q, "x", "y")
+    assert SC.weighted_less(r, [], "rx", "p", "q", rows_per_bucket=5).first().n == sum(px < qx for px, _ in pts for qx, _ in qs)
+    assert PR.dominated(r).first().n == sum(px < qx and py > qy for px, py in pts for qx, qy in qs)
 
 
 def test_reversal_pairs_vs_brute_force(spark):
@@ -60,23 +58,23 @@ def test_reversal_pairs_vs_brute_force(spark):
     ph = [r for r in rows if r[2] == "PHEV"]
     pairs = [(i, p) for i, p in itertools.product(ice, ph) if i[3] > p[3]]
     better = [(i, p) for i, p in pairs if i[4] < p[4]]
-    got = PR.reversal_pair_counts(rev, buckets=4).first()
+    got = PR.reversal_pair_counts(rev).first()
     assert got.modellpaare == len(pairs) and got.verbrenner_real_besser == len(better)
     top = sorted(better, key=lambda t: (-(t[1][4] - t[0][4]), t[0][0] + " " + t[0][1], t[1][0] + " " + t[1][1]))[:5]
-    lst = PR.reversal_pair_list(rev, k=5, buckets=4).collect()
+    lst = PR.reversal_pair_list(rev, k=5).collect()
     assert [(r.verbrenner, r.phev) for r in lst] == [(i[0] + " " + i[1], p[0] + " " + p[1]) for i, p in top]
-    plan = PR.reversal_pair_list(rev, k=5, buckets=4)._jdf.queryExecution().executedPlan().toString()
+    plan = PR.reversal_pair_list(rev, k=5)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
 
 
 def test_exact_split_sizes(spark):
     rows = [(f"v{i}", "A" if i % 3 else "B") for i in range(1000)]
     df = spark.createDataFrame(rows, "vehicle_id string, antriebsklasse string")
-    s = ML.exact_split(df, "vehicle_id", "antriebsklasse", 0.7, 1234, buckets=8)
+    s = ML.exact_split(df, "vehicle_id", "antriebsklasse", 0.7, 1234)
     got = {(r.antriebsklasse, r.split): r.n for r in s.groupBy("antriebsklasse", "split").agg(F.count("*").alias("n")).collect()}
     for k, n in (("A", 666), ("B", 334)):
         assert got[(k, "train")] == round(0.7 * n) and got[(k, "test")] == n - round(0.7 * n)
-    again = ML.exact_split(df, "vehicle_id", "antriebsklasse", 0.7, 1234, buckets=8)
+    again = ML.exact_split(df, "vehicle_id", "antriebsklasse", 0.7, 1234)
     a = {r.vehicle_id for r in s.filter("split = 'train'").collect()}
     b = {r.vehicle_id for r in again.filter("split = 'train'").collect()}
     assert a == b
@@ -129,9 +127,37 @@ def test_exact_percentiles_scan_equals_percentile(spark):
 
 
 def test_deterministic_sample_equals_topk(spark):
-    rows = [(f"v{i}", i) for i in range(5000)]
+    rows = [(f"v{i}", i) for i in range(5000)] + [("v1", 7), ("v1", 8), (None, 1)]
     df = spark.createDataFrame(rows, "vehicle_id string, x int")
-    a = {r.vehicle_id for r in ML.deterministic_sample(df, "vehicle_id", 777, 1234, prefix_bits=6).collect()}
-    b = {r.vehicle_id for r in df.orderBy(F.xxhash64("vehicle_id", F.lit(1234)), "vehicle_id").limit(777).collect()}
+    a = sorted(map(tuple, ML.deterministic_sample(df, "vehicle_id", 777, 1234).collect()), key=repr)
+    b = sorted(map(tuple, df.orderBy(ML.draw("vehicle_id", 1234), "vehicle_id", "x").limit(777).collect()), key=repr)
     assert a == b and len(a) == 777
-    assert ML.deterministic_sample(df, "vehicle_id", 10_000, 1234).count() == 5000
+    assert ML.deterministic_sample(df, "vehicle_id", 10_000, 1234).count() == 5003
+
+
+def test_null_keys_stay_in_pairs_and_percentiles(spark):
+    from gapmeter.operators.quantiles import exact_percentiles
+    rev = spark.createDataFrame([("A", "a", "ICE_BENZIN", 6.0, 5.0), (None, "b", "ICE_DIESEL", 6.0, 5.0), ("P", "p", "PHEV", 2.0, 7.0)],
+                                "marke string, modell string, antriebsklasse string, wltp_l double, real_l double")
+    assert tuple(PR.reversal_pair_counts(rev).first())[:2] == (2, 2)
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "g string, x double")
+    assert {r.g: r.p0 for r in exact_percentiles(df, ["g"], "x", [0.5]).collect()} == {"a": 2.0, None: 6.0}
+
+
+def test_pair_counts_need_no_python_worker(spark):
+    rev = spark.createDataFrame([("A", "a", "ICE_BENZIN", 6.0, 5.0), ("P", "p", "PHEV", 2.0, 7.0)],
+                                "marke string, modell string, antriebsklasse string, wltp_l double, real_l double")
+    for df in (PR.reversal_pair_counts(rev), PR.reversal_pair_list(rev, 5)):
+        assert "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fit_limit_bounds_the_fit_alone(spark):
+    random.seed(2)
+    rows = [(f"v{i}", random.choice("AB"), float(random.randint(0, 99)), 0.0) for i in range(600)]
+    rows = [(a, b, x, 3 * x + (7 if b == "B" else 1)) for a, b, x, _ in rows]
+    df = ML.exact_split(spark.createDataFrame(rows, "vehicle_id string, land string, x double, gap_pct double"), "vehicle_id", None)
+    predict = ML.fit_linear(df.filter("split = 'train'"), ["land", "x"], fit_rows=40)
+    out = predict(df).collect()
+    assert len(out) == 600 and all(abs(r.prediction - r.gap_pct) < 1e-6 for r in out)
+    s = ML.score(predict(df)).first()
+    assert s.n == 600 and s.r2 > 0.999999 and s.r2 == s.r2_adj

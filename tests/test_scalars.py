@@ -90,6 +90,23 @@ def test_sql_functions_match_columns(spark):
     assert k == "ICE_DIESEL"
 
 
+def test_sql_functions_equal_column_rules(spark):
+    from gapmeter.functions.sqlfuncs import register_sql_functions
+    register_sql_functions(spark)
+    texts = [None, "", "  ", " a ", "a\nb", "1,5", "1.5e3", "-2", "1.2.3", "08", "0829", "082", "e5 2937", "3308 x 08", "Ä-b 1", "2025-02-30", " 2025-02-28T1", "0829\n37"]
+    t = spark.createDataFrame([(x,) for x in texts], "x string")
+    t.createOrReplaceTempView("t_all")
+    a = spark.sql("SELECT zu_zahl(x), oeko_codes(x), zu_datum(x), norm_name(x), leer_zu_null(x) FROM t_all").collect()
+    b = t.select(S.parse_number("x"), A.eco_codes("x"), S.parse_date("x"), S.normalize_name("x"), S.blank_to_null("x")).collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+    fuels = [None, "", " Hydrogen", "diesel", "PETROL ", "lpg"]
+    modes = [None, "", "e", "P", " h", "B", "F", "M", "x"]
+    c = spark.createDataFrame([(x, y) for x in fuels for y in modes], "ft string, fm string")
+    c.createOrReplaceTempView("t_cls")
+    a = spark.sql("SELECT antriebsklasse(ft, fm) FROM t_cls").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in c.select(S.drive_class("ft", "fm")).collect()]
+
+
 @pytest.mark.parametrize("text,n", [("a  b\t\nc", 70)])
 def test_squeeze(spark, text, n):
     assert one_col(spark, [text], lambda c: S.squeeze_text(c, n)) == ["a b c"]

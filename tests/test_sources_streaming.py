@@ -28,11 +28,74 @@ def test_null_word_csv(spark, tmp_path):
 
 
 def test_quarantine(spark, tmp_path):
-    p = write(tmp_path / "q.csv", '1,2,3\n4,"5,5",6\n7,8\n9,10,11,12\n13,,""\n')
+    p = write(tmp_path / "q.csv", 'a,b,c\n1,2,3\n4,"5,5",6\n7,8\n9,10,"11,""x""",12\n13,,""\n1,0,0\n')
     good, bad = L.quarantine_csv(spark, p, ["a", "b", "c"])
     g = sorted(tuple(r) for r in good.collect())
-    assert g == [("1", "2", "3"), ("13", None, ""), ("4", "5,5", "6")]
-    assert sorted(r.zeile for r in bad.collect()) == ["7,8", "9,10,11,12"]
+    assert g == [("1", "0", "0"), ("1", "2", "3"), ("13", None, ""), ("4", "5,5", "6")]
+    assert sorted((r.zeile, r.felder) for r in bad.collect()) == [("7,8", 2), ('9,10,"11,""x""",12', 4)]
+    r = L.quarantine_report(good, bad, "a", 7).first()
+    assert (r.gut, r.doppelte_ids, r.quarantaene, r.felder_min, r.felder_max, r.differenz) == (4, 1, 2, 2, 4, -1)
+
+
+def test_text_csv_quotes_and_line_breaks(spark, tmp_path):
+    p = write(tmp_path / "d.csv", 'id,name,x\n1,"a ""b"", c",2\n')
+    assert tuple(L.read_text_csv(spark, p).first()) == ("1", 'a "b", c', "2")
+    p = write(tmp_path / "m.csv", 'id,name\n1,"two\nlines"\n2,b\n')
+    assert sorted(map(tuple, L.read_text_csv(spark, p, multi_line=True).collect())) == [("1", "two\nlines"), ("2", "b")]
+
+
+def test_folder_of_files_with_headers_of_their_own(spark, tmp_path):
+    d = tmp_path / "f"
+    d.mkdir()
+    write(d / "f1.csv", "zeitstempel,wind,hydro\n1,w1,h1\n")
+    write(d / "f2.csv", "hydro,zeitstempel,wind\nh2,2,w2\n")
+    write(d / "f3.csv", "zeitstempel,wind,hydro\n3,w3,h3\n")
+    got = L.read_by_header(spark, str(d), ["zeitstempel", "wind", "hydro", "pump"])
+    assert sorted(map(tuple, got.collect())) == [("1", "w1", "h1", None), ("2", "w2", "h2", None), ("3", "w3", "h3", None)]
+
+
+def test_year_overwrite_in_a_static_session(spark, tmp_path):
+    from gapmeter.plans import star as ST
+    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        for write_years, path in ((ST.write_fact, str(tmp_path / "a")), (L.reload_years, str(tmp_path / "b"))):
+            df = spark.createDataFrame([(y, i) for y in (2021, 2022, 2023) for i in range(4)], "jahr int, src_id int")
+            write_years(df, path)
+            write_years(df.filter("jahr = 2022"), path)
+            assert spark.read.parquet(path).count() == 12
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+
+
+def test_layers_follow_their_input(spark, tmp_path):
+    from gapmeter.plans import layers as LY
+    d = str(tmp_path / "in")
+    spark.range(10).write.parquet(f"{d}/t.parquet")
+    build = lambda: spark.read.parquet(f"{d}/t.parquet").agg(F.count("*").alias("n"))
+    assert LY.layer(spark, d, "n", build).first().n == 10
+    first = LY._WRITTEN[(spark.sparkContext.applicationId, d, "n")][1]
+    assert LY.layer(spark, d, "n", lambda: 1 / 0).first().n == 10
+    spark.range(3).write.mode("append").parquet(f"{d}/t.parquet")
+    assert LY.layer(spark, d, "n", build).first().n == 13
+    assert not os.path.exists(first.removeprefix("file://"))
+
+
+def test_optional_input_reports_only_a_missing_path(spark, tmp_path):
+    assert L.optional_input(spark, str(tmp_path / "none"), "x") is None
+    write(tmp_path / "broken.parquet", "not parquet")
+    try:
+        L.optional_input(spark, str(tmp_path / "broken.parquet"), "x")
+        raise AssertionError("a broken file isn't a missing one")
+    except Exception as e:  # noqa: BLE001
+        assert not isinstance(e, AssertionError)
+
+
+def test_key_windows_cover_every_key(spark):
+    df = spark.createDataFrame([(k,) for k in [*range(0, 1000), *range(10**6, 10**6 + 500), None]], "k long")
+    w = L.key_windows(df, "k", rows_per_window=100).collect()
+    assert sum(r.zeilen for r in w) == 1500 and all(r.von < r.bis for r in w)
+    assert L.key_windows(df.limit(0), "k").collect() == []
 
 
 def test_header_order_binding(spark, tmp_path):
