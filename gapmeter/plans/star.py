@@ -93,6 +93,16 @@ def key_checks(dims: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
                           (F.col("zeilen") == F.col("sk_distinct")))
 
 
+def orphans(f: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """Per dimension the fact rows whose key (a null one too) it lacks."""
+    out = None
+    for name, dim in dims.items():
+        sk = f"{name}_sk"
+        one = f.select(sk).join(dim.select(sk), sk, "left_anti").agg(F.lit(name).alias("fk"), F.count(F.lit(1)).alias("verwaist"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def write_fact(f: DataFrame, path: str, files_per_year: int | None = None) -> None:
     """Year-partitioned fact; dynamic overwrite replaces only the years
     present in ``f`` (idempotent reload of one year, A6), also in a session

@@ -9,6 +9,8 @@ from ..functions import scalars as S
 from ..operators import dedup as DD
 from ..operators import quality as Q
 from ..oracle import adapter as O
+from ..sources import load as L
+from ..streaming.incremental import scratch
 from ..oracle.adapter import rnd
 from ..plans.core import car_rows
 
@@ -216,10 +218,11 @@ def critical_findings(spark, d):
 
 
 @query("mostly_missing", _reg_sql(_H2, "SELECT objekt, spalte, ergebnis AS prozent_fehlend FROM h2 "
-                                       "WHERE pruefung LIKE 'Anteil ohne Wert%' AND ergebnis > 10"))
+                                       "WHERE pruefung LIKE 'Anteil ohne Wert%' AND ergebnis > 90"))
 def mostly_missing(spark, d):
-    f = Q.missing_share(raw(spark, d), MISSING_COLS)
-    return (f.filter(F.col("pruefung").startswith("Anteil ohne Wert") & (F.col("ergebnis") > 10))    # B28
+    path = scratch(spark, "findings")
+    L.append_findings(Q.missing_share(raw(spark, d), MISSING_COLS), path, truncate=True)
+    return (spark.read.parquet(path).filter(F.col("pruefung").startswith("Anteil ohne Wert") & (F.col("ergebnis") > 90))    # B28
             .select("objekt", "spalte", F.col("ergebnis").alias("prozent_fehlend")))
 
 

@@ -113,15 +113,17 @@ def quarantine_report(good: DataFrame, bad: DataFrame, key: str, expected: int)
     return one.withColumn("differenz", F.col("gut") + F.col("quarantaene") - F.lit(expected))
 
 
-def read_series_json(spark: SparkSession, path: str) -> DataFrame:
+def read_series_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One JSON document per carrier and week, {"series": [[epoch_ms, value], ...]};
-    carrier from the file name (``<carrier>_<week>.json``). Null values are
+    carrier from the file name (``<carrier>_<week>.json``) or a folder ``traeger=<carrier>``.
+    ``multi_line``: a document per file, else per line. Null values are
     dropped; for a repeated instant the later file/position wins; result is
     long form (instant, carrier, value)."""
     schema = "series array<array<double>>"
-    raw = (spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = (spark.read.schema(schema).option("multiLine", multi_line).json(path)
            .withColumn("_file", F.input_file_name()))
-    pts = raw.select(F.regexp_extract("_file", r"([^/]+)_[^/_]+\.json$", 1).alias("traeger"), "_file",
+    carrier = F.col("traeger") if "traeger" in raw.columns else F.regexp_extract("_file", r"([^/]+)_[^/_]+\.json$", 1)
+    pts = raw.select(carrier.alias("traeger"), "_file",
                      F.posexplode("series").alias("_pos", "p"))
     pts = pts.select("traeger", "_file", "_pos", F.col("p")[0].cast("long").alias("epoch_ms"),
                      F.col("p")[1].alias("wert")).filter(F.col("wert").isNotNull())

@@ -173,7 +173,7 @@ def test_stream_dedup(spark, tmp_path):
     spark.createDataFrame(rows, "jahr int, id int").write.parquet(src)
     s = INC.file_stream(spark, src, spark.read.parquet(src).schema)
     sink, ck = str(tmp_path / "dsink"), str(tmp_path / "dck")
-    INC.run_available_now(INC.dedup_stream(s, ["jahr", "id"]), sink, ck)
+    INC.run_batches(s, sink, ck, INC.new_keys(["jahr", "id"]))
     assert spark.read.parquet(sink).count() == 20
 
 
@@ -243,3 +243,34 @@ def test_stream_dedup_within_watermark(spark, tmp_path):
     sink, ck = str(tmp_path / "wsink"), str(tmp_path / "wck")
     INC.run_available_now(INC.dedup_stream(s, ["id"], event_time="ts", delay="1 day"), sink, ck)
     assert spark.read.parquet(sink).count() == 10
+
+
+def test_orphans_are_reported(spark):
+    from gapmeter.plans import star as ST
+    f = spark.createDataFrame([(1, 1), (2, 9), (3, None)], "id int, model_sk long")
+    dim = spark.createDataFrame([(1,), (2,)], "model_sk long")
+    assert [tuple(r) for r in ST.orphans(f, {"model": dim}).collect()] == [("model", 2)]
+
+
+def test_hourly_partials_in_any_file_order(spark, tmp_path):
+    src = str(tmp_path / "ev")
+    for h in (5, 1, 9, 2, 1):      # one file each, out of time order
+        spark.sql(f"SELECT timestamp'2024-01-01 0{h}:10:00' AS ts, 'k' AS k, {h}.0 AS v").selectExpr("ts", "k", "cast(v as double) v") \
+            .coalesce(1).write.mode("append").parquet(src)
+    s = INC.file_stream(spark, src, spark.read.parquet(src).schema, max_files=1)
+    sink, ck = str(tmp_path / "s"), str(tmp_path / "c")
+    INC.run_batches(s, sink, ck, INC.hourly_partials("ts", "k", "v"))
+    got = spark.read.parquet(sink).groupBy("fenster_start").agg(F.sum("summe").alias("s"), F.sum("n").alias("n")).collect()
+    assert sorted((r.fenster_start.hour, r.s, r.n) for r in got) == [(1, 2.0, 2), (2, 2.0, 1), (5, 5.0, 1), (9, 9.0, 1)]
+
+
+def test_new_keys_across_batches_and_reruns(spark, tmp_path):
+    src, sink, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for part in ([(1, "a"), (1, "a"), (2, None)], [(1, "a"), (2, None), (3, "c")]):
+        spark.createDataFrame(part, "jahr int, id string").coalesce(1).write.mode("append").parquet(src)
+    s = lambda: INC.file_stream(spark, src, spark.read.parquet(src).schema, max_files=1)
+    INC.run_batches(s(), sink, ck, INC.new_keys(["jahr", "id"]))
+    spark.createDataFrame([(3, "c"), (4, "d")], "jahr int, id string").coalesce(1).write.mode("append").parquet(src)
+    INC.run_batches(s(), sink, ck, INC.new_keys(["jahr", "id"]))
+    got = sorted(((r.jahr, r.id) for r in spark.read.parquet(sink).collect()), key=repr)
+    assert got == [(1, "a"), (2, None), (3, "c"), (4, "d")]
