@@ -112,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int =
                     partial(acc, y, np.frombuffer(p, "<i4"), np.frombuffer(x, "<f4"))
             yield pa.RecordBatch.from_arrays([pa.array([acc.astype("<f4").tobytes()], pa.binary())], ["acc"])
         out = np.zeros(size)
-        for r in sample.mapInArrow(run, "acc binary").toLocalIterator():
+        for r in sample.mapInArrow(run, "acc binary").collect():  # 8 rows of fixed size
             out += np.frombuffer(r[0], "<f4")
         return out
 
