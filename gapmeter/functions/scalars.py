@@ -212,7 +212,7 @@ def message(fmt: str, *cols: ColumnOrName) -> Column:
 
 def strict_number_shape(x: ColumnOrName) -> Column:
     """Raw numeric shape without trimming, comma or dot decimal."""
-    return _c(x).rlike(r"\A-?[0-9]+([.,][0-9]+)?\z")
+    return _c(x).rlike(r"\A-?[0-9]+([.,][0-9]+)?([eE][-+]?[0-9]+)?\z")
 
 
 def year_prefix_mismatch(date_text: ColumnOrName, year: ColumnOrName) -> Column:

@@ -45,7 +45,7 @@ def row_counts_vs_expected(actual: DataFrame, expected: DataFrame, tolerance: fl
     rating = (F.when(diff == 0, "ok").when(F.abs(diff) < F.col("soll") * tolerance, "auffaellig")
               .otherwise("kritisch"))
     return finding(j, "raw", F.concat(F.lit("co2cars_"), F.col("jahr")), F.col("ms"),
-                   "Zeilenzahl gegen Quellzaehlung", diff, "Zeilen Differenz", 0, rating,
+                   "Geladene gegen gezaehlte Zeilen", diff, "Zeilen Differenz", 0, rating,
                    F.format_string("Soll %d, Ist %d", F.col("soll"), F.col("ist")))
 
 
@@ -57,7 +57,7 @@ def missing_share(raw: DataFrame, cols: list[str]) -> DataFrame:
     pct = rnd(F.col("fehlend") * 100.0 / F.col("_n"), 2)
     rating = F.when(F.col("fehlend") == 0, "ok").when(F.col("fehlend") < F.col("_n"), "auffaellig").otherwise("kritisch")
     return finding(long, "raw", F.concat(F.lit("co2cars_"), F.col("jahr")), F.col("spalte"),
-                   "Anteil ohne Wert (NULL oder Leerstring)", pct, "%", None, rating,
+                   "Anteil unbelegter Felder", pct, "%", None, rating,
                    F.format_string("%d von %d Saetzen ohne Wert", F.col("fehlend"), F.col("_n")))
 
 
@@ -73,30 +73,41 @@ def unconvertible(raw: DataFrame, cols: list[str]) -> DataFrame:
     st = F.stack(F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), F.col(f"{c}__n"), F.col(f"{c}__ex"))])
     long = wide.select("jahr", st.alias("spalte", "anzahl", "beispiel"))
     return finding(long, "raw", F.concat(F.lit("co2cars_"), F.col("jahr")), F.col("spalte"),
-                   "nicht in numeric wandelbar", F.col("anzahl"), "Saetze", 0,
+                   "Text ist keine Zahl", F.col("anzahl"), "Saetze", 0,
                    F.when(F.col("anzahl") == 0, "ok").otherwise("kritisch"),
                    F.concat(F.lit("Beispielwert: "), F.coalesce(F.col("beispiel"), F.lit("-"))))
 
 
+#: Plausibility rules: column, title, (kind, arguments). Thresholds are fixed values.
+RANGE_RULES = [
+    ("m_kg", "Masse ausserhalb 500 bis 3500 kg", ("outside", 500, 3500)),
+    ("ewltp", "WLTP-Ausstoss groesser als 500 g/km", ("above", 500)),
+    ("ewltp", "Verbrenner ohne WLTP-Ausstoss", ("zero_unless_fuel", "electric", "hydrogen")),
+    ("ewltp", "Elektroantrieb mit WLTP-Ausstoss", ("above_zero_for_fuel", "electric")),
+    ("ep_kw", "Leistung ausserhalb 10 bis 800 kW", ("outside", 10, 800)),
+    ("dr", "Zulassung nicht im Berichtsjahr", ("other_year",)),
+    ("r_count", "Satz zaehlt nicht als ein Fahrzeug", ("filled_but_not", "1")),
+]
+
+
+def _breaks(column: str, kind: str, *args) -> Column:
+    text, ft = F.col(column), F.col("ft")
+    number = F.when(text.rlike(r"\A[0-9.]+\z"), text.try_cast("double"))      # '1.2.3' counts as no value (T13)
+    return {
+        "outside": lambda lo, hi: (number < lo) | (number > hi),
+        "above": lambda x: number > x,
+        "zero_unless_fuel": lambda *fuels: (number == 0) & ~ft.isin(*fuels),
+        "above_zero_for_fuel": lambda fuel: (number > 0) & (ft == fuel),
+        "other_year": lambda: text.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}") & S.year_prefix_mismatch(column, "jahr"),
+        "filled_but_not": lambda x: (text != "") & (text != x),
+    }[kind](*args)
+
+
 def range_rules(raw: DataFrame) -> DataFrame:
-    """H4: range rules in ONE scan (7 conditional counts in the reference; the
-    record-count rule needs a column the test data lacks). Shape check
-    ``^[0-9.]+$`` then ``try_cast`` -- '1.2.3' counts as no value (T13)."""
-    def val(c):
-        return F.when(F.col(c).rlike(r"\A[0-9.]+\z"), F.col(c).try_cast("double"))
-    ft = F.col("ft")
-    rules = [
-        ("m_kg", "Masse < 500 kg oder > 3500 kg", (val("m_kg") < 500) | (val("m_kg") > 3500)),
-        ("ewltp", "CO2 WLTP > 500 g/km", val("ewltp") > 500),
-        ("ewltp", "CO2 WLTP = 0 bei Verbrenner", (val("ewltp") == 0) & ~ft.isin("electric", "hydrogen")),
-        ("ewltp", "CO2 WLTP > 0 bei electric", (val("ewltp") > 0) & (ft == "electric")),
-        ("ep_kw", "Leistung < 10 kW oder > 800 kW", (val("ep_kw") < 10) | (val("ep_kw") > 800)),
-        ("dr", "Zulassungsdatum ausserhalb des Berichtsjahres",
-         F.col("dr").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}") & S.year_prefix_mismatch("dr", "jahr")),
-    ]
-    wide = raw.agg(*[F.count(F.when(cond, 1)).alias(f"r{i}") for i, (_, _, cond) in enumerate(rules)])
-    st = F.stack(F.lit(len(rules)), *[x for i, (c, p, _) in enumerate(rules)
-                                      for x in (F.lit(c), F.lit(p), F.col(f"r{i}"))])
+    """H4: all range rules in one scan."""
+    wide = raw.agg(*[F.count(F.when(_breaks(c, *rule), 1)).alias(f"r{i}") for i, (c, _, rule) in enumerate(RANGE_RULES)])
+    st = F.stack(F.lit(len(RANGE_RULES)), *[x for i, (c, p, _) in enumerate(RANGE_RULES)
+                                            for x in (F.lit(c), F.lit(p), F.col(f"r{i}"))])
     long = wide.select(st.alias("spalte", "pruefung", "anzahl"))
     return finding(long, "raw", "co2cars_alle", F.col("spalte"), F.col("pruefung"), F.col("anzahl"), "Saetze", 0,
                    F.when(F.col("anzahl") == 0, "ok").otherwise("auffaellig"), None)
@@ -109,7 +120,7 @@ def value_lists(raw: DataFrame, cols: list[str]) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(c)), ", ").alias(f"{c}__v"))])
     st = F.stack(F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), F.col(f"{c}__n"), F.col(f"{c}__v"))])
     long = wide.select(st.alias("spalte", "n", "werte"))
-    return finding(long, "raw", "co2cars_alle", F.col("spalte"), "Anzahl unterschiedlicher Auspraegungen",
+    return finding(long, "raw", "co2cars_alle", F.col("spalte"), "Verschiedene Werte",
                    F.col("n"), "Werte", None, "ok", F.col("werte"))
 
 
@@ -118,7 +129,7 @@ def duplicate_business_rows(raw: DataFrame, cols: list[str]) -> DataFrame:
     g = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     c = g.agg(F.count(F.lit(1)).alias("gruppen"))
     return finding(c, "raw", "co2cars_alle", None,
-                   "Fachlich identische Saetze (ohne ID) mit mehr als einem Vorkommen", F.col("gruppen"),
+                   "Gruppen gleicher Saetze unter mehreren IDs", F.col("gruppen"),
                    "Gruppen", None, F.when(F.col("gruppen") == 0, "ok").otherwise("auffaellig"), None)
 
 
@@ -126,7 +137,7 @@ def excluded_classes(raw: DataFrame) -> DataFrame:
     """H8: rows dropped by the class filter, per class, '(leer)' for empty."""
     cls = S.vehicle_class("ct")
     g = raw.filter(~cls.isin(S.CAR_CLASSES)).groupBy(cls.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return finding(g, "core", "registration", "fahrzeugklasse", "Beim Uebergang raw -> core ausgeschlossene Zeilen",
+    return finding(g, "core", "registration", "fahrzeugklasse", "Keine Pkw, nicht uebernommen",
                    F.col("n"), "Zeilen", None, "auffaellig",
                    F.concat(F.lit("Fahrzeugklasse "), S.blank_label(F.col("k")), F.lit(" gehoert nicht zu M1/M1G")))
 
@@ -145,7 +156,7 @@ def removed_duplicates(cars: DataFrame, core: DataFrame) -> DataFrame:
     j = counts_row(a=cars, b=core)
     d = F.col("a") - F.col("b")
     return finding(j, "core", "registration", "src_id",
-                   "Beim Uebergang raw -> core entfernte Dubletten (gleiche Satz-ID)", d, "Zeilen", 0,
+                   "Mehrfach gelieferte Satz-ID, nicht uebernommen", d, "Zeilen", 0,
                    F.when(d == 0, "ok").otherwise("auffaellig"), None)
 
 
@@ -167,13 +178,13 @@ def extreme_values(rw: DataFrame) -> DataFrame:
         F.max(F.when(F.col("fc_real") > 100, F.col("fc_real"))).alias("m2"),
         F.count(F.when(F.col("gap_pct") > 5000, 1)).alias("n3"))
     st = F.stack(F.lit(3),
-                 F.lit("dist_total_km"), F.lit("Lebensdauerstrecke ueber 1 Mio. km"), F.col("n1"),
+                 F.lit("dist_total_km"), F.lit("Gefahrene Strecke groesser als 1 Mio. km"), F.col("n1"),
                  F.when(F.col("m1").isNotNull(),
                         F.format_string("Groesster Wert %s km", rnd("m1", 0).cast("bigint").cast("string"))),
-                 F.lit("fc_real"), F.lit("Realverbrauch ueber 100 l/100 km"), F.col("n2"),
+                 F.lit("fc_real"), F.lit("Verbrauch groesser als 100 l je 100 km"), F.col("n2"),
                  F.when(F.col("m2").isNotNull(),
                         F.format_string("Groesster Wert %s l/100 km", rnd("m2", 0).cast("bigint").cast("string"))),
-                 F.lit("gap_pct"), F.lit("Prozentuale Luecke ueber 5000 Prozent"), F.col("n3"), F.lit(None).cast("string"))
+                 F.lit("gap_pct"), F.lit("Luecke groesser als 5000 %"), F.col("n3"), F.lit(None).cast("string"))
     long = one.select(st.alias("spalte", "pruefung", "n", "kommentar"))
     return finding(long, "core", "realworld", F.col("spalte"), F.col("pruefung"), F.col("n"), "Zeilen", None,
                    F.when(F.col("n") == 0, "ok").otherwise("auffaellig"), F.col("kommentar"))
@@ -194,10 +205,10 @@ def filter_effects(rw: DataFrame, raw_ft: DataFrame) -> DataFrame:
         F.countDistinct(F.when(c, F.col("ft"))).alias("core_ft"),
         F.countDistinct(F.when(~c, F.col("ft"))).alias("raw_ft"))
     st = F.stack(F.lit(4),
-                 F.lit("used_in_calc"), F.lit("Von der EEA als nicht verwendbar markiert"), F.col("n1"), F.lit("Zeilen"),
-                 F.lit("dist_total_km"), F.lit("Laufleistung unter 1000 km"), F.col("n2"), F.lit("Zeilen"),
-                 F.lit("fc_wltp"), F.lit("Kein WLTP-Referenzwert vorhanden"), F.col("n3"), F.lit("Zeilen"),
-                 F.lit("ft"), F.lit("Uneinheitliche Schreibweise in der Quelle vor lower()"),
+                 F.lit("used_in_calc"), F.lit("Quelle schliesst den Satz aus"), F.col("n1"), F.lit("Zeilen"),
+                 F.lit("dist_total_km"), F.lit("Strecke zu kurz (unter 1000 km)"), F.col("n2"), F.lit("Zeilen"),
+                 F.lit("fc_wltp"), F.lit("Laborwert fehlt"), F.col("n3"), F.lit("Zeilen"),
+                 F.lit("ft"), F.lit("Schreibweisen, die sich nur in der Gross-/Kleinschreibung unterscheiden"),
                  F.col("raw_ft") - F.col("core_ft"), F.lit("Auspraegungen"))
     long = j.select(st.alias("spalte", "pruefung", "n", "einheit"))
     return finding(long, "core", "realworld", F.col("spalte"), F.col("pruefung"), F.col("n"), F.col("einheit"),

@@ -119,12 +119,20 @@ raw AS (
     CAST(yr AS VARCHAR) AS jahr,
     CASE WHEN yr >= 2000 THEN 'P' ELSE 'F' END AS status,
     concat('co2cars_', CAST(yr AS VARCHAR), CASE WHEN yr >= 2000 THEN 'P' ELSE 'F' END, 'v',
-           CAST(yr % 7 + 10 AS VARCHAR)) AS version_file
+           CAST(yr % 7 + 10 AS VARCHAR)) AS version_file,
+    CASE WHEN k % 8 = 3 THEN '' ELSE concat('e', cast(l_partkey % 50 AS VARCHAR), '*', cast(l_suppkey % 9 AS VARCHAR)) END AS tan,
+    concat('T', cast(l_partkey % 30 AS VARCHAR)) AS typ,
+    cast(l_suppkey % 6 AS VARCHAR) AS va,
+    CASE WHEN k % 10 <> 7 THEN cast(l_linenumber AS VARCHAR) END AS ve,
+    CASE WHEN k % 21 = 0 THEN 'unbek.' WHEN fm0 = 'E' THEN '0' ELSE concat(cast(50 + p_size * 3 AS VARCHAR), '.', cast(p_partkey % 10 AS VARCHAR)) END AS enedc,
+    CASE WHEN k % 33 = 0 THEN '' ELSE concat(cast(2500 + p_size * 10 AS VARCHAR), CASE WHEN k % 2 = 0 THEN ',5' ELSE '' END) END AS w_mm,
+    CASE WHEN fm0 = 'E' THEN NULL ELSE cast(p_size * 50 + 900 AS VARCHAR) END AS ec_cm3,
+    CASE WHEN k % 101 = 0 THEN '2' WHEN k % 103 <> 0 THEN '1' END AS r_count
   FROM base2
 )"""
 
 _RAW_COLS = ("ms mp mh man mk cn ct m_kg mt ewltp ft fm ep_kw z_whkm fc it_code erwltp dr "
-             "status version_file").split()
+             "status version_file tan typ va ve enedc w_mm ec_cm3 r_count").split()
 _ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in _RAW_COLS)
 
 REG = f"""
@@ -145,7 +153,9 @@ reg AS (
     {num('ep_kw')} AS leistung_kw, {num('z_whkm')} AS strom_wh_km, {num('fc')} AS verbrauch_l,
     {blank('it_code')} AS oeko_code_roh, {eco('it_code')} AS oeko_codes,
     {num('erwltp')} AS oeko_gutschrift, {date('dr')} AS zulassung_datum,
-    {letter('status')} AS data_status, {blank('version_file')} AS source_version
+    {letter('status')} AS data_status, {blank('version_file')} AS source_version,
+    {blank('tan')} AS genehmigung, {blank('typ')} AS typ, {blank('va')} AS variante, {blank('ve')} AS version,
+    {num('enedc')} AS co2_nefz, CAST({rnd(num('w_mm'), 0)} AS INTEGER) AS radstand_mm, CAST({rnd(num('ec_cm3'), 0)} AS INTEGER) AS hubraum_cm3
   FROM dedup
 )"""
 

@@ -62,6 +62,13 @@ def type_cars(r: DataFrame, whitelist: list[str] | None = None) -> DataFrame:
         S.parse_date("dr").alias("zulassung_datum"),
         S.fuel_mode_letter("status").alias("data_status"),
         S.blank_to_null("version_file").alias("source_version"),
+        S.blank_to_null("tan").alias("genehmigung"),
+        S.blank_to_null("typ").alias("typ"),
+        S.blank_to_null("va").alias("variante"),
+        S.blank_to_null("ve").alias("version"),
+        S.parse_number("enedc").alias("co2_nefz"),
+        S.rnd(S.parse_number("w_mm"), 0).cast("int").alias("radstand_mm"),      # whole numbers: rounded, not cut
+        S.rnd(S.parse_number("ec_cm3"), 0).cast("int").alias("hubraum_cm3"),
     )
 
 

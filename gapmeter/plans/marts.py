@@ -115,6 +115,7 @@ def mass_histogram(raw: DataFrame, width: int = 50) -> DataFrame:
                         S.fold_case("ft").alias("ft"))
             .agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(m), 4).alias("avg_mass"),
                  rnd(F.avg(S.parse_number("ewltp")), 4).alias("avg_ewltp"),
+                 rnd(F.avg(S.parse_number("enedc")), 4).alias("avg_enedc"),
                  rnd(F.avg(S.parse_number("ep_kw")), 4).alias("avg_kw")))
 
 

@@ -103,7 +103,8 @@ def fit_linear(train: DataFrame, features: list[str], label: str = LABEL, fit_ro
         return assembler.transform(df.withColumns({f"_d{i}": e for i, e in enumerate(dummies.values())})) \
             .drop(*[f"_d{i}" for i in range(len(dummies))])
 
-    model = LinearRegression(featuresCol="features", labelCol=label, fitIntercept=True, predictionCol="prediction", solver="normal").fit(prepared(rows))
+    model = LinearRegression(featuresCol="features", labelCol=label, fitIntercept=True, predictionCol="prediction", solver="normal",
+                             maxIter=300, tol=1e-11).fit(prepared(rows))
     return lambda df: model.transform(prepared(df)).drop("features")
 
 

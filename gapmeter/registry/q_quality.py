@@ -14,10 +14,10 @@ from ..streaming.incremental import scratch
 from ..oracle.adapter import rnd
 from ..plans.core import car_rows
 
-MISSING_COLS = "mp mk cn m_kg mt ewltp ft fm ep_kw z_whkm fc it_code erwltp dr".split()
-NUMERIC_COLS = "m_kg mt ewltp ep_kw z_whkm erwltp fc".split()
+MISSING_COLS = "mp mk cn tan m_kg mt ewltp enedc ft fm ec_cm3 ep_kw z_whkm it_code erwltp dr fc w_mm".split()
+NUMERIC_COLS = "m_kg mt ewltp enedc ec_cm3 ep_kw z_whkm erwltp fc r_count".split()
 VALUE_COLS = "ft fm ct status version_file".split()
-BUSINESS_COLS = "ms mk cn dr ewltp m_kg".split()
+BUSINESS_COLS = "ms tan typ va ve dr ewltp m_kg".split()
 TOLERANCE = 1000
 
 
@@ -39,7 +39,7 @@ _SOLL = """soll AS (SELECT CAST(yr AS VARCHAR) AS jahr, n_name AS ms, count(*) A
 
 _H1 = f""", {_SOLL},
 ist AS (SELECT jahr, ms, count(*) AS n FROM raw GROUP BY jahr, ms),
-h1 AS (SELECT {_fc("'raw'", "'co2cars_' || s.jahr", 's.ms', "'Zeilenzahl gegen Quellzaehlung'",
+h1 AS (SELECT {_fc("'raw'", "'co2cars_' || s.jahr", 's.ms', "'Geladene gegen gezaehlte Zeilen'",
                   'coalesce(i.n, 0) - s.soll', "'Zeilen Differenz'", '0',
                   "CASE WHEN coalesce(i.n, 0) = s.soll THEN 'ok' WHEN abs(coalesce(i.n, 0) - s.soll) < s.soll * 0.001 "
                   "THEN 'auffaellig' ELSE 'kritisch' END", "printf('Soll %d, Ist %d', s.soll, coalesce(i.n, 0))")}
@@ -48,17 +48,17 @@ h1 AS (SELECT {_fc("'raw'", "'co2cars_' || s.jahr", 's.ms', "'Zeilenzahl gegen Q
 _H2 = ", h2w AS (SELECT jahr, count(*) AS n, " + ", ".join(
     f"count(*) FILTER (WHERE {c} IS NULL OR {c} = '') AS {c}" for c in MISSING_COLS) + " FROM raw GROUP BY jahr),\n" + \
     f"h2l AS (UNPIVOT h2w ON {', '.join(MISSING_COLS)} INTO NAME spalte VALUE fehlend),\n" + \
-    f"""h2 AS (SELECT {_fc("'raw'", "'co2cars_' || jahr", 'spalte', "'Anteil ohne Wert (NULL oder Leerstring)'",
+    f"""h2 AS (SELECT {_fc("'raw'", "'co2cars_' || jahr", 'spalte', "'Anteil unbelegter Felder'",
                         rnd('fehlend * 100.0 / n', 2), "'%'", 'NULL',
                         "CASE WHEN fehlend = 0 THEN 'ok' WHEN fehlend < n THEN 'auffaellig' ELSE 'kritisch' END",
                         "printf('%d von %d Saetzen ohne Wert', fehlend, n)")} FROM h2l)"""
 
-_BAD = "({c} IS NOT NULL AND {c} <> '' AND NOT regexp_full_match({c}, '-?[0-9]+([.,][0-9]+)?'))"
+_BAD = "({c} IS NOT NULL AND {c} <> '' AND NOT regexp_full_match({c}, '-?[0-9]+([.,][0-9]+)?([eE][-+]?[0-9]+)?'))"
 _H3 = ", h3w AS (SELECT jahr, " + ", ".join(
     f"count(*) FILTER (WHERE {_BAD.format(c=c)}) AS {c}__n, min({c}) FILTER (WHERE {_BAD.format(c=c)}) AS {c}__ex"
     for c in NUMERIC_COLS) + " FROM raw GROUP BY jahr),\n" + "h3l AS (" + " UNION ALL ".join(
     f"SELECT jahr, '{c}' AS spalte, {c}__n AS anzahl, {c}__ex AS beispiel FROM h3w" for c in NUMERIC_COLS) + "),\n" + \
-    f"""h3 AS (SELECT {_fc("'raw'", "'co2cars_' || jahr", 'spalte', "'nicht in numeric wandelbar'", 'anzahl',
+    f"""h3 AS (SELECT {_fc("'raw'", "'co2cars_' || jahr", 'spalte', "'Text ist keine Zahl'", 'anzahl',
                         "'Saetze'", '0', "CASE WHEN anzahl = 0 THEN 'ok' ELSE 'kritisch' END",
                         "'Beispielwert: ' || coalesce(beispiel, '-')")} FROM h3l)"""
 
@@ -67,15 +67,15 @@ def _v(c):
     return f"(CASE WHEN regexp_full_match({c}, '[0-9.]+') THEN TRY_CAST({c} AS DOUBLE) END)"
 
 
-_RULES = [
-    ("m_kg", "Masse < 500 kg oder > 3500 kg", f"{_v('m_kg')} < 500 OR {_v('m_kg')} > 3500"),
-    ("ewltp", "CO2 WLTP > 500 g/km", f"{_v('ewltp')} > 500"),
-    ("ewltp", "CO2 WLTP = 0 bei Verbrenner", f"{_v('ewltp')} = 0 AND ft NOT IN ('electric', 'hydrogen')"),
-    ("ewltp", "CO2 WLTP > 0 bei electric", f"{_v('ewltp')} > 0 AND ft = 'electric'"),
-    ("ep_kw", "Leistung < 10 kW oder > 800 kW", f"{_v('ep_kw')} < 10 OR {_v('ep_kw')} > 800"),
-    ("dr", "Zulassungsdatum ausserhalb des Berichtsjahres",
-     "regexp_matches(dr, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') AND left(dr, 4) <> jahr"),
-]
+def _rule_sql(column, kind, *args):
+    n, fuels = _v(column), ", ".join(repr(a) for a in args)
+    return {"outside": lambda: f"{n} < {args[0]} OR {n} > {args[1]}", "above": lambda: f"{n} > {args[0]}",
+            "zero_unless_fuel": lambda: f"{n} = 0 AND ft NOT IN ({fuels})", "above_zero_for_fuel": lambda: f"{n} > 0 AND ft = {fuels}",
+            "other_year": lambda: f"regexp_matches({column}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND left({column}, 4) <> jahr",
+            "filled_but_not": lambda: f"{column} NOT IN ('', {fuels})"}[kind]()
+
+
+_RULES = [(c, title, _rule_sql(c, *rule)) for c, title, rule in Q.RANGE_RULES]
 _H4 = ", h4l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS spalte, '{p}' AS pruefung, count(*) FILTER (WHERE {cond}) AS anzahl FROM raw"
     for c, p, cond in _RULES) + "),\n" + \
@@ -83,23 +83,23 @@ _H4 = ", h4l AS (" + " UNION ALL ".join(
                         "CASE WHEN anzahl = 0 THEN 'ok' ELSE 'auffaellig' END", 'CAST(NULL AS VARCHAR)')} FROM h4l)"""
 
 _H5 = f""", h5 AS (SELECT {_fc("'raw'", "'co2cars_alle'", 'CAST(NULL AS VARCHAR)',
-    "'Fachlich identische Saetze (ohne ID) mit mehr als einem Vorkommen'", 'count(*)', "'Gruppen'", 'NULL',
+    "'Gruppen gleicher Saetze unter mehreren IDs'", 'count(*)', "'Gruppen'", 'NULL',
     "CASE WHEN count(*) = 0 THEN 'ok' ELSE 'auffaellig' END", 'CAST(NULL AS VARCHAR)')}
   FROM (SELECT {', '.join(BUSINESS_COLS)} FROM raw GROUP BY ALL HAVING count(*) > 1))"""
 
 _H6 = ", h6l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS spalte, count(DISTINCT {c}) AS n, string_agg(DISTINCT {c}, ', ' ORDER BY {c}) AS werte FROM raw"
     for c in VALUE_COLS) + "),\n" + \
-    f"""h6 AS (SELECT {_fc("'raw'", "'co2cars_alle'", 'spalte', "'Anzahl unterschiedlicher Auspraegungen'", 'n',
+    f"""h6 AS (SELECT {_fc("'raw'", "'co2cars_alle'", 'spalte', "'Verschiedene Werte'", 'n',
                         "'Werte'", 'NULL', "'ok'", 'werte')} FROM h6l)"""
 
 _H8 = f""", h8 AS (SELECT {_fc("'core'", "'registration'", "'fahrzeugklasse'",
-    "'Beim Uebergang raw -> core ausgeschlossene Zeilen'", 'count(*)', "'Zeilen'", 'NULL', "'auffaellig'",
+    "'Keine Pkw, nicht uebernommen'", 'count(*)', "'Zeilen'", 'NULL', "'auffaellig'",
     "'Fahrzeugklasse ' || coalesce(nullif(upper(trim(coalesce(ct, ''))), ''), '(leer)') || ' gehoert nicht zu M1/M1G'")}
   FROM raw WHERE upper(trim(coalesce(ct, ''))) NOT IN ('M1', 'M1G') GROUP BY upper(trim(coalesce(ct, ''))))"""
 
 _H9 = f""", h9 AS (SELECT {_fc("'core'", "'registration'", "'src_id'",
-    "'Beim Uebergang raw -> core entfernte Dubletten (gleiche Satz-ID)'", '(SELECT count(*) FROM cars) - (SELECT count(*) FROM reg)',
+    "'Mehrfach gelieferte Satz-ID, nicht uebernommen'", '(SELECT count(*) FROM cars) - (SELECT count(*) FROM reg)',
     "'Zeilen'", '0', "CASE WHEN (SELECT count(*) FROM cars) = (SELECT count(*) FROM reg) THEN 'ok' ELSE 'auffaellig' END",
     'CAST(NULL AS VARCHAR)')})"""
 
@@ -110,11 +110,11 @@ def _count_sql(name, src, cond, objekt, spalte, pruefung, critical=False, layer=
 
 
 _H11 = _count_sql("h11", "reg", "antriebsklasse = 'UNBEKANNT'", "registration", "antriebsklasse",
-                  "Saetze ohne zuordenbare Antriebsklasse")
+                  "Antriebsklasse nicht bestimmbar")
 _H12 = _count_sql("h12", "reg", "oeko_code_roh IS NOT NULL AND oeko_codes IS NULL", "registration", "oeko_codes",
-                  "IT belegt, aber kein Code aufloesbar")
+                  "Oeko-Text ohne gueltigen Code")
 _H13 = _count_sql("h13", "cars", f"{O.blank('ewltp')} IS NOT NULL AND {O.num('ewltp')} IS NULL", "registration",
-                  "co2_wltp", "Ewltp im Rohtext vorhanden, aber nicht konvertierbar", critical=True)
+                  "co2_wltp", "WLTP-Ausstoss belegt, aber unlesbar", critical=True)
 
 
 def _raw_findings(spark, d):
@@ -129,11 +129,11 @@ def _core_findings(spark, d):
     cars, core = car_rows(r), reg(spark, d)
     return [Q.excluded_classes(r), Q.removed_duplicates(cars, core),
             Q.count_finding(core, F.col("antriebsklasse") == "UNBEKANNT", "registration", "antriebsklasse",
-                            "Saetze ohne zuordenbare Antriebsklasse"),
+                            "Antriebsklasse nicht bestimmbar"),
             Q.count_finding(core, F.col("oeko_code_roh").isNotNull() & F.col("oeko_codes").isNull(), "registration",
-                            "oeko_codes", "IT belegt, aber kein Code aufloesbar"),
+                            "oeko_codes", "Oeko-Text ohne gueltigen Code"),
             Q.count_finding(cars, S.blank_to_null("ewltp").isNotNull() & S.parse_number("ewltp").isNull(),
-                            "registration", "co2_wltp", "Ewltp im Rohtext vorhanden, aber nicht konvertierbar",
+                            "registration", "co2_wltp", "WLTP-Ausstoss belegt, aber unlesbar",
                             critical=True)]
 
 
@@ -218,11 +218,11 @@ def critical_findings(spark, d):
 
 
 @query("mostly_missing", _reg_sql(_H2, "SELECT objekt, spalte, ergebnis AS prozent_fehlend FROM h2 "
-                                       "WHERE pruefung LIKE 'Anteil ohne Wert%' AND ergebnis > 90"))
+                                       "WHERE pruefung LIKE 'Anteil unbelegt%' AND ergebnis > 90"))
 def mostly_missing(spark, d):
     path = scratch(spark, "findings")
     L.append_findings(Q.missing_share(raw(spark, d), MISSING_COLS), path, truncate=True)
-    return (spark.read.parquet(path).filter(F.col("pruefung").startswith("Anteil ohne Wert") & (F.col("ergebnis") > 90))    # B28
+    return (spark.read.parquet(path).filter(F.col("pruefung").startswith("Anteil unbelegt") & (F.col("ergebnis") > 90))    # B28
             .select("objekt", "spalte", F.col("ergebnis").alias("prozent_fehlend")))
 
 
@@ -230,7 +230,7 @@ def mostly_missing(spark, d):
     count(DISTINCT k * 10 + l_linenumber) AS soll FROM base GROUP BY 1),
 c AS (SELECT jahr, count(*) AS n FROM reg GROUP BY jahr)
 SELECT {_fc("'core'", "'registration'", "'jahr ' || CAST(s.jahr AS VARCHAR)",
-            "'Eindeutige Saetze gegen Quellzaehlung (vor Klassenfilter)'", 'coalesce(c.n, 0) - s.soll', "'Zeilen'", '0',
+            "'Eindeutige Saetze gegen die Zaehlung der Quelle'", 'coalesce(c.n, 0) - s.soll', "'Zeilen'", '0',
             f"CASE WHEN abs(coalesce(c.n, 0) - s.soll) <= {TOLERANCE} THEN 'ok' ELSE 'auffaellig' END",
             "printf('Ist %d, Soll %d', coalesce(c.n, 0), s.soll)")}
 FROM s LEFT JOIN c ON c.jahr = s.jahr"""))
@@ -242,7 +242,7 @@ def unique_vs_source(spark, d):
     j = soll.join(c, "jahr", "left").withColumn("n", F.coalesce("n", F.lit(0)))   # D3/D4
     diff = F.col("n") - F.col("soll")
     return Q.finding(j, "core", "registration", F.concat(F.lit("jahr "), F.col("jahr").cast("string")),
-                     "Eindeutige Saetze gegen Quellzaehlung (vor Klassenfilter)", diff, "Zeilen", 0,
+                     "Eindeutige Saetze gegen die Zaehlung der Quelle", diff, "Zeilen", 0,
                      F.when(F.abs(diff) <= TOLERANCE, "ok").otherwise("auffaellig"),
                      F.format_string("Ist %d, Soll %d", F.col("n"), F.col("soll")))
 
@@ -250,23 +250,23 @@ def unique_vs_source(spark, d):
 @query("extreme_values", O.with_rw(f"""
 SELECT {_fc("'core'", "'realworld'", 'spalte', 'pruefung', 'n', "'Zeilen'", 'NULL',
             "CASE WHEN n = 0 THEN 'ok' ELSE 'auffaellig' END", 'kommentar')} FROM (
-  SELECT 'dist_total_km' AS spalte, 'Lebensdauerstrecke ueber 1 Mio. km' AS pruefung,
+  SELECT 'dist_total_km' AS spalte, 'Gefahrene Strecke groesser als 1 Mio. km' AS pruefung,
     count(*) FILTER (WHERE dist_total_km > 1000000) AS n,
     printf('Groesster Wert %s km', CAST(CAST({rnd('max(dist_total_km) FILTER (WHERE dist_total_km > 1000000)', 0)} AS BIGINT) AS VARCHAR)) AS kommentar FROM rw
-  UNION ALL SELECT 'fc_real', 'Realverbrauch ueber 100 l/100 km', count(*) FILTER (WHERE fc_real > 100),
+  UNION ALL SELECT 'fc_real', 'Verbrauch groesser als 100 l je 100 km', count(*) FILTER (WHERE fc_real > 100),
     printf('Groesster Wert %s l/100 km', CAST(CAST({rnd('max(fc_real) FILTER (WHERE fc_real > 100)', 0)} AS BIGINT) AS VARCHAR)) FROM rw
-  UNION ALL SELECT 'gap_pct', 'Prozentuale Luecke ueber 5000 Prozent', count(*) FILTER (WHERE gap_pct > 5000), NULL FROM rw)"""))
+  UNION ALL SELECT 'gap_pct', 'Luecke groesser als 5000 %', count(*) FILTER (WHERE gap_pct > 5000), NULL FROM rw)"""))
 def extreme_values(spark, d):
     return Q.extreme_values(rw(spark, d))
 
 
 @query("filter_effects", O.with_all(f"""
 SELECT {_fc("'core'", "'realworld'", 'spalte', 'pruefung', 'n', 'einheit', 'NULL', "'auffaellig'", 'CAST(NULL AS VARCHAR)')} FROM (
-  SELECT 'used_in_calc' AS spalte, 'Von der EEA als nicht verwendbar markiert' AS pruefung,
+  SELECT 'used_in_calc' AS spalte, 'Quelle schliesst den Satz aus' AS pruefung,
     count(*) FILTER (WHERE NOT eea_verwendbar) AS n, 'Zeilen' AS einheit FROM rw
-  UNION ALL SELECT 'dist_total_km', 'Laufleistung unter 1000 km', count(*) FILTER (WHERE NOT hat_mindestlauf), 'Zeilen' FROM rw
-  UNION ALL SELECT 'fc_wltp', 'Kein WLTP-Referenzwert vorhanden', count(*) FILTER (WHERE fc_wltp IS NULL OR fc_wltp <= 0), 'Zeilen' FROM rw
-  UNION ALL SELECT 'ft', 'Uneinheitliche Schreibweise in der Quelle vor lower()',
+  UNION ALL SELECT 'dist_total_km', 'Strecke zu kurz (unter 1000 km)', count(*) FILTER (WHERE NOT hat_mindestlauf), 'Zeilen' FROM rw
+  UNION ALL SELECT 'fc_wltp', 'Laborwert fehlt', count(*) FILTER (WHERE fc_wltp IS NULL OR fc_wltp <= 0), 'Zeilen' FROM rw
+  UNION ALL SELECT 'ft', 'Schreibweisen, die sich nur in der Gross-/Kleinschreibung unterscheiden',
     (SELECT count(DISTINCT ft) FROM rwsrc) - (SELECT count(DISTINCT ft) FROM rw), 'Auspraegungen')"""))
 def filter_effects(spark, d):
     from ..catalog import base

@@ -139,5 +139,5 @@ def linreg_identities(spark, d):
     flag = F.col("split") == "train"
     return p.groupBy("antriebsklasse", "split").agg(
         F.count(F.lit(1)).alias("n"), F.count("prediction").alias("vorhergesagt"), F.avg("r").alias("_m")).select(
-        "antriebsklasse", "split", "n", "vorhergesagt", F.when(flag, F.abs("_m") < 1e-4 * scale).alias("rest_mittel_null"),
-        *[F.when(flag, F.lit(corr[c] is None or corr[c] < 1e-5)).alias(f"rest_{c}_null") for c in _ZERO])
+        "antriebsklasse", "split", "n", "vorhergesagt", F.when(flag, F.abs("_m") < 1e-3 * scale).alias("rest_mittel_null"),
+        *[F.when(flag, F.lit(corr[c] is None or corr[c] < 1e-3)).alias(f"rest_{c}_null") for c in _ZERO])

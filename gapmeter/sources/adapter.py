@@ -121,6 +121,14 @@ def registration_raw(spark: SparkSession, sf_dir: str, base: DataFrame | None =
         "CASE WHEN yr >= 2000 THEN 'P' ELSE 'F' END AS status",
         "concat('co2cars_', cast(yr AS string), CASE WHEN yr >= 2000 THEN 'P' ELSE 'F' END, "
         "'v', cast(yr % 7 + 10 AS string)) AS version_file",
+        "CASE WHEN k % 8 = 3 THEN '' ELSE concat('e', cast(l_partkey % 50 AS string), '*', cast(l_suppkey % 9 AS string)) END AS tan",
+        "concat('T', cast(l_partkey % 30 AS string)) AS typ",
+        "cast(l_suppkey % 6 AS string) AS va",
+        "CASE WHEN k % 10 <> 7 THEN cast(l_linenumber AS string) END AS ve",
+        "CASE WHEN k % 21 = 0 THEN 'unbek.' WHEN fm0 = 'E' THEN '0' ELSE concat(cast(50 + p_size * 3 AS string), '.', cast(p_partkey % 10 AS string)) END AS enedc",
+        "CASE WHEN k % 33 = 0 THEN '' ELSE concat(cast(2500 + p_size * 10 AS string), CASE WHEN k % 2 = 0 THEN ',5' ELSE '' END) END AS w_mm",
+        "CASE WHEN fm0 = 'E' THEN NULL ELSE cast(p_size * 50 + 900 AS string) END AS ec_cm3",
+        "CASE WHEN k % 101 = 0 THEN '2' WHEN k % 103 <> 0 THEN '1' END AS r_count",
     )
 
 

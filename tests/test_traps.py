@@ -22,10 +22,11 @@ def test_t13_dotted_junk_is_no_value(spark):
     raw = spark.createDataFrame([("1.2.3", "5", "petrol", "2025-01-01", "2025"),
                                  ("4000", "600", "petrol", "2024-01-01", "2025")],
                                 "m_kg string, ewltp string, ft string, dr string, jahr string") \
-        .withColumn("ep_kw", F.lit("100"))
+        .withColumn("ep_kw", F.lit("100")).withColumn("r_count", F.lit("2"))
     got = {r.pruefung: r.ergebnis for r in Q.range_rules(raw).collect()}
-    assert got["Masse < 500 kg oder > 3500 kg"] == 1.0          # only 4000, not '1.2.3'
-    assert got["Zulassungsdatum ausserhalb des Berichtsjahres"] == 1.0
+    assert got["Masse ausserhalb 500 bis 3500 kg"] == 1.0          # only 4000, not '1.2.3'
+    assert got["Zulassung nicht im Berichtsjahr"] == 1.0
+    assert got["Satz zaehlt nicht als ein Fahrzeug"] == 2.0
 
 
 def test_t15_single_bev_row_in_wtw(spark):
