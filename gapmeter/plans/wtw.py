@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
+from ..operators.quantiles import exact_percentiles
 
 # Direct combustion emission per litre of fuel (g CO2/l).
 FUEL_FACTORS = [
@@ -48,11 +49,14 @@ def class_basis(rw: DataFrame, reg: DataFrame, factors: DataFrame, country: str)
             .agg(F.count(F.lit(1)).alias("fahrzeuge"),
                  F.percentile("fc_real", 0.5).alias("fc_real"), F.percentile("fc_wltp", 0.5).alias("fc_wltp"),
                  F.percentile("co2_wltp", 0.5).alias("co2_wltp"), F.percentile("masse_kg", 0.5).alias("masse_kg"),
-                 F.percentile(kwh, 0.5).alias("kwh_je_100km"),
                  F.lit(None).cast("double").alias("wh_je_km_wltp"),
                  F.mode("ft", deterministic=True).alias("ft_haeufigster"),
                  rnd(F.avg("g_co2_je_l"), 1).alias("faktor_g_je_l"))
             .withColumn("quelle_real", F.lit("OBFCM gemessen")))
+    # a ratio has no bound on distinct values, so no value map per class
+    med = exact_percentiles(r.withColumn("_kwh", kwh), ["antriebsklasse"], "_kwh", [0.5]) \
+        .select(F.col("antriebsklasse").alias("_cls"), F.col("p0").alias("kwh_je_100km"))
+    comb = comb.join(med, F.col("antriebsklasse").eqNullSafe(F.col("_cls")), "left").drop("_cls")
     b = reg.filter((F.col("ms") == country) & (F.col("antriebsklasse") == "BEV") & F.col("strom_wh_km").isNotNull())
     bev = b.agg(F.lit("BEV").alias("antriebsklasse"), F.count(F.lit(1)).alias("fahrzeuge"),
                 F.lit(None).cast("double").alias("fc_real"), F.lit(None).cast("double").alias("fc_wltp"),
