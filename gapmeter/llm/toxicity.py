@@ -57,14 +57,19 @@ class Features:
                     parts.append((y >> shift).astype(np.int32))
             yield int((c[at + 1:at + 1 + self.SLICE] == 32).sum()), np.concatenate(parts or [np.zeros(0, np.int32)])
 
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct places, occurrences per 100 words)."""
-        words, places, counts = 0, np.zeros(0, np.int32), np.zeros(0)
+    def counts(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+        """(words, distinct places ascending, occurrences)."""
+        words, places, counts = 0, np.zeros(0, np.int32), np.zeros(0, np.int64)
         for n, p in self.slices(text):
             words += n
             u, c = np.unique(p, return_counts=True)
             places, back = np.unique(np.concatenate((places, u)), return_inverse=True)
-            counts = np.bincount(back, np.concatenate((counts, c)))
+            counts = np.bincount(back, np.concatenate((counts, c))).astype(np.int64)
+        return words, places, counts
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct places, occurrences per 100 words)."""
+        words, places, counts = self.counts(text)
         return places, counts * (100 / max(words, 1))
 
     def mean_weight(self, text: str | None, weight: np.ndarray) -> float:
@@ -76,6 +81,14 @@ class Features:
         return total * 100 / max(words, 1)
 
 
+def _shrink(a: np.ndarray) -> bytes:
+    return pa.compress(a.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _grow(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b, 4 * n, codec="zstd", asbytes=True), "<u4")
+
+
 def _columns(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
     return docs.select(*more, F.col(text_col).cast("string").alias("text"))
 
@@ -97,19 +110,20 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int =
         f = Features()
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                places, values = f.counted(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([places.astype("<i4").tobytes()], pa.binary()),
-                                                  pa.array([values.astype("<f4").tobytes()], pa.binary())], ["y", "places", "counts"])
+                words, places, counts = f.counts(text.as_py())
+                blobs = [_shrink(a) for a in (np.diff(places, prepend=0), counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([words], pa.int64()), pa.array([len(places)], pa.int64()),
+                                                  *[pa.array([b], pa.binary()) for b in blobs]], ["y", "words", "n", "steps", "counts"])
 
-    sample = materialize(rows.mapInArrow(extract, "y int, places binary, counts binary").repartition(8))
+    sample = materialize(rows.mapInArrow(extract, "y int, words long, n long, steps binary, counts binary").repartition(8))
 
     def sums(partial, size):
         """Sum over the sample of vectors of ``size`` numbers: a row per task."""
         def run(batches):
             acc = np.zeros(size)
             for batch in batches:
-                for y, p, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    partial(acc, y, np.frombuffer(p, "<i4"), np.frombuffer(x, "<f4"))
+                for y, words, n, steps, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                    partial(acc, y, np.cumsum(_grow(steps, n)), _grow(counts, n) * np.float32(100 / max(words, 1)))
             yield pa.RecordBatch.from_arrays([pa.array([acc.astype("<f4").tobytes()], pa.binary())], ["acc"])
         out = np.zeros(size)
         for r in sample.mapInArrow(run, "acc binary").collect():  # 8 rows of fixed size
