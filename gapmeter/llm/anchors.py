@@ -6,7 +6,7 @@ rolling run of block length probes the index, and only windows around a hit are
 extended: windows are matched over the corpus by a 96-bit hash, and touching
 matched windows merge into maximal exact repeats (``spans``).
 
-Documents are dealt to chunks by a hash of the row. A chunk sends, per hash
+Documents are dealt to chunks by a hash of the row, chunks bounded by rows and text bytes. A chunk sends, per hash
 bucket, one compact blob of its distinct anchors (no row per word), and gets
 back one bit per anchor; the same holds for the windows around hits, which come
 back with the smallest doc_id they start in. Each bucket and chunk is bounded:
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import materialize
 from .common import WordHasher, pack, pack_sorted, rolling, unpack, unpack_sorted
 
 ANCHOR_SEED, WINDOW_SEED, CHECK_SEED = 11, 12, 13
@@ -189,7 +190,7 @@ def _remove(window, with_text):
         fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
         schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
-        others = [(n, docs.column(n)) for n in docs.column_names if n.startswith("keep_")]
+        others = [(n, docs.column(n)) for n in docs.column_names if n.startswith("keep_") or n == "times"]
         if not docs.num_rows:
             out = _empty(schema)
             for n, col in others:
@@ -239,7 +240,7 @@ def _remove(window, with_text):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, docs_per_chunk: int = 2000, with_text: bool = False,
+def substring_dedup(docs: DataFrame, window: int = 13, docs_per_chunk: int = 2000, chunk_bytes: int = 8 << 20, with_text: bool = False,
                     keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words covered by a ``window``-word sequence that also starts in a document with a smaller id.
 
@@ -252,17 +253,32 @@ def substring_dedup(docs: DataFrame, window: int = 13, docs_per_chunk: int = 200
     Rows with one id: none of them counts as smaller than the other. Fewer words than
     ``window``: nothing is removed. Empty table: no rows.
 
-    ``docs_per_chunk`` sets the unit of work (about 1 M words); anchors are cut to
+    ``docs_per_chunk`` and ``chunk_bytes`` set the unit of work (about 1 M words): a chunk holds about as
+    many rows or text bytes, whichever are fewer; a document above a quarter of ``chunk_bytes`` is a chunk
+    of its own. Equal rows (text, id and kept columns) that together exceed a chunk are worked on once and
+    repeated in the result: they never remove words from each other. Anchors are cut to
     log2(words) + 8 bits for the probe, which only adds candidates, never drops one.
     """
-    spark = docs.sparkSession
-    n = docs.count()
-    chunks = max(1, math.ceil(n / docs_per_chunk))
-    bits = max(20, math.ceil(math.log2(max(n, 1) * 600)) + 8)
     block = (window + 1) // 2
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *[F.col(c).alias(f"keep_{c}") for c in keep or []])
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    named = base.columns
+    row, size = F.xxhash64(*named), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    n, total = base.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    chunks = max(1, math.ceil(n / docs_per_chunk), math.ceil(total / chunk_bytes))
+    bits = max(20, math.ceil(math.log2(max(n * 600, total // 6, 1))) + 8)
+    # equal rows that would fill a chunk: at most as many groups as there are chunks of either kind
+    heavy = materialize(base.select(row.alias("h"), size.alias("b")).groupBy("h").agg(F.count("*").alias("c"), F.sum("b").alias("b"))
+                        .where((F.col("c") > 1) & ((F.col("c") > docs_per_chunk) | (F.col("b") > chunk_bytes))).select("h"))
+    collapsed = heavy.limit(1).count() > 0
+    if collapsed:
+        marked = base.withColumn("h", row)
+        few = marked.join(F.broadcast(heavy), "h", "left_anti").select(*named, F.lit(1).cast("long").alias("times"))
+        many = marked.join(F.broadcast(heavy), "h", "left_semi").groupBy(*named).agg(F.count("*").alias("times"))
+        base = few.unionByName(many)
+    deal = F.pmod(row, F.lit(chunks))
+    # a long document is a chunk of its own, numbered above the others
+    base = base.withColumn("chunk", F.when(4 * size > chunk_bytes, chunks + row.bitwiseAND(F.lit((1 << 61) - 1))).otherwise(deal))
     by_chunk = base.groupBy("chunk")
     # the wide exchange of ``base`` by chunk is planned once and reused by the three passes
     probes = by_chunk.applyInArrow(_probe(block, bits, chunks), "bucket long, chunk long, n long, keys binary, several binary, blocks binary")
@@ -273,6 +289,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, docs_per_chunk: int = 200
     found = windows.groupBy("bucket").applyInArrow(_match_windows, "chunk long, bucket long, n long, keys binary, checks binary, least binary")
     schema = StructType.fromDDL(RESULT + ", kept_text string" * with_text)
     for f in base.schema:
-        if f.name.startswith("keep_"):
+        if f.name.startswith("keep_") or f.name == "times":
             schema.add(f.name, f.dataType)
-    return base.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_remove(window, with_text), schema)
+    out = base.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_remove(window, with_text), schema)
+    if collapsed:
+        out = out.select(*[c for c in out.columns if c != "times"], F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("times")).drop("times")
+    return out

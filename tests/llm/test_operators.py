@@ -173,6 +173,36 @@ def test_substring_dedup_small_table(spark, sf):
     assert multiset(got) == _dedup(docs)
 
 
+def test_substring_dedup_bounds_the_work_of_a_chunk(spark, tmp_path):
+    """Repeats of one row and long documents: no chunk, and so no task, holds much more than its share of rows or bytes."""
+    from gapmeter.llm import anchors
+    import random
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " " + passage) for i in range(120)]
+    rows += [(7, rows[3][1])] * 150 + [(None, rows[4][1])] * 150 + [(200 + i, " ".join(f"l{rng.randrange(10**6)}" for _ in range(4000))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    class Spy(anchors.Chunk):
+        def __init__(self, table):
+            super().__init__(table)
+            with open(log, "a") as f:
+                f.write(f"{len(self.ids)} {sum(map(len, self.texts))}\n")
+
+    log = tmp_path / "chunks"
+    real, anchors.Chunk = anchors.Chunk, Spy
+    try:
+        got = anchors.substring_dedup(df, docs_per_chunk=40, chunk_bytes=20_000, with_text=True, keep=["text"])
+        assert multiset(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == _dedup(rows)
+        assert Counter((r.doc_id, r.keep_text) for r in got.collect()) == Counter(rows)
+    finally:
+        anchors.Chunk = real
+    with open(log) as f:
+        seen = [tuple(map(int, x.split())) for x in f]
+    long = max(len(t) for _, t in rows)
+    assert seen and all(n < 80 and (b < 60_000 or (n == 1 and b <= long)) for n, b in seen)
+
+
 def test_substring_dedup_reuses_the_text_exchange(spark, edge_docs):
     from gapmeter.llm import anchors
     out = anchors.substring_dedup(edge_docs, docs_per_chunk=7)
