@@ -21,9 +21,10 @@ from .common import WORD
 DIGITS = 13  # hexadecimal digits of the digest that make u
 
 
-def unit_hash(id_col: str, seed: int) -> Column:
-    """A number in (0, 1) that depends on the id and the seed alone."""
-    text = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}"))
+def unit_hash(id_col: str, seed: int, other: Column | None = None) -> Column:
+    """A number in (0, 1) that depends on the id (where it is null, on ``other``) and the seed alone."""
+    other = F.lit("null") if other is None else other.cast("string")
+    text = F.concat(F.coalesce(F.col(id_col).cast("string"), other), F.lit(f":{seed}"))
     number = F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("long").cast("double")
     return (number + 0.5) / F.lit(float(16 ** DIGITS))
 
@@ -52,21 +53,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 6,
         quality: DataFrame | None = None, rows_per_range: int = 10_000,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, size (words), source_size, target, taken (words, repeats counted), copies.
 
     ``quality`` (doc_id, weight > 0) scales the keys: heavier documents come first; without an entry 0.6.
     The document in which the rest runs out is taken whole if that comes nearer to the target.
     Null text: size 0, nothing taken. Null source: a source of its own, last in order. Equal ids:
     equal keys, ordered by size and then as equal rows (the running sum counts each). Empty table: no rows.
+    ``row`` (a digest of the row): rows without id get keys of their own by it, equal ids are ordered by it
+    after size; the result also has source and row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
+    named = [] if row is None else ["source", "row"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), *([] if row is None else [row.alias("row")]),
                        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     if quality is not None:
         rows = rows.join(quality.select(F.col("doc_id"), F.col("weight").alias("q")), "doc_id", "left")
     else:
         rows = rows.withColumn("q", F.lit(None).cast("double"))
-    rows = rows.withColumn("key", -F.log(unit_hash("doc_id", seed)) / F.coalesce("q", F.lit(0.6)))
+    rows = rows.withColumn("key", -F.log(unit_hash("doc_id", seed, None if row is None else F.col("row"))) / F.coalesce("q", F.lit(0.6)))
     n = docs.count()
     ranges = max(1, math.ceil(n / rows_per_range))
     # exp(-key * 0.6) is close to uniform; any monotone rule is right, this one is even
@@ -85,14 +89,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     all_rows = rows.join(cut, rows["source"].eqNullSafe(cut["s"]))
     here = F.coalesce(F.col("range") == F.col("cut_range"), F.lit(False))
     whole = all_rows.where(~here).withColumn("extra", F.coalesce(F.col("range") < F.col("cut_range"), F.lit(True)).cast("int"))
-    order = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("s").orderBy("key", "doc_id", "size", *named[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = all_rows.where(here).withColumn("sum", F.col("before") + F.sum("size").over(order))
     gap = F.col("sum") - F.col("rest")  # how far this document reaches over the rest
     last = last.withColumn("extra", ((gap <= 0) | ((gap < F.col("size")) & (gap < F.col("size") - gap))).cast("int")).drop("sum")
     return whole.unionByName(last.select(whole.columns)).select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
         (F.col("size") * (F.col("epochs") + F.col("extra"))).cast("long").alias("taken"),
-        F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0).cast("long").alias("copies"))
+        F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0).cast("long").alias("copies"), *named)
 
 
 def label_quality(labels: DataFrame) -> DataFrame:

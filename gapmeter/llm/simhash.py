@@ -22,7 +22,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -50,14 +50,18 @@ def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed 64-bit number; with ``row`` (a string) also that."""
+    names = ["doc_id", "row"][:1 + (row is not None)]
+    types = [pa.int64(), pa.string()]
+
     def run(batches):
-        for (ids,), texts in text_groups(batches):
+        for lead, texts in text_groups(batches):
             fp = np.array([text_fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp)], ["doc_id", "fp"])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(lead, types)], pa.array(fp)], [*names, "fp"])
+    more = [] if row is None else [row.cast("string").alias("row")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).cast("string").alias("text")) \
+        .mapInArrow(run, "doc_id long, row string, fp long" if more else "doc_id long, fp long")
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
@@ -126,15 +130,16 @@ def _ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket_rows: int = 64, pivots: int = PIVOTS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id
-    (the smallest doc_id reachable over links of at most ``max_bits`` differing bits).
+    (the smallest doc_id reachable over links of at most ``max_bits`` differing bits). With ``row``
+    (a digest that names rows without an id) also that and ``component``, which no component has null.
 
     Null or empty text: fingerprint zero, linked like any other. Rows with equal id stay rows of
     their own. A null id gets a component like any row but never names one, unless all members
     are null (component_id null). Empty table: no rows. Other columns are ignored.
     """
-    fps = materialize(fingerprints(docs, shingle, id_col, text_col))
+    fps = materialize(fingerprints(docs, shingle, id_col, text_col, row))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     keyed = _keyed(distinct, max_bits)
     size = materialize(keyed.groupBy("part", "bits").agg(F.count("*").alias("n")).where("n > 1"))
@@ -148,5 +153,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket
     named = label.join(distinct, label["id"] == distinct["fp"])
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = materialize(distinct.join(materialize(named.select("fp", "label")), "fp", "left").join(materialize(smallest), "label", "left")
-                     .select("fp", F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")))
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+                     .select("fp", F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"),
+                             F.coalesce("label", "fp").alias("component")))
+    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+                                     *([] if row is None else ["row", "component"]))

@@ -28,16 +28,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: the smallest doc_id, of its rows the first by content.
 
-    Rows without an id can't be named by a group and all stay.
+    A group without any id keeps the row whose digest is the smallest. Rows with neither
+    id nor words have nothing to be told by and stay.
     """
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
+    digest = F.when(F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False)),
+                    F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    found = materialize(simhash.near_duplicates(docs, shingle=3, max_bits=2, row=digest))
     keep = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
     joined = docs.join(keep, F.col("doc_id") == F.col("__id"))
     out = joined.where("__n = 1").select(*docs.columns)
     if keep.where("__n > 1").limit(1).count():
         first = joined.where("__n > 1").select("__id", F.struct(*docs.columns).alias("__row")).groupBy("__id").agg(F.min("__row").alias("r"))
         out = out.union(first.select("r.*"))
-    return out.union(docs.where("doc_id is null"))
+    nameless = docs.where("doc_id is null").withColumn("__row", digest)
+    out = out.union(nameless.where("__row is null").select(*docs.columns))
+    only = materialize(found.where("component_id is null and row is not null").groupBy("component").agg(F.min("row").alias("__row")).select("__row"))
+    # equal rows share a digest: one of them stays
+    return out.union(nameless.join(only, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +55,19 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; what it doesn't take goes."""
-    keyed = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    found = mixing.mix(docs, quality=mixing.label_quality(table(spark, sf_dir, "labels")))
-    copies = found.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__s"), "source_size") \
-        .agg(F.max("copies").alias("__copies"))
-    taken = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__k")).select(*docs.columns)
+    """Each document as often as the mix takes it; what it doesn't take goes.
+
+    Rows are told apart by id, source and a digest of all columns; equal rows share their copies.
+    """
+    keyed = docs.withColumn("__d", F.xxhash64(*docs.columns))
+    found = mixing.mix(docs, quality=mixing.label_quality(table(spark, sf_dir, "labels")), row=F.xxhash64(*docs.columns))
+    copies = materialize(found.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("row").alias("__r"))
+                         .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")).where("__copies > 0"))
+    taken = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__d") == F.col("__r")))
+    once = taken.where("__n = 1")
+    if copies.where("__n > 1").limit(1).count():
+        once = once.union(taken.where("__n > 1").dropDuplicates(["__id", "__s", "__r"]))
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__k")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

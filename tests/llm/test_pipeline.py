@@ -57,6 +57,30 @@ def test_run_equals_stages_by_hand(spark, sf, pipeline, tmp_path):
     assert Counter((r.doc_id, r.ids_sha256) for r in got) == Counter((r.doc_id, r.ids_sha256) for r in docs.collect())
 
 
+def test_rows_without_id_are_deduplicated(spark, sf, pipeline):
+    """Copies without an id go like others: one row of a group stays, none where a row with an id has the text."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "en", "s"), (None, a, "en", "s"), (None, a, "en", "t")] + [(None, b, "en", "s")] * 5 + [(None, b, "en", "t"), (None, c, None, None)]
+    got = dict(pipeline.STAGES)["simhash_near_dedup"](spark, _documents(spark, rows), sf).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (None, b), (None, c)])
+
+
+def test_rows_without_id_are_mixed_like_others(spark, sf, pipeline):
+    """Sources of rows without id reach the targets of the mix, and no row more copies than its cap."""
+    rows = [(None, " ".join(f"{s}{i}x{k}" for k in range(20)), "en", s) for s in "uvwxyz" for i in range(40)] + [(None, "one row again", "en", "u")] * 3
+    docs = _documents(spark, rows)
+    got = dict(pipeline.STAGES)["mixing"](spark, docs, sf).collect()
+    from gapmeter.llm import mixing
+    want = {r.source: r.target for r in mixing.targets(spark.createDataFrame(
+        [(s, sum(len(t.split()) for _, t, _, x in rows if x == s)) for s in "uvwxyz"], "source string, source_size long")).collect()}
+    words = Counter()
+    for r in got:
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - want[s]) <= 20 for s in want)
+    times, there = Counter(r.text for r in got), Counter(r[1] for r in rows)
+    assert all(n <= 2 * there[t] for t, n in times.items()) and len(times) > 150
+
+
 def test_entry_lives_without_the_subpackage(tmp_path):
     """A copy of the library without the llm folders and the pipeline still answers."""
     import shutil
