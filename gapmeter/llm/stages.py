@@ -16,13 +16,17 @@ from .common import WORD, held_out_column, table
 
 #: A prediction below this probability counts as rejected, like ``und``.
 LEAST_SCORE = 0.5
+#: So is a text of several words if less than this share of its letters belongs to the predicted language.
+LEAST_KNOWN = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: no letters or null text (``und``), or no language reaches LEAST_SCORE."""
+    """Rejected documents go: no letters or null text (``und``), no language reaches LEAST_SCORE, or
+    the letters of a text of several words are to less than LEAST_KNOWN those of the language."""
     model = langid.learn(docs, ~held_out_column())
-    found = langid.identify(docs, model, keep=docs.columns, pred_col="__lang", score_col="__score")
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    single = ~F.col("text").rlike(r"\p{L}\P{L}+\p{L}")
+    found = langid.identify(docs, model, keep=docs.columns, pred_col="__lang", score_col="__score", known_col="__known")
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE) & ((F.col("__known") >= LEAST_KNOWN) | single)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,20 @@ def test_run_equals_stages_by_hand(spark, sf, pipeline, tmp_path):
     assert Counter((r.doc_id, r.ids_sha256) for r in got) == Counter((r.doc_id, r.ids_sha256) for r in docs.collect())
 
 
+def test_language_rejects_unlearned_scripts_of_any_length(spark, sf, pipeline):
+    """Words in a script that no training row has don't vote; such a text goes, however long, and the learned ones stay."""
+    import random
+    from gapmeter.llm import langid
+    rng = random.Random(2)
+    there = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null")
+    cyrillic = {10**9 + 5 * n: " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(rng.randrange(3, 9))) for _ in range(n)) for n in (1, 10, 50, 100, 1000)}
+    docs = there.unionByName(spark.createDataFrame([(i, t) for i, t in cyrillic.items()], "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in dict(pipeline.STAGES)["language_id"](spark, docs, sf).select("doc_id").collect()}
+    assert not kept & set(cyrillic) and len(kept) > 0.97 * there.where("text rlike '[a-z]'").count()
+    model = {"langs": ["a", "b"], "words": {}, "grams": {1: {"_": [-1.0, -2.0], "z": [-7.0, 0.0]}}}
+    assert langid.Scorer(model).predict("ж " * 500) == ("a", 0.5)
+
+
 def test_rows_without_id_are_deduplicated(spark, sf, pipeline):
     """Copies without an id go like others: one row of a group stays, none where a row with an id has the text."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
