@@ -54,7 +54,6 @@ from ..session import materialize  # noqa: E402
 
 SEED = 1234
 SAMPLE_ROWS = 5_000      # the size of the sample query; nothing else is cut
-FIT_ROWS = 200_000       # rows that a model is fitted on at most
 
 _PHEV = f"antriebsklasse = 'PHEV' AND gap_pct BETWEEN 0 AND 2000 AND {_FULL} AND anteil_elektrisch IS NOT NULL AND grid_kwh IS NOT NULL"
 _REST = f"gap_pct BETWEEN -50 AND 900 AND {_FULL}"
@@ -99,7 +98,7 @@ def _predicted(spark, d, plugin):
     feats = ML.FEATURES_PHEV if plugin else ML.FEATURES_ALL
     t = ML.fill_unknown(ML.training_set(rw(spark, d), plugin=plugin))
     s = materialize(ML.exact_split(t, "vehicle_id", None if plugin else "antriebsklasse", 0.7, SEED))
-    return ML.fit_linear(s.filter(F.col("split") == "train"), feats, fit_rows=FIT_ROWS, seed=SEED)(s)
+    return ML.fit_linear(s.filter(F.col("split") == "train"), feats)(s)
 
 
 @query("linreg_metrics")
@@ -130,8 +129,8 @@ SELECT antriebsklasse, split, count(*) AS n, count(*) AS vorhergesagt,
 FROM cut GROUP BY ALL"""))
 def linreg_identities(spark, d):
     """What makes a fit the least-squares fit: on the rows it is fitted on, residuals sum to zero within
-    each class (a dummy each) and stay uncorrelated with each numeric feature over all of them. Holds while the
-    training part is below FIT_ROWS. Every row of both parts has a prediction."""
+    each class (a dummy each) and stay uncorrelated with each numeric feature over all of them. The fit takes
+    the whole training part, however large. Every row of both parts has a prediction."""
     p = materialize(_predicted(spark, d, False).withColumn("r", F.col(ML.LABEL) - F.col("prediction")))
     train = p.filter(F.col("split") == "train")
     scale = train.agg(F.stddev_pop("r")).first()[0] or 1.0

@@ -161,3 +161,13 @@ def test_fit_limit_bounds_the_fit_alone(spark):
     assert len(out) == 600 and all(abs(r.prediction - r.gap_pct) < 1e-6 for r in out)
     s = ML.score(predict(df)).first()
     assert s.n == 600 and s.r2 > 0.999999 and s.r2 == s.r2_adj
+
+
+def test_linear_models_are_fitted_on_all_training_rows(spark, monkeypatch):
+    """No row limit of the registry cuts the fit, so residuals are zero in the mean over every training row."""
+    from conftest import SF001
+    from gapmeter.registry import q_training
+    monkeypatch.setattr(q_training, "FIT_ROWS", 100, raising=False)
+    rows = q_training.linreg_identities(spark, SF001).collect()
+    flags = [[v for k, v in r.asDict().items() if k.startswith("rest_")] for r in rows if r.split == "train"]
+    assert flags and all(all(f) for f in flags)
