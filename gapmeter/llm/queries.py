@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, bpe, chat, divergence, improbable, langid, mixing, simhash, toxicity, warc
+from . import anchors, bpe, chat, divergence, improbable, langid, mixing, simhash, suffix, toxicity, warc
 from .common import held_out_column, table
 from .stages import read_vocabulary
 
@@ -56,8 +56,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), read_vocabulary(), public_tokenizers.PATTERN)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_substring_dedup, op4_language_id, op5_simhash, op6_mixing,
-                                  op7_chat, op8_toxicity, op9_quality, op10_bpe)}
+                                  op7_chat, op8_toxicity, op9_quality, op10_bpe, op13_suffix_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -101,6 +105,19 @@ FROM b LEFT JOIN j ON b.rid = j.rid"""
 
 
 ORACLE = {
+    "op13_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(COALESCE(text, ''))) AS hx FROM documents),
+w AS (SELECT rid, i, md5(substr(hx, 2 * i - 1, 400)) AS k FROM d, unnest(range(1, length(hx) // 2 - 198)) u(i)),
+g AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prv
+      FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+r AS (SELECT rid, SUM(LEAST(200, COALESCE(nxt - i, 200))) AS n_removed, COUNT(*) FILTER (prv IS NULL OR i - prv > 200) AS n_spans FROM g GROUP BY rid),
+c AS (SELECT DISTINCT rid, j FROM (SELECT rid, unnest(range(i, i + LEAST(200, COALESCE(nxt - i, 200)))) AS j FROM g)),
+b AS (SELECT d.rid, string_agg(substr(hx, 2 * p - 1, 2), '' ORDER BY p) AS kept
+      FROM d JOIN r ON d.rid = r.rid, unnest(range(1, length(hx) // 2 + 1)) u(p)
+      WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.rid = d.rid AND c.j = p) GROUP BY d.rid)
+SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN r.rid IS NULL THEN hx ELSE COALESCE(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN r ON d.rid = r.rid LEFT JOIN b ON d.rid = b.rid""",
     "op9_quality": _divergence_sql(),
     "op1_warc": """
 WITH p AS (SELECT page_id, encode(COALESCE(html, '')) AS b FROM pages),
