@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, bpe, chat, divergence, improbable, langid, mixing, simhash, suffix, toxicity, warc
+from . import anchors, bpe, chat, divergence, improbable, langid, mixing, simhash, suffix, toxicity, trie, warc
 from .common import held_out_column, table
 from .stages import read_vocabulary
 
@@ -56,12 +56,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), read_vocabulary(), public_tokenizers.PATTERN)
 
 
+def op11_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_substring_dedup, op4_language_id, op5_simhash, op6_mixing,
-                                  op7_chat, op8_toxicity, op9_quality, op10_bpe, op13_suffix_dedup)}
+                                  op7_chat, op8_toxicity, op9_quality, op10_bpe, op11_conv_trie, op13_suffix_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -105,6 +109,34 @@ FROM b LEFT JOIN j ON b.rid = j.rid"""
 
 
 ORACLE = {
+    "op11_conv_trie": """
+WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT b::BIGINT AS b, list_reduce(list_concat([b::BIGINT], range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v
+         FROM range(256) r(b)),
+tab AS (SELECT list(v ORDER BY b) AS v FROM bits),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS root, n,
+             xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                             lambda a, x: xor(a // 256, v[xor(a & 255, x) + 1])), 4294967295) % 6 AS h
+      FROM (SELECT conv_id, COUNT(*) AS n FROM t GROUP BY conv_id), tab),
+own AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY pos) AS l FROM t GROUP BY conv_id),
+s AS (SELECT c.conv_id, list_concat(CASE WHEN h = 0 THEN [] ELSE COALESCE(head.l, [])[1:h] END, own.l[h + 1:]) AS l
+      FROM c JOIN own ON c.conv_id = own.conv_id LEFT JOIN own head ON head.conv_id = c.root),
+k AS (SELECT conv_id, list_transform(l, lambda x: sha256(length(x.r) || ':' || x.r || x.t)) AS ids, list_transform(l, lambda x: length(x.t)) AS chars FROM s),
+m AS (SELECT conv_id, d AS depth, len(ids) AS n, sha256(array_to_string(ids[1:d], ',')) AS node, sha256(array_to_string(ids[1:d - 1], ',')) AS up,
+             CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars
+      FROM k, unnest(range(0, len(ids) + 1)) u(d)),
+g AS (SELECT node, depth, MIN(conv_id) AS conv_id, MIN(up) AS up, COUNT(*) AS n_convs, (COUNT(*) - 1) * MIN(chars) AS saved,
+             sha256(COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+      FROM m GROUP BY node, depth),
+ch AS (SELECT up, COUNT(*) AS n_children FROM g WHERE depth > 0 GROUP BY up),
+f AS (SELECT g.*, COALESCE(n_children, 0) AS n_children FROM g LEFT JOIN ch ON g.node = ch.up),
+a AS (SELECT DISTINCT m1.node AS top, m1.depth AS top_depth, m2.node FROM m m1 JOIN m m2 ON m1.conv_id = m2.conv_id AND m1.depth <= m2.depth),
+z AS (SELECT top, SUM(saved) AS saved_tokens, COUNT(*) FILTER (n_children = 0) AS n_leaves FROM a JOIN f ON a.node = f.node GROUP BY top)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, z.n_leaves::BIGINT AS n_leaves,
+       z.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN z ON f.node = z.top LEFT JOIN f p ON f.depth > 0 AND f.up = p.node""",
     "op13_suffix_dedup": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(COALESCE(text, ''))) AS hx FROM documents),
 w AS (SELECT rid, i, md5(substr(hx, 2 * i - 1, 400)) AS k FROM d, unnest(range(1, length(hx) // 2 - 198)) u(i)),
