@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, bpe, chat, divergence, improbable, langid, mixing, simhash, suffix, toxicity, trie, warc
+from . import anchors, bpe, chat, collocations, divergence, improbable, langid, mixing, simhash, suffix, toxicity, trie, warc
 from .common import held_out_column, table
 from .stages import read_vocabulary
 
@@ -60,12 +60,16 @@ def op11_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_substring_dedup, op4_language_id, op5_simhash, op6_mixing,
-                                  op7_chat, op8_toxicity, op9_quality, op10_bpe, op11_conv_trie, op13_suffix_dedup)}
+                                  op7_chat, op8_toxicity, op9_quality, op10_bpe, op11_conv_trie, op12_collocations, op13_suffix_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -109,6 +113,24 @@ FROM b LEFT JOIN j ON b.rid = j.rid"""
 
 
 ORACLE = {
+    "op12_collocations": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, COALESCE(lang, 'und') AS lang,
+                  translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+size AS (SELECT lang, SUM(len(w)) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, COUNT(*) AS a
+      FROM p, unnest(range(1, 5)) x(k), unnest(range(1, len(w) - k + 2)) y(i) GROUP BY ALL HAVING COUNT(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, i, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS score
+      FROM c, unnest(range(1, k)) u(i)
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:i], ' ')
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[i + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+z AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, MAX(a) AS longer FROM c, unnest(range(2, k)) x(m), unnest(range(1, k - m + 2)) y(i) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN z ON b.lang = z.lang AND b.phrase = z.phrase WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT o.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN size ON o.lang = size.lang WHERE rank <= 2000""",
     "op11_conv_trie": """
 WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS pos
