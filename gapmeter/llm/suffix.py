@@ -89,7 +89,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     while len(live):
         at = order[live]
         ahead = at + done
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + n + 1, n - at)  # of ended ones the shorter first
         key = rank[at] << 32 | second
         o = np.argsort(key, kind="stable")
         at, key = at[o], key[o]
