@@ -1,42 +1,48 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-A document's histogram of character classes and its histogram of common words are
-compared to the histograms of each reference language (sums over all documents of that
-language that pass the base rules) by Jensen-Shannon distance. A document is kept if
-it passes the base rules and is close enough to some language in both. Histograms of
-short documents say little: below a minimum length a distance isn't judged.
+A document's histogram of character classes and its histogram of common words are compared with the histograms
+of reference languages by Jensen-Shannon distance. Everything is taken from the documents: a language with enough documents
+is a reference, its common words are those in most of its documents, its histograms are sums over its documents
+that pass the base rules, and how far a document may be off is a multiple of the median distance of
+those documents from their own reference. A document is kept if it passes the base rules and some language is near enough in
+both histograms. Histograms of short documents say little: below a minimum length a distance isn't judged.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Frequent function words of the reference languages.
-COMMON = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist"],
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "las", "con"],
-    "fr": ["de", "la", "et", "le", "les", "des", "en", "un", "une", "que"],
-}
-WORDS = sorted({w for ws in COMMON.values() for w in ws})
-#: Java character classes; what none matches is the last class.
-CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "point": r".,;:!?'\"()\-", "symbol": r"#*$%&|<>", "wide": r"\x{80}-\x{10FFFF}"}
+#: Java character classes, none of which overlap, frequent ones first; what none matches is the last class.
+CLASSES = {"lower": "a-z", "space": r"\x20\x09-\x0D", "upper": "A-Z", "digit": "0-9", "point": r".,;:!?'\"()\-", "symbol": r"#*$%&|<>", "wide": r"\x{80}-\x{10FFFF}"}
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE), lambda x: x != "")
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+def common_words(docs: DataFrame, per_language: int, least_docs: int, least_words: int, text_col: str, lang_col: str) -> list[str]:
+    """The ``per_language`` words in most documents (ties: by word) of each language with ``least_docs`` documents
+    of ``least_words`` words; all languages together, in order."""
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("ref"), _words(F.col(text_col).cast("string")).alias("w"))
+    rows = rows.where(F.size("w") >= least_words)
+    counts = rows.select("ref", F.explode(F.array_distinct("w")).alias("word")).groupBy("ref", "word").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("ref").orderBy(F.col("n").desc(), "word")
+    top = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
+    enough = [r.ref for r in docs.where(F.size(_words(F.col(text_col).cast("string"))) >= least_words).groupBy(F.col(lang_col).alias("ref")).count()
+              .where(F.col("ref").isNotNull() & (F.col("count") >= least_docs)).collect()]
+    return sorted({r.word for r in top.where(F.col("ref").isin(enough)).select("word").collect()}) if enough else []
+
+
+def base_counts(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """doc_id, ``more``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common: counts of one pass."""
     rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("w", F.filter(F.split("text", SPACE), lambda x: x != ""))
+    rows = rows.withColumn("w", _words(F.col("text")))
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines)
@@ -51,13 +57,18 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.filter("s", lambda x, i: F.coalesce((i > 0) & near(x, F.greatest(i, F.lit(1)), -1), F.lit(False)) | near(x, i, 1))
     rows = rows.withColumn("at", F.array_sort(F.transform(same, lambda x: x["i"])))
     covered = F.aggregate(F.transform("at", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    classes = [_count(F.col("text"), c).alias(n) for n, c in CLASSES.items()]
-    rows = rows.withColumn("c", F.struct(*classes, F.length("text").cast("long").alias("all")))
-    rows = rows.withColumn("known", F.filter("w", lambda x: x.isin(WORDS)))
-    known = [(F.size("known") - F.size(F.array_remove("known", w))).cast("long") for w in WORDS]
+    # what a class removes is counted, and only the rest is looked at again, the most frequent classes first
+    left, counted = F.col("text"), []
+    for name, chars in CLASSES.items():
+        rows = rows.withColumn(f"t_{name}", F.regexp_replace(left, f"[{chars}]+", ""))
+        counted.append((F.length(left) - F.length(f"t_{name}")).cast("long").alias(name))
+        left = F.col(f"t_{name}")
+    rows = rows.withColumn("c", F.struct(*counted, F.length("text").cast("long").alias("all")))
+    rows = rows.withColumn("known", F.filter("w", lambda x: x.isin(vocabulary)) if vocabulary else F.array().cast("array<string>"))
+    known = [(F.size("known") - F.size(F.array_remove("known", F.lit(w)))).cast("long") for w in vocabulary]
     named = [F.col(f"c.{n}") for n in CLASSES]
     return rows.select(
-        *[c for c in rows.columns if c not in ("text", "w", "lines", "h", "s", "at", "c", "known", "n_words")], "n_words",
+        *[c for c in rows.columns if c not in ("text", "w", "lines", "h", "s", "at", "c", "known", "n_words", *(f"t_{n}" for n in CLASSES))], "n_words",
         (F.col("c.all") - F.col("c.space")).alias("word_chars"), F.col("c.symbol").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -78,25 +89,46 @@ def _distance(counts: Column, reference: list[int]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def judge(docs: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.45, least_chars: int = 200, least_words: int = 80,
-          id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, class_factor: float = 2.0, word_factor: float = 2.0, least_chars: int = 200, least_words: int = 80, words_per_language: int = 20,
+          least_docs: int = 20, least_limit: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance (to the nearest language), kept.
 
-    Null text: no words, so base_failed. Null or unknown lang: judged, but part of no reference.
-    Without any reference nothing is judged and distances are null. Repeated rows stay and count
-    twice in references. Empty table: no rows. Other columns are ignored.
+    A language with ``least_docs`` documents that pass the base rules is a reference. Its limits are ``class_factor`` and
+    ``word_factor`` times the median distance (rounded to four digits) of those documents from it, of the ones long enough to be judged:
+    ``least_chars`` characters in words for classes, ``least_words`` words for common words; no limit is below
+    ``least_limit``, however alike they are. Common words are the
+    ``words_per_language`` ones in most documents of 50 words or more, of each language with ``least_docs`` of them.
+
+    Null text: no words, so base_failed. Null or rare lang: judged, but part of no reference. Without any reference nothing is
+    judged and distances are null. Repeated rows stay and count twice in references. Empty table: no rows. Other columns are ignored.
     """
-    rows = base_counts(docs, id_col, text_col, F.col(lang_col).alias("ref"))
+    vocabulary = common_words(docs, words_per_language, least_docs, 50, text_col, lang_col)
+    rows = base_counts(docs, vocabulary, id_col, text_col, F.col(lang_col).cast("string").alias("ref"))
     rows = materialize(rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    sums = [F.sum(F.get(a, F.lit(i))).alias(f"{a}{i}") for a, n in (("classes", len(CLASSES) + 1), ("common", len(WORDS) + 1)) for i in range(n)]
-    found = rows.where(~F.col("base_failed") & F.col("ref").isin(sorted(COMMON))).groupBy("ref").agg(*sums).collect()  # a row per language
-    best = {}
-    for a, n in (("classes", len(CLASSES) + 1), ("common", len(WORDS) + 1)):
-        each = [_distance(F.col(a), [r[f"{a}{i}"] for i in range(n)]) for r in sorted(found, key=lambda r: r["ref"])]
-        best[a] = F.round(F.least(*each) if len(each) > 1 else each[0], 6) if each else F.lit(None).cast("double")
-    rows = rows.withColumn("class_distance", best["classes"]).withColumn("word_distance", best["common"])
-    far = ((F.col("word_chars") >= least_chars) & (F.col("class_distance") > max_class_distance)) | \
-        ((F.col("n_words") >= least_words) & (F.col("word_distance") > max_word_distance))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                       "class_distance", "word_distance", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))
+    kinds = {"classes": (len(CLASSES) + 1, class_factor, F.col("word_chars") >= least_chars), "common": (len(vocabulary) + 1, word_factor, F.col("n_words") >= least_words)}
+    sums = [F.sum(F.get(a, F.lit(i))).alias(f"{a}{i}") for a, (n, _, _) in kinds.items() for i in range(n)]
+    good = rows.where(~F.col("base_failed") & F.col("ref").isNotNull())
+    found = good.groupBy("ref").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least_docs).collect()  # a row per language
+    found.sort(key=lambda r: r["ref"])
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    if not found:
+        none = F.lit(None).cast("double")
+        return rows.select(*base, none.alias("class_distance"), none.alias("word_distance"), (~F.col("base_failed")).alias("kept"))
+    for a, (n, _, _) in kinds.items():
+        rows = rows.withColumn(f"d_{a}", F.array(*[F.round(_distance(F.col(a), [r[f"{a}{i}"] for i in range(n)]), 6) for r in found]))
+    rows = materialize(rows.drop("classes", "common"))
+    # a median of distances in steps of 0.0001: its state is bounded
+    own = F.array_position(F.array(*[F.lit(r["ref"]) for r in found]), F.col("ref")).cast("int") - 1
+    medians = {r["ref"]: r for r in rows.where(~F.col("base_failed") & F.col("ref").isin([r["ref"] for r in found])).groupBy("ref").agg(
+        *[F.percentile(F.when(long, F.round(F.get(f"d_{a}", own), 4)), 0.5).alias(a) for a, (_, _, long) in kinds.items()]).collect()}
+
+    def near(at, lang):  # both histograms near this language, as far as they are judged
+        each = []
+        for a, (_, factor, long) in kinds.items():
+            if (m := medians[lang][a]) is not None:
+                each.append(~long | (F.get(f"d_{a}", F.lit(at)) <= max(least_limit, round(factor * m, 6))))
+        return reduce(lambda x, y: x & y, each, F.lit(True))
+    fits = reduce(lambda x, y: x | y, [near(i, r["ref"]) for i, r in enumerate(found)])
+    return rows.select(*base, F.array_min("d_classes").alias("class_distance"), F.array_min("d_common").alias("word_distance"),
+                       (~F.col("base_failed") & fits).alias("kept"))

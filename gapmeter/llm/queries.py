@@ -74,21 +74,11 @@ QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_substring_ded
 _SPACE = r"[\x20\x09-\x0D]"
 
 
-def _divergence_sql(max_class_distance=0.28, max_word_distance=0.45, least_chars=200, least_words=80) -> str:
-    """op9 in SQL: counts, reference histograms per language, Jensen-Shannon distances to the nearest."""
+def _divergence_sql(class_factor=2.0, word_factor=2.0, least_chars=200, least_words=80, words=20, least_docs=20, least_limit=0.1) -> str:
+    """op9 in SQL: counts, learned words, histograms per language, Jensen-Shannon distances, limits from medians."""
     classes = [*divergence.CLASSES.values()]
     counted = [f"len(regexp_replace(text, '[^{c.replace(chr(39), chr(39) * 2)}]+', '', 'g'))" for c in classes]
-    total = " + ".join(counted)
-    known = [f"len(list_filter(w, lambda x: x = '{x}'))" for x in divergence.WORDS]
-
-    def js(a):  # list positions hold the classes; p and q are shares
-        half = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
-        x, y = f"(d.{a}[i] / GREATEST(list_sum(d.{a}), 1)::DOUBLE)", f"(r.{a}[i] / list_sum(r.{a})::DOUBLE)"
-        return f"sqrt(GREATEST(list_sum([({half.format(x, y)} + {half.format(y, x)}) / 2 for i in range(1, len(d.{a}) + 1)]), 0))"
-
-    def sums(a, n):
-        return "[" + ", ".join(f"SUM({a}[{i}])" for i in range(1, n + 1)) + f"] AS {a}"
-
+    half = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, COALESCE(text, '') AS text FROM documents),
 s AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -98,18 +88,33 @@ r AS (SELECT rid, i FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, k) AS
 c AS (SELECT rid, SUM(LEAST(3, COALESCE(nxt - i, 3))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM r) GROUP BY rid),
 d AS (SELECT s.doc_id, s.lang, len(w) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
              len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-             COALESCE(c.n, 0) AS n_repeat_words, [{', '.join(counted)}, len(text) - ({total})] AS classes,
-             [{', '.join(known)}, len(w) - ({' + '.join(known)})] AS common, s.rid
+             COALESCE(c.n, 0) AS n_repeat_words, [{', '.join(counted)}, len(text) - ({" + ".join(counted)})] AS classes, w, s.rid
       FROM s LEFT JOIN c ON s.rid = c.rid),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM d),
-ref AS (SELECT lang, {sums('classes', len(classes) + 1)}, {sums('common', len(known) + 1)} FROM b
-        WHERE NOT base_failed AND lang IN ({', '.join(repr(x) for x in sorted(divergence.COMMON))}) GROUP BY lang),
-j AS (SELECT d.rid, ROUND(MIN({js('classes')}), 6) AS class_distance, ROUND(MIN({js('common')}), 6) AS word_distance FROM b d, ref r GROUP BY d.rid)
+many AS (SELECT lang FROM b WHERE lang IS NOT NULL AND n_words >= 50 GROUP BY lang HAVING COUNT(*) >= {least_docs}),
+dw AS (SELECT DISTINCT rid, lang, unnest(w) AS word FROM b WHERE n_words >= 50 AND lang IN (SELECT lang FROM many)),
+lw AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY COUNT(*) DESC, word) AS place FROM dw GROUP BY lang, word),
+v AS (SELECT DISTINCT word FROM lw WHERE place <= {words}),
+kw AS (SELECT rid, word, COUNT(*) AS n FROM (SELECT rid, unnest(w) AS word FROM b) WHERE word IN (SELECT word FROM v) GROUP BY rid, word),
+h AS (SELECT rid, 'c' AS kind, i::VARCHAR AS bin, classes[i] AS n FROM b, unnest(range(1, len(classes) + 1)) u(i)
+      UNION ALL SELECT b.rid, 'w', v.word, COALESCE(kw.n, 0) FROM b CROSS JOIN v LEFT JOIN kw ON kw.rid = b.rid AND kw.word = v.word
+      UNION ALL SELECT b.rid, 'w', ' ', n_words - COALESCE((SELECT SUM(n) FROM kw WHERE kw.rid = b.rid), 0) FROM b),
+q AS (SELECT *, n / GREATEST(SUM(n) OVER (PARTITION BY rid, kind), 1)::DOUBLE AS p FROM h),
+refs AS (SELECT lang FROM b WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING COUNT(*) >= {least_docs}),
+ref AS (SELECT lang, kind, bin, SUM(n) / SUM(SUM(n)) OVER (PARTITION BY lang, kind)::DOUBLE AS p
+        FROM h JOIN b ON h.rid = b.rid WHERE NOT base_failed AND lang IN (SELECT lang FROM refs) GROUP BY lang, kind, bin),
+js AS (SELECT rid, lang, q.kind, ROUND(sqrt(GREATEST(SUM(({half.format("q.p", "ref.p")} + {half.format("ref.p", "q.p")}) / 2), 0)), 6) AS d
+       FROM q JOIN ref ON q.kind = ref.kind AND q.bin = ref.bin GROUP BY rid, lang, q.kind),
+lim AS (SELECT js.lang, js.kind, GREATEST({least_limit}, ROUND(CASE js.kind WHEN 'c' THEN {class_factor} ELSE {word_factor} END * quantile_cont(ROUND(d, 4), 0.5), 6)) AS most
+        FROM js JOIN b ON js.rid = b.rid AND js.lang = b.lang
+        WHERE NOT base_failed AND CASE js.kind WHEN 'c' THEN word_chars >= {least_chars} ELSE n_words >= {least_words} END GROUP BY js.lang, js.kind),
+fit AS (SELECT js.rid, js.lang, bool_and(most IS NULL OR d <= most OR NOT CASE js.kind WHEN 'c' THEN word_chars >= {least_chars} ELSE n_words >= {least_words} END) AS ok
+        FROM js JOIN b ON js.rid = b.rid LEFT JOIN lim ON lim.lang = js.lang AND lim.kind = js.kind GROUP BY js.rid, js.lang),
+f AS (SELECT rid, bool_or(ok) AS ok FROM fit GROUP BY rid),
+j AS (SELECT rid, MIN(d) FILTER (kind = 'c') AS class_distance, MIN(d) FILTER (kind = 'w') AS word_distance FROM js GROUP BY rid)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, base_failed, class_distance, word_distance,
-       NOT base_failed AND NOT COALESCE((word_chars >= {least_chars} AND class_distance > {max_class_distance})
-                                        OR (n_words >= {least_words} AND word_distance > {max_word_distance}), FALSE) AS kept
-FROM b LEFT JOIN j ON b.rid = j.rid"""
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, class_distance, word_distance, NOT base_failed AND COALESCE(f.ok, TRUE) AS kept
+FROM b LEFT JOIN j ON b.rid = j.rid LEFT JOIN f ON b.rid = f.rid"""
 
 
 ORACLE = {
