@@ -2,18 +2,20 @@
 
 Encoding. For every prefix of a piece, BPE has one last token, and a sequence is
 BPE's own result exactly if each adjacent pair is BPE's result for the pair's
-bytes. So a machine reads bytes and holds a set of live hypotheses: (node of the
-token trie, token before that node's start). A byte moves each hypothesis; those
-that complete a token compatible with the token before them give the (unique)
-last token. This set is determinised on demand: each distinct set becomes a state,
-each (state, byte) an entry of the transition table, computed when first met. The
-table is dropped when it reaches ``max_states`` and grows anew, so memory is bounded.
+bytes. So a machine reads bytes and holds a set of live hypotheses, each a node of the
+token trie and, in a register, the token before that node's start. A byte moves each hypothesis; of those
+that complete a token, the one whose token is compatible with its register gives the (unique)
+last token. The sets are determinised on demand by their nodes: each distinct set becomes a state, each (state, byte) an
+entry of the transition table, computed when first met, with the tokens that may end there. Sets that differ in registers
+alone are one state, as the registers are the machine's own last outputs, no further back than the longest token.
+States and judged pairs are dropped when there are ``max_states`` and grow anew, so memory is bounded.
 Tokens are emitted after bounded lookahead: up to the last position that lies on the
 token chain of every live hypothesis, none of which reaches back further than the
 longest token.
 
-Decoding joins token bytes and runs them through an incremental UTF-8 state machine,
-which carries an unfinished character (3 bytes at most) from one block to the next.
+Decoding runs tokens through an incremental UTF-8 state machine, which carries an unfinished character (3 bytes
+at most) from one token and one block to the next; a token of whole characters leads from its first state back to
+it, so blocks of such tokens need no look at single bytes. What the machine emits is what is digested.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -42,32 +46,39 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    BITS = 20  # of a token
+
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
-        self.size = {r: len(t) for t, r in ranks.items()}
-        self.token = {r: t for t, r in ranks.items()}
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node; 0 is the root
-        self.at, self.depth, self.inner = [-1], [0], [True]
+        n = max(ranks.values(), default=0) + 1
+        if n >> self.BITS:
+            raise ValueError("the vocabulary is too large for the table")
+        self.token: list[bytes] = [b""] * n
+        self.size = array("i", bytes(4 * n))
+        self.child: dict[int, int] = {}  # node << 8 | byte -> node; 0 is the root
+        self.at, self.depth, self.inner = array("i", [-1]), array("i", [0]), bytearray([1])
         for t, r in ranks.items():
+            self.token[r], self.size[r] = t, len(t)
             node = 0
             for b in t:
-                self.inner[node] = True
+                self.inner[node] = 1
                 key = node << 8 | b
                 if key not in self.child:
                     self.child[key] = len(self.at)
                     self.at.append(-1)
-                    self.inner.append(False)
+                    self.inner.append(0)
                     self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.at[node] = r
-        self.edges: dict[int, tuple] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # a state maps byte -> (next state, last token); KEY holds its hypotheses
-        self.start: dict = {KEY: ((0, -1),)}
-        self.states = {self.start[KEY]: self.start}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # (state << 8 | byte) -> (next state, shortest token that may end there, longer ones as (length, token), longest first)
+        self.table: dict[int, tuple[int, int, tuple]] = {}
+        self.states: dict[tuple[int, ...], int] = {(0,): 0}
+        self.nodes = [(0,)]
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[int, tuple] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
         """BPE by its definition, for single tokens."""
@@ -109,12 +120,10 @@ class Transducer:
         second that stand side by side at some time join earlier than both are taken in
         (equal ranks: the leftmost pair goes first).
         """
-        if before < 0:
-            return self._edges(token)[3]
-        ok = self.pairs.get((before, token))
+        ok = self.pairs.get(before << self.BITS | token)
         if ok is None:
-            _, right, rises, whole = self._edges(before)
             left, _, rises2, whole2 = self._edges(token)
+            _, right, rises, whole = self._edges(before) if before >= 0 else ((), (), True, True)
             if not (whole and whole2):
                 ok = False
             elif rises and rises2:
@@ -125,121 +134,200 @@ class Transducer:
                             ok = False
             else:
                 ok = self.merge(self.token[before] + self.token[token]) == [self.token[before], self.token[token]]
-            self.pairs[before, token] = ok
+            self.pairs[before << self.BITS | token] = ok
         return ok
 
-    def _step(self, state: dict, byte: int) -> tuple[dict, int]:
-        last, live = -1, []
-        for node, before in state[KEY]:
+    def _step(self, state: int, byte: int) -> tuple[int, int, tuple]:
+        live, ends = [], []
+        for node in self.nodes[state]:  # the longest first
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
-            if last < 0 and (t := self.at[to]) >= 0 and self.follows(before, t):
-                last = t
+            if self.at[to] >= 0:
+                ends.append((self.depth[to], self.at[to]))
             if self.inner[to]:
-                live.append((to, before))
-        if last < 0:
+                live.append(to)
+        if not ends:
             raise ValueError(f"no token ends at byte {byte}: the vocabulary lacks single bytes")
-        live.append((0, last))
-        key = tuple(live)
-        to = self.states.get(key)
-        if to is None:
-            to = self.states[key] = {KEY: key}
-        out = state[byte] = to, last
+        key = (*live, 0)
+        to = self.states.setdefault(key, len(self.nodes))
+        if to == len(self.nodes):
+            self.nodes.append(key)
+        out = self.table[state << 8 | byte] = to, ends[-1][1], tuple(ends[:-1])
         return out
 
     def _chain(self, last: list[int], end: int) -> list[int]:
         """End positions on the token chain of the prefix of length ``end``."""
-        out = []
+        out, size = [], self.size
         while end > 0:
             out.append(end)
-            end -= self.size[last[end - 1]]
+            end -= size[last[end]]
         return out
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one piece."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) > self.max_states:
+        if len(self.nodes) + len(self.pairs) > self.max_states:
             self._reset()
-        out, last, state = [], [], self.start
+        out, last, state, table, pairs = [], [-1], 0, self.table, self.pairs  # last[i]: token that ends at i
         for at in range(0, len(piece), BLOCK):
             if at:
                 last = self._emit(out, last, state)
             add = last.append
-            for byte in piece[at:at + BLOCK]:
-                try:
-                    state, t = state[byte]
-                except KeyError:
-                    state, t = self._step(state, byte)
+            for end, byte in enumerate(piece[at:at + BLOCK], len(last)):
+                state, t, longer = table.get(state << 8 | byte) or self._step(state, byte)
+                for n, token in longer:  # if none of these, it is the shortest: one always is
+                    before = last[end - n]
+                    ok = pairs.get(before << 20 | token)
+                    if ok is None:
+                        ok = self.follows(before, token)
+                    if ok:
+                        t = token
+                        break
                 add(t)
-        done = self._chain(last, len(last))
-        out.extend([last[e - 1] for e in reversed(done)])
-        return out
-
-    def _emit(self, out: list[int], last: list[int], state: dict) -> list[int]:
-        starts = [len(last) - self.depth[node] for node, _ in state[KEY]]
+        done, end, size = [], len(last) - 1, self.size
+        while end > 0:
+            t = last[end]
+            done.append(t)
+            end -= size[t]
+        done.reverse()
+        return out + done if out else done
+
+    def _emit(self, out: list[int], last: list[int], state: int) -> list[int]:
+        starts = [len(last) - 1 - self.depth[node] for node in self.nodes[state]]
         if min(starts) <= 0:
             return last
         common = set.intersection(*(set(self._chain(last, s)) for s in starts))
         if not common:
             return last
         sure = max(common)
-        out.extend(last[e - 1] for e in reversed(self._chain(last, sure)))
+        out.extend(last[e] for e in reversed(self._chain(last, sure)))
         return last[sure:]
 
 
+def _utf8_table() -> tuple[bytes, bytes]:
+    """Class of each byte, and the next state by (state, class), after the well-formed sequences of Unicode's table 3-7.
+
+    States: 0 between characters; 1, 2, 3 so many continuation bytes to come; 4 to 7 as 2 or 3, but the next byte is
+    limited (after E0, ED, F0, F4); 8 no such sequence.
+    """
+    groups = [(0x00, 0x7F), (0x80, 0x8F), (0x90, 0x9F), (0xA0, 0xBF), (0xC2, 0xDF), (0xE0, 0xE0), (0xE1, 0xEC), (0xED, 0xED),
+              (0xEE, 0xEF), (0xF0, 0xF0), (0xF1, 0xF3), (0xF4, 0xF4)]
+    kind = bytearray([len(groups)]) * 256
+    for i, (a, b) in enumerate(groups):
+        kind[a:b + 1] = bytes([i]) * (b + 1 - a)
+    step = bytearray([8]) * (9 * 16)
+    for group, to in ((0, 0), (4, 1), (5, 4), (6, 2), (7, 5), (8, 2), (9, 6), (10, 3), (11, 7)):
+        step[group] = to
+    for state, groups_, to in ((1, (1, 2, 3), 0), (2, (1, 2, 3), 1), (3, (1, 2, 3), 2), (4, (3,), 1), (5, (1, 2), 1), (6, (2, 3), 2), (7, (1,), 2)):
+        for g in groups_:
+            step[state * 16 + g] = to
+    return bytes(kind), bytes(step)
+
+
 class Utf8Machine:
-    """Incremental UTF-8: whole characters out, at most 3 bytes held back."""
+    """Incremental UTF-8 by a state table: whole characters out, at most 3 bytes held back.
+
+    What belongs to no character becomes U+FFFD, one for each longest beginning of a character.
+    """
+
+    KIND, STEP = _utf8_table()
 
     def __init__(self):
-        self.held = b""
+        self.state, self.held = 0, b""
 
     def feed(self, data: bytes, final: bool = False) -> str:
-        data = self.held + data
-        cut = len(data)
-        if not final:
-            for back in range(1, min(3, len(data)) + 1):
-                b = data[-back]
-                if b >= 0xC0:  # first byte of a character that needs more than what follows
-                    if back < (2 if b < 0xE0 else 3 if b < 0xF0 else 4):
-                        cut -= back
-                    break
-                if b < 0x80:
-                    break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out, kind, step, state, start = [], self.KIND, self.STEP, self.state, 0
+        data, at = self.held + data, len(self.held)
+        whole = 0  # up to here data is whole characters
+        while at < len(data):
+            to = step[state * 16 + kind[data[at]]]
+            if to == 8:
+                out.append(data[start:whole].decode())
+                out.append("\ufffd")
+                if state == 0:
+                    at += 1
+                start = whole = at  # the byte that broke a sequence may begin another
+                state = 0
+                continue
+            at += 1
+            state = to
+            if state == 0:
+                whole = at
+        out.append(data[start:whole].decode())
+        self.state, self.held = state, data[whole:]
+        if final and self.held:
+            out.append("\ufffd")
+            self.state, self.held = 0, b""
+        return "".join(out)
 
 
 class Tokenizer:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_pieces: int = 300_000):
+    """Splits, encodes and decodes. Pieces of up to LONG_PIECE characters that were met before are kept in two
+    generations of at most ``cache_pieces`` / 2, so what is frequent stays when the rest goes; most
+    pieces are met once and never kept."""
+
+    LONG_PIECE, SEEN = 40, 1 << 21
+    WIDE = 16  # bytes of a token in the table of texts; longer ones go one by one
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_pieces: int = 400_000):
         self.machine = Transducer(ranks)
         pattern = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.split = regex.compile(pattern)
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.cache: dict[str, bytes] = {}  # piece -> its ids as 32-bit numbers
+        self.before: dict[str, bytes] = {}
         self.cache_pieces = cache_pieces
-
-    def _miss(self, piece: str):
-        if len(self.cache) >= self.cache_pieces:
-            self.cache.clear()
-        ids = tuple(self.machine.encode(piece.encode()))
-        out = self.cache[piece] = ids, " ".join(map(str, ids))
-        return out
+        self.seen, self.met = bytearray(self.SEEN), 0
+        tokens = self.machine.token
+        # decimal texts and a space, filled up with zero bytes; token bytes, filled up with FF, which UTF-8 doesn't have
+        self.decimal = np.array([f"{i} ".encode() for i in range(len(tokens))], "S8").view("<u8")
+        self.text = np.full((len(tokens), self.WIDE), 0xFF, np.uint8)
+        self.whole = np.zeros(len(tokens), bool)
+        for i, t in enumerate(tokens):
+            m = Utf8Machine()
+            if len(t) <= self.WIDE and m.feed(t).encode() == t and m.state == 0:
+                self.text[i, :len(t)], self.whole[i] = np.frombuffer(t, np.uint8), True
+
+    def _miss(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array("I", self.machine.encode(piece.encode())).tobytes()
+            at = hash(piece) & self.SEEN - 1
+            if not self.seen[at] or len(piece) > self.LONG_PIECE:
+                self.seen[at] = 1
+                self.met += 1
+                if self.met > self.SEEN // 4:
+                    self.seen, self.met = bytearray(self.SEEN), 0
+                return ids
+        if len(self.cache) >= self.cache_pieces // 2:
+            self.before, self.cache = self.cache, {}
+        self.cache[piece] = ids
+        return ids
 
     def blocks(self, text: str):
-        """Token ids block by block, each with its decimal text."""
+        """Token ids block by block (an array), each with its decimal text."""
         if len(text) <= 1 << 20:
             pieces = iter(self.split.findall(text))
         else:
             pieces = (m[0] for m in self.split.finditer(text))
-        get, miss = self.cache.get, self._miss
+        miss = self._miss
         while part := list(itertools.islice(pieces, BLOCK)):
-            found = [get(p) or miss(p) for p in part]
-            yield list(itertools.chain.from_iterable([f[0] for f in found])), " ".join([f[1] for f in found])
-
-    def decode(self, ids, machine: Utf8Machine) -> tuple[bytes, str]:
-        data = b"".join(map(self.machine.token.__getitem__, ids))
-        return data, machine.feed(data)
+            get = self.cache.get
+            ids = np.frombuffer(b"".join([get(p) or miss(p) for p in part]), np.uint32)
+            yield ids, self.decimal[ids].tobytes().translate(None, b"\0")[:-1]
+
+    def decode(self, ids: np.ndarray, machine: Utf8Machine, final: bool = False) -> bytes:
+        """UTF-8 of the text that the machine emits for the next ids."""
+        whole = self.whole[ids]
+        if machine.state == 0 and whole.all():  # each token leads from state 0 to state 0
+            out = self.text[ids].tobytes().translate(None, b"\xff")
+        else:
+            part, token = [], self.machine.token
+            for t, w in zip(ids.tolist(), whole.tolist()):
+                part.append(token[t] if w and machine.state == 0 else machine.feed(token[t]).encode())
+            out = b"".join(part)
+        return out + machine.feed(b"", final=True).encode() if final else out
 
 
 def tokenizer_of(shared: dict) -> Tokenizer:
@@ -264,20 +352,23 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, with_ids: bool
         for (doc_ids,), texts in text_groups(batches):
             rows = []
             for text in texts:
-                n, ids, names, data, utf8, sep = 0, [], hashlib.sha256(), hashlib.sha256(), Utf8Machine(), ""
+                n, ids, names, data, utf8, sep = 0, [], hashlib.sha256(), hashlib.sha256(), Utf8Machine(), b""
                 for block, decimal in tok.blocks((text or b"").decode()):
                     n += len(block)
-                    names.update((sep + decimal).encode())
-                    sep = " "
-                    data.update(tok.decode(block, utf8)[0])
+                    names.update(sep + decimal)
+                    sep = b" "
+                    data.update(tok.decode(block, utf8))
                     if with_ids:
-                        ids += block
+                        ids.append(block)
+                data.update(utf8.feed(b"", final=True).encode())
                 rows.append((n, names.hexdigest(), data.hexdigest(), ids))
             cols = list(map(list, zip(*rows)))
             out = [pa.array(doc_ids, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                out.append(pa.array(cols[3], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *cols[0]], dtype=np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint32), *itertools.chain.from_iterable(cols[3])])
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
