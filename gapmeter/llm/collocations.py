@@ -9,7 +9,7 @@
 
 The passes know the proposals as a bit array of bounded size, the same for every task. A place taken by chance only
 lets a phrase in that need not be counted: whether a phrase is counted depends on its words alone, so a count is
-always whole. Tasks count with numpy over about 4 MB of text at a time and send (phrase, count) rows.
+always whole. Tasks count with numpy over about 1 MB of text at a time and send (phrase, count) rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import WordHasher, mix64, rolling, text_groups
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LONGEST = 4
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 
 class Words:
@@ -103,10 +103,9 @@ def _counted(keys: np.ndarray):
     return s[start], np.diff(np.concatenate((start, [len(s)])))
 
 
-def _count_pass(docs: DataFrame, first: bool, new: np.ndarray | None, old: np.ndarray | None) -> DataFrame:
-    """(key, n) over ``docs``: all words in the first pass; phrases with both longest parts in ``new`` but not both in ``old``."""
-    shared = docs.sparkSession.sparkContext.broadcast((new, old))
-
+def _count_pass(docs: DataFrame, first: bool, shared) -> DataFrame:
+    """(key, n) over ``docs``: all words in the first pass; phrases with both longest parts in the first
+    bit array of ``shared`` but not both in the second."""
     def run(batches):
         now, before = (None if x is None else Places(x) for x in shared.value)
         for langs, texts in _groups(batches):
@@ -140,31 +139,33 @@ def _with(bits: np.ndarray, keys: DataFrame) -> np.ndarray:
     last = len(bits) * 64 - 1
     at = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(last)) for s in (2, 33)])).alias("at")
     words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = bits.copy()
-    out[words["word"].to_numpy(np.int64)] |= words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words.column("word").to_numpy()] |= words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def _mine(docs: DataFrame, least: int, size: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _mine(docs: DataFrame, least: int, most_bits: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of all proposed phrases, and of the frequent ones, once no frequent phrase is left out."""
-    new, old, first = start, None, True
-    frequent = np.zeros(size // 64, np.uint64)
+    new, old, frequent = start, None, None
     while True:
-        counts = _count_pass(docs, first, new, old).where(F.col("n") >= least)
-        found = materialize(counts)
+        shared = docs.sparkSession.sparkContext.broadcast((new, old))
+        found = materialize(_count_pass(docs, frequent is None, shared).where(F.col("n") >= least))
+        shared.destroy()
+        if frequent is None:
+            # places for the words and some 15 times as many phrases, 4 for each
+            wanted = len(new) * 64 if new is not None else 1 << math.ceil(math.log2(64 * max(found.count(), 1 << 10)))
+            none = frequent = np.zeros(min(most_bits, wanted) // 64, np.uint64)
         frequent = _with(frequent, found)
         # phrases of the greatest length are part of nothing longer
-        more = _with(np.zeros(size // 64, np.uint64) if new is None else new, found.where((F.col("key").bitwiseAND(F.lit(3))) < LONGEST - 1))
+        more = _with(none if new is None else new, found.where((F.col("key").bitwiseAND(F.lit(3))) < LONGEST - 1))
         if new is not None and (more == new).all():
             return new, frequent
-        old, new, first = new, more, False
-
+        old, new = new, more
 
-def _spell_pass(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(lang, phrase, n): phrases found in ``frequent``, and per language the number of words (phrase null)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+def _spell_pass(docs: DataFrame, shared) -> DataFrame:
+    """(lang, phrase, n): phrases found in the bit array ``shared``, and per language the number of words (phrase null)."""
     def run(batches):
         places = Places(shared.value)
         for langs, texts in _groups(batches):
@@ -207,13 +208,14 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, sample_share
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.col(text_col).cast("string").alias("text")).where("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    size = min(most_bits, max(1 << 16, 1 << math.ceil(math.log2(max(total, 1)))))
     texts = rows.select("lang", "text")
     sample = rows.where(F.pmod(F.xxhash64("id", "lang", "text"), F.lit(sample_share)) == 0).select("lang", "text")
-    proposed, _ = _mine(sample, max(2, least // (2 * sample_share)), size)
-    _, frequent = _mine(texts, least, size, proposed)
-    return _ranked(materialize(_spell_pass(texts, frequent)), least, top, inside_percent)
+    proposed, _ = _mine(sample, max(2, least // (2 * sample_share)), most_bits)
+    _, frequent = _mine(texts, least, most_bits, proposed)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    counts = materialize(_spell_pass(texts, shared))
+    shared.destroy()
+    return _ranked(counts, least, top, inside_percent)
 
 
 def _ranked(counts: DataFrame, least: int, top: int, inside_percent: int) -> DataFrame:
