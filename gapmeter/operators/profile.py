@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .quantiles import grouped_percentiles
 from ..functions.scalars import rnd
 
 
@@ -79,8 +80,8 @@ def cross_table(df: DataFrame, a: str, b: str, mean1: str, mean2: str) -> DataFr
 def quartile_class(df: DataFrame, col: str) -> DataFrame:
     """Colour class by quartiles of a mart column (<= Q1, >= Q3, else).
     The two quartiles are one aggregate row, read as two numbers."""
-    q = df.agg(F.percentile(F.col(col).cast("double"), [0.25, 0.75]).alias("q")).first()["q"]
-    q1, q3 = (q[0], q[1]) if q else (None, None)
+    row = grouped_percentiles(df.select(F.lit(1).alias("_all"), F.col(col).alias("_x")), ["_all"], {"q": ("_x", [0.25, 0.75])}).first()
+    q1, q3 = row["q"] if row and row["q"] else (None, None)
     c = F.col(col)
     return df.withColumn("quartil_klasse", F.when(c <= F.lit(q1), "unteres Quartil")
                          .when(c >= F.lit(q3), "oberes Quartil").otherwise("Mitte"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scalars import rnd
-from ..operators.quantiles import exact_percentiles
+from ..operators.quantiles import grouped_percentiles
 
 def _group() -> F.Column:
     return F.when(S.positive_flag("oeko_gutschrift"), "mit Gutschrift").otherwise("ohne Gutschrift")
@@ -47,12 +47,8 @@ def factor_median(reg: DataFrame, country: str) -> DataFrame:
     cred = F.coalesce("oeko_gutschrift", F.lit(0.0))
     rows = _fuel_rows(reg, country).select("ft", _group().alias("gruppe"), _ratio(F.col("co2_wltp")).alias("a"),
                                            _ratio(F.col("co2_wltp") + cred).alias("b"))
-    # ratios have no bound on distinct values, so no value map per group
-    keys = ["ft", "gruppe"]
-    long = rows.select(*keys, F.stack(F.lit(2), F.lit("a"), F.col("a"), F.lit("b"), F.col("b")).alias("m", "x"))
-    med = exact_percentiles(long, [*keys, "m"], "x", [0.5]).groupBy(*keys).pivot("m", ["a", "b"]).agg(F.first("p0"))
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("fahrzeuge"))
-    return n.join(med, keys, "left").select(*keys, "fahrzeuge", rnd("a", 1).alias("faktor_median"), rnd("b", 1).alias("faktor_median_zurueckaddiert"))
+    return grouped_percentiles(rows, ["ft", "gruppe"], {"_a": ("a", 0.5), "_b": ("b", 0.5)}, [F.count(F.lit(1)).alias("fahrzeuge")]).select(
+        "ft", "gruppe", "fahrzeuge", rnd("_a", 1).alias("faktor_median"), rnd("_b", 1).alias("faktor_median_zurueckaddiert"))
 
 
 def credit_size(reg: DataFrame, country: str) -> DataFrame:

@@ -1,40 +1,29 @@
 """Real-world gap analyses.
 
-All percentiles are exact interpolated percentiles (``percentile``), several
-probabilities of one column in one pass. ``percentile`` aggregates partially
-(map-side value->count maps), so a hot group -- a third of all rows in one
-drive class -- is combined per task before the shuffle; its state is bounded
-by the number of distinct values (consumption rounded to 3 digits, gap to 2).
-Unbounded value domains go through ``operators.quantiles``.
+All percentiles are exact interpolated percentiles by ``operators.quantiles``: value->count maps for groups
+of bounded size, radix selection for larger ones -- a third of all rows in one drive class --,
+so no task holds the values of a whole group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
 from ..session import materialize
+from ..operators.quantiles import SMALL, grouped_percentiles
 from ..operators.scan import global_rank
 from .core import analysable
 
 
-def pct(col: str, p: float | list[float]) -> Column:
-    return F.percentile(F.col(col).cast("double"), p)
-
-
 def gap_by_year(rw: DataFrame) -> DataFrame:
     """I8 (A4): per country x class x year, 13 measures incl. p10/p50/p90."""
-    g = (analysable(rw).groupBy("land", "antriebsklasse", "jahr")
-         .agg(F.count(F.lit(1)).alias("fahrzeuge"),
-              pct("dist_total_km", 0.5).alias("_km"),
-              pct("fc_real", 0.5).alias("_real"),
-              pct("fc_wltp", 0.5).alias("_wltp"),
-              pct("gap_abs", 0.5).alias("_gapl"),
-              pct("gap_pct", [0.1, 0.5, 0.9]).alias("_gp"),
-              F.avg("gap_pct").alias("_avg"),
-              pct("anteil_elektrisch", 0.5).alias("_e"),
-              pct("grid_kwh", 0.5).alias("_kwh")))
+    g = grouped_percentiles(
+        analysable(rw), ["land", "antriebsklasse", "jahr"],
+        {"_km": ("dist_total_km", 0.5), "_real": ("fc_real", 0.5), "_wltp": ("fc_wltp", 0.5), "_gapl": ("gap_abs", 0.5),
+         "_gp": ("gap_pct", [0.1, 0.5, 0.9]), "_e": ("anteil_elektrisch", 0.5), "_kwh": ("grid_kwh", 0.5)},
+        [F.count(F.lit(1)).alias("fahrzeuge"), F.avg("gap_pct").alias("_avg")])
     return g.select(
         "land", "antriebsklasse", "jahr", "fahrzeuge",
         rnd("_km", 0).alias("median_laufleistung"),
@@ -49,17 +38,14 @@ def gap_by_year(rw: DataFrame) -> DataFrame:
         rnd("_kwh", 0).alias("median_netzstrom_kwh"))
 
 
-def gap_pooled(rw: DataFrame) -> DataFrame:
-    """I9 (A4 pooled, the authoritative one): per country x class over all years."""
-    g = (analysable(rw).groupBy("land", "antriebsklasse")
-         .agg(F.count(F.lit(1)).alias("fahrzeuge"),
-              pct("fc_real", 0.5).alias("_real"),
-              pct("fc_wltp", 0.5).alias("_wltp"),
-              pct("gap_abs", 0.5).alias("_gapl"),
-              pct("gap_pct", [0.1, 0.5, 0.9]).alias("_gp"),
-              pct("anteil_elektrisch", 0.5).alias("_e"),
-              pct("dist_total_km", 0.5).alias("_km"),
-              F.min("jahr").alias("jahr_von"), F.max("jahr").alias("jahr_bis")))
+def gap_pooled(rw: DataFrame, small: int = SMALL) -> DataFrame:
+    """I9 (A4 pooled, the authoritative one): per country x class over all years.
+    ``small``: group size from which percentiles are selected in rounds."""
+    g = grouped_percentiles(
+        analysable(rw), ["land", "antriebsklasse"],
+        {"_real": ("fc_real", 0.5), "_wltp": ("fc_wltp", 0.5), "_gapl": ("gap_abs", 0.5), "_gp": ("gap_pct", [0.1, 0.5, 0.9]),
+         "_e": ("anteil_elektrisch", 0.5), "_km": ("dist_total_km", 0.5)},
+        [F.count(F.lit(1)).alias("fahrzeuge"), F.min("jahr").alias("jahr_von"), F.max("jahr").alias("jahr_bis")], small)
     return g.select(
         "land", "antriebsklasse", "fahrzeuge",
         rnd("_real", 2).alias("real_l"), rnd("_wltp", 2).alias("wltp_l"),
@@ -86,10 +72,8 @@ def gap_mean_of_medians(by_year: DataFrame, country: str | None = None) -> DataF
 
 def gap_pooled_country(rw: DataFrame, country: str) -> DataFrame:
     """I10 A4a2: pooled median over all years for one country, per class."""
-    g = (analysable(rw).filter(F.col("land") == country).groupBy("antriebsklasse")
-         .agg(F.count(F.lit(1)).alias("fahrzeuge"),
-              pct("fc_real", 0.5).alias("_r"), pct("fc_wltp", 0.5).alias("_w"),
-              pct("gap_pct", [0.5, 0.9]).alias("_g")))
+    g = grouped_percentiles(analysable(rw).filter(F.col("land") == country), ["antriebsklasse"],
+                            {"_r": ("fc_real", 0.5), "_w": ("fc_wltp", 0.5), "_g": ("gap_pct", [0.5, 0.9])}, [F.count(F.lit(1)).alias("fahrzeuge")])
     return g.select("antriebsklasse", "fahrzeuge", rnd("_r", 2).alias("real_l"),
                     rnd("_w", 2).alias("wltp_l"), rnd(F.col("_g")[0], 1).alias("gap_median_pct"),
                     rnd(F.col("_g")[1], 1).alias("gap_p90_pct"))
@@ -127,12 +111,11 @@ def model_medians(rw: DataFrame, country: str | None, min_vehicles: int,
         df = df.filter(F.col("land") == country)
     cls = (F.mode("antriebsklasse", deterministic=True) if class_rule == "mode"
            else F.min("antriebsklasse"))
-    return (df.groupBy("marke_norm", "handelsname_norm")
-            .agg(F.min("marke").alias("marke"), F.min("handelsname").alias("modell"),
-                 cls.alias("antriebsklasse"), F.count(F.lit(1)).alias("fahrzeuge"),
-                 pct("fc_wltp", 0.5).alias("wltp_x"), pct("fc_real", 0.5).alias("real_x"),
-                 pct("gap_pct", 0.5).alias("gap_x"), pct("masse_kg", 0.5).alias("masse_x"))
-            .filter(F.col("fahrzeuge") >= min_vehicles))
+    return grouped_percentiles(
+        df, ["marke_norm", "handelsname_norm"],
+        {"wltp_x": ("fc_wltp", 0.5), "real_x": ("fc_real", 0.5), "gap_x": ("gap_pct", 0.5), "masse_x": ("masse_kg", 0.5)},
+        [F.min("marke").alias("marke"), F.min("handelsname").alias("modell"), cls.alias("antriebsklasse"),
+         F.count(F.lit(1)).alias("fahrzeuge")]).filter(F.col("fahrzeuge") >= min_vehicles)
 
 
 def rank_reversal(rw: DataFrame, country: str | None = None, min_vehicles: int = 10,
@@ -158,26 +141,6 @@ def top_movers(reversal: DataFrame, n: int = 25, losers: bool = True) -> DataFra
     return reversal.orderBy(d, "marke", "modell").limit(n)
 
 
-def gap_pooled_scan(rw: DataFrame, buckets: int | None = None) -> DataFrame:
-    """I9 with the bucketed exact percentile (``operators.quantiles``): the same
-    numbers as ``gap_pooled`` when a value domain is too large for one task's
-    value->count map. The six measures are stacked into (measure, value) rows
-    so one bounded pass serves all of them."""
-    from ..operators.quantiles import exact_percentiles
-    a = analysable(rw)
-    keys = ["land", "antriebsklasse"]
-    base = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("fahrzeuge"), F.min("jahr").alias("jahr_von"),
-                                F.max("jahr").alias("jahr_bis"))
-    measures = ["fc_real", "fc_wltp", "gap_abs", "gap_pct", "anteil_elektrisch", "dist_total_km"]
-    st = F.stack(F.lit(len(measures)), *[x for m in measures for x in (F.lit(m), F.col(m).cast("double"))])
-    long = a.select(*keys, st.alias("_m", "_x"))
-    q = exact_percentiles(long, keys + ["_m"], "_x", [0.1, 0.5, 0.9], prefix="q", buckets=buckets)
-    wide = q.groupBy(*keys).pivot("_m", measures).agg(F.first(F.array("q0", "q1", "q2")))
-    w = wide.withColumnsRenamed({k: f"_w{k}" for k in keys})
-    out = base.join(w, [F.col(k).eqNullSafe(F.col(f"_w{k}")) for k in keys], "left").drop(*[f"_w{k}" for k in keys])
-    return out.select(
-        *keys, "fahrzeuge", rnd(F.col("fc_real")[1], 2).alias("real_l"), rnd(F.col("fc_wltp")[1], 2).alias("wltp_l"),
-        rnd(F.col("gap_abs")[1], 2).alias("gap_l"), rnd(F.col("gap_pct")[1], 1).alias("gap_median_pct"),
-        rnd(F.col("gap_pct")[2], 1).alias("gap_p90_pct"), rnd(F.col("gap_pct")[0], 1).alias("gap_p10_pct"),
-        rnd(F.col("anteil_elektrisch")[1], 1).alias("e_anteil_pct"),
-        rnd(F.col("dist_total_km")[1], 0).alias("laufleistung_km"), "jahr_von", "jahr_bis")
+def gap_pooled_scan(rw: DataFrame, small: int = 50) -> DataFrame:
+    """I9 with radix selection for all but the smallest groups: the same numbers as ``gap_pooled``."""
+    return gap_pooled(rw, small)

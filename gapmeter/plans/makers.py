@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scalars import rnd
+from ..operators.quantiles import grouped_percentiles
 from ..operators.scan import global_rank
 from .core import analysable
 
@@ -18,17 +19,18 @@ def _base(rw: DataFrame, country: str | None) -> DataFrame:
     return df if country is None else df.filter(F.col("land") == country)
 
 
+def _by_maker(df: DataFrame) -> DataFrame:
+    return df.withColumn("hersteller", F.coalesce("mh", F.lit("unbekannt")))
+
+
 def maker_gap_combustion(rw: DataFrame, country: str | None, min_n: int) -> DataFrame:
     """I15 (A7a): gap per maker, pure combustion cars only, makers with >= min_n."""
     df = _base(rw, country).filter(F.col("antriebsklasse").isin(ICE))
-    g = (df.groupBy(F.coalesce("mh", F.lit("unbekannt")).alias("hersteller"))
-         .agg(F.count(F.lit(1)).alias("fahrzeuge"),
-              F.count(F.when(F.col("antriebsklasse") == "ICE_BENZIN", 1)).alias("benziner"),
-              F.count(F.when(F.col("antriebsklasse") == "ICE_DIESEL", 1)).alias("diesel"),
-              F.percentile("fc_wltp", 0.5).alias("_w"), F.percentile("fc_real", 0.5).alias("_r"),
-              F.percentile("gap_pct", [0.1, 0.5, 0.9]).alias("_g"),
-              F.percentile("masse_kg", 0.5).alias("_m"), F.percentile("leistung_kw", 0.5).alias("_kw"))
-         .filter(F.col("fahrzeuge") >= min_n))          # E16 HAVING
+    g = grouped_percentiles(
+        _by_maker(df), ["hersteller"],
+        {"_w": ("fc_wltp", 0.5), "_r": ("fc_real", 0.5), "_g": ("gap_pct", [0.1, 0.5, 0.9]), "_m": ("masse_kg", 0.5), "_kw": ("leistung_kw", 0.5)},
+        [F.count(F.lit(1)).alias("fahrzeuge"), F.count(F.when(F.col("antriebsklasse") == "ICE_BENZIN", 1)).alias("benziner"),
+         F.count(F.when(F.col("antriebsklasse") == "ICE_DIESEL", 1)).alias("diesel")]).filter(F.col("fahrzeuge") >= min_n)          # E16 HAVING
     return g.select("hersteller", "fahrzeuge", "benziner", "diesel", rnd("_w", 2).alias("wltp_l"),
                     rnd("_r", 2).alias("real_l"), rnd(F.col("_g")[1], 1).alias("gap_median_pct"),
                     rnd(F.col("_g")[2], 1).alias("gap_p90_pct"), rnd(F.col("_g")[0], 1).alias("gap_p10_pct"),
@@ -53,12 +55,11 @@ def maker_spread(mart: DataFrame) -> DataFrame:
 def maker_gap_plugin(rw: DataFrame, country: str | None, min_n: int) -> DataFrame:
     """I16 (A7b): plug-in hybrids per maker."""
     df = _base(rw, country).filter(F.col("antriebsklasse") == "PHEV")
-    g = (df.groupBy(F.coalesce("mh", F.lit("unbekannt")).alias("hersteller"))
-         .agg(F.count(F.lit(1)).alias("fahrzeuge"), F.percentile("fc_wltp", 0.5).alias("_w"),
-              F.percentile("fc_real", 0.5).alias("_r"), F.percentile("gap_pct", 0.5).alias("_g"),
-              F.percentile("anteil_elektrisch", 0.5).alias("_e"), F.percentile("e_reichweite_km", 0.5).alias("_rw"),
-              F.percentile("masse_kg", 0.5).alias("_m"))
-         .filter(F.col("fahrzeuge") >= min_n))
+    g = grouped_percentiles(
+        _by_maker(df), ["hersteller"],
+        {"_w": ("fc_wltp", 0.5), "_r": ("fc_real", 0.5), "_g": ("gap_pct", 0.5), "_e": ("anteil_elektrisch", 0.5),
+         "_rw": ("e_reichweite_km", 0.5), "_m": ("masse_kg", 0.5)},
+        [F.count(F.lit(1)).alias("fahrzeuge")]).filter(F.col("fahrzeuge") >= min_n)
     return g.select("hersteller", "fahrzeuge", rnd("_w", 2).alias("wltp_l"), rnd("_r", 2).alias("real_l"),
                     rnd("_g", 1).alias("gap_median_pct"), rnd("_e", 1).alias("e_anteil_pct"),
                     rnd("_rw", 0).alias("e_reichweite_km"), rnd("_m", 0).alias("masse_kg"))
@@ -75,12 +76,11 @@ def range_bands(plugin: DataFrame, edges=((45, "unter 45 km"), (60, "45 bis 60 k
 def mix_effect(rw: DataFrame, combustion: DataFrame, country: str | None, min_n: int) -> DataFrame:
     """I17 (A7c): whole-fleet gap minus combustion-only gap per maker (join USING maker)."""
     df = _base(rw, country)
-    g = (df.groupBy(F.coalesce("mh", F.lit("unbekannt")).alias("hersteller"))
-         .agg(F.count(F.lit(1)).alias("fahrzeuge_gesamt"),
-              rnd(F.count(F.when(F.col("antriebsklasse") == "PHEV", 1)) * 100.0 / F.count(F.lit(1)), 1)
-              .alias("phev_anteil_pct"),
-              rnd(F.percentile("gap_pct", 0.5), 1).alias("gap_gesamt_pct"))
-         .filter(F.col("fahrzeuge_gesamt") >= min_n))
+    g = grouped_percentiles(
+        _by_maker(df), ["hersteller"], {"_g": ("gap_pct", 0.5)},
+        [F.count(F.lit(1)).alias("fahrzeuge_gesamt"),
+         rnd(F.count(F.when(F.col("antriebsklasse") == "PHEV", 1)) * 100.0 / F.count(F.lit(1)), 1).alias("phev_anteil_pct")])
+    g = g.filter(F.col("fahrzeuge_gesamt") >= min_n).select("hersteller", "fahrzeuge_gesamt", "phev_anteil_pct", rnd("_g", 1).alias("gap_gesamt_pct"))
     v = combustion.select("hersteller", F.col("gap_median_pct").alias("gap_nur_verbrenner_pct"))
     return (g.join(v, "hersteller")                              # D12: JOIN USING
             .withColumn("mixeffekt_pp", rnd(F.col("gap_gesamt_pct") - F.col("gap_nur_verbrenner_pct"), 1)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
-from ..operators.quantiles import exact_percentiles
+from ..operators.quantiles import grouped_percentiles
 
 # Direct combustion emission per litre of fuel (g CO2/l).
 FUEL_FACTORS = [
@@ -44,27 +44,20 @@ def class_basis(rw: DataFrame, reg: DataFrame, factors: DataFrame, country: str)
                   & (F.col("antriebsklasse") != "BEV"))
     kwh = F.when((F.col("dist_total_km") > 0) & F.col("grid_kwh").isNotNull(),
                  F.col("grid_kwh") / F.col("dist_total_km") * 100)
-    comb = (r.join(F.broadcast(factors), r.ft == factors.kraftstoff, "left")       # D7
-            .groupBy("antriebsklasse")
-            .agg(F.count(F.lit(1)).alias("fahrzeuge"),
-                 F.percentile("fc_real", 0.5).alias("fc_real"), F.percentile("fc_wltp", 0.5).alias("fc_wltp"),
-                 F.percentile("co2_wltp", 0.5).alias("co2_wltp"), F.percentile("masse_kg", 0.5).alias("masse_kg"),
-                 F.lit(None).cast("double").alias("wh_je_km_wltp"),
-                 F.mode("ft", deterministic=True).alias("ft_haeufigster"),
-                 rnd(F.avg("g_co2_je_l"), 1).alias("faktor_g_je_l"))
-            .withColumn("quelle_real", F.lit("OBFCM gemessen")))
-    # a ratio has no bound on distinct values, so no value map per class
-    med = exact_percentiles(r.withColumn("_kwh", kwh), ["antriebsklasse"], "_kwh", [0.5]) \
-        .select(F.col("antriebsklasse").alias("_cls"), F.col("p0").alias("kwh_je_100km"))
-    comb = comb.join(med, F.col("antriebsklasse").eqNullSafe(F.col("_cls")), "left").drop("_cls")
+    none = F.lit(None).cast("double")
+    comb = grouped_percentiles(
+        r.withColumn("_kwh", kwh).join(F.broadcast(factors), r.ft == factors.kraftstoff, "left"), ["antriebsklasse"],       # D7
+        {"fc_real": ("fc_real", 0.5), "fc_wltp": ("fc_wltp", 0.5), "co2_wltp": ("co2_wltp", 0.5), "masse_kg": ("masse_kg", 0.5), "kwh_je_100km": ("_kwh", 0.5)},
+        [F.count(F.lit(1)).alias("fahrzeuge"), F.mode("ft", deterministic=True).alias("ft_haeufigster"), rnd(F.avg("g_co2_je_l"), 1).alias("faktor_g_je_l")])
     b = reg.filter((F.col("ms") == country) & (F.col("antriebsklasse") == "BEV") & F.col("strom_wh_km").isNotNull())
-    bev = b.agg(F.lit("BEV").alias("antriebsklasse"), F.count(F.lit(1)).alias("fahrzeuge"),
-                F.lit(None).cast("double").alias("fc_real"), F.lit(None).cast("double").alias("fc_wltp"),
-                F.percentile("co2_wltp", 0.5).alias("co2_wltp"), F.percentile("masse_kg", 0.5).alias("masse_kg"),
-                F.lit(None).cast("double").alias("kwh_je_100km"),
-                F.percentile("strom_wh_km", 0.5).alias("wh_je_km_wltp"),
-                F.lit("electric").alias("ft_haeufigster"), F.lit(None).cast("double").alias("faktor_g_je_l"),
-                F.lit("WLTP Laborwert").alias("quelle_real"))
+    bev = grouped_percentiles(b, ["antriebsklasse"], {"co2_wltp": ("co2_wltp", 0.5), "masse_kg": ("masse_kg", 0.5), "wh_je_km_wltp": ("strom_wh_km", 0.5)},
+                              [F.count(F.lit(1)).alias("fahrzeuge")])
+    one = rw.sparkSession.range(1).select(F.lit("BEV").alias("antriebsklasse"))       # a row even without any BEV
+    bev = one.join(bev, "antriebsklasse", "left").withColumn("fahrzeuge", F.coalesce("fahrzeuge", F.lit(0)))
+    cols = ["antriebsklasse", "fahrzeuge", "fc_real", "fc_wltp", "co2_wltp", "masse_kg", "kwh_je_100km", "wh_je_km_wltp", "ft_haeufigster", "faktor_g_je_l", "quelle_real"]
+    comb = comb.withColumns({"wh_je_km_wltp": none, "quelle_real": F.lit("OBFCM gemessen")}).select(cols)
+    bev = bev.withColumns({"fc_real": none, "fc_wltp": none, "kwh_je_100km": none, "ft_haeufigster": F.lit("electric"), "faktor_g_je_l": none,
+                           "quelle_real": F.lit("WLTP Laborwert")}).select(cols)
     return comb.unionByName(bev)
 
 
