@@ -3,21 +3,45 @@
 The reference keeps an arbitrary survivor per key. Here the survivor is the
 row that sorts first by the given order (default: every non-key column,
 ascending, NULLs first), so the result is the same on every run and in every
-engine. The window is partitioned by the key: each task sorts only the rows
-of its own keys, nothing global.
+engine.
+
+Copies are rare, so the rows don't move for them: a narrow count finds the keys that
+occur more than once, all other rows pass where they are, and only rows of those keys
+meet. They meet in an aggregate (the least row, combined before the shuffle),
+so a key that holds a third of all rows is no task of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from ..session import materialize
+
+#: Up to so many repeated keys are broadcast; beyond, copies aren't rare and all rows are shuffled by key.
+BROADCAST_KEYS = 500_000
+
+
+def keep_one(df: DataFrame, keys: list[str], order: list | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    repeated = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(*keys))
+    n = repeated.count()
+    if n == 0:
+        return df
+    if n > broadcast_keys:
+        return _first_row(df, keys, order)
+    r = F.broadcast(repeated.withColumnsRenamed({k: f"_r{k}" for k in keys}))
+    on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
+    return df.join(r, on, "left_anti").unionByName(_first_row(df.join(r, on, "left_semi"), keys, order))
 
 
-def keep_one(df: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    order = order or [F.col(c).asc_nulls_first() for c in df.columns if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") == 1).drop("_rn"))
+def _first_row(df: DataFrame, keys: list[str], order: list | None) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    if order is None and rest and not any(isinstance(df.schema[c].dataType, MapType) for c in rest):
+        least = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))     # NULLs sort first in a struct
+        return least.select(*keys, "_row.*").select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*(order or [F.col(k) for k in keys]))
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def duplicate_groups(df: DataFrame, cols: list[str]) -> DataFrame:
