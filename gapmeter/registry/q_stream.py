@@ -11,6 +11,7 @@ from ..functions.scalars import rnd
 from ..oracle import adapter as O
 from ..sources.tables import read_table
 from ..streaming import incremental as INC
+from ..streaming.keyed import KeyedSink, run_keyed
 
 
 @query("stream_dedup", O.with_raw("SELECT DISTINCT jahr, id FROM raw"))
@@ -18,9 +19,10 @@ def stream_dedup(spark, d):
     """J1 + J2: the files of the raw layer are streamed, each once, and de-duplicated on (year, id)."""
     files = raw(spark, d).inputFiles()
     src = INC.file_stream(spark, os.path.dirname(files[0]), raw(spark, d).schema, max_files=-(-len(files) // 3))
-    sink, ck = INC.scratch(spark, "sink-dedup"), INC.scratch(spark, "ckpt-dedup")
-    INC.run_batches(src.select("jahr", "id"), sink, ck, INC.new_keys(["jahr", "id"]))
-    return spark.read.parquet(sink).select("jahr", "id")
+    keys = src.select("jahr", "id")
+    sink = KeyedSink(spark, INC.scratch(spark, "sink-dedup"), keys.columns, buckets=16, merge=2)
+    run_keyed(keys, sink, INC.scratch(spark, "ckpt-dedup"))
+    return sink.read(keys.schema)
 
 
 @query("stream_hourly", f"""

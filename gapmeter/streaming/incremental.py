@@ -4,7 +4,7 @@
   checkpoint location; ``Trigger.AvailableNow`` processes what is there and
   stops. A rerun picks up only new files (the reference's saved cursor and
   truncate-on-resume, done by Spark's offset log and sink commit log).
-* J2 -- duplicates after a resume: an anti-join with the sink (no state to keep),
+* J2 -- duplicates after a resume: an anti-join with the touched part of a keyed sink (``keyed.py``),
   or ``dropDuplicatesWithinWatermark`` when an event time bounds the state.
 * J3 -- hourly series with late rows: partial sums per micro-batch, complete in any
   order; or event-time windows with a watermark, where rows later than the watermark
@@ -66,8 +66,8 @@ def run_batches(df: DataFrame, sink: str, checkpoint: str, each) -> StreamingQue
 
 
 def new_keys(keys: list[str]):
-    """Rows of a batch whose key no batch before has brought; the sink is the only state, so
-    nothing grows in executor memory. Null keys count as equal."""
+    """J2 for few batches: rows of a batch whose key no batch before has brought, against the whole sink (``keyed.py`` reads
+    only the touched part). Null keys count as equal."""
     def each(batch: DataFrame, done: DataFrame | None) -> DataFrame:
         fresh = batch.dropDuplicates(keys)
         if done is None:
