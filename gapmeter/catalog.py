@@ -91,5 +91,5 @@ def mart_hourly(spark, d, build):
 # Importing the query modules fills QUERIES.
 from .registry import (  # noqa: E402,F401
     q_scalars, q_gap, q_quality, q_star, q_joins, q_profile, q_grid, q_marts,
-    q_wtw, q_makers, q_credit, q_training, q_misc, q_stream, q_files,
+    q_wtw, q_makers, q_credit, q_training, q_misc, q_stream, q_files, q_corrections,
 )

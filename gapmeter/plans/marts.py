@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scalars import rnd
+from ..operators.changes import mean
 
 # Approximate fleet-target parameters (base g/km, slope, M0 kg),
 # as published by the reference for its phase-in years and its 15 % step.
@@ -31,12 +32,32 @@ def fleet_target(params: DataFrame, year_col: str, mass: F.Column) -> F.Column:
     return rnd(F.col("basis_g_km") + F.col("a_faktor") * (mass - F.col("m0_kg")), 2)
 
 
+MIX_CELL = ["ms_code", "jahr", "antriebsklasse", "antrieb_label"]
+
+
 def powertrain_mix(fact_cls: DataFrame) -> DataFrame:
     """I3 (A1): per country x year x class: count, share, previous existing
     year's count, change in percentage points, mean CO2 and mass, status."""
-    base = (fact_cls.groupBy(F.col("ms").alias("ms_code"), "jahr", "antriebsklasse", "antrieb_label")
-            .agg(F.count(F.lit(1)).alias("zulassungen"), F.avg("co2_wltp").alias("_co2"),
-                 F.avg("masse_kg").alias("_m"), F.max("data_status").alias("data_status")))
+    return _mix(fact_cls.groupBy(F.col("ms").alias("ms_code"), "jahr", "antriebsklasse", "antrieb_label")
+                .agg(F.count(F.lit(1)).alias("zulassungen"), F.avg("co2_wltp").alias("_co2"),
+                     F.avg("masse_kg").alias("_m"), F.max("data_status").alias("data_status")))
+
+
+def mix_cells(reg: DataFrame) -> DataFrame:
+    """Rows as ``changes.partial_sums`` takes them for A1; the status is part of a cell, as a greatest one can't be taken back."""
+    return reg.select("jahr", "src_id", F.col("ms").alias("ms_code"), "antriebsklasse", S.class_label("antriebsklasse").alias("antrieb_label"),
+                      "data_status", "co2_wltp", "masse_kg")
+
+
+def powertrain_mix_of_cells(cells: DataFrame) -> DataFrame:
+    """I3 (A1) from partial sums per cell and status."""
+    one = cells.groupBy(*MIX_CELL).agg(
+        F.sum("n").alias("zulassungen"), F.max("data_status").alias("data_status"),
+        *[F.sum(f"{k}_{m}").alias(f"{k}_{m}") for m in ("co2_wltp", "masse_kg") for k in ("s", "n")])
+    return _mix(one.withColumn("_co2", mean("co2_wltp")).withColumn("_m", mean("masse_kg")))
+
+
+def _mix(base: DataFrame) -> DataFrame:
     cy = Window.partitionBy("ms_code", "jahr")
     w = Window.partitionBy("ms_code", "antriebsklasse").orderBy("jahr")
     a = (base.withColumn("zulassungen_land_jahr", F.sum("zulassungen").over(cy))

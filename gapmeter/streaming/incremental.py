@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalars import rnd
 from ..session import ensure_checkpoint_dir
 
 
@@ -86,6 +87,24 @@ def hourly_partials(ts: str, key: str, value: str):
     return each
 
 
+def hourly_with_late(ts: str, key: str, value: str, delay_hours: int):
+    """As ``hourly_partials``; rows more than ``delay_hours`` before the latest time of any batch before are
+    counted as late (``n_spaet``) and correct their hour all the same. That time is kept in the sink (``bis``)."""
+    def each(batch: DataFrame, done: DataFrame | None) -> DataFrame:
+        seen = done.agg(F.max("bis")).first()[0] if done is not None else None
+        late = F.lit(False) if seen is None else F.col(ts) < F.lit(seen) - F.expr(f"INTERVAL {int(delay_hours)} HOURS")
+        return (batch.groupBy(F.window(ts, "1 hour").alias("w"), F.col(key))
+                .agg(F.sum(value).alias("summe"), F.count(F.lit(1)).alias("n"), F.count(F.when(late, 1)).alias("n_spaet"), F.max(ts).alias("bis"))
+                .select(F.col("w.start").alias("fenster_start"), key, "summe", "n", "n_spaet", "bis"))
+    return each
+
+
+def hourly_totals(partials: DataFrame, key: str) -> DataFrame:
+    """The series that the partial sums of ``hourly_with_late`` add up to."""
+    return partials.groupBy(F.col("fenster_start").cast("timestamp_ntz").alias("fenster_start"), key).agg(
+        rnd(F.sum("summe"), 6).alias("summe"), F.sum("n").alias("n"), F.sum("n_spaet").alias("n_spaet"))
+
+
 def dedup_stream(df: DataFrame, keys: list[str], event_time: str, delay: str = "1 day") -> DataFrame:
     """J2 where copies arrive within ``delay``: the watermark bounds the state."""
     return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
