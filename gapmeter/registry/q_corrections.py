@@ -17,7 +17,6 @@ from .q_star import star
 
 #: Years whose first version is provisional.
 PROVISIONAL_FROM = 2000
-_COLS = ["jahr", "src_id", "ms_code", "antriebsklasse", "antrieb_label", "data_status", "co2_wltp", "masse_kg"]
 
 
 def _final(spark, d) -> DataFrame:
