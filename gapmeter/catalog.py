@@ -57,17 +57,29 @@ def rw(spark, d):
 
 
 
+#: Focus countries of the parameter table.
+FOCUS_COUNTRIES = [f"NATION_{i}" for i in (2, 3, 7, 11, 19, 23)]
+
+
+def country_parameters(spark, d):
+    from .plans import star as ST
+    from .sources.tables import read_table
+    return ST.country_parameters(read_table(spark, d, "nation"), read_table(spark, d, "region"), FOCUS_COUNTRIES)
+
+
 def star_fact(spark, d):
     """Year-partitioned fact table (A19), written once."""
     from .plans import star as ST
-    return L.layer(spark, d, "star_fact", lambda: ST.fact(reg(spark, d)), partition_by=["jahr"])
+    return L.layer(spark, d, "star_fact", lambda: ST.fact(reg(spark, d), {n: star_dim(spark, d, n) for n in ST.NATURAL}, stable=True),
+                   partition_by=["jahr"])
 
 
 def star_dim(spark, d, name):
+    """A dimension with its keys, written once."""
     from .plans import star as ST
     build = {"manufacturer": ST.dim_manufacturer, "model": ST.dim_model, "powertrain": ST.dim_powertrain,
-             "country": ST.dim_country}[name]
-    return L.layer(spark, d, f"star_dim_{name}", lambda: build(reg(spark, d)))
+             "country": lambda r: ST.dim_country(r, country_parameters(spark, d))}[name]
+    return L.layer(spark, d, f"star_dim_{name}", lambda: ST.keyed(name, build(reg(spark, d))))
 
 
 def mart_gap_by_year(spark, d):

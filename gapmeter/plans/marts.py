@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.scalars import rnd
 from ..operators.changes import mean
+from .star import UNKNOWN
 
 # Approximate fleet-target parameters (base g/km, slope, M0 kg),
 # as published by the reference for its phase-in years and its 15 % step.
@@ -32,20 +33,21 @@ def fleet_target(params: DataFrame, year_col: str, mass: F.Column) -> F.Column:
     return rnd(F.col("basis_g_km") + F.col("a_faktor") * (mass - F.col("m0_kg")), 2)
 
 
-MIX_CELL = ["ms_code", "jahr", "antriebsklasse", "antrieb_label"]
+MIX_CELL = ["ms_code", "land_name", "jahr", "antriebsklasse", "antrieb_label"]
 
 
 def powertrain_mix(fact_cls: DataFrame) -> DataFrame:
     """I3 (A1): per country x year x class: count, share, previous existing
     year's count, change in percentage points, mean CO2 and mass, status."""
-    return _mix(fact_cls.groupBy(F.col("ms").alias("ms_code"), "jahr", "antriebsklasse", "antrieb_label")
+    return _mix(fact_cls.groupBy(*MIX_CELL)
                 .agg(F.count(F.lit(1)).alias("zulassungen"), F.avg("co2_wltp").alias("_co2"),
                      F.avg("masse_kg").alias("_m"), F.max("data_status").alias("data_status")))
 
 
-def mix_cells(reg: DataFrame) -> DataFrame:
+def mix_cells(reg: DataFrame, countries: DataFrame) -> DataFrame:
     """Rows as ``changes.partial_sums`` takes them for A1; the status is part of a cell, as a greatest one can't be taken back."""
-    return reg.select("jahr", "src_id", F.col("ms").alias("ms_code"), "antriebsklasse", S.class_label("antriebsklasse").alias("antrieb_label"),
+    named = reg.withColumnRenamed("ms", "ms_code").join(countries.select("ms_code", "land_name"), "ms_code", "left")
+    return named.select("jahr", "src_id", "ms_code", F.coalesce("land_name", F.lit(UNKNOWN)).alias("land_name"), "antriebsklasse", S.class_label("antriebsklasse").alias("antrieb_label"),
                       "data_status", "co2_wltp", "masse_kg")
 
 
@@ -63,7 +65,7 @@ def _mix(base: DataFrame) -> DataFrame:
     a = (base.withColumn("zulassungen_land_jahr", F.sum("zulassungen").over(cy))
          .withColumn("anteil_prozent", rnd(F.col("zulassungen") * 100.0 / F.col("zulassungen_land_jahr"), 3)))
     return a.select(
-        "ms_code", "jahr", "antriebsklasse", "antrieb_label", "zulassungen", "zulassungen_land_jahr",
+        *MIX_CELL, "zulassungen", "zulassungen_land_jahr",
         "anteil_prozent", F.lag("zulassungen").over(w).alias("zulassungen_vorjahr"),
         rnd(F.col("anteil_prozent") - F.lag("anteil_prozent").over(w), 3).alias("delta_prozentpunkte"),
         rnd("_co2", 1).alias("avg_co2_wltp"), rnd("_m", 0).alias("avg_masse_kg"), "data_status")

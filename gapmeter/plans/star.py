@@ -1,11 +1,9 @@
 """Star schema: dimensions, partitioned fact, contracts.
 
-Surrogate keys are ``xxhash64`` of the text key: computed where the row is,
-no global numbering pass, stable across reruns. Key uniqueness (including
-hash collisions) is asserted by ``key_checks``. The fact joins its four
-dimensions on the natural text key; dimensions are distinct projections of
-core, so Spark broadcasts them when its size estimate is under the
-broadcast threshold and shuffles otherwise.
+Surrogate keys are dense numbers that persist over reloads (``keys.py``). The fact joins its
+dimensions on the natural text key and has a dense row key of its own. Dimensions are stored
+tables: Spark broadcasts them when their size is under the broadcast threshold and shuffles
+otherwise. A fact row without a country, or with a code nobody lists, keeps its place.
 """
 
 from __future__ import annotations
@@ -14,17 +12,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import keys as K
 
+#: Key of the unknown member of the country dimension, which rows without a code belong to.
+UNKNOWN_SK = 0
+UNKNOWN = "unbekannt"
+#: Natural key of each dimension that the fact joins.
+NATURAL = {"manufacturer": "schluessel", "model": "schluessel", "powertrain": "schluessel", "country": "ms_code"}
 
-def dim_country(reg: DataFrame) -> DataFrame:
-    return (reg.select(F.col("ms").alias("ms_code")).distinct()
-            .withColumn("country_sk", F.xxhash64("ms_code")))
+
+def country_parameters(nation: DataFrame, region: DataFrame, focus: list[str]) -> DataFrame:
+    """The country table as data: code, name, region, focus flag."""
+    j = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    return j.select(F.col("n_name").alias("ms_code"), F.initcap(F.regexp_replace("n_name", "_", " ")).alias("land_name"),
+                    F.col("r_name").alias("region"), F.col("n_name").isin(focus).alias("ist_fokusland"))
+
+
+def dim_country(reg: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+    """All listed codes and all codes seen; what is not listed (yet) has unknown attributes, but a key of its own."""
+    seen = reg.select(F.col("ms").alias("ms_code")).filter(F.col("ms").isNotNull()).distinct()
+    if parameters is None:
+        parameters = reg.sparkSession.createDataFrame([], "ms_code string, land_name string, region string, ist_fokusland boolean")
+    codes = seen.unionByName(parameters.select("ms_code")).distinct()
+    return codes.join(parameters, "ms_code", "left").select(
+        "ms_code", F.coalesce("land_name", F.lit(UNKNOWN)).alias("land_name"), F.coalesce("region", F.lit(UNKNOWN)).alias("region"),
+        F.coalesce("ist_fokusland", F.lit(False)).alias("ist_fokusland"), F.col("land_name").isNotNull().alias("ist_gelistet"))
+
+
+def unknown_country(dim: DataFrame) -> DataFrame:
+    """The member for rows without a code."""
+    values = {"country_sk": UNKNOWN_SK, "ms_code": None, "land_name": UNKNOWN, "region": UNKNOWN, "ist_fokusland": False, "ist_gelistet": False}
+    return dim.sparkSession.range(1).select(*[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in dim.schema])
+
+
+def keyed(name: str, dim: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """A dimension with its surrogate keys: the stored ones, and the next numbers for new members."""
+    nat, sk = [NATURAL[name]], f"{name}_sk"
+    if stored is not None and name == "country":
+        stored = stored.filter(F.col(sk) != UNKNOWN_SK)
+    out = K.with_keys(dim, K.extend(stored, dim, nat, sk), nat, sk)
+    return out.unionByName(unknown_country(out)) if name == "country" else out
 
 
 def dim_manufacturer(reg: DataFrame) -> DataFrame:
     d = reg.select("mp_pool", "mh_name", "man_name").distinct()
     return d.select(
-        F.xxhash64(S.pipe_key("mp_pool", "mh_name", "man_name")).alias("manufacturer_sk"),
         S.pipe_key("mp_pool", "mh_name", "man_name").alias("schluessel"),
         "mp_pool", "mh_name", "man_name",
         S.settlement_unit("mp_pool", "mh_name", "man_name").alias("hersteller_gruppe"),
@@ -33,15 +65,13 @@ def dim_manufacturer(reg: DataFrame) -> DataFrame:
 
 def dim_model(reg: DataFrame) -> DataFrame:
     d = reg.select("marke", "handelsname", "marke_norm", "handelsname_norm").distinct()
-    return d.select(F.xxhash64(S.pipe_key("marke", "handelsname")).alias("model_sk"),
-                    S.pipe_key("marke", "handelsname").alias("schluessel"),
+    return d.select(S.pipe_key("marke", "handelsname").alias("schluessel"),
                     "marke", "handelsname", "marke_norm", "handelsname_norm")
 
 
 def dim_powertrain(reg: DataFrame) -> DataFrame:
     d = reg.select("ft", "fm", "antriebsklasse", "ist_elektrifiziert", "ist_extern_ladbar").distinct()
-    return d.select(F.xxhash64(S.pipe_key("ft", "fm")).alias("powertrain_sk"),
-                    S.pipe_key("ft", "fm").alias("schluessel"), "ft", "fm", "antriebsklasse",
+    return d.select(S.pipe_key("ft", "fm").alias("schluessel"), "ft", "fm", "antriebsklasse",
                     S.class_label("antriebsklasse").alias("antrieb_label"),
                     "ist_elektrifiziert", "ist_extern_ladbar")
 
@@ -63,22 +93,24 @@ def dim_date(reg: DataFrame) -> DataFrame:
     return d.unionByName(unknown)
 
 
-def fact(reg: DataFrame) -> DataFrame:
-    """Core joined to its four dimensions on text keys (inner)."""
-    r = reg.select(
-        "src_id", "jahr", S.date_key("zulassung_datum").alias("date_sk"), "ms",
-        S.pipe_key("mp_pool", "mh_name", "man_name").alias("_km"),
-        S.pipe_key("marke", "handelsname").alias("_kmo"),
-        S.pipe_key("ft", "fm").alias("_kp"),
+def fact(reg: DataFrame, dims: dict[str, DataFrame] | None = None, stable: bool = False) -> DataFrame:
+    """Core joined to its four dimensions on text keys; every core row is a fact row.
+
+    ``dims`` are the dimensions with their keys (without: a first load, made from ``reg``). ``stable``: ``reg`` is a
+    plain scan of a finished table."""
+    if dims is None:
+        dims = {n: keyed(n, build(reg)) for n, build in (("manufacturer", dim_manufacturer), ("model", dim_model), ("powertrain", dim_powertrain), ("country", dim_country))}
+    r = K.numbered(reg, "fact_sk", stable=stable).select(
+        "fact_sk", "src_id", "jahr", S.date_key("zulassung_datum").alias("date_sk"), "ms",
+        S.pipe_key("mp_pool", "mh_name", "man_name").alias("_manufacturer"),
+        S.pipe_key("marke", "handelsname").alias("_model"),
+        S.pipe_key("ft", "fm").alias("_powertrain"), F.col("ms").alias("_country"),
         "masse_kg", "pruefmasse_kg", "co2_wltp", "leistung_kw", "strom_wh_km",
         "oeko_gutschrift", "oeko_codes", "data_status", "source_version")
-    dc = dim_country(reg)
-    dm = dim_manufacturer(reg).select(F.col("schluessel").alias("_km"), "manufacturer_sk")
-    dmo = dim_model(reg).select(F.col("schluessel").alias("_kmo"), "model_sk")
-    dp = dim_powertrain(reg).select(F.col("schluessel").alias("_kp"), "powertrain_sk")
-    f = (r.join(dc, r.ms == dc.ms_code).drop("ms_code")
-         .join(dm, "_km").join(dmo, "_kmo").join(dp, "_kp"))
-    return f.drop("_km", "_kmo", "_kp")
+    for name, nat in NATURAL.items():
+        one = dims[name].select(F.col(nat).alias(f"_{name}"), f"{name}_sk")
+        r = r.join(one, f"_{name}", "left" if name == "country" else "inner").drop(f"_{name}")
+    return r.withColumn("country_sk", F.coalesce("country_sk", F.lit(UNKNOWN_SK)))
 
 
 def key_checks(dims: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import query, reg
+from ..catalog import query, reg, star_dim
 from ..operators import changes as CH
 from ..oracle import adapter as O
 from ..plans import layers as L
@@ -20,7 +20,7 @@ PROVISIONAL_FROM = 2000
 
 
 def _final(spark, d) -> DataFrame:
-    return M.mix_cells(reg(spark, d))
+    return M.mix_cells(reg(spark, d), star_dim(spark, d, "country"))
 
 
 def _provisional(spark, d) -> DataFrame:
