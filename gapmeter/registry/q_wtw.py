@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..catalog import query, reg, rw
 from ..oracle import adapter as O
 from ..oracle.adapter import rnd
 from ..plans import gridmix as GM
+from ..plans import layers as L
+from ..plans import reconcile as R
 from ..plans import wtw as W
+from ..sources import load as LD
 from ..sources.adapter import generation_long
+from ..streaming.incremental import scratch
 from .q_grid import _LONG
 
 FOCUS = "NATION_7"
@@ -116,22 +122,80 @@ def wtw_consistency(spark, d):
     return W.consistency(_wtw(spark, d))
 
 
-_AGG = """, agg AS (SELECT jahr, mh AS hersteller, ft AS kraftstoff, count(*) AS n_fahrzeuge, avg(fc_real) AS obfcm_fc,
+# The official aggregate is a file of its own: written as the authority would, with deviations planted by the count of a
+# cell -- 10 % more (every 7th), 1 % more (every 5th of the rest), cells it lacks (rest 3 of 11) and cells of a fuel nobody
+# measured (rest 5 of 13) --, and read back as text.
+_PLANT = "CASE WHEN n_fahrzeuge % 7 = 0 THEN 1.10 WHEN n_fahrzeuge % 5 = 0 THEN 1.01 ELSE 1 END"
+STRANGE_FUEL = "wood gas"
+
+_OFFICIAL = f""", agg AS (SELECT jahr, mh AS hersteller, ft AS kraftstoff, count(*) AS n_fahrzeuge, avg(fc_real) AS obfcm_fc,
    avg(fc_wltp) AS wltp_fc, avg(gap_pct) AS gap_fc_pct, avg(fc_real * co2_wltp / fc_wltp) AS obfcm_co2,
-   avg(co2_wltp) AS wltp_co2 FROM rw WHERE ft IS NOT NULL GROUP BY ALL)"""
+   avg(co2_wltp) AS wltp_co2 FROM rw WHERE ft IS NOT NULL GROUP BY ALL),
+num AS (SELECT jahr, hersteller, kraftstoff, n_fahrzeuge, round(obfcm_fc * ({_PLANT}), 6) AS obfcm_fc, round(wltp_fc, 6) AS wltp_fc,
+   round(gap_fc_pct, 6) AS gap_fc_pct, round(obfcm_co2, 6) AS obfcm_co2, round(wltp_co2, 6) AS wltp_co2 FROM agg),
+off AS (SELECT * FROM num WHERE n_fahrzeuge % 11 <> 3
+   UNION ALL SELECT * REPLACE ('{STRANGE_FUEL}' AS kraftstoff) FROM num WHERE n_fahrzeuge % 13 = 5 AND kraftstoff = 'petrol')"""
+
+
+def _official(spark, d):
+    """The official file, written once and read as text."""
+    def build():
+        rows = R.official_rows(rw(spark, d)).withColumn("obfcm_fc", F.col("obfcm_fc") * F.expr(_PLANT))
+        strange = rows.filter("n_fahrzeuge % 13 = 5 AND kraftstoff = 'petrol'").withColumn("kraftstoff", F.lit(STRANGE_FUEL))
+        path = scratch(spark, "text-official")
+        R.as_text(rows.filter("n_fahrzeuge % 11 <> 3").unionByName(strange)).write.option("header", True).option("escape", '"').option("nullValue", "NULL").csv(path)
+        return R.official_from_text(LD.read_null_word_csv(spark, path))
+    return L.layer(spark, d, "official_aggregate", build)
 
 
-@query("factor_backcheck", O.with_rw(_AGG + f"""
+@query("factor_backcheck", O.with_rw(_OFFICIAL + f"""
 SELECT kraftstoff, count(*) AS gruppen, {rnd('avg(obfcm_co2 / nullif(obfcm_fc, 0) * 100)', 0)} AS faktor_aus_obfcm,
   {rnd('avg(wltp_co2 / nullif(wltp_fc, 0) * 100)', 0)} AS faktor_aus_wltp
-FROM agg WHERE n_fahrzeuge >= {MIN_AGG} GROUP BY kraftstoff"""))
+FROM off WHERE n_fahrzeuge >= {MIN_AGG} GROUP BY kraftstoff"""))
 def factor_backcheck(spark, d):
-    return W.factor_backcheck(W.official_aggregate(rw(spark, d)), MIN_AGG)
+    return W.factor_backcheck(_official(spark, d), MIN_AGG)
 
 
-@query("official_crosscheck", O.with_rw(_AGG + f"""
+@query("official_crosscheck", O.with_rw(_OFFICIAL + f"""
 SELECT jahr, kraftstoff, CAST(sum(n_fahrzeuge) AS BIGINT) AS eea_fahrzeuge, {rnd('avg(gap_fc_pct)', 1)} AS eea_gap_pct,
   {rnd('avg(obfcm_fc)', 2)} AS eea_real_l, {rnd('avg(wltp_fc)', 2)} AS eea_wltp_l
-FROM agg WHERE n_fahrzeuge >= {MIN_AGG} GROUP BY jahr, kraftstoff"""))
+FROM off WHERE n_fahrzeuge >= {MIN_AGG} GROUP BY jahr, kraftstoff"""))
 def official_crosscheck(spark, d):
-    return W.official_crosscheck(W.official_aggregate(rw(spark, d)), MIN_AGG)
+    return W.official_crosscheck(_official(spark, d), MIN_AGG)
+
+
+_RECONCILED = _OFFICIAL + f""",
+own AS (SELECT jahr, hersteller, kraftstoff, n_fahrzeuge AS eigen_n, obfcm_fc AS eigen_fc FROM agg),
+j AS (SELECT coalesce(own.jahr, off.jahr) AS jahr, CASE WHEN eigen_n IS NULL THEN off.hersteller ELSE own.hersteller END AS hersteller,
+   coalesce(own.kraftstoff, off.kraftstoff) AS kraftstoff, eigen_n, n_fahrzeuge AS amtlich_n, eigen_fc, obfcm_fc AS amtlich_fc,
+   (obfcm_fc - eigen_fc) * 100 / nullif(eigen_fc, 0) AS dev
+   FROM own FULL JOIN off ON own.jahr = off.jahr AND own.hersteller IS NOT DISTINCT FROM off.hersteller AND own.kraftstoff = off.kraftstoff),
+u AS (SELECT *, CASE WHEN amtlich_n IS NULL THEN '{R.OWN_ONLY}' WHEN eigen_n IS NULL THEN '{R.OFFICIAL_ONLY}'
+   WHEN dev IS NULL THEN CASE WHEN eigen_fc IS NOT DISTINCT FROM amtlich_fc THEN '{R.SAME}' ELSE '{R.FAR}' END
+   WHEN abs(round(dev, 6)) <= 0.1 THEN '{R.SAME}' WHEN abs(round(dev, 6)) <= 5 THEN '{R.NEAR}' ELSE '{R.FAR}' END AS urteil,
+   CAST(round(greatest(coalesce(eigen_n, 0), coalesce(amtlich_n, 0)) * abs(coalesce(amtlich_fc, 0) - coalesce(eigen_fc, 0)), 4) AS DECIMAL(28,4)) AS amount FROM j),
+cells AS (SELECT jahr, hersteller, kraftstoff, eigen_n, amtlich_n, {rnd('eigen_fc', 3)} AS eigen_fc, {rnd('amtlich_fc', 3)} AS amtlich_fc,
+   {rnd('dev', 2)} AS abweichung_prozent, urteil, {rnd('CAST(amount AS DOUBLE) * 100 / (SELECT CAST(sum(amount) AS DOUBLE) FROM u)', 4)} AS anteil_prozent FROM u)"""
+
+
+@query("official_reconcile", O.with_rw(_RECONCILED + "\nSELECT * FROM cells"))
+def official_reconcile(spark, d):
+    """Every cell of either side with its verdict and its share of the difference."""
+    return R.reconcile(R.own_cells(rw(spark, d)), _official(spark, d))
+
+
+@query("official_verdicts", O.with_rw(_RECONCILED + f"""
+SELECT urteil, count(*) AS zellen, CAST(coalesce(sum(eigen_n), 0) AS BIGINT) AS eigen_n, CAST(coalesce(sum(amtlich_n), 0) AS BIGINT) AS amtlich_n,
+  {rnd('sum(anteil_prozent)', 2)} AS anteil_prozent FROM cells GROUP BY urteil"""))
+def official_verdicts(spark, d):
+    return R.verdicts(official_reconcile(spark, d))
+
+
+@query("official_deviations", O.with_rw(_OFFICIAL + f"""
+SELECT jahr, hersteller, kraftstoff, '{R.FAR}' AS urteil FROM agg WHERE n_fahrzeuge % 7 = 0 AND n_fahrzeuge % 11 <> 3 AND obfcm_fc > 0
+UNION ALL SELECT jahr, hersteller, kraftstoff, '{R.NEAR}' FROM agg WHERE n_fahrzeuge % 5 = 0 AND n_fahrzeuge % 7 <> 0 AND n_fahrzeuge % 11 <> 3 AND obfcm_fc > 0
+UNION ALL SELECT jahr, hersteller, kraftstoff, '{R.OWN_ONLY}' FROM agg WHERE n_fahrzeuge % 11 = 3
+UNION ALL SELECT jahr, hersteller, '{STRANGE_FUEL}', '{R.OFFICIAL_ONLY}' FROM agg WHERE n_fahrzeuge % 13 = 5 AND kraftstoff = 'petrol'"""))
+def official_deviations(spark, d):
+    """A3: exactly the planted deviations, by their rule."""
+    return official_reconcile(spark, d).filter(F.col("urteil") != R.SAME).select("jahr", "hersteller", "kraftstoff", "urteil")
