@@ -187,15 +187,19 @@ SELECT d.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_dige
        CASE WHEN f.n > 1 AND d.page_id <> f.first_id THEN f.first_id END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest""",
     "op7_chat": """
-WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, turn FROM conversations),
-c AS (SELECT conv_id, COUNT(*) AS n, list(sha256(length(role) || ':' || role || text) ORDER BY turn NULLS FIRST, role, text) AS own,
-             string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>', chr(10) ORDER BY turn NULLS FIRST, role, text) AS rendered
-      FROM t GROUP BY conv_id),
-k AS (SELECT conv_id, n, rendered, i, list_reduce(list_concat([''], own[1:i]), lambda a, x: sha256(a || x)) AS chain
-      FROM c, unnest(range(1, n + 1)) u(i)),
-m AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY conv_id NULLS LAST) AS place FROM k
-      WHERE i = n AND chain NOT IN (SELECT chain FROM k WHERE i < n))
-SELECT conv_id, CAST(n AS INTEGER) AS n_turns, rendered, chain AS chain_sha256 FROM m WHERE place = 1""",
+WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS pos,
+                  COUNT(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+d AS (SELECT *, sha256(length(role) || ':' || role || text) AS own FROM t),
+h AS (SELECT *, sha256(pos || ':' || ('0x' || own[1:15])::BIGINT || ':' || ('0x' || own[16:30])::BIGINT) AS x FROM d),
+k AS (SELECT *, bit_xor(('0x' || x[1:15])::BIGINT) OVER w AS ha, bit_xor(('0x' || x[16:30])::BIGINT) OVER w AS hb FROM h
+      WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, row_number() OVER (PARTITION BY n, ha, hb ORDER BY conv_id NULLS LAST) AS place FROM k
+      WHERE pos = n AND (n, ha, hb) NOT IN (SELECT (pos, ha, hb) FROM k WHERE pos < n))
+SELECT k.conv_id, (k.pos - 1) // 256 AS part, CAST(k.n AS INTEGER) AS n_turns,
+       string_agg('<|' || k.role || '|>' || chr(10) || k.text || '<|end|>', chr(10) ORDER BY k.pos) AS rendered,
+       printf('%015x', m.ha) || printf('%015x', m.hb) AS chain_hash
+FROM m JOIN k ON m.conv_id IS NOT DISTINCT FROM k.conv_id WHERE m.place = 1 GROUP BY k.conv_id, part, k.n, m.ha, m.hb""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 q AS (SELECT doc_id, 0.2 + 0.8 * AVG(quality) AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
