@@ -39,7 +39,7 @@ def test_long_conversations_and_rows_without_id(spark):
 def test_work_is_spread_over_tasks(spark):
     """The largest conversation has two thirds of all turns; no task numbers, and no row holds, more than its share."""
     from gapmeter.llm import chat, trie
-    talk = {7: [("u", f"long {i}") for i in range(4000)]} | {c: [("u", f"{c} {i}") for i in range(4)] for c in range(500)}
+    talk = {7: [("u", f"long {i}") for i in range(4000)]} | {c: [("u", f"{c} {i}") for i in range(4)] for c in range(10, 510)}
     df = _rows(spark, talk)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
