@@ -294,13 +294,27 @@ def version_pick(spark, d):
     return L.pick_versions(names)
 
 
-@query("key_windows", """
-WITH s AS (SELECT min(o_orderkey) AS lo, greatest(1, ceil((max(o_orderkey) - min(o_orderkey) + 1) * 2000 / count(o_orderkey)))::BIGINT AS w FROM orders),
-k AS (SELECT (o_orderkey - lo) // w AS fenster, count(*) AS zeilen FROM orders, s GROUP BY 1)
-SELECT fenster::BIGINT AS fenster, lo + fenster * w AS von, lo + (fenster + 1) * w AS bis, zeilen FROM k, s""")
+_HALVED = """
+WITH RECURSIVE s AS (SELECT min(o_orderkey) AS lo, greatest(1, length(trim(leading '0' FROM bin(max(o_orderkey) - min(o_orderkey))))) AS d FROM orders),
+w AS (SELECT 0 AS level, 0::BIGINT AS id, count(*) AS n FROM orders
+  UNION ALL SELECT w.level + 1, (o_orderkey - lo) >> (d - w.level - 1), count(*) FROM w, s, orders
+  WHERE w.n > 400 AND w.level < d AND (o_orderkey - lo) >> (d - w.level) = w.id GROUP BY 1, 2),
+leaf AS (SELECT lo + (id << (d - level)) AS von, lo + ((id + 1) << (d - level)) AS bis, n AS zeilen, n > 400 AS wiederholt
+  FROM w, s WHERE n <= 400 OR level = d)"""
+
+
+@query("key_windows", _HALVED + "\nSELECT * FROM leaf")
 def key_windows(spark, d):
-    """Windows over the key range with about 2,000 rows each, and the rows that each reads."""
-    return L.key_windows(read_table(spark, d, "orders"), "o_orderkey", rows_per_window=2000)
+    """Windows over the key range with 400 rows at most, and the rows that each reads."""
+    return L.key_windows(read_table(spark, d, "orders"), "o_orderkey", rows_per_window=400)
+
+
+@query("key_windows_largest", _HALVED + """
+SELECT count(*) AS fenster, max(zeilen) AS groesstes, min(zeilen) AS kleinstes, CAST(sum(zeilen) AS BIGINT) AS zeilen, max(zeilen) <= 400 AS eingehalten FROM leaf""")
+def key_windows_largest(spark, d):
+    """The largest window stays within its bound."""
+    return key_windows(spark, d).agg(F.count(F.lit(1)).alias("fenster"), F.max("zeilen").alias("groesstes"), F.min("zeilen").alias("kleinstes"),
+                                     F.sum("zeilen").alias("zeilen"), (F.max("zeilen") <= 400).alias("eingehalten"))
 
 
 @query("like_prefix", O.with_raw("""

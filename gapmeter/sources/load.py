@@ -8,7 +8,6 @@ overwrite, so reloading a year replaces exactly that year) or ``;`` CSV.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -217,17 +216,54 @@ def pick_versions(names: DataFrame, name_col: str = "tabelle") -> DataFrame:
             .select("jahr", name_col, "status", "version"))
 
 
+#: Halvings that one round of ``key_windows`` decides.
+HALVINGS = 8
+#: Up to so many windows are broadcast; more are joined by key.
+BROADCAST_WINDOWS = 10_000
+
+
 def key_windows(df: DataFrame, key: str, rows_per_window: int = 50_000) -> DataFrame:
-    """A7 re-aimed: equal-width windows [von, bis) over the key range, as many as give
-    ``rows_per_window`` rows on average, with their rows. The window of a row is
-    arithmetic on its key, so neither the number of windows nor the plan has a bound.
-    Empty windows have no row; null keys are in none."""
-    s = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
+    """A7 re-aimed: windows [von, bis) over the key range with at most ``rows_per_window`` rows each, and their rows.
+
+    The range is halved, and each half again, as long as it holds too many rows; ranges without rows are left out. So dense
+    stretches get narrow windows and gaps none, and only a single key can fill a window beyond
+    its bound (``wiederholt``). A round counts the rows of windows that are too full by 256 parts of
+    each, which decides eight halvings: at most eight rounds for any 64-bit key. Null keys are in no window.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_k"))
+    s = rows.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    spark = df.sparkSession
     if not s["n"]:
-        return df.select(F.lit(0).cast("long").alias("fenster"), F.lit(0).cast("long").alias("von"), F.lit(0).cast("long").alias("bis"),
-                         F.lit(0).cast("long").alias("zeilen")).limit(0)
-    width = max(1, math.ceil((s["hi"] - s["lo"] + 1) * rows_per_window / s["n"]))
-    w = F.floor((F.col(key) - F.lit(s["lo"])) / F.lit(width)).cast("long")
-    return (df.where(F.col(key).isNotNull()).groupBy(w.alias("fenster")).agg(F.count(F.lit(1)).alias("zeilen"))
-            .select("fenster", (F.lit(s["lo"]).cast("long") + F.col("fenster") * width).alias("von"),
-                    (F.lit(s["lo"]).cast("long") + (F.col("fenster") + 1) * width).alias("bis"), "zeilen"))
+        return spark.createDataFrame([], "von long, bis long, zeilen long, wiederholt boolean")
+    depth = max(1, (s["hi"] - s["lo"]).bit_length())
+    if depth > 62:
+        raise ValueError("the key range exceeds 62 bits")
+    place = F.col("_k") - F.lit(s["lo"]).cast("long")
+    level, too_full = 0, None
+    done = spark.createDataFrame([(0, 0, s["n"])], "level int, id long, n long")
+    if s["n"] > rows_per_window:
+        done, too_full = done.limit(0), done
+    while too_full is not None:
+        step = min(HALVINGS, depth - level)
+        x = rows
+        if level:
+            opened = too_full.select(F.col("id").alias("_open"))
+            opened = F.broadcast(opened) if too_full.count() <= BROADCAST_WINDOWS else opened
+            x = rows.join(opened, F.shiftright(place, depth - level) == F.col("_open"), "left_semi")
+        parts = x.groupBy(F.shiftright(place, depth - level - step).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        # rows of each part's ancestors, as many levels up as the round decides: a window per open range
+        up = lambda j: F.shiftright("id", step - j)
+        held = parts.select("id", "n", *[F.sum("n").over(Window.partitionBy(up(j))).alias(f"n{j}") for j in range(1, step + 1)])
+        fits = F.coalesce(*[F.when(F.col(f"n{j}") <= rows_per_window, F.lit(j)) for j in range(1, step + 1)])
+        held = held.withColumn("_j", fits)
+        found = materialize(held.select(F.coalesce("_j", F.lit(step)).alias("_j"), F.col("_j").isNull().alias("_full"), "id", "n")
+                            .withColumn("id", F.expr(f"shiftright(id, {step} - _j)"))
+                            .groupBy("_j", "_full", "id").agg(F.sum("n").alias("n")).select((F.col("_j") + level).alias("level"), "id", "n", "_full"))
+        level += step
+        closed = found if level == depth else found.filter(~F.col("_full"))
+        done = done.unionByName(closed.select("level", "id", "n"))
+        full = found.filter("_full").select("level", "id", "n")
+        too_full = full if level < depth and full.limit(1).count() else None
+    von = F.lit(s["lo"]).cast("long") + F.expr(f"shiftleft(id, {depth} - level)")
+    return done.select(von.alias("von"), (von + F.expr(f"shiftleft(1L, {depth} - level)")).alias("bis"), F.col("n").alias("zeilen"),
+                       (F.col("n") > rows_per_window).alias("wiederholt"))
