@@ -3,8 +3,8 @@
 1. A share of the documents is mined level by level with a lowered threshold; what is frequent there is proposed.
 2. A pass over all documents counts every word, and every phrase whose two longest parts are both proposed: the
    proposed phrases and their negative border, exactly. A border phrase that proves frequent is a failure of the sample:
-   it joins the proposals, and a further pass counts the phrases that this brings in (and no phrase twice), until
-   no pass finds a frequent phrase that isn't proposed already.
+   it joins the proposals, and a further pass counts the phrases that this brings in, of any length (and no phrase
+   twice). Then no frequent phrase can be uncounted.
 3. A last pass takes the frequent phrases as text and counts them again by text, so no result rests on a hash.
 
 The passes know the proposals as a bit array of bounded size, the same for every task. A place taken by chance only
@@ -34,12 +34,16 @@ TEXT_BYTES = 1 << 20
 class Words:
     """Words of a group of texts: hashes, places, and the keys of all phrases in them."""
 
-    def __init__(self, langs: list[str], texts: list[bytes]):
+    @staticmethod
+    def hasher() -> WordHasher:
+        h = WordHasher(31)
+        h.space[:] = False
+        h.space[list(BREAKS + b" \t")] = True
+        return h
+
+    def __init__(self, langs: list[str], texts: list[bytes], hasher: WordHasher):
         self.buf = b"\n".join(texts).translate(LOWER)
         b = np.frombuffer(self.buf, np.uint8)
-        hasher = WordHasher(31)
-        hasher.space[:] = False
-        hasher.space[list(BREAKS + b" \t")] = True
         gap = hasher.space[b] if len(b) else np.zeros(0, bool)
         edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1, append=1))
         self.start, self.end = edge[::2], edge[1::2]
@@ -103,25 +107,29 @@ def _counted(keys: np.ndarray):
     return s[start], np.diff(np.concatenate((start, [len(s)])))
 
 
-def _count_pass(docs: DataFrame, first: bool, shared) -> DataFrame:
+def _count_pass(docs: DataFrame, first: bool, shared, ahead: bool = False) -> DataFrame:
     """(key, n) over ``docs``: all words in the first pass; phrases with both longest parts in the first
-    bit array of ``shared`` but not both in the second."""
+    bit array of ``shared`` but not both in the second. ``ahead``: a part that is counted in this pass
+    itself may do, so that what longer phrases need is there, whichever of the parts prove frequent."""
     def run(batches):
         now, before = (None if x is None else Places(x) for x in shared.value)
+        hasher = Words.hasher()
         for langs, texts in _groups(batches):
-            w = Words(langs, texts)
-            part = w.keys(1)
+            w = Words(langs, texts, hasher)
+            part, taken = w.keys(1), None
             if first and len(part):
                 yield _rows(*_counted(part))
             if now is None:
                 continue
             for k in range(2, LONGEST + 1):
-                is_new = now.has(part)
-                take = w.whole(k) & is_new[:-1] & is_new[1:]
-                if before is not None:
+                fits = now.has(part)
+                if ahead and taken is not None:
+                    fits |= taken
+                take = w.whole(k) & fits[:-1] & fits[1:]
+                if before is not None and take.any():
                     is_old = before.has(part)
                     take &= ~(is_old[:-1] & is_old[1:])
-                part = w.keys(k)
+                part, taken = w.keys(k), take
                 if take.any():
                     yield _rows(*_counted(part[take]))
                 if not len(part):
@@ -145,34 +153,57 @@ def _with(bits: np.ndarray, keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _mine(docs: DataFrame, least: int, most_bits: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all proposed phrases, and of the frequent ones, once no frequent phrase is left out."""
-    new, old, frequent = start, None, None
+def _passes(docs: DataFrame, least: int, first: bool, new: np.ndarray | None, old: np.ndarray | None, ahead: bool = False) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((new, old))
+    found = materialize(_count_pass(docs, first, shared, ahead).where(F.col("n") >= least))
+    shared.destroy()
+    return found
+
+
+def _parts(found: DataFrame) -> DataFrame:
+    """Phrases that longer ones may have as a part: all but those of the greatest length."""
+    return found.where(F.col("key").bitwiseAND(F.lit(3)) < LONGEST - 1)
+
+
+def _propose(sample: DataFrame, least: int, most_bits: int) -> np.ndarray:
+    """Places of the phrases that are frequent in the sample, mined level by level."""
+    found = _passes(sample, least, True, None, None)
+    # places for the words and some 15 times as many phrases, 4 for each
+    wanted = 1 << math.ceil(math.log2(64 * max(found.count(), 1 << 10)))
+    new, old = _with(np.zeros(min(most_bits, wanted) // 64, np.uint64), found), None
     while True:
-        shared = docs.sparkSession.sparkContext.broadcast((new, old))
-        found = materialize(_count_pass(docs, frequent is None, shared).where(F.col("n") >= least))
-        shared.destroy()
-        if frequent is None:
-            # places for the words and some 15 times as many phrases, 4 for each
-            wanted = len(new) * 64 if new is not None else 1 << math.ceil(math.log2(64 * max(found.count(), 1 << 10)))
-            none = frequent = np.zeros(min(most_bits, wanted) // 64, np.uint64)
-        frequent = _with(frequent, found)
-        # phrases of the greatest length are part of nothing longer
-        more = _with(none if new is None else new, found.where((F.col("key").bitwiseAND(F.lit(3))) < LONGEST - 1))
-        if new is not None and (more == new).all():
-            return new, frequent
+        more = _with(new, _parts(_passes(sample, least, False, new, old)))
+        if (more == new).all():
+            return new
         old, new = new, more
 
 
+def _frequent(docs: DataFrame, least: int, proposed: np.ndarray) -> np.ndarray:
+    """Places of all frequent phrases.
+
+    The first pass counts words, proposals and their border. If a frequent phrase was not proposed, a second one counts what
+    it can bring in, of any length: phrases whose longest parts are each known by now or counted in this pass
+    too. A frequent phrase has frequent parts, so after that none is left uncounted.
+    """
+    found = _passes(docs, least, True, proposed, None)
+    frequent = _with(np.zeros(len(proposed), np.uint64), found)
+    new = _with(proposed, _parts(found))
+    if (new == proposed).all():
+        return frequent
+    return _with(frequent, _passes(docs, least, False, new, proposed, ahead=True))
+
+
 def _spell_pass(docs: DataFrame, shared) -> DataFrame:
     """(lang, phrase, n): phrases found in the bit array ``shared``, and per language the number of words (phrase null)."""
     def run(batches):
-        places = Places(shared.value)
+        places, hasher = Places(shared.value), Words.hasher()
         for langs, texts in _groups(batches):
-            w = Words(langs, texts)
-            size = np.bincount(w.lang, minlength=len(w.names)).tolist()
-            lang, phrase, n = list(w.names), [None] * len(size), size
-            start, end = w.start, w.end
+            w = Words(langs, texts, hasher)
+            size = np.bincount(w.lang, minlength=len(w.names))
+            out = [(np.arange(len(size)), [None] * len(size), size)]
+            start, end, b = w.start, w.end, np.frombuffer(w.buf, np.uint8)
+            # words that one space parts from the next: such phrases stand in the text as they are
+            plain = np.concatenate(((end[:-1] + 1 == start[1:]) & (b[end[:-1]] == 32), [False])) if len(start) else np.zeros(0, bool)
             for k in range(1, LONGEST + 1):
                 keys = w.keys(k)
                 at = np.flatnonzero(w.whole(k) & places.has(keys))
@@ -180,12 +211,17 @@ def _spell_pass(docs: DataFrame, shared) -> DataFrame:
                     continue
                 _, one, times = np.unique(keys[at], return_index=True, return_counts=True)
                 at = at[one]
-                n += times.tolist()
-                lang += [w.names[i] for i in w.lang[at].tolist()]
-                spans = [list(zip(start[at + j].tolist(), end[at + j].tolist())) for j in range(k)]
-                buf = w.buf
-                phrase += [b" ".join([buf[s:e] for s, e in words]).decode() for words in zip(*spans)]
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+                buf, as_is = w.buf, np.ones(len(at), bool)
+                for j in range(k - 1):
+                    as_is &= plain[at + j]
+                phrase = [buf[s:e] for s, e in zip(start[at].tolist(), end[at + k - 1].tolist())]
+                for i in np.flatnonzero(~as_is).tolist():
+                    phrase[i] = b" ".join([buf[start[at[i] + j]:end[at[i] + j]] for j in range(k)])
+                out.append((w.lang[at], phrase, times))
+            names = pa.array(w.names)
+            for lang, phrase, n in out:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+                                                 ["lang", "phrase", "n"])
 
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -210,9 +246,8 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, sample_share
                        F.col(text_col).cast("string").alias("text")).where("text is not null")
     texts = rows.select("lang", "text")
     sample = rows.where(F.pmod(F.xxhash64("id", "lang", "text"), F.lit(sample_share)) == 0).select("lang", "text")
-    proposed, _ = _mine(sample, max(2, least // (2 * sample_share)), most_bits)
-    _, frequent = _mine(texts, least, most_bits, proposed)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    proposed = _propose(sample, max(2, least // (2 * sample_share)), most_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, least, proposed))
     counts = materialize(_spell_pass(texts, shared))
     shared.destroy()
     return _ranked(counts, least, top, inside_percent)
