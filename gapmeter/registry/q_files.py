@@ -65,6 +65,47 @@ def columns_by_header(spark, d):
         F.count(F.lit(1)).alias("n"), F.count("mk").alias("mit_marke"), F.count("ft").alias("mit_kraftstoff"), F.lit(",".join(missing)).alias("fehlend"))
 
 
+_BAD_LINES = '''
+WITH l AS (SELECT *, year(o_orderdate) AS jahr, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) + 1 AS zeilennummer FROM orders),
+b AS (SELECT 'jahr=' || jahr AS datei, zeilennummer, CASE WHEN o_orderkey % 97 = 0 THEN 2 ELSE 4 END AS felder,
+  left(CASE WHEN o_orderkey % 97 = 0 THEN o_custkey || ',"' || o_orderpriority || ', ""x"""'
+            ELSE o_custkey || ',' || o_orderstatus || ',"' || o_orderpriority || ', ""x""",1' END, 150) AS anfang
+  FROM l WHERE o_orderkey % 97 = 0 OR o_orderkey % 101 = 0)'''
+
+
+def _order_lines(spark, d):
+    """A text file per year, in the order of keys, with lines of too few and too many fields."""
+    o = read_table(spark, d, "orders").withColumn("jahr", F.year("o_orderdate"))
+    path = scratch(spark, "text-lines")
+    o.withColumn("kunde,status,text", _order_line()).repartition("jahr").sortWithinPartitions("jahr", "o_orderkey").select("jahr", "kunde,status,text") \
+        .write.partitionBy("jahr").option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return path
+
+
+def _order_line():
+    key, text = F.col("o_custkey").cast("string"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(', ""x"""'))
+    return F.when(F.col("o_orderkey") % 97 == 0, F.concat_ws(",", key, text)) \
+        .when(F.col("o_orderkey") % 101 == 0, F.concat_ws(",", key, F.col("o_orderstatus"), text, F.lit("1"))) \
+        .otherwise(F.concat_ws(",", key, F.col("o_orderstatus"), text))
+
+
+def _bad_order_lines(spark, d):
+    b = L.bad_lines(spark, _order_lines(spark, d), 3)
+    return b.withColumn("datei", F.regexp_extract("datei", "(jahr=[0-9]+)/[^/]*$", 1))
+
+
+@query("quarantine_lines", _BAD_LINES + "\nSELECT * FROM b")
+def quarantine_lines(spark, d):
+    """Every bad line with file, line number, fields and beginning."""
+    return _bad_order_lines(spark, d)
+
+
+@query("quarantine_first", _BAD_LINES + "\nSELECT * FROM b ORDER BY datei, zeilennummer LIMIT 25")
+def quarantine_first(spark, d):
+    """The report's first 25 bad lines."""
+    return L.first_bad_lines(_bad_order_lines(spark, d))
+
+
 @query("quarantine_report", """
 WITH l AS (SELECT o_custkey, o_orderkey % 97 = 0 AS wenig, o_orderkey % 101 = 0 AS viel FROM orders)
 SELECT count(*) FILTER (WHERE NOT wenig AND NOT viel) AS gut,
@@ -74,12 +115,8 @@ SELECT count(*) FILTER (WHERE NOT wenig AND NOT viel) AS gut,
 def quarantine_report(spark, d):
     """Lines with too few and too many fields go to quarantine, quoted commas don't count."""
     o = read_table(spark, d, "orders")
-    key, text = F.col("o_custkey").cast("string"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(', ""x"""'))
-    line = F.when(F.col("o_orderkey") % 97 == 0, F.concat_ws(",", key, text)) \
-        .when(F.col("o_orderkey") % 101 == 0, F.concat_ws(",", key, F.col("o_orderstatus"), text, F.lit("1"))) \
-        .otherwise(F.concat_ws(",", key, F.col("o_orderstatus"), text))
     path = scratch(spark, "text-quarantine")
-    o.select(line.alias("kunde,status,text")).write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    o.select(_order_line().alias("kunde,status,text")).write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
     good, bad = L.quarantine_csv(spark, path, ["kunde", "status", "text"])
     return L.quarantine_report(good, bad, "kunde", o.count())
 

@@ -97,6 +97,33 @@ def quarantine_csv(spark: SparkSession, path: str, columns: list[str]) -> tuple[
     return good, bad
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(datei, zeilennummer, zeile): every line of the text files below ``path`` with its number, from 1.
+
+    Files are read in splits. Lines are counted per split, running totals over a file's splits give each split the
+    number it starts after, and a line's place in its split does the rest: no file is read by one task, no line moves."""
+    at = F.struct(F.col("_metadata.file_path").alias("datei"), F.col("_metadata.file_block_start").alias("ab"))
+    lines = spark.read.text(path).select(F.col("value").alias("zeile"), at.alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    splits = lines.groupBy("_s").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("_first"))
+    before = Window.partitionBy("_s.datei").orderBy("_s.ab").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per split of the input, some dozens of bytes each
+    starts = splits.select(F.col("_s").alias("_t"), "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(F.broadcast(materialize(starts)), F.col("_s") == F.col("_t")).select(
+        F.col("_s.datei").alias("datei"), (F.col("_before") + F.col("_i") - F.col("_first") + 1).alias("zeilennummer"), "zeile")
+
+
+def bad_lines(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """Lines that don't have ``columns`` fields, with file, number, fields and their first 150 characters. The
+    first line of a file is its header and must have as many; empty lines are bad."""
+    return numbered_lines(spark, path).withColumn("felder", F.when(F.col("zeile") == "", 0).otherwise(count_fields(F.col("zeile")))) \
+        .filter(F.col("felder") != columns).select("datei", "zeilennummer", F.col("felder").cast("int").alias("felder"), F.substring("zeile", 1, 150).alias("anfang"))
+
+
+def first_bad_lines(bad: DataFrame, n: int = 25) -> DataFrame:
+    """The report's list: the first ``n`` bad lines by file and line number."""
+    return bad.orderBy("datei", "zeilennummer").limit(n)
+
+
 def count_fields(line: Column) -> Column:
     """Fields of a CSV line: separators outside quotes, plus one."""
     return F.regexp_count(F.regexp_replace(line, '"(?:[^"]|"")*"', ""), F.lit(",")) + 1
