@@ -4,16 +4,16 @@
   columns. A row's rank is computed from prefix buckets (per-bucket counts ->
   offsets -> a window inside (stratum, bucket)), so no stratum -- even one
   holding a third of all rows -- is sorted in one task;
-* the model is Spark ML (VectorAssembler -> LinearRegression) over explicit dummy
-  columns, trained and scored distributed.
+* the model is least squares from sums of products (one aggregate over all training rows, which parts of the data
+  add up to); its prediction is one expression, scored distributed.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,25 +87,91 @@ def exact_split(df: DataFrame, key: str, strata: str | None, frac: float = 0.7,
     return r.withColumn("split", F.when(F.col("_rank") <= F.round(F.col("_tot") * frac), "train").otherwise("test")).drop("_rank", "_tot")
 
 
+def cross_sums(df: DataFrame, cats: list[str], cols: list[str]) -> DataFrame:
+    """All that a linear model needs of its rows, one row per combination of categories (few by nature: classes,
+    countries, years): count, sums and sums of products of ``cols``. One aggregate, combined map-side;
+    parts of the data (days, partitions) add up, see ``merged``."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    return df.groupBy(*cats).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
+                                 *[F.sum(F.col(cols[i]).cast("double") * F.col(cols[j]).cast("double")).alias(f"p{i}_{j}") for i, j in pairs])
+
+
+def merged(parts: list[DataFrame], cats: list[str]) -> DataFrame:
+    """Sums of several parts of the rows as those of all."""
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy(*cats).agg(*[F.sum(c).alias(c) for c in whole.columns if c not in cats])
+
+
+class LinearModel:
+    """Least squares from ``cross_sums``: intercept, a dummy per category level but the first, standardised numbers.
+
+    The normal equations are solved by elimination; a column that depends on those before it gets the coefficient 0."""
+
+    SINGULAR = 1e-9
+
+    def __init__(self, sums: list, cats: list[str], nums: list[str]):
+        k = len(nums)  # the label follows them
+        self.cats, self.nums = cats, nums
+        self.levels = {c: sorted({r[c] for r in sums}) for c in cats}
+        n = sum(r["n"] for r in sums)
+        total = lambda name: sum(r[name] for r in sums)
+        self.mean = np.array([total(f"s{i}") / n for i in range(k)])
+        spread = np.array([total(f"p{i}_{i}") / n for i in range(k)]) - self.mean ** 2
+        self.scale = np.sqrt(np.where(spread > 0, spread, 1.0))
+        place, size = {}, 1
+        for c in cats:
+            for v in self.levels[c][1:]:
+                place[c, v] = size
+                size += 1
+        full = np.zeros((size + k, size + k + 1))
+        for r in sums:
+            on = [0, *(place[c, r[c]] for c in cats if (c, r[c]) in place)]
+            s = np.array([r[f"s{i}"] for i in range(k + 1)])
+            p = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k)]).reshape(k, k + 1)
+            z = (s[:k] - r["n"] * self.mean) / self.scale
+            zz = (p[:, :k] - np.outer(self.mean, s[:k]) - np.outer(s[:k], self.mean) + r["n"] * np.outer(self.mean, self.mean)) / np.outer(self.scale, self.scale)
+            full[np.ix_(on, on)] += r["n"]
+            full[on, size:size + k] += z
+            full[size:, on] += z[:, None]
+            full[size:, size:size + k] += zz
+            full[on, -1] += s[k]
+            full[size:, -1] += (p[:, k] - self.mean * s[k]) / self.scale
+        dependent = np.zeros(len(full), bool)
+        for i in range(len(full)):
+            if abs(full[i, i]) < self.SINGULAR * n:
+                dependent[i] = True
+                continue
+            full[i] /= full[i, i]
+            other = np.arange(len(full)) != i
+            full[other] -= np.outer(full[other, i], full[i])
+        b = np.where(dependent, 0.0, full[:, -1])
+        self.intercept, self.dummies, self.slopes = float(b[0]), {key: float(b[at]) for key, at in place.items()}, b[size:]
+
+    def prediction(self) -> Column:
+        """The model as an expression; a level that the training part lacks counts as the reference level."""
+        out = F.lit(self.intercept)
+        for c in self.cats:
+            known = [x for v in self.levels[c][1:] for x in (F.lit(v), F.lit(self.dummies[c, v]))]
+            if known:
+                out = out + F.coalesce(F.try_element_at(F.create_map(*known), F.col(c)), F.lit(0.0))
+        for c, m, s, b in zip(self.nums, self.mean, self.scale, self.slopes):
+            out = out + (F.col(c) - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(b))
+        return out
+
+
 def fit_linear(train: DataFrame, features: list[str], label: str = LABEL, fit_rows: int | None = None, seed: int = 1234):
     """Categoricals as dummies (the first level is the reference), numeric as is, with
     intercept. ``fit_rows`` bounds only the rows that the model is fitted on; split,
     prediction and scores use all rows. A level that the training part lacks is predicted
-    with the reference level."""
+    with the reference level. Returns a function that adds ``prediction`` to a DataFrame."""
     rows = train if fit_rows is None else deterministic_sample(train, "vehicle_id", fit_rows, seed)
     cats = [c for c in features if c in CATEGORICAL]
     nums = [c for c in features if c not in CATEGORICAL]
-    levels = {c: sorted(r[0] for r in rows.select(c).distinct().collect()) for c in cats}   # few by nature: classes, countries, years
-    dummies = {f"{c}={v}": (F.col(c) == v).cast("double") for c in cats for v in levels[c][1:]}
-    assembler = VectorAssembler(inputCols=[f"_d{i}" for i in range(len(dummies))] + nums, outputCol="features")
-
-    def prepared(df: DataFrame) -> DataFrame:
-        return assembler.transform(df.withColumns({f"_d{i}": e for i, e in enumerate(dummies.values())})) \
-            .drop(*[f"_d{i}" for i in range(len(dummies))])
-
-    model = LinearRegression(featuresCol="features", labelCol=label, fitIntercept=True, predictionCol="prediction", solver="normal",
-                             maxIter=300, tol=1e-11).fit(prepared(rows))
-    return lambda df: model.transform(prepared(df)).drop("features")
+    sums = cross_sums(rows, cats, [*nums, label]).collect()     # a row per combination of categories
+    if not sums or not sum(r["n"] for r in sums):
+        raise ValueError("no rows to fit on")
+    model = LinearModel(sums, cats, nums)
+    return lambda df: df.withColumn("prediction", model.prediction())
 
 
 def score(pred: DataFrame, label: str = LABEL) -> DataFrame:

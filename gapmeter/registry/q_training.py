@@ -49,6 +49,7 @@ def plugin_completeness(spark, d):
 # -- model workflow (L1-L7, G3) ---------------------------------------------------
 from pyspark.sql import functions as F  # noqa: E402
 
+from ..functions import scalars as S  # noqa: E402
 from ..plans import ml as ML  # noqa: E402
 from ..session import materialize  # noqa: E402
 
@@ -94,6 +95,40 @@ def split_random(spark, d):
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("gap_pct"), 4).alias("summe_gap"))
 
 
+def _fitted(feats: list[str], where: str, strata: str | None) -> str:
+    """The model in SQL: design rows, normal equations, elimination by a recursion over pivots, prediction ``p``."""
+    cats, nums = [c for c in feats if c in ML.CATEGORICAL], [c for c in feats if c not in ML.CATEGORICAL]
+    dummies = ", ".join(f"list_transform(lv_{c}, lambda v: CASE WHEN {c} = v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)" for c in cats)
+    filled = ", ".join(f"coalesce({c}, 'unbekannt') AS {c}" for c in cats)
+    return _drawn(feats, where, strata) + f""",
+filled AS (SELECT * REPLACE ({filled}) FROM cut),
+lv AS (SELECT {', '.join(f"list(DISTINCT {c} ORDER BY {c})[2:] AS lv_{c}" for c in cats)} FROM filled WHERE split = 'train'),
+mo AS (SELECT {', '.join(f"avg({c}) AS m_{c}, sqrt(CASE WHEN avg({c} * {c}) > avg({c}) ** 2 THEN avg({c} * {c}) - avg({c}) ** 2 ELSE 1 END) AS s_{c}" for c in nums)}
+       FROM (SELECT {', '.join(f"{c}::DOUBLE AS {c}" for c in nums)} FROM filled WHERE split = 'train')),
+des AS (SELECT filled.*, flatten([[1.0::DOUBLE], {dummies}, [{', '.join(f"(({c} - m_{c}) / s_{c})::DOUBLE" for c in nums)}]]) AS x FROM filled, lv, mo),
+xy AS (SELECT list_append(x, gap_pct::DOUBLE) AS v, len(x) AS k FROM des WHERE split = 'train'),
+pr AS (SELECT i, j, k, sum(v[i] * v[j]) AS s FROM xy, unnest(range(1, k + 1)) a(i), unnest(range(i, k + 2)) b(j) GROUP BY i, j, k),
+eq AS (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, s FROM pr UNION ALL SELECT j, i, s FROM pr WHERE i < j AND j <= k) GROUP BY i),
+m0 AS (SELECT list(r ORDER BY i) AS m, (SELECT count(*) FROM xy) AS n FROM eq),
+gj AS (SELECT 1 AS p, m, n, []::BOOLEAN[] AS dep FROM m0
+  UNION ALL SELECT p + 1, CASE WHEN abs(m[p][p]) < {ML.LinearModel.SINGULAR} * n THEN m ELSE list_transform(m, lambda r, i: CASE WHEN i = p
+      THEN list_transform(r, lambda v: v / r[p]) ELSE list_transform(r, lambda v, j: v - r[p] * m[p][j] / m[p][p]) END) END,
+    n, list_append(dep, abs(m[p][p]) < {ML.LinearModel.SINGULAR} * n) FROM gj WHERE p <= len(m)),
+coef AS (SELECT list_transform(m, lambda r, i: CASE WHEN dep[i] THEN 0.0 ELSE r[len(r)] END) AS b FROM gj WHERE p = len(m) + 1),
+fit AS (SELECT des.*, list_dot_product(x, b) AS p, gap_pct AS y FROM des, coef)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_SCORES = f"""
+SELECT count(*) AS n, {rnd('1 - sum((y - p) ** 2) / (var_pop(y) * count(*))', 4)} AS r2, {rnd('1 - sum((y - p) ** 2) / (var_pop(y) * count(*))', 4)} AS r2_adj,
+  {rnd('avg(abs(y - p))', 4)} AS mae, {rnd('sqrt(sum((y - p) ** 2) / count(*))', 4)} AS rmse, {rnd('avg(p - y)', 4)} AS mittlere_abweichung,
+  CASE WHEN count(*) FILTER (y = 0) = 0 THEN {rnd('avg(abs((y - p) / nullif(y, 0))) * 100', 3)} END AS mape, count(*) FILTER (y = 0) AS null_ist
+FROM fit WHERE split = 'test'"""
+
+
 def _predicted(spark, d, plugin):
     feats = ML.FEATURES_PHEV if plugin else ML.FEATURES_ALL
     t = ML.fill_unknown(ML.training_set(rw(spark, d), plugin=plugin))
@@ -101,23 +136,29 @@ def _predicted(spark, d, plugin):
     return ML.fit_linear(s.filter(F.col("split") == "train"), feats)(s)
 
 
-@query("linreg_metrics")
+def _scores(pred):
+    s = ML.score(pred.filter(F.col("split") == "test"))
+    return s.select("n", *[S.rnd(c, 4).alias(c) for c in ("r2", "r2_adj", "mae", "rmse", "mittlere_abweichung")], S.rnd("mape", 3).alias("mape"), "null_ist")
+
+
+@query("linreg_metrics", _recursive(O.with_rw(_fitted(ML.FEATURES_ALL, _REST, "antriebsklasse") + _SCORES)))
 def linreg_metrics(spark, d):
-    """Model over all classes, scored on the whole test part (checked through linreg_identities)."""
-    return ML.score(_predicted(spark, d, False).filter(F.col("split") == "test"))
+    """Model over all classes, scored on the whole test part."""
+    return _scores(_predicted(spark, d, False))
 
 
-@query("linreg_metrics_plugin")
+@query("linreg_metrics_plugin", _recursive(O.with_rw(_fitted(ML.FEATURES_PHEV, _PHEV, None) + _SCORES)))
 def linreg_metrics_plugin(spark, d):
-    """Plug-in hybrids only, two more features."""
-    return ML.score(_predicted(spark, d, True).filter(F.col("split") == "test"))
+    """Plug-in hybrids only, two more features."""
+    return _scores(_predicted(spark, d, True))
 
 
-@query("linreg_predictions")
+@query("linreg_predictions", _recursive(O.with_rw(_fitted(ML.FEATURES_ALL, _REST, "antriebsklasse") + f"""
+SELECT vehicle_id, antriebsklasse, gap_pct, {rnd('p', 3)} AS "Prediction (gap_pct)" FROM fit WHERE split = 'test'""")))
 def linreg_predictions(spark, d):
     """Predictions on the test part, column 'Prediction (gap_pct)'."""
     return (_predicted(spark, d, False).filter(F.col("split") == "test")
-            .select("vehicle_id", "antriebsklasse", "gap_pct", F.col("prediction").alias("Prediction (gap_pct)")))
+            .select("vehicle_id", "antriebsklasse", "gap_pct", S.rnd("prediction", 3).alias("Prediction (gap_pct)")))
 
 
 _ZERO = ["masse_kg", "leistung_kw", "fc_wltp", "co2_wltp"]
