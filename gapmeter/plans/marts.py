@@ -38,7 +38,12 @@ MIX_CELL = ["ms_code", "land_name", "jahr", "antriebsklasse", "antrieb_label"]
 
 def powertrain_mix(fact_cls: DataFrame) -> DataFrame:
     """I3 (A1): per country x year x class: count, share, previous existing
-    year's count, change in percentage points, mean CO2 and mass, status."""
+    year's count, change in percentage points, mean CO2 and mass, status.
+    Rows have the country's code and name, or only the code as ``ms``."""
+    if "ms_code" not in fact_cls.columns:
+        fact_cls = fact_cls.withColumnRenamed("ms", "ms_code")
+    if "land_name" not in fact_cls.columns:
+        fact_cls = fact_cls.withColumn("land_name", F.lit(UNKNOWN))
     return _mix(fact_cls.groupBy(*MIX_CELL)
                 .agg(F.count(F.lit(1)).alias("zulassungen"), F.avg("co2_wltp").alias("_co2"),
                      F.avg("masse_kg").alias("_m"), F.max("data_status").alias("data_status")))

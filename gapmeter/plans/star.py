@@ -114,11 +114,11 @@ def fact(reg: DataFrame, dims: dict[str, DataFrame] | None = None, stable: bool
 
 
 def key_checks(dims: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """Per dimension rows, distinct natural keys, distinct surrogate keys."""
+    """Per dimension rows, distinct natural keys (none is one, too: the unknown member), distinct surrogate keys."""
     out = None
     for name, (df, nat, sk) in dims.items():
         one = df.agg(F.lit(name).alias("dimension"), F.count(F.lit(1)).alias("zeilen"),
-                     F.countDistinct(nat).alias("schluessel_distinct"),
+                     F.countDistinct(F.struct(nat)).alias("schluessel_distinct"),
                      F.countDistinct(sk).alias("sk_distinct"))
         out = one if out is None else out.unionByName(one)
     return out.withColumn("ok", (F.col("zeilen") == F.col("schluessel_distinct")) &
