@@ -44,9 +44,7 @@ def feature_missing(rw: DataFrame) -> DataFrame:
 def filter_bias(rw: DataFrame, lo: float = -50, hi: float = 900) -> DataFrame:
     """Class shares before and after the completeness filter (F7 grand totals)."""
     a = analysable(rw).filter(F.col("gap_pct").between(lo, hi))
-    before = a.groupBy("antriebsklasse").agg(F.count(F.lit(1)).alias("vorher"))
-    after = a.filter(_complete(FEATURES)).groupBy("antriebsklasse").agg(F.count(F.lit(1)).alias("_n"))
-    j = before.join(after, "antriebsklasse", "left").withColumn("nachher", F.coalesce("_n", F.lit(0)))
+    j = a.groupBy("antriebsklasse").agg(F.count(F.lit(1)).alias("vorher"), F.count(F.when(_complete(FEATURES), 1)).alias("nachher"))
     allw = Window.partitionBy()        # over the few class rows of an aggregate
     return j.select("antriebsklasse", "vorher", "nachher",
                     rnd(F.col("vorher") * 100.0 / F.sum("vorher").over(allw), 2).alias("anteil_vorher_pct"),
