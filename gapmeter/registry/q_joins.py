@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query, raw, reg
+from ..catalog import mart_gap_by_year, query, raw, reg
 from ..functions import arrays as A
 from ..operators.quality import counts_row
 from ..oracle import adapter as O
@@ -83,9 +83,8 @@ SELECT land, antriebsklasse, jahr, y.median_gap_pct, p.gap_median_pct AS pooled_
 FROM by_year y JOIN p USING (land, antriebsklasse)"""))
 def using_join(spark, d):
     """Yearly medians next to the pooled median, JOIN USING (country, class)."""
-    r = rw(spark, d)
-    y = G.gap_by_year(r).select("land", "antriebsklasse", "jahr", "median_gap_pct")
-    p = G.gap_pooled(r).select("land", "antriebsklasse", F.col("gap_median_pct").alias("pooled_gap_pct"))
+    y = mart_gap_by_year(spark, d).select("land", "antriebsklasse", "jahr", "median_gap_pct")
+    p = G.gap_pooled(rw(spark, d)).select("land", "antriebsklasse", F.col("gap_median_pct").alias("pooled_gap_pct"))
     return y.join(p, ["land", "antriebsklasse"])
 
 

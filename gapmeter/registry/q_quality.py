@@ -9,9 +9,8 @@ from ..functions import scalars as S
 from ..operators import dedup as DD
 from ..operators import quality as Q
 from ..oracle import adapter as O
-from ..sources import load as L
-from ..streaming.incremental import scratch
 from ..oracle.adapter import rnd
+from ..plans import layers as PL
 from ..plans.core import car_rows
 
 MISSING_COLS = "mp mk cn tan m_kg mt ewltp enedc ft fm ec_cm3 ep_kw z_whkm it_code erwltp dr fc w_mm".split()
@@ -137,6 +136,11 @@ def _core_findings(spark, d):
                             critical=True)]
 
 
+def stored_findings(spark, d):
+    """Every check runs once and its findings are stored; summary and lists read them."""
+    return PL.layer(spark, d, "dq_befund", lambda: Q.union_all(_raw_findings(spark, d) + _core_findings(spark, d)))
+
+
 def _reg_sql(ctes, select):
     return O.with_reg(ctes + "\n" + select)
 
@@ -204,26 +208,24 @@ _UNION = " UNION ALL ".join(f"SELECT * FROM {x}" for x in "h1 h2 h3 h4 h5 h6 h8
 @query("findings_by_rating", _reg_sql(_ALL + f", allf AS ({_UNION})",
                                       "SELECT bewertung, count(*) AS anzahl FROM allf GROUP BY bewertung"))
 def findings_by_rating(spark, d):
-    f = Q.union_all(_raw_findings(spark, d) + _core_findings(spark, d))
-    return f.groupBy("bewertung").agg(F.count(F.lit(1)).alias("anzahl"))
+    """H7: the summary of the stored findings."""
+    return stored_findings(spark, d).groupBy("bewertung").agg(F.count(F.lit(1)).alias("anzahl"))
 
 
 @query("critical_findings", _reg_sql(_ALL + f", allf AS ({_UNION})",
                                      "SELECT objekt, spalte, pruefung, ergebnis, einheit, kommentar FROM allf "
                                      "WHERE bewertung = 'kritisch'"))
 def critical_findings(spark, d):
-    f = Q.union_all(_raw_findings(spark, d) + _core_findings(spark, d))
-    return f.filter(F.col("bewertung") == "kritisch").select("objekt", "spalte", "pruefung", "ergebnis", "einheit",
+    """H7: the critical list, from the stored findings."""
+    return stored_findings(spark, d).filter(F.col("bewertung") == "kritisch").select("objekt", "spalte", "pruefung", "ergebnis", "einheit",
                                                              "kommentar")
 
 
 @query("mostly_missing", _reg_sql(_H2, "SELECT objekt, spalte, ergebnis AS prozent_fehlend FROM h2 "
                                        "WHERE pruefung LIKE 'Anteil unbelegt%' AND ergebnis > 90"))
 def mostly_missing(spark, d):
-    path = scratch(spark, "findings")
-    L.append_findings(Q.missing_share(raw(spark, d), MISSING_COLS), path, truncate=True)
-    return (spark.read.parquet(path).filter(F.col("pruefung").startswith("Anteil unbelegt") & (F.col("ergebnis") > 90))    # B28
-            .select("objekt", "spalte", F.col("ergebnis").alias("prozent_fehlend")))
+    f = stored_findings(spark, d).filter((F.col("spalte").isin(MISSING_COLS)) & F.col("pruefung").startswith("Anteil unbelegt") & (F.col("ergebnis") > 90))    # B28
+    return f.select("objekt", "spalte", F.col("ergebnis").alias("prozent_fehlend"))
 
 
 @query("unique_vs_source", O.with_reg(f""", s AS (SELECT CAST(yr AS INTEGER) AS jahr,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query, reg, rw
+from ..catalog import mart_hourly, query, reg, rw
 from ..oracle import adapter as O
 from ..oracle.adapter import rnd
 from ..plans import gridmix as GM
@@ -67,9 +67,11 @@ def wsql(select):
 
 
 def _wtw(spark, d):
-    g = W.grid_mean(GM.hourly_intensity(generation_long(spark, d), GM.factor_table(spark)))
-    basis = W.class_basis(rw(spark, d), reg(spark, d), W.fuel_factor_table(spark), FOCUS)
-    return W.scenarios(basis, g)
+    """I13, written once: its readers (I14, H21) take the stored mart, as it takes the stored hourly one."""
+    def build():
+        hourly = mart_hourly(spark, d, lambda: GM.hourly_intensity(generation_long(spark, d), GM.factor_table(spark)))
+        return W.scenarios(W.class_basis(rw(spark, d), reg(spark, d), W.fuel_factor_table(spark), FOCUS), W.grid_mean(hourly))
+    return L.layer(spark, d, "mart_wtw", build)
 
 
 @query("wtw_scenarios", wsql("SELECT * FROM wtw"))
