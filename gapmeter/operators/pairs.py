@@ -21,33 +21,25 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
 from ..session import materialize
-from .scan import bucket_of, global_rank, value_boundaries, weighted_less
+from .scan import global_rank, in_ranges, weighted_less
 
 ICE = ["ICE_BENZIN", "ICE_DIESEL"]
 
 
-def _offsets(per: DataFrame, val: str, how: str) -> DataFrame:
-    """Exclusive running aggregate over the tiny per-bucket table."""
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    agg = F.sum(val) if how == "sum" else F.max(val)
-    return per.withColumn("_off", agg.over(w)).select("_b", "_off")
-
-
-def prefix_max(points: DataFrame, queries: DataFrame, x: str, y: str, key: list[str],
-               out: str, buckets: int | None = None) -> DataFrame:
+def prefix_max(points: DataFrame, queries: DataFrame, x: str, y: str, key: list[str], out: str) -> DataFrame:
     """For each query: max(points.y) over points with points.x < query.x (NULL if none)."""
-    bounds = value_boundaries(points, x, buckets)
     q = queries.withColumn("_qid", F.to_json(F.struct(*key)))
     u = (points.select(F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"),
                        F.lit(1).alias("_isp"), F.lit(None).cast("string").alias("_qid"))
          .unionByName(q.select(F.col(x).alias("_x"), F.lit(None).cast("double").alias("_y"),
                                F.lit(0).alias("_isp"), "_qid"))
-         .filter(F.col("_x").isNotNull())
-         .withColumn("_b", bucket_of(F.col("_x"), bounds)))
-    offs = _offsets(u.groupBy("_b").agg(F.max("_y").alias("_m")), "_m", "max")
-    w = (Window.partitionBy("_b").orderBy(F.col("_x").asc(), F.col("_isp").asc())
+         .filter(F.col("_x").isNotNull()))
+    u = in_ranges(u, "_x")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = u.groupBy("_p").agg(F.max("_y").alias("_m")).select("_p", F.max("_m").over(before).alias("_off"))    # a row per range
+    w = (Window.partitionBy("_p").orderBy(F.col("_x").asc(), F.col("_isp").asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    res = (u.join(F.broadcast(offs), "_b")
+    res = (u.join(F.broadcast(offs), "_p")
            .withColumn("_run", F.max("_y").over(w))
            .filter(F.col("_isp") == 0)
            .select("_qid", F.greatest("_run", "_off").alias(out)))

@@ -1,79 +1,65 @@
 """Distributed global rank and prefix counts.
 
 ``rank() OVER (ORDER BY x)`` with no partition moves every row into one task.
-These helpers compute the same numbers with a two-level scan instead:
+These helpers compute the same numbers in parts:
 
-1. cut the value range into ``buckets`` ranges from approximate quantiles
-   (a handful of boundary numbers -- the only thing that reaches the driver);
-2. count rows per bucket and take the running total over buckets (one tiny
-   table of ``buckets`` rows, joined back by bucket id);
-3. finish inside each bucket with a window partitioned by the bucket (over
-   distinct values with their counts, so heavy ties cost one row).
+1. rows are dealt into ranges of the order by Spark's range exchange, as many as the session has shuffle partitions (or
+   into ranges of a fixed width where the order is dense numbers);
+2. each range is summed up, and a running total over ranges gives each its offset: one row per range; where ranges
+   are many, totals of totals, so no window holds more than a fixed number of them;
+3. a window partitioned by the range finishes inside it (over distinct values with their counts, so heavy ties
+   cost one row).
 
-Boundaries only steer balance, never the result: every row lands in exactly
-one bucket and buckets are ordered, so ranks are exact.
+Neither the plan nor what a task holds grows with the rows: only the ranges' size does, with rows per partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
-ROWS_PER_BUCKET = 50_000
 
+#: Ranges whose totals one window adds up.
+FANOUT = 4096
 
-def value_boundaries(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
-    """Sorted distinct approximate quantile cut points (at most buckets-1); by
-    default as many buckets as give ROWS_PER_BUCKET rows each."""
-    if buckets is None:
-        buckets = -(-df.count() // ROWS_PER_BUCKET)
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 1000).alias("q")).first()
-    q = row["q"] if row and row["q"] is not None else []
-    return sorted(set(float(v) for v in q if v is not None))
 
+def in_ranges(df: DataFrame, col: str) -> DataFrame:
+    """Rows with ``_p``, the range of ``col`` (NULLs first) they lie in; equal values share one. Written out, so that ranges stay."""
+    return materialize(df.repartitionByRange(F.col(col).asc_nulls_first()).withColumn("_p", F.spark_partition_id()))
 
-def bucket_of(col: Column, bounds: list[float]) -> Column:
-    """Bucket id = number of boundaries <= value (0..len(bounds)), as a
-    balanced tree of comparisons: O(log B) per row, code-generated."""
-    def tree(lo: int, hi: int) -> Column:          # answer lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2                  # is bounds[mid-1] <= value ?
-        return F.when(col >= F.lit(bounds[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
-    return tree(0, len(bounds))
 
+def offsets(per: DataFrame, parts: list[str], bucket: str, value: str, levels: int = 3) -> DataFrame:
+    """``per`` (one row per ``parts`` and number ``bucket``) with ``_off``: the sum of ``value`` over smaller buckets.
+    Buckets are added up in groups of FANOUT, groups of groups, and so on, ``levels`` times."""
+    if levels == 1:
+        w = Window.partitionBy(*parts).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        return per.withColumn("_off", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    up = f"{bucket}u"
+    x = per.withColumn(up, F.floor(F.col(bucket) / FANOUT))
+    w = Window.partitionBy(*parts, up).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    groups = offsets(x.groupBy(*parts, up).agg(F.sum(value).alias(value)), parts, up, value, levels - 1)
+    groups = groups.select(*[F.col(c).alias(f"_g{c}") for c in [*parts, up]], F.col("_off").alias("_above"))
+    inside = x.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    on = [F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in [*parts, up]]
+    return inside.join(groups, on).withColumn("_off", F.col("_in") + F.col("_above")).select(*per.columns, "_off")
 
-def bucket_of_array(col: Column, cuts: Column, n: int) -> Column:
-    """Same as ``bucket_of`` for a per-row array of ``n`` sorted cut points."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(col >= F.element_at(cuts, mid), tree(mid, hi)).otherwise(tree(lo, mid - 1))
-    return tree(0, n)
 
-
-def global_rank(df: DataFrame, col: str, out: str, buckets: int | None = None,
-                bounds: list[float] | None = None) -> DataFrame:
+def global_rank(df: DataFrame, col: str, out: str, buckets: int | None = None) -> DataFrame:
     """SQL ``rank() OVER (ORDER BY col ASC NULLS FIRST)`` without a single-task window.
 
     Ties are collapsed first (value -> count, partially aggregated), so a value
     repeated by a third of all rows is one row of the ranking; ranks are then
-    joined back on the value (NULL-safe equi join)."""
+    joined back on the value (NULL-safe equi join). ``buckets``: number of ranges (default: shuffle partitions)."""
     vc = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    bounds = value_boundaries(vc.withColumnRenamed("_v", col), col, buckets) if bounds is None else bounds
-    x = vc.withColumn("_b", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(bucket_of(F.col("_v"), bounds)))
-    per = x.groupBy("_b").agg(F.sum("_c").alias("_n"))
-    # running total over at most len(bounds)+2 rows: a tiny table
-    offs = per.withColumn("_off", F.sum("_n").over(Window.orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1))).select("_b", F.coalesce("_off", F.lit(0)).alias("_off"))
-    w = (Window.partitionBy("_b").orderBy(F.col("_v").asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    ranks = (x.join(F.broadcast(offs), "_b")
+    if buckets:
+        vc = materialize(vc.repartitionByRange(buckets, F.col("_v").asc_nulls_first()).withColumn("_p", F.spark_partition_id()))
+    else:
+        vc = in_ranges(vc, "_v")
+    offs = offsets(vc.groupBy("_p").agg(F.sum("_c").alias("_n")), [], "_p", "_n", levels=1).select("_p", "_off")   # a row per range
+    w = Window.partitionBy("_p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = (vc.join(F.broadcast(offs), "_p")
              .withColumn(out, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + F.col("_off") + 1).cast("int"))
              .select("_v", out))
     return df.join(ranks, F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
@@ -89,9 +75,8 @@ def weighted_less(df: DataFrame, parts: list[str], order: str, points: str, quer
     more than ``rows_per_bucket`` rows, and no point meets a query."""
     d = df.groupBy(*parts, order).agg(F.sum(points).alias("_p"), F.sum(queries).alias("_q"))
     d = d.withColumn("_b", F.floor(F.col(order) / rows_per_bucket))
-    per = d.groupBy(*parts, "_b").agg(F.sum("_p").alias("_s"))
+    per = offsets(d.groupBy(*parts, "_b").agg(F.sum("_p").alias("_s")), parts, "_b", "_s")
     before = Window.unboundedPreceding, -1
-    per = per.withColumn("_off", F.coalesce(F.sum("_s").over(Window.partitionBy(*parts).orderBy("_b").rowsBetween(*before)), F.lit(0)))
     inside = F.coalesce(F.sum("_p").over(Window.partitionBy(*parts, "_b").orderBy(order).rowsBetween(*before)), F.lit(0))
     joined = d.withColumn("_in", inside).where("_q > 0").join(per.drop("_s"), [*parts, "_b"])
     return joined.agg(F.coalesce(F.sum(F.col("_q") * (F.col("_off") + F.col("_in"))), F.lit(0)).cast("bigint").alias("n"))

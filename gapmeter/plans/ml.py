@@ -2,7 +2,7 @@
 
 * sample and 70/30 split follow one lottery: md5 of key and seed, ties by all
   columns. A row's rank is computed from prefix buckets (per-bucket counts ->
-  offsets -> a window inside (stratum, bucket)), so no stratum -- even one
+  offsets, in groups of groups -> a window inside (stratum, bucket)), so no stratum -- even one
   holding a third of all rows -- is sorted in one task;
 * the model is least squares from sums of products (one aggregate over all training rows, which parts of the data
   add up to); its prediction is one expression, scored distributed.
@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import offsets
 from .core import analysable
 
 FEATURES_ALL = ["antriebsklasse", "land", "jahr", "masse_kg", "leistung_kw", "hubraum_cm3", "e_reichweite_km",
@@ -58,12 +59,10 @@ def _with_place(df: DataFrame, key: str, strata: str | None, seed: int, rows_per
     equal in every column are interchangeable."""
     digits = max(1, math.ceil(math.log(max(df.count(), 1) / rows_per_bucket, 16)))
     x = df.withColumn("_s", F.col(strata) if strata else F.lit("_all")).withColumn("_h", draw(key, seed))
-    x = x.withColumn("_b", F.substring("_h", 1, digits))
-    per = x.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy("_s").orderBy("_b")
-    per = (per.withColumn("_off", F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-           .withColumn("_tot", F.sum("_n").over(Window.partitionBy("_s")))
-           .select(F.col("_s").alias("_ps"), F.col("_b").alias("_pb"), "_off", "_tot"))
+    x = x.withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("long"))
+    per = offsets(x.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n")), ["_s"], "_b", "_n")
+    tot = x.groupBy(F.col("_s").alias("_ts")).agg(F.count(F.lit(1)).alias("_tot"))
+    per = per.join(tot, F.col("_s").eqNullSafe(F.col("_ts"))).select(F.col("_s").alias("_ps"), F.col("_b").alias("_pb"), "_off", "_tot")
     w = Window.partitionBy("_s", "_b").orderBy("_h", *df.columns)
     joined = x.withColumn("_in", F.row_number().over(w)).join(per, F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("_b") == F.col("_pb")))
     return joined.withColumn("_rank", F.col("_in") + F.col("_off")).drop("_s", "_h", "_b", "_ps", "_pb", "_in", "_off")
