@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows may hold whole documents: smaller batches keep buffers on both sides of a Python worker small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # generated methods above the JIT's 8000-byte limit would run interpreted:
@@ -68,7 +70,7 @@ def apply_session_defaults(spark: SparkSession) -> None:
     """Make a foreign session (e.g. the driver's) behave like ours for the
     runtime settings results and plans depend on: ANSI casts, UTC, AQE."""
     for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.codegen.hugeMethodLimit"):
+              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.codegen.hugeMethodLimit", "spark.sql.execution.arrow.maxRecordsPerBatch"):
         try:
             spark.conf.set(k, DEFAULT_CONF[k])
         except Exception:  # pragma: no cover - static conf on some clusters
