@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors, bpe, langid, mixing, simhash
-from ..session import materialize
+from ..session import apply_session_defaults, materialize
 from .common import WORD, held_out_column, table
 
 #: A prediction below this probability counts as rejected, like ``und``.
@@ -23,6 +23,7 @@ LEAST_KNOWN = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no letters or null text (``und``), no language reaches LEAST_SCORE, or
     the letters of a text of several words are to less than LEAST_KNOWN those of the language."""
+    apply_session_defaults(spark)
     model = langid.learn(docs, ~held_out_column())
     single = ~F.col("text").rlike(r"\p{L}\P{L}+\p{L}")
     found = langid.identify(docs, model, keep=docs.columns, pred_col="__lang", score_col="__score", known_col="__known")
@@ -35,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A group without any id keeps the row whose digest is the smallest. Rows with neither
     id nor words have nothing to be told by and stay.
     """
+    apply_session_defaults(spark)
     digest = F.when(F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False)),
                     F.sha2(F.to_json(F.struct(*docs.columns)), 256))
     found = materialize(simhash.near_duplicates(docs, shingle=3, max_bits=2, row=digest))
@@ -53,6 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages leave the text (n_chars follows); a document that is nothing else goes."""
+    apply_session_defaults(spark)
     found = anchors.substring_dedup(docs, window=13, with_text=True, keep=docs.columns).where("n_removed = 0 or n_removed < n_words")
     new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("keep_n_chars"))}
     return found.select(*[new.get(c, F.col(f"keep_{c}")).alias(c) for c in docs.columns])
@@ -63,6 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by id, source and a digest of all columns; equal rows share their copies.
     """
+    apply_session_defaults(spark)
     keyed = docs.withColumn("__d", F.xxhash64(*docs.columns))
     found = mixing.mix(docs, quality=mixing.label_quality(table(spark, sf_dir, "labels")), row=F.xxhash64(*docs.columns))
     copies = materialize(found.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("row").alias("__r"))
@@ -76,6 +80,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests and the token ids of each document left."""
+    apply_session_defaults(spark)
     return bpe.encode_documents(docs, read_vocabulary(), public_tokenizers.PATTERN, with_ids=True)
 
 
