@@ -6,14 +6,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query, raw, reg, rw, star_fact
+from ..functions import scalars as S
 from ..functions.scalars import rnd
 from ..oracle import adapter as O
 from ..plans import core as C
+from ..plans import marts as M
 from ..plans import star as ST
 from ..sources import load as L
 from ..sources.adapter import generation_long
 from ..sources.tables import read_table
 from ..streaming.incremental import scratch
+from .q_marts import _HIST
 from .q_star import star
 
 FINAL_YEAR = 1998
@@ -52,6 +55,47 @@ def meter_from_text(spark, d):
                                  F.count(F.when(F.col("handelsname").contains(","), 1)).alias("mit_komma"))
 
 
+#: How each measured number is written in the meter file, by vehicle: decimal comma, blanks around, a blank, junk, a word, or plain.
+_FORMS = """CASE WHEN {n} % 29 = 0 THEN ' ' WHEN {n} % 31 = 0 THEN 'n/a' WHEN {n} % 37 = 0 THEN '12,3,4' WHEN {n} % 41 = 0 THEN ''
+  WHEN {n} % 3 = 0 THEN replace({t}, '.', ',') WHEN {n} % 5 = 0 THEN concat('  ', {t}, ' ') ELSE {t} END"""
+_METER_NUMBERS = ["fuel_total_l", "dist_total_km", "masse_kg", "fc_wltp"]
+_UNREADABLE = " OR ".join(f"v.n % {k} = 0" for k in (29, 31, 37, 41))
+
+
+@query("meter_text_numbers", O.with_rw(f"""
+, v AS (SELECT *, CAST(split_part(vehicle_id, '-', 1) AS BIGINT) * 7 + CAST(split_part(vehicle_id, '-', 2) AS BIGINT) AS n FROM rw)
+SELECT land, count(*) AS fahrzeuge, {', '.join(f"count(CASE WHEN NOT ({_UNREADABLE}) THEN {c} END) AS {c}_n, {O.rnd(f'sum(CASE WHEN NOT ({_UNREADABLE}) THEN CAST({c} AS DECIMAL(24,4)) END)', 2)} AS {c}_summe" for c in _METER_NUMBERS)}
+FROM v GROUP BY land"""))
+def meter_text_numbers(spark, d):
+    """A2, B1: the meter file's own numbers as text with commas, blanks and junk, through the tolerant parsers."""
+    n = F.split("vehicle_id", "-")[0].cast("long") * 7 + F.split("vehicle_id", "-")[1].cast("long")
+    t = rw(spark, d).withColumn("n", n)
+    t = t.withColumns({f"t_{c}": F.col(c).cast("decimal(24,4)").cast("string") for c in _METER_NUMBERS})
+    form = {c: F.when(F.col(c).isNull(), F.lit(None)).otherwise(F.expr(_FORMS.format(n="n", t=f"t_{c}"))).alias(c) for c in _METER_NUMBERS}
+    path = _as_text(t.select("vehicle_id", "land", *form.values()), scratch(spark, "text-meter-numbers"), nullValue="NULL", emptyValue="")
+    typed = L.read_null_word_csv(spark, path).select("land", *[S.parse_number(c).alias(c) for c in _METER_NUMBERS])
+    return typed.groupBy("land").agg(F.count(F.lit(1)).alias("fahrzeuge"), *[x for c in _METER_NUMBERS for x in (
+        F.count(c).alias(f"{c}_n"), rnd(F.sum(F.col(c).cast("decimal(24,4)")), 2).alias(f"{c}_summe"))])
+
+
+@query("histogram_from_text", O.with_raw("," + _HIST + f"""
+SELECT h.jahr, 'hist_' || h.jahr AS tabelle, count(*) AS zellen, CAST(sum(n) AS BIGINT) AS zulassungen, {O.rnd('sum(avg_mass * n)', 1)} AS masse
+FROM hist h WHERE h.jahr < {FINAL_YEAR} GROUP BY h.jahr"""))
+def histogram_from_text(spark, d):
+    """A4: the source's histogram, a file per year, loaded through a file that says which table holds which year."""
+    hist = M.mass_histogram(raw(spark, d)).filter(F.col("jahr") < FINAL_YEAR)
+    path, names = scratch(spark, "text-histogram"), scratch(spark, "text-years")
+    years = F.concat(F.lit("hist_"), F.col("jahr"))
+    _as_text(hist.select("jahr").distinct().select(F.col("jahr").cast("string").alias("jahr"), years.alias("tabelle")), names)
+    text = hist.select(years.alias("tabelle"), *[F.col(c).cast("string").alias(c) for c in hist.columns if c != "jahr"])
+    text.repartition("tabelle").write.partitionBy("tabelle").option("header", True).option("escape", '"').option("nullValue", "NULL").csv(path)
+    # the year is not in the files: only the map has it
+    loaded = L.read_null_word_csv(spark, path).join(L.read_text_csv(spark, names), "tabelle")
+    g = loaded.groupBy(S.parse_number("jahr").cast("int").alias("jahr"), "tabelle")
+    n = S.parse_number("n")
+    return g.agg(F.count(F.lit(1)).alias("zellen"), F.sum(n.cast("long")).alias("zulassungen"), rnd(F.sum(S.parse_number("avg_mass") * n), 1).alias("masse"))
+
+
 @query("columns_by_header", O.with_raw("""
 SELECT jahr, count(*) AS n, count(mk) AS mit_marke, count(CASE WHEN jahr < '1998' THEN ft END) AS mit_kraftstoff, 'pump' AS fehlend FROM raw GROUP BY jahr"""))
 def columns_by_header(spark, d):
@@ -60,8 +104,9 @@ def columns_by_header(spark, d):
     _as_text(r.where("jahr < '1998'").select("jahr", "id", "mk", "ft"), path)
     _as_text(r.where("jahr >= '1998' or jahr is null").select("mk", "jahr", "id"), path)
     wanted = ["id", "jahr", "mk", "ft", "pump"]
-    missing = L.missing_columns(L.read_by_header(spark, path), wanted)
-    return L.read_by_header(spark, path, wanted).groupBy("jahr").agg(
+    found = L.read_by_header(spark, path)
+    missing = L.missing_columns(found, wanted)
+    return L.bind(found, wanted).groupBy("jahr").agg(
         F.count(F.lit(1)).alias("n"), F.count("mk").alias("mit_marke"), F.count("ft").alias("mit_kraftstoff"), F.lit(",".join(missing)).alias("fehlend"))
 
 

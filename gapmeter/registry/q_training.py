@@ -77,6 +77,16 @@ def sample_deterministic(spark, d):
     return ML.deterministic_sample(ML.training_set(rw(spark, d)), "vehicle_id", SAMPLE_ROWS, SEED)
 
 
+@query("training_unknown", O.with_rw(_drawn(ML.FEATURES_ALL, _REST, None) + """,
+gaps AS (SELECT coalesce(CASE WHEN masse_kg % 7 <> 0 THEN antriebsklasse END, 'unbekannt') AS antriebsklasse, coalesce(CASE WHEN masse_kg % 11 <> 0 THEN land END, 'unbekannt') AS land FROM t)
+SELECT antriebsklasse, land, count(*) AS n FROM gaps GROUP BY ALL"""))
+def training_unknown(spark, d):
+    """L3: training rows with missing categories, which become a category of their own."""
+    t = ML.training_set(rw(spark, d))
+    t = t.withColumn("antriebsklasse", F.when(F.col("masse_kg") % 7 != 0, F.col("antriebsklasse"))).withColumn("land", F.when(F.col("masse_kg") % 11 != 0, F.col("land")))
+    return ML.fill_unknown(t).groupBy("antriebsklasse", "land").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("split_stratified", O.with_rw(_drawn(ML.FEATURES_ALL, _REST, "antriebsklasse") + """
 SELECT antriebsklasse, split, count(*) AS n, round(sum(gap_pct), 4) AS summe_gap FROM cut GROUP BY ALL"""))
 def split_stratified(spark, d):

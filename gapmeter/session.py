@@ -66,6 +66,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any store Spark writes to; a missing one is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def apply_session_defaults(spark: SparkSession) -> None:
     """Make a foreign session (e.g. the driver's) behave like ours for the
     runtime settings results and plans depend on: ANSI casts, UTC, AQE."""

@@ -53,20 +53,37 @@ def read_by_header(spark: SparkSession, path: str, wanted: list[str] | None = No
         if len(df.columns) < min_columns:
             raise ValueError(f"header of {group[0]} has {len(df.columns)} columns, expected >= {min_columns}")
         if wanted is not None:
-            df = df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in wanted])
+            df = bind(df, wanted)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+def bind(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns in their order; those that ``df`` lacks as NULL (A10)."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in wanted])
+
+
 def _files(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line -> files below ``path`` that begin with it (first lines come from a distributed read)."""
-    lines = spark.read.format("csv").option("sep", "\u0001").option("quote", "").option("header", False).schema("line string")
-    first = (lines.load(path).select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-             .withColumn("n", F.monotonically_increasing_id()).where("at = 0")
-             .groupBy("file").agg(F.min_by("line", "n").alias("line")).collect())   # a row per file
+    """Header line -> files below ``path`` that begin with it. Of each file the first line is read, and nothing else."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = root.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    names, todo = [], fs.listFiles(root, True)
+    while todo.hasNext():
+        f = todo.next()
+        if f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+            names.append(f.getPath())
     out: dict[str, list[str]] = {}
-    for r in sorted(first, key=lambda r: r["file"]):
-        out.setdefault(r["line"], []).append(r["file"])
+    for p in sorted(names, key=lambda p: p.toString()):     # a line per file
+        stream, codec = fs.open(p), codecs.getCodec(p)
+        stream = stream if codec is None else codec.createInputStream(stream)
+        try:
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"), 4096).readLine()
+        finally:
+            stream.close()
+        out.setdefault(line, []).append(p.toString())
     return out
 
 

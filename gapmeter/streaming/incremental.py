@@ -22,12 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import rnd
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, remove
+
+
+_SCRATCH: list[tuple[str, str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint dir."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the shared checkpoint dir. ``drop_scratch`` deletes it once its results are read."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every folder this application got from ``scratch``."""
+    own = [x for x in _SCRATCH if x[0] == spark.sparkContext.applicationId]
+    for x in own:
+        remove(spark, x[1])
+        _SCRATCH.remove(x)
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,

@@ -274,3 +274,30 @@ def test_new_keys_across_batches_and_reruns(spark, tmp_path):
     INC.run_batches(s(), sink, ck, INC.new_keys(["jahr", "id"]))
     got = sorted(((r.jahr, r.id) for r in spark.read.parquet(sink).collect()), key=repr)
     assert got == [(1, "a"), (2, None), (3, "c"), (4, "d")]
+
+
+def test_headers_are_read_without_the_rest(spark, tmp_path):
+    """Files of two headers, one compressed, one huge in its second line, an empty one and markers: a group per header."""
+    import gzip
+    (tmp_path / "a.csv").write_text("x,y,z\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("z,x,y\n" + "9," * 2_000_000 + "\n")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
+        f.write("x,y,z\n4,5,6\n")
+    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "_SUCCESS").write_text("no,header,here")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    groups = L._files(spark, f"file://{tmp_path}")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before  # no job reads the files
+    assert {h: sorted(p.rsplit("/", 1)[1] for p in ps) for h, ps in groups.items()} == {"x,y,z": ["a.csv", "c.csv.gz"], "z,x,y": ["b.csv"]}
+
+
+def test_scratch_folders_go_when_dropped(spark, tmp_path):
+    import os
+
+    from gapmeter.streaming import incremental as I
+    path = I.scratch(spark, "some")
+    spark.range(3).write.parquet(path)
+    local = path.replace("file://", "")
+    assert os.path.isdir(local)
+    I.drop_scratch(spark)
+    assert not os.path.isdir(local)
