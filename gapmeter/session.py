@@ -8,6 +8,7 @@ generation series depends on it (SURVEY B17).
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -83,6 +84,22 @@ def apply_session_defaults(spark: SparkSession) -> None:
             pass
 
 
+@contextlib.contextmanager
+def few_tasks(spark: SparkSession):
+    """While it holds, shuffles end in partitions of the advised size, not as many as there are cores: for rounds of
+    small steps, each of which is written out, that is fewer files."""
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def materialize(df):
     """Cut lineage at a mart boundary: a reliable checkpoint written to the
     shared ``spark.checkpoint.dir`` (survives executor loss; never local)."""
