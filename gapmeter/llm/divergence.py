@@ -10,6 +10,7 @@ both histograms. Histograms of short documents say little: below a minimum lengt
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,32 +24,33 @@ CLASSES = {"lower": "a-z", "space": r"\x20\x09-\x0D", "upper": "A-Z", "digit": "
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda x: x != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def common_words(docs: DataFrame, per_language: int, least_docs: int, least_words: int, text_col: str, lang_col: str) -> list[str]:
     """The ``per_language`` words in most documents (ties: by word) of each language with ``least_docs`` documents
     of ``least_words`` words; all languages together, in order."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("ref"), _words(F.col(text_col).cast("string")).alias("w"))
-    rows = rows.where(F.size("w") >= least_words)
-    counts = rows.select("ref", F.explode(F.array_distinct("w")).alias("word")).groupBy("ref", "word").agg(F.count("*").alias("n"))
-    first = Window.partitionBy("ref").orderBy(F.col("n").desc(), "word")
-    top = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
-    enough = [r.ref for r in docs.where(F.size(_words(F.col(text_col).cast("string"))) >= least_words).groupBy(F.col(lang_col).alias("ref")).count()
-              .where(F.col("ref").isNotNull() & (F.col("count") >= least_docs)).collect()]
-    return sorted({r.word for r in top.where(F.col("ref").isin(enough)).select("word").collect()}) if enough else []
+    # the empty word stands for the document itself
+    own = F.array_append(F.array_distinct("w"), F.lit(""))
+    counts = rows.where(F.size("w") >= least_words).select("ref", F.explode(own).alias("word")).groupBy("ref", "word").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("ref").orderBy((F.col("word") == "").desc(), F.col("n").desc(), "word")
+    top = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language + 1).collect()  # as many rows per language
+    enough = {r.ref for r in top if r.word == "" and r.n >= least_docs}
+    return sorted({r.word for r in top if r.word and r.ref in enough})
 
 
 def base_counts(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """doc_id, ``more``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common: counts of one pass."""
+    """doc_id, ``more``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common: counts of one pass. A histogram is an array of
+    (bin, count); bins that are not in it have no count."""
     rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("w", _words(F.col("text")))
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines)
-    triple = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(3)])
-    rows = rows.withColumn("h", F.when(F.col("n_words") < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), triple)))
+    # the last two have no whole window
+    triples = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
+    rows = rows.withColumn("h", F.when(F.col("n_words") < 3, F.array().cast("array<bigint>")).otherwise(F.slice(triples, F.lit(1), F.greatest(F.size("w") - 2, F.lit(0)))))
     several = F.size(F.array_distinct("h")) < F.size("h")
     # windows with an equal one, by a sort of (hash, place); most texts have none and skip it
     placed = F.when(several, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
@@ -65,28 +67,45 @@ def base_counts(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id",
         left = F.col(f"t_{name}")
     rows = rows.withColumn("c", F.struct(*counted, F.length("text").cast("long").alias("all")))
     rows = rows.withColumn("known", F.filter("w", lambda x: x.isin(vocabulary)) if vocabulary else F.array().cast("array<string>"))
-    known = [(F.size("known") - F.size(F.array_remove("known", F.lit(w)))).cast("long") for w in vocabulary]
+    listed = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
+    seen = F.transform(F.array_distinct("known"), lambda w: F.struct((F.array_position(listed, w) - 1).cast("int").alias("i"),
+                                                                     (F.size("known") - F.size(F.array_remove("known", w))).cast("long").alias("n")))
+    rest = F.array(F.struct(F.lit(len(vocabulary)).alias("i"), (F.col("n_words") - F.size("known")).alias("n")))
     named = [F.col(f"c.{n}") for n in CLASSES]
     return rows.select(
         *[c for c in rows.columns if c not in ("text", "w", "lines", "h", "s", "at", "c", "known", "n_words", *(f"t_{n}" for n in CLASSES))], "n_words",
         (F.col("c.all") - F.col("c.space")).alias("word_chars"), F.col("c.symbol").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.array(*named, F.col("c.all") - reduce(lambda a, b: a + b, named)).alias("classes"),
-        F.array(*known, F.col("n_words") - F.size("known")).alias("common"))
+        F.transform(F.array(*named, F.col("c.all") - reduce(lambda a, b: a + b, named)), lambda n, i: F.struct(i.alias("i"), n.alias("n"))).alias("classes"),
+        F.concat(seen, rest).alias("common"))
 
 
-def _distance(counts: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of a count array and a fixed one."""
-    total = float(sum(reference))
-    q = F.array(*[F.lit(x / total) for x in reference])
-    n = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)).cast("double")
+def _bits(x: Column) -> Column:
+    """x log2 x, 0 at 0."""
+    return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
 
-    def part(x, y):  # x of one, y of the other histogram
-        return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(F.transform(counts, lambda x: x / n), q, lambda x, y: (part(x, y) + part(y, x)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+def _distances(histogram: Column, references: list[list[float]]) -> Column:
+    """Jensen-Shannon distances (base 2, 0 to 1) of one histogram from each of some fixed ones, rounded to six digits.
+
+    With b(x) = x log2 x the squared distance is 1 + (sum b(p) + sum b(q) - sum b(p + q)) / 2. Bins without a
+    count add b(q) - b(q) = 0, so only the document's own bins are gone through."""
+    full = F.filter(histogram, lambda x: x["n"] > 0)
+    n = F.greatest(F.aggregate(full, F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(1)).cast("double")
+
+    def one(counts: list[int]) -> Column:
+        total = float(sum(counts))
+        q = F.array(*[F.lit(x / total) for x in counts])
+        own = F.array(*[F.lit(x / total * math.log2(x / total) if x else 0.0) for x in counts])  # b(q)
+
+        def part(a, x):
+            p = x["n"] / n
+            return a + (_bits(p) + F.get(own, x["i"]) - _bits(p + F.get(q, x["i"])))
+        # an empty histogram shares nothing with the reference, but counts as all in no bin: half of its mass
+        square = F.when(F.size(full) > 0, 1 + F.aggregate(full, F.lit(0.0), part) / 2).otherwise(F.lit(0.5))
+        return F.round(F.sqrt(F.greatest(square, F.lit(0.0))), 6)
+    return F.array(*[one(c) for c in references])
 
 
 def judge(docs: DataFrame, class_factor: float = 2.0, word_factor: float = 2.0, least_chars: int = 200, least_words: int = 80, words_per_language: int = 20,
@@ -107,16 +126,19 @@ def judge(docs: DataFrame, class_factor: float = 2.0, word_factor: float = 2.0,
     rows = base_counts(docs, vocabulary, id_col, text_col, F.col(lang_col).cast("string").alias("ref"))
     rows = materialize(rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
     kinds = {"classes": (len(CLASSES) + 1, class_factor, F.col("word_chars") >= least_chars), "common": (len(vocabulary) + 1, word_factor, F.col("n_words") >= least_words)}
-    sums = [F.sum(F.get(a, F.lit(i))).alias(f"{a}{i}") for a, (n, _, _) in kinds.items() for i in range(n)]
     good = rows.where(~F.col("base_failed") & F.col("ref").isNotNull())
-    found = good.groupBy("ref").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least_docs).collect()  # a row per language
+    found = good.groupBy("ref").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).collect()  # a row per language
     found.sort(key=lambda r: r["ref"])
+    counts = {(r["ref"], a): [0] * n for r in found for a, (n, _, _) in kinds.items()}
+    for a in kinds if found else ():  # rows per language and bin
+        bins = good.where(F.col("ref").isin([r["ref"] for r in found])).select("ref", F.explode(a).alias("x")).groupBy("ref", "x.i").agg(F.sum("x.n").alias("n"))
+        for r in bins.collect():
+            counts[r["ref"], a][r["i"]] = r["n"]
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     if not found:
         none = F.lit(None).cast("double")
         return rows.select(*base, none.alias("class_distance"), none.alias("word_distance"), (~F.col("base_failed")).alias("kept"))
-    for a, (n, _, _) in kinds.items():
-        rows = rows.withColumn(f"d_{a}", F.array(*[F.round(_distance(F.col(a), [r[f"{a}{i}"] for i in range(n)]), 6) for r in found]))
+    rows = rows.withColumns({f"d_{a}": _distances(F.col(a), [counts[r["ref"], a] for r in found]) for a in kinds})
     rows = materialize(rows.drop("classes", "common"))
     # a median of distances in steps of 0.0001: its state is bounded
     own = F.array_position(F.array(*[F.lit(r["ref"]) for r in found]), F.col("ref")).cast("int") - 1
