@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import few_tasks, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,14 +15,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     (pointer jumping), until nothing changes. Every round is written to the shared
     checkpoint folder, so a lost executor costs one round at most.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label")
-        least = materialize(labels.union(near).groupBy("id").agg(F.min("label").alias("label")))
-        to = least.select(F.col("id").alias("label"), F.col("label").alias("jump"))
-        new = materialize(least.join(to, "label").select("id", F.col("jump").alias("label")))
-        moved = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        if not moved:
-            return new
-        labels = new
+    with few_tasks(links.sparkSession):
+        both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+        labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+        while True:
+            near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label")
+            least = materialize(labels.union(near).groupBy("id").agg(F.min("label").alias("label")))
+            to = least.select(F.col("id").alias("label"), F.col("label").alias("jump"))
+            new = materialize(least.join(to, "label").select("id", F.col("jump").alias("label")))
+            moved = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
+            if not moved:
+                return new
+            labels = new

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import few_tasks, materialize
 from .common import text_groups
 from .components import connected_components
 
@@ -203,10 +203,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket
         hot = keyed.join(size.where(F.col("n") > bucket_rows), ["part", "bits"]).select("fp").distinct()
         links = cold.union(_ball_links(hot, max_bits))
     label = connected_components(links)
-    named = label.join(distinct, label["id"] == distinct["fp"])
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = materialize(distinct.join(materialize(named.select("fp", "label")), "fp", "left").join(materialize(smallest), "label", "left")
-                     .select("fp", F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"),
-                             F.coalesce("label", "fp").alias("component")))
+    with few_tasks(docs.sparkSession):
+        named = label.join(distinct, label["id"] == distinct["fp"])
+        smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+        of = materialize(distinct.join(materialize(named.select("fp", "label")), "fp", "left").join(materialize(smallest), "label", "left")
+                         .select("fp", F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"),
+                                 F.coalesce("label", "fp").alias("component")))
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
                                      *([] if row is None else ["row", "component"]))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import few_tasks, materialize
 
 BLOCK = 64
 HEAD = 5  # most turns that are taken over
@@ -329,7 +329,8 @@ def prefix_trie(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     distinct = work.groupBy(*keys).agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("least"),
                                        F.sum((F.col("last_block") > F.col("block")).cast("long")).alias("going"))
     nodes = materialize(distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_shards, NODE))
-    opened = materialize(_open_totals(nodes))
+    with few_tasks(turns.sparkSession):
+        opened = materialize(_open_totals(nodes))
     digests = ends.repartitionByRange("a", "b", "conv_id").sortWithinPartitions("a", "b", "conv_id").mapInArrow(_runs, "a long, b long, first long, ids string")
     digests = digests.repartition("a", "b").sortWithinPartitions("a", "b", "first").mapInArrow(_digests, "a long, b long, ends_sha256 string")
     cols = [*ID, "depth", "up_a", "up_b", "n_convs", "least", "n_children", "n_leaves", "saved"]
