@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import materialize
-from .common import WordHasher, pack, pack_sorted, rolling, unpack, unpack_sorted
+from .common import WordHasher, cuts, pack, pack_sorted, rolling, unpack, unpack_sorted
 
 ANCHOR_SEED, WINDOW_SEED, CHECK_SEED = 11, 12, 13
+#: Up to so many groups of equal rows are broadcast.
+BROADCAST_ROWS = 100_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
@@ -74,12 +76,6 @@ class Chunk:
         return k[start], x[start] >> np.uint64(1) != x[last] >> np.uint64(1), is_block, key, at
 
 
-def _bounds(sorted_keys, bits, buckets):
-    """Position of each bucket's first key: buckets are equal ranges of the key space."""
-    return np.searchsorted(sorted_keys, np.array([-((-p << bits) // buckets) for p in range(buckets)] + [(1 << bits) - 1],
-                                                 np.uint64)[:-1]).tolist() + [len(sorted_keys)]
-
-
 def _empty(schema: pa.Schema) -> pa.Table:
     return schema.empty_table()
 
@@ -97,12 +93,8 @@ def _probe(block, bits, buckets):
     def run(key, rows):
         c = Chunk(rows)
         k, several, is_block, _, _ = c.anchors(block, bits)
-        cut, out = _bounds(k, bits, buckets), []
-        for p in range(buckets):
-            s = slice(cut[p], cut[p + 1])
-            if s.stop > s.start:
-                out.append((p, key[0].as_py(), s.stop - s.start, pack_sorted(k[s]), np.packbits(several[s]).tobytes(),
-                            np.packbits(is_block[s]).tobytes()))
+        out = [(p, key[0].as_py(), b - a, pack_sorted(k[a:b]), np.packbits(several[a:b]).tobytes(), np.packbits(is_block[a:b]).tobytes())
+               for p, a, b in cuts(k, bits, buckets)]
         return pa.table(list(map(list, zip(*out))), schema=_PROBE) if out else _empty(_PROBE)
     return run
 
@@ -135,9 +127,10 @@ def _around_hits(block, window, bits, buckets):
             return _empty(_WINDOWS)
         c = Chunk(docs)
         k, _, _, keys, at = c.anchors(block, bits)
-        cut, hit = _bounds(k, bits, buckets), np.zeros(len(k), bool)
-        for p, n, blob in zip(*(hits.column(x).to_pylist() for x in ("bucket", "n", "hits"))):
-            hit[cut[p]:cut[p + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+        hit, found = np.zeros(len(k), bool), dict(zip(*(hits.column(x).to_pylist() for x in ("bucket", "hits"))))
+        for p, a, b in cuts(k, bits, buckets):
+            if p in found:
+                hit[a:b] = np.unpackbits(np.frombuffer(found[p], np.uint8), count=b - a).astype(bool)
         good = k[hit]
         place = np.minimum(np.searchsorted(good, keys), max(len(good) - 1, 0))
         near = np.zeros(len(c.hash) + 1, np.int64)
@@ -156,11 +149,8 @@ def _around_hits(block, window, bits, buckets):
         ids = np.array([i or 0 for i in c.ids], np.int64)
         least, most = ids[doc[start]].view(np.uint64), ids[doc[last]].view(np.uint64)
         h, check = h[start], check[start]
-        cut, out = _bounds(h, 64, buckets), []
-        for p in range(buckets):
-            s = slice(cut[p], cut[p + 1])
-            if s.stop > s.start:
-                out.append((p, key[0].as_py(), s.stop - s.start, pack_sorted(h[s]), pack(check[s]), pack(least[s]), pack(most[s] - least[s])))
+        out = [(p, key[0].as_py(), b - a, pack_sorted(h[a:b]), pack(check[a:b]), pack(least[a:b]), pack(most[a:b] - least[a:b]))
+               for p, a, b in cuts(h, 64, buckets)]
         return pa.table(list(map(list, zip(*out))), schema=_WINDOWS) if out else _empty(_WINDOWS)
     return run
 
@@ -270,11 +260,13 @@ def substring_dedup(docs: DataFrame, window: int = 13, docs_per_chunk: int = 200
     # equal rows that would fill a chunk: at most as many groups as there are chunks of either kind
     heavy = materialize(base.select(row.alias("h"), size.alias("b")).groupBy("h").agg(F.count("*").alias("c"), F.sum("b").alias("b"))
                         .where((F.col("c") > 1) & ((F.col("c") > docs_per_chunk) | (F.col("b") > chunk_bytes))).select("h"))
-    collapsed = heavy.limit(1).count() > 0
+    n_heavy = heavy.count()
+    collapsed = n_heavy > 0
     if collapsed:
         marked = base.withColumn("h", row)
-        few = marked.join(F.broadcast(heavy), "h", "left_anti").select(*named, F.lit(1).cast("long").alias("times"))
-        many = marked.join(F.broadcast(heavy), "h", "left_semi").groupBy(*named).agg(F.count("*").alias("times"))
+        side = F.broadcast(heavy) if n_heavy <= BROADCAST_ROWS else heavy
+        few = marked.join(side, "h", "left_anti").select(*named, F.lit(1).cast("long").alias("times"))
+        many = marked.join(side, "h", "left_semi").groupBy(*named).agg(F.count("*").alias("times"))
         base = few.unionByName(many)
     deal = F.pmod(row, F.lit(chunks))
     # a long document is a chunk of its own, numbered above the others

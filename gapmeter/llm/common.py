@@ -161,3 +161,13 @@ def unpack_sorted(b: bytes, n: int) -> np.ndarray:
 
 def ranges(lengths) -> list[int]:
     return [0, *itertools.accumulate(lengths)]
+
+
+def cuts(keys: np.ndarray, bits: int, buckets: int):
+    """(bucket, from, to) of the buckets that sorted keys of ``bits`` bits fall in; buckets are equal ranges of the key space."""
+    if not len(keys):
+        return
+    top = (keys >> np.uint64(max(0, bits - 32))).astype(np.uint64)
+    bucket = (top * np.uint64(buckets)) >> np.uint64(min(bits, 32))
+    at = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)])).tolist()
+    yield from zip(bucket[at[:-1]].tolist(), at[:-1], at[1:])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import mix64, pack, pack_sorted, unpack, unpack_sorted
+from .common import cuts, mix64, pack, pack_sorted, unpack, unpack_sorted
 
 SLICE = 1 << 20
 SHARD = 1 << 21
@@ -284,19 +284,9 @@ def _grouped(h: np.ndarray, c: np.ndarray):
     return o, np.flatnonzero(np.concatenate(([True], ~same))) if len(h) else np.zeros(0, np.int64)
 
 
-def _cuts(keys: np.ndarray, bits: int, buckets: int):
-    """(bucket, from, to) of the buckets that occur; buckets are equal ranges of the key space."""
-    if not len(keys):
-        return
-    top = (keys >> np.uint64(max(0, bits - 32))).astype(np.uint64)
-    bucket = (top * np.uint64(buckets)) >> np.uint64(min(bits, 32))
-    at = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)])).tolist()
-    yield from zip(bucket[at[:-1]].tolist(), at[:-1], at[1:])
-
-
 def _marked(keys: np.ndarray, bits: int, buckets: int, marks: dict) -> np.ndarray:
     hit = np.zeros(len(keys), bool)
-    for p, a, b in _cuts(keys, bits, buckets):
+    for p, a, b in cuts(keys, bits, buckets):
         if p in marks:
             hit[a:b] = np.unpackbits(np.frombuffer(marks[p], np.uint8), count=b - a)
     return hit
@@ -334,7 +324,7 @@ def _send_grams(length, bits, buckets):
     def run(key, rows):
         keys, several = Chunk(rows, length).grams(bits)
         return _table([(p, key[0].as_py(), b - a, pack_sorted(keys[a:b]), np.packbits(several[a:b]).tobytes())
-                       for p, a, b in _cuts(keys, bits, buckets)], _GRAMS)
+                       for p, a, b in cuts(keys, bits, buckets)], _GRAMS)
     return run
 
 
@@ -345,7 +335,7 @@ def _send_classes(length, bits, buckets, spare):
         c = Chunk(docs, length)
         h, check, several = c.classes(c.candidates(bits, _by_bucket(marks, 0), buckets), spare)
         return _table([(p, key[0].as_py(), b - a, pack_sorted(h[a:b]), np.packbits(several[a:b]).tobytes(), pack(check[a:b]))
-                       for p, a, b in _cuts(h, 64, buckets)], _CLASSES)
+                       for p, a, b in cuts(h, 64, buckets)], _CLASSES)
     return run
 
 

@@ -244,3 +244,17 @@ def test_text_moves_once(spark, edge_docs):
     out.collect()
     plan = out._jdf.queryExecution().toString()
     assert plan.split("== Initial Plan ==")[0].count("ReusedExchange") >= 2
+
+
+def test_a_chunk_visits_only_the_buckets_it_has():
+    """Work follows the keys of a chunk, not the number of chunks there are; buckets are the same wherever keys are cut."""
+    from gapmeter.llm.common import cuts
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 40, dtype=np.uint64))
+    for buckets in (1, 7, 1000, 10**7):
+        for bits in (64, 40, 20):
+            k = keys >> np.uint64(64 - bits)
+            got = list(cuts(k, bits, buckets))
+            assert len(got) <= min(40, buckets) and got[0][1] == 0 and got[-1][2] == 40 and all(x[2] == y[1] and x[0] < y[0] < buckets for x, y in zip(got, got[1:]))
+            alone = {p for x in k for p, _, _ in cuts(np.array([x]), bits, buckets)}
+            assert alone == {p for p, _, _ in got}
+    assert list(cuts(keys[:0], 64, 5)) == []
