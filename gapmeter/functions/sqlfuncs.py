@@ -26,23 +26,25 @@ def _drive_lookup() -> str:
     return f"coalesce(get({fits.format(rows=rows)}, 0).c, {_quoted(NO_DRIVE_RULE)})"
 
 
-def _eco_lookup() -> str:
-    """Codes of the whitelist, in order, that stand at an even place of an even run of digits."""
-    codes = ", ".join(_quoted(c) for c in sorted(ECO_CODE_WHITELIST))
-    runs = r"filter(split(trim(t), '\\s+'), run -> length(run) % 2 = 0 AND run NOT RLIKE '[^0-9]')"
-    found = f"filter(array({codes}), c -> exists({runs}, run -> exists(sequence(0, length(run) DIV 2), k -> substr(run, 2 * k + 1, 2) = c)))"
-    return f"CASE WHEN size({found}) > 0 THEN {found} END"
+def _eco_codes() -> str:
+    """Pairs of digits of the all-digit tokens of even length that the whitelist has: distinct, in order, none: NULL."""
+    listed = ", ".join(_quoted(c) for c in ECO_CODE_WHITELIST)
+    tokens = r"filter(split(trim(t), '\\s+'), x -> x RLIKE '^[0-9]+$' AND length(x) % 2 = 0)"
+    pairs = f"flatten(transform({tokens}, x -> transform(sequence(1, length(x), 2), i -> substr(x, i, 2))))"
+    codes = f"array_sort(array_intersect({pairs}, array({listed})))"
+    return f"CASE WHEN size({codes}) > 0 THEN {codes} END"
 
 
 def bodies() -> dict[str, tuple[str, str, str]]:
     """Function name -> (arguments, result type, body)."""
+    number, day = "replace(trim(t), ',', '.')", "left(trim(t), 10)"
     return {
         "antriebsklasse": ("ft STRING, fm STRING", "STRING", _drive_lookup()),
-        "leer_zu_null": ("t STRING", "STRING", "regexp_substr(trim(t), '(?s).+')"),
-        "norm_name": ("t STRING", "STRING", "regexp_substr(upper(regexp_replace(t, '[^A-Za-z0-9]', '')), '.+')"),
-        "oeko_codes": ("t STRING", "ARRAY<STRING>", _eco_lookup()),
-        "zu_datum": ("t STRING", "DATE", f"try_to_date(regexp_substr(left(trim(t), 10), {_quoted(DATE_SHAPE)}), 'yyyy-MM-dd')"),
-        "zu_zahl": ("t STRING", "DOUBLE", f"try_cast(regexp_substr(translate(trim(t), ',', '.'), {_quoted(NUMBER_SHAPE)}) AS DOUBLE)"),
+        "leer_zu_null": ("t STRING", "STRING", "nullif(trim(t), '')"),
+        "norm_name": ("t STRING", "STRING", "nullif(upper(regexp_replace(t, '[^A-Za-z0-9]', '')), '')"),
+        "oeko_codes": ("t STRING", "ARRAY<STRING>", _eco_codes()),
+        "zu_datum": ("t STRING", "DATE", f"if({day} RLIKE {_quoted(DATE_SHAPE)}, try_to_date({day}, 'yyyy-MM-dd'), NULL)"),
+        "zu_zahl": ("t STRING", "DOUBLE", f"if({number} RLIKE {_quoted(NUMBER_SHAPE)}, try_cast({number} AS DOUBLE), NULL)"),
     }
 
 
