@@ -81,7 +81,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests and the token ids of each document left."""
     apply_session_defaults(spark)
-    return bpe.encode_documents(docs, read_vocabulary(), public_tokenizers.PATTERN, with_ids=True)
+    # workers that earlier stages have used keep some of their memory: less for this one
+    return bpe.encode_documents(docs, read_vocabulary(), public_tokenizers.PATTERN, with_ids=True, cache_pieces=60_000, max_states=60_000)
 
 
 def read_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> bytes:
