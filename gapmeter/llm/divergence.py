@@ -41,7 +41,7 @@ def common_words(docs: DataFrame, per_language: int, least_docs: int, least_word
 
 
 def base_counts(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """doc_id, ``more``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common: counts of one pass. A histogram is an array of
+    """doc_id, ``more``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, classes, common: counts of one pass. A histogram is an array of
     (bin, count); bins that are not in it have no count."""
     rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("w", _words(F.col("text")))
@@ -74,7 +74,7 @@ def base_counts(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id",
     named = [F.col(f"c.{n}") for n in CLASSES]
     return rows.select(
         *[c for c in rows.columns if c not in ("text", "w", "lines", "h", "s", "at", "c", "known", "n_words", *(f"t_{n}" for n in CLASSES))], "n_words",
-        (F.col("c.all") - F.col("c.space")).alias("word_chars"), F.col("c.symbol").alias("n_symbols"),
+        F.col("c.all").alias("n_chars"), (F.col("c.all") - F.col("c.space")).alias("word_chars"), F.col("c.symbol").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.transform(F.array(*named, F.col("c.all") - reduce(lambda a, b: a + b, named)), lambda n, i: F.struct(i.alias("i"), n.alias("n"))).alias("classes"),
@@ -86,25 +86,23 @@ def _bits(x: Column) -> Column:
     return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
 
 
-def _distances(histogram: Column, references: list[list[float]]) -> Column:
+def _shares(histogram: Column, total: Column) -> Column:
+    """The bins that have a count, as (bin, share of ``total``)."""
+    return F.transform(F.filter(histogram, lambda x: x["n"] > 0), lambda x: F.struct(x["i"].alias("i"), (x["n"] / total).alias("p")))
+
+
+def _distances(shares: Column, references: list[list[int]]) -> Column:
     """Jensen-Shannon distances (base 2, 0 to 1) of one histogram from each of some fixed ones, rounded to six digits.
 
     With b(x) = x log2 x the squared distance is 1 + (sum b(p) + sum b(q) - sum b(p + q)) / 2. Bins without a
     count add b(q) - b(q) = 0, so only the document's own bins are gone through."""
-    full = F.filter(histogram, lambda x: x["n"] > 0)
-    n = F.greatest(F.aggregate(full, F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(1)).cast("double")
-
     def one(counts: list[int]) -> Column:
         total = float(sum(counts))
         q = F.array(*[F.lit(x / total) for x in counts])
         own = F.array(*[F.lit(x / total * math.log2(x / total) if x else 0.0) for x in counts])  # b(q)
-
-        def part(a, x):
-            p = x["n"] / n
-            return a + (_bits(p) + F.get(own, x["i"]) - _bits(p + F.get(q, x["i"])))
+        sums = F.aggregate(shares, F.lit(0.0), lambda a, x: a + (_bits(x["p"]) + F.get(own, x["i"]) - _bits(x["p"] + F.get(q, x["i"]))))
         # an empty histogram shares nothing with the reference, but counts as all in no bin: half of its mass
-        square = F.when(F.size(full) > 0, 1 + F.aggregate(full, F.lit(0.0), part) / 2).otherwise(F.lit(0.5))
-        return F.round(F.sqrt(F.greatest(square, F.lit(0.0))), 6)
+        return F.round(F.sqrt(F.greatest(F.when(F.size(shares) > 0, 1 + sums / 2).otherwise(F.lit(0.5)), F.lit(0.0))), 6)
     return F.array(*[one(c) for c in references])
 
 
@@ -138,8 +136,10 @@ def judge(docs: DataFrame, class_factor: float = 2.0, word_factor: float = 2.0,
     if not found:
         none = F.lit(None).cast("double")
         return rows.select(*base, none.alias("class_distance"), none.alias("word_distance"), (~F.col("base_failed")).alias("kept"))
-    rows = rows.withColumns({f"d_{a}": _distances(F.col(a), [counts[r["ref"], a] for r in found]) for a in kinds})
-    rows = materialize(rows.drop("classes", "common"))
+    # shares once per document, not once per bin or language
+    rows = rows.withColumns({"p_classes": _shares(F.col("classes"), F.col("n_chars")), "p_common": _shares(F.col("common"), F.col("n_words"))})
+    rows = rows.withColumns({f"d_{a}": _distances(F.col(f"p_{a}"), [counts[r["ref"], a] for r in found]) for a in kinds})
+    rows = materialize(rows.drop("classes", "common", "p_classes", "p_common"))
     # a median of distances in steps of 0.0001: its state is bounded
     own = F.array_position(F.array(*[F.lit(r["ref"]) for r in found]), F.col("ref")).cast("int") - 1
     medians = {r["ref"]: r for r in rows.where(~F.col("base_failed") & F.col("ref").isin([r["ref"] for r in found])).groupBy("ref").agg(
