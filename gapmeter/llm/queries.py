@@ -166,17 +166,17 @@ SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_con
 FROM f JOIN z ON f.node = z.top LEFT JOIN f p ON f.depth > 0 AND f.up = p.node""",
     "op13_suffix_dedup": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(COALESCE(text, ''))) AS hx FROM documents),
-w AS (SELECT rid, i, md5(substr(hx, 2 * i - 1, 400)) AS k FROM d, unnest(range(1, length(hx) // 2 - 198)) u(i)),
-g AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prv
-      FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
-r AS (SELECT rid, SUM(LEAST(200, COALESCE(nxt - i, 200))) AS n_removed, COUNT(*) FILTER (prv IS NULL OR i - prv > 200) AS n_spans FROM g GROUP BY rid),
-c AS (SELECT DISTINCT rid, j FROM (SELECT rid, unnest(range(i, i + LEAST(200, COALESCE(nxt - i, 200)))) AS j FROM g)),
-b AS (SELECT d.rid, string_agg(substr(hx, 2 * p - 1, 2), '' ORDER BY p) AS kept
-      FROM d JOIN r ON d.rid = r.rid, unnest(range(1, length(hx) // 2 + 1)) u(p)
-      WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.rid = d.rid AND c.j = p) GROUP BY d.rid)
+ks AS (SELECT rid, list_transform(range(1, length(hx) // 2 - 198), lambda i: hash(substr(hx, 2 * i - 1, 400), 1) :: HUGEINT * 4294967296 + hash(substr(hx, 2 * i - 1, 400)) % 4294967296) AS l FROM d),
+w AS (SELECT rid, unnest(l) AS k, generate_subscripts(l, 1) AS i FROM ks),
+g AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prv FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+sp AS (SELECT rid, MIN(i) AS a, MAX(i) + 200 AS e
+       FROM (SELECT rid, i, SUM(CASE WHEN prv IS NULL OR i - prv > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS s FROM g) GROUP BY rid, s),
+r AS (SELECT rid, list(a ORDER BY a) AS a, list(e ORDER BY a) AS e, SUM(e - a) AS n_removed, COUNT(*) AS n_spans FROM sp GROUP BY rid)
 SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(CASE WHEN r.rid IS NULL THEN hx ELSE COALESCE(kept, '') END)) AS kept_sha256
-FROM d LEFT JOIN r ON d.rid = r.rid LEFT JOIN b ON d.rid = b.rid""",
+       sha256(unhex(CASE WHEN r.rid IS NULL THEN hx ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda j: substr(hx,
+         2 * (CASE WHEN j = 0 THEN 1 ELSE e[j] END) - 1,
+         2 * ((CASE WHEN j = len(a) THEN length(hx) // 2 + 1 ELSE a[j + 1] END) - (CASE WHEN j = 0 THEN 1 ELSE e[j] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN r ON d.rid = r.rid""",
     "op9_quality": _divergence_sql(),
     "op1_warc": """
 WITH p AS (SELECT page_id, encode(COALESCE(html, '')) AS b FROM pages),
