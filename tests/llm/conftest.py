@@ -3,6 +3,9 @@ import random
 
 import pytest
 
+# the same names as in the conftest above: run together, either of the two may be the one that is imported
+SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
 WORDS = ["the", "of", "and", "alpha", "beta", "gamma", "delta", "eins", "zwei", "été", "日本", "x1", "don't", "###"]
 
 
