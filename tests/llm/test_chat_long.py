@@ -60,3 +60,29 @@ def test_hash_of_a_prefix_is_that_of_the_shorter_conversation(spark):
     for c in (2, 3, 4):
         assert all(h[c, p] == h[1, p] for p in range(1, len(talk[c]) + 1))
     assert len({h[1, p] for p in range(1, 601)}) == 600 and h[5, 2] != h[1, 2]
+
+
+def test_whole_conversations_with_their_chain(spark):
+    """A row per conversation, however long: the whole text and the SHA-256 chain over its turns."""
+    import hashlib
+
+    from gapmeter.llm import chat
+    talk = _talk()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = Counter()
+    for c, _, n, _ in _want(talk, 10**6):
+        chain = ""
+        for r, t in talk[c]:
+            chain = sha(chain + sha(f"{len(r)}:{r}{t}"))
+        want[c, n, "\n".join(f"<|{r}|>\n{t}<|end|>" for r, t in talk[c]), chain] += 1
+    assert Counter(tuple(r) for r in chat.collapse_whole(_rows(spark, talk)).select("conv_id", "n_turns", "rendered", "chain_sha256").collect()) == want
+    assert chat.collapse_whole(_rows(spark, talk).limit(0)).collect() == []
+
+
+def test_query_gives_whole_conversations(spark, tmp_path):
+    from gapmeter.llm import queries
+    talk = _talk()
+    _rows(spark, talk).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op7_chat(spark, f"file://{tmp_path}")
+    assert got.columns == ["conv_id", "n_turns", "rendered", "chain_sha256"]
+    assert [r.rendered.count("<|end|>") for r in got.where("conv_id = 7").collect()] == [1500]
