@@ -53,3 +53,22 @@ def test_hot_key_is_combined_before_the_shuffle(spark):
     assert out.count() == 20_001 and out.where("id = -1").first().v == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_min") == 1 and "Window" not in plan
+
+
+@pytest.mark.parametrize("crowded", [10**6, 50])
+def test_many_copies_move_in_narrow_form_and_bounded_tasks(spark, crowded, monkeypatch):
+    """With many repeated keys rows are dealt out before ``derive`` widens them, over as many tasks as they ask for, and only
+    crowded keys are combined before the shuffle."""
+    monkeypatch.setattr(DD, "ROWS_PER_TASK", 100)
+    rng = random.Random(2)
+    rows = [(i % 3, i % 600, rng.choice([None, 1, 2, 3])) for i in range(2400)] + [(1, None, v) for v in range(300)] + [(None, None, 5)] * 70
+    df = spark.createDataFrame(rows, "jahr int, id int, a int").repartition(4)
+    derive = lambda x: x.select("jahr", "id", F.concat(F.lit("wide "), F.col("a").cast("string")).alias("b"), (F.col("a") * 2).alias("c"))
+    out = DD.keep_one(df, ["jahr", "id"], broadcast_keys=3, derive=derive, crowded=crowded)
+    wide = [(y, i, None if a is None else f"wide {a}", None if a is None else a * 2) for y, i, a in rows]
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: tuple((x is not None, x) for x in r))
+    assert got == _want(wide)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    dealt = next(i for i, x in enumerate(lines) if "RepartitionByExpression" in x)
+    assert f", {-(-(len(rows) if crowded > 50 else len(rows)) // 100)}" in lines[dealt]
+    assert any("wide " in x for x in lines[:dealt]) and not any("wide " in x for x in lines[dealt:dealt + 2])
