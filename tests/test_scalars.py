@@ -110,3 +110,12 @@ def test_sql_functions_equal_column_rules(spark):
 @pytest.mark.parametrize("text,n", [("a  b\t\nc", 70)])
 def test_squeeze(spark, text, n):
     assert one_col(spark, [text], lambda c: S.squeeze_text(c, n)) == ["a b c"]
+
+
+def test_name_key_keeps_runs_of_letters_and_digits(spark):
+    """B4 joins the kept runs; no negated class is run over the text."""
+    names = [" Škoda  Octavia-RS 4x4 ", "ß", "", None, "  ", "aıb", "BMW\tX1\n(2020)", "日本 7", "ÄÖÜ"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", S.normalize_name("n").alias("k"))
+    assert {r.n: r.k for r in df.collect()} == {names[0]: "KODAOCTAVIARS4X4", "ß": None, "": None, None: None, "  ": None, "aıb": "AB",
+                                                names[6]: "BMWX12020", "日本 7": "7", "ÄÖÜ": None}
+    assert "[^A-Za-z0-9]" not in df._jdf.queryExecution().optimizedPlan().toString()
