@@ -14,7 +14,7 @@ from ..functions.scalars import rnd
 from ..oracle.adapter import rnd as srnd
 from ..oracle import adapter as O
 from ..plans.core import analysable
-from ..session import ensure_checkpoint_dir
+from ..session import SMALL_GROUPS, ensure_checkpoint_dir, unsorted_writes
 from ..sources import load as L
 from ..sources.tables import read_table
 from .q_gap import _BY_YEAR_CTE, _POOLED
@@ -126,7 +126,8 @@ def union_years(spark, d):
     """Yearly tables unioned by name: the raw rows are written as a folder per year
     (a null year has its own) and one scan reads the folders as one table."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/years-{uuid.uuid4().hex[:12]}"
-    raw(spark, d).write.partitionBy("jahr").parquet(path)
+    with unsorted_writes(spark):
+        raw(spark, d).write.options(**SMALL_GROUPS).partitionBy("jahr").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("jahr").cast("string").alias("jahr")).agg(F.count(F.lit(1)).alias("n"))
 
 

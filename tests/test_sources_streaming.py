@@ -301,3 +301,24 @@ def test_scratch_folders_go_when_dropped(spark, tmp_path):
     assert os.path.isdir(local)
     I.drop_scratch(spark)
     assert not os.path.isdir(local)
+
+
+def test_writes_by_year_do_not_sort(spark, tmp_path):
+    """A task that writes by year keeps a file open per year; the setting is the session's own again afterwards."""
+    from gapmeter.plans import layers as LY
+    from gapmeter.plans import star as ST
+    from gapmeter.session import unsorted_writes
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(key, None)
+    with unsorted_writes(spark):
+        assert int(spark.conf.get(key)) > 7
+    assert spark.conf.get(key, None) == was
+    df = spark.range(5000).select((1995 + F.col("id") % 8).cast("int").alias("jahr"), F.col("id").alias("src_id")).repartition(2)
+    ST.write_fact(df, str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").glob("jahr=*/*.parquet"))) == 16     # each of two tasks, no shuffle before
+    d = str(tmp_path / "in")
+    df.write.parquet(f"{d}/t.parquet")
+    got = LY.layer(spark, d, "y", lambda: spark.read.parquet(f"{d}/t.parquet"), partition_by=["jahr"])
+    for back in (got, spark.read.parquet(str(tmp_path / "f"))):
+        assert {(r.jahr, r["count"]) for r in back.groupBy("jahr").count().collect()} == {(1995 + k, 625) for k in range(8)}
+    assert spark.conf.get(key, None) == was
