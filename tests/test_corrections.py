@@ -77,3 +77,12 @@ def test_late_rows_correct_their_hour_and_are_counted(spark, tmp_path):
         INC.run_batches(INC.file_stream(spark, src, df.schema), sink, ck, INC.hourly_with_late("ts", "k", "v", 2))
     got = {(str(r.fenster_start)[11:13], r.k): (r.summe, r.n, r.n_spaet) for r in INC.hourly_totals(spark.read.parquet(sink), "k").collect()}
     assert got == {("10", "a"): (5.0, 2, 1), ("14", "a"): (2.0, 1, 0), ("12", "a"): (8.0, 1, 0), ("11", "b"): (16.0, 1, 1), ("10", "b"): (32.0, 1, 1), ("00", "a"): (64.0, 1, 0)}
+
+
+def test_versions_are_compared_by_sixteen_bytes(spark):
+    """The digest that every key is shuffled with is 16 bytes, not 64 characters."""
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "c"), (4, None), (3, "")], "k int, v string")
+    c = CH.change_set(old, new, ["k"])
+    assert {tuple(r) for r in c.collect()} == {(2, CH.CHANGED), (3, CH.CHANGED), (4, CH.ADDED)}
+    assert c._jdf.queryExecution().optimizedPlan().toString().count("unhex(sha2") == 2
