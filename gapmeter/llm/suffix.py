@@ -9,8 +9,8 @@ Documents are dealt to shards by a hash of the text, so equal texts meet and are
    doubled ranks, only groups that are still equal are sorted again) and finds the common
    prefixes of neighbours by Kasai's scan, run in many lanes side by side. Neighbours that share ``length``
    bytes are one class: the shard's distinct windows, and which of them stand there twice.
-3. Shards send their classes as sorted runs of fingerprints, cut into equal ranges. A range merges its runs
-   pairwise by binary search; equal fingerprints of two shards are a repeat. One bit per class goes back.
+3. Shards send their classes as sorted runs of fingerprints, cut into equal ranges. A range merges its runs;
+   equal fingerprints of two shards are a repeat. One bit per class goes back.
 
 A fingerprint has 2 log2(bytes) + 20 bits, so that at any size the chance that two different windows of the
 corpus share one is below 2^-20. Text moves once, all passes read the same exchange.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import cuts, mix64, pack, pack_sorted, unpack, unpack_sorted
 
-SLICE = 1 << 20
+#: Bytes hashed at a time, so that what they need stays in a core's cache.
+SLICE = 1 << 16
 SHARD = 1 << 21
 LANE = 512
 GRAM = 32
@@ -39,7 +40,7 @@ BROADCAST_ROWS = 100_000
 
 
 class ByteHasher:
-    """Hash of each run of ``width`` bytes of a buffer of up to SLICE runs, by prefix sums."""
+    """Hash of each run of ``width`` bytes of a buffer, by prefix sums over SLICE runs at a time."""
 
     def __init__(self, width: int, seed: int):
         r = np.random.default_rng(seed)
@@ -51,81 +52,90 @@ class ByteHasher:
             np.multiply.accumulate(powers, out=powers)
 
     def __call__(self, b: np.ndarray) -> np.ndarray:
-        n = len(b) - self.width + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        acc = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(self.table[b] * self.up[:len(b)], out=acc[1:])
-        return mix64((acc[self.width:] - acc[:n]) * self.down[:n])
+        out = np.zeros(max(0, len(b) - self.width + 1), np.uint64)
+        for a in range(0, len(out), SLICE):
+            h, part = out[a:a + SLICE], b[a:a + SLICE + self.width - 1]
+            acc = self.table[part]
+            acc *= self.up[:len(part)]
+            np.cumsum(acc, out=acc)
+            h[0] = acc[self.width - 1]
+            np.subtract(acc[self.width:], acc[:len(h) - 1], out=h[1:])
+            h *= self.down[:len(h)]
+            mix64(h)
+        return out
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Least of each ``width`` neighbours, by running minima from both ends of blocks."""
-    n = len(x)
-    y = np.full(-(-n // width) * width, ~np.uint64(0))
-    y[:n] = x
-    y = y.reshape(-1, width)
-    ahead = np.minimum.accumulate(y, axis=1).ravel()
-    behind = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
+    """Least of each ``width`` neighbours, from the least of 2, 4, 8 and more."""
+    n, k = len(x) - width + 1, 1
+    while 2 * k <= width:
+        x = np.minimum(x[:-k], x[k:])
+        k *= 2
+    return np.minimum(x[:n], x[width - k:width - k + n]) if k < width else x
+
+
+def words_at(b: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, the first byte highest (beyond the end: zeros)."""
+    x, k = np.concatenate((b, np.zeros(8, np.uint8))), 1
+    for kind in (np.uint16, np.uint32, np.uint64):
+        x = x[:-k].astype(kind) << kind(8 * k) | x[k:]
+        k *= 2
+    return x[:len(b)]
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffix array (Larsson-Sadakane: ranks by twice as many bytes each round, only groups still equal are sorted)."""
     n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[k:k + n]
-    order = np.argsort(key, kind="stable")
+    key = words_at(text)
+    order = np.argsort(key)
     key = key[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    start = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[order] = start[np.cumsum(new) - 1]  # a group is named by its first place
-    size = np.diff(np.concatenate((start, [n])))
-    live = np.flatnonzero(np.repeat(size, size) > 1)
-    done = 8
-    while len(live):
-        at = order[live]
+    live, done = np.arange(n), 8
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    at = order
+    while True:
+        new = np.concatenate(([True], key[1:] != key[:-1], [True]))
+        rank[at] = np.maximum.accumulate(np.where(new[:-1], live, 0))  # a group is named by its first place
+        equal = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(equal):
+            return order
+        live, at = live[equal], at[equal]
         ahead = at + done
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + n + 1, n - at)  # of ended ones the shorter first
+        second = rank[np.minimum(ahead, n)] + (n + 1)
+        ended = np.flatnonzero(ahead >= n)
+        second[ended] = n - at[ended]  # the shorter first
         key = rank[at] << 32 | second
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         at, key = at[o], key[o]
         order[live] = at
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        start = np.flatnonzero(new)
-        rank[at] = live[start][np.cumsum(new) - 1]
-        size = np.diff(np.concatenate((start, [len(live)])))
-        live = live[np.repeat(size, size) > 1]
         done *= 2
-    return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """By place: bytes shared with the suffix one place before, up to ``most``.
 
     Kasai: going through the text, the next suffix shares at least one byte less. Lanes of LANE bytes
-    start at nothing and go side by side.
+    start at nothing and go side by side, up to 8 bytes a step.
     """
     n = len(text)
-    padded = np.concatenate((text.astype(np.int16), np.full(most + 1, -1, np.int16)))
+    words = np.concatenate((words_at(text).byteswap(), np.zeros(most + 1, np.uint64)))  # the first byte lowest
     before = np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
-    before[order[0]] = -1
+    before[order[0]] = n  # shares nothing
     shared = np.zeros(n, np.int32)
     i = np.arange(0, n, LANE)
     end = np.minimum(i + LANE, n)
     h = np.zeros(len(i), np.int64)
     while len(i):
         j = before[i]
-        same = (j >= 0) & (h < most)
-        same &= padded[i + h] == padded[np.maximum(j, 0) + h]
-        stop = ~same
+        room = np.minimum(n - np.maximum(i, j), most)
+        x = words[i + h] ^ words[j + h]
+        same = np.bitwise_count(~x & (x - np.uint64(1))) >> 3  # bits below the lowest that differs
+        h = np.minimum(h + same, room)
+        stop = (same < 8) | (h == room)
         shared[i[stop]] = h[stop]
         i = i + stop
-        h = np.where(same, h + 1, np.maximum(h - 1, 0))
+        h = np.maximum(h - stop, 0)
         left = i < end
         if not left.all():
             i, h, end = i[left], h[left], end[left]
@@ -148,10 +158,10 @@ class Chunk:
         self.first = self.end - size
         self.buf = np.frombuffer(b"".join(self.texts), np.uint8)
         n = len(self.buf)
-        edge = np.zeros(n + 1, np.int32)  # no window starts in the last length - 1 bytes of a text
+        edge = np.zeros(n + 1, np.int8)  # no window starts in the last length - 1 bytes of a text
         np.add.at(edge, np.maximum(self.first, self.end - length + 1), 1)
         np.subtract.at(edge, self.end, 1)
-        self.valid = np.cumsum(edge[:-1]) == 0
+        self.valid = np.cumsum(edge[:-1], dtype=np.int8) == 0
 
     def weight(self, at: np.ndarray) -> np.ndarray:
         """Rows of the text that holds each byte."""
@@ -166,16 +176,14 @@ class Chunk:
             ok = self.valid[a:min(a + SLICE, n)]
             if not ok.any():
                 continue
-            piece, g = self.buf[a:a + len(ok) + self.length - 1], []
-            for s in range(0, len(piece) - gram + 1, SLICE):
-                g.append(hasher(piece[s:s + SLICE + gram - 1]))
-            g = np.concatenate(g)
-            at = (sliding_least((g & ~low) | np.arange(len(g), dtype=np.uint64), width) & low).astype(np.int64)
-            start = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (ok[1:] != ok[:-1]))))
-            end = np.concatenate((start[1:], [len(at)]))
+            g = hasher(self.buf[a:a + len(ok) + self.length - 1])
+            least = sliding_least((g & ~low) | np.arange(len(g), dtype=np.uint64), width)
+            start = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (ok[1:] != ok[:-1]))))
+            end = np.concatenate((start[1:], [len(least)]))
             keep = ok[start]
             start, end = start[keep], end[keep]
-            out.append((a + start, a + end, g[at[start]], a + at[start]))
+            at = (least[start] & low).astype(np.int64)
+            out.append((a + start, a + end, g[at], a + at))
         if not out:
             return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
         return tuple(map(np.concatenate, zip(*out)))
@@ -199,10 +207,10 @@ class Chunk:
         keys = np.unique(key)
         hit = _marked(keys, bits, buckets, hits)
         ok = hit[np.searchsorted(keys, key)] if len(keys) else np.zeros(0, bool)
-        edge = np.zeros(len(self.buf) + 1, np.int32)
-        np.add.at(edge, first[ok], 1)
-        np.subtract.at(edge, end[ok], 1)
-        return np.cumsum(edge[:-1]) > 0
+        edge = np.zeros(len(self.buf) + 1, np.int8)  # runs don't overlap
+        edge[first[ok]] += 1
+        edge[end[ok]] -= 1
+        return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
     def pieces(self, flags: np.ndarray):
         """Byte ranges [start, end) of one text that flagged windows cover, of at most SHARD windows, and the flags' count."""
@@ -230,58 +238,59 @@ class Chunk:
         if group:
             yield group
 
+    def joined(self, flags: np.ndarray):
+        """Of each group the bytes, their places, and which of them start a flagged window."""
+        for group in self.groups(flags):
+            text = np.concatenate([self.buf[a:b] for a, b in group])
+            at = np.concatenate([np.arange(a, b) for a, b in group])
+            # a window starts at flagged bytes, but not in the last bytes of a piece: the next piece has those
+            start = np.concatenate([flags[a:b] & (np.arange(b - a) <= b - a - self.length) for a, b in group])
+            yield text, at, start
+
     def prints(self, flags: np.ndarray, spare: int):
         """(window start, hash, check) of the flagged windows, in blocks."""
         one, two = ByteHasher(self.length, 22), ByteHasher(self.length, 23)
-        for group in self.groups(flags):
-            out = []
-            for s, e in group:
-                for a in range(s, e - self.length + 1, SLICE):
-                    b = self.buf[a:min(a + SLICE + self.length - 1, e)]
-                    on = np.flatnonzero(flags[a:a + len(b) - self.length + 1])
-                    out.append((a + on, one(b)[on], _check(two(b)[on], spare)))
-            yield tuple(map(np.concatenate, zip(*out)))
+        for text, at, start in self.joined(flags):
+            on = np.flatnonzero(start)
+            yield at[on], one(text)[on], _check(two(text)[on], spare)
 
     def classes(self, flags: np.ndarray, spare: int):
         """Distinct flagged windows as (hash, check), ascending, and whether each stands twice here."""
         one, two, found = ByteHasher(self.length, 22), ByteHasher(self.length, 23), []
-        for group in self.groups(flags):
-            text = np.concatenate([self.buf[a:b] for a, b in group])
-            # a window starts at flagged bytes, but not in the last bytes of a piece: the next piece has those
-            start = np.concatenate([flags[a:b] & (np.arange(a, b) <= b - self.length) for a, b in group])
+        for text, at, start in self.joined(flags):
             order = suffix_order(text)
-            shared = common_prefixes(text, order, self.length)
-            begin = np.flatnonzero(shared < self.length)  # place 0 shares nothing
-            held = np.repeat(self.weight(np.array([a for a, _ in group])), [b - a for a, b in group])
-            w = np.where(start, held, 0)[order]
-            total = np.add.reduceat(w, begin)
-            one_of = np.maximum.reduceat(np.where(start[order], order, -1), begin)
-            some = total > 0
-            place, several = one_of[some], total[some] > 1
-            h, c = (np.concatenate([f(text[a:a + SLICE + self.length - 1]) for a in range(0, len(text) - self.length + 1, SLICE)]) for f in (one, two))
-            found.append((h[place], _check(c[place], spare), several))
+            of = np.cumsum(common_prefixes(text, order, self.length) < self.length)  # neighbours that share length bytes are one class
+            on = start[order]
+            order, of = order[on], of[on]
+            begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            several = np.zeros(len(text), bool)
+            several[order[begin]] = np.diff(np.concatenate((begin, [len(of)]))) > 1
+            place = np.zeros(len(text), bool)
+            place[order[begin]] = True
+            place = np.flatnonzero(place)
+            found.append((one(text)[place], _check(two(text)[place], spare), several[place] | (self.weight(at[place]) > 1)))
         if not found:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
         h, c, several = map(np.concatenate, zip(*found))
-        o, begin = _grouped(h, c)
-        h, c, several = h[o], c[o], several[o]
+        o, begin, h, c = _grouped(h, c)
         size = np.diff(np.concatenate((begin, [len(h)])))
-        return h[begin], c[begin], np.bitwise_or.reduceat(several, begin) | (size > 1)
+        return h[begin], c[begin], np.bitwise_or.reduceat(several[o], begin) | (size > 1)
 
 
 def _check(h: np.ndarray, spare: int) -> np.ndarray:
     return h >> np.uint64(64 - spare) if spare else np.zeros(len(h), np.uint64)
 
 
-def _grouped(h: np.ndarray, c: np.ndarray):
-    """An order by (h, c), and where each pair begins in it."""
-    o = np.argsort(h, kind="stable")
-    same = h[o][1:] == h[o][:-1]
-    if (same & (c[o][1:] != c[o][:-1])).any():  # two windows share 64 bits
-        o = np.lexsort((c, h))
-        same = h[o][1:] == h[o][:-1]
-    same &= c[o][1:] == c[o][:-1]
-    return o, np.flatnonzero(np.concatenate(([True], ~same))) if len(h) else np.zeros(0, np.int64)
+def _grouped(h: np.ndarray, c: np.ndarray, o: np.ndarray | None = None):
+    """An order by (h, c), where each pair begins in it, and both in that order. ``o``: an order by h, where there is one."""
+    o = np.argsort(h) if o is None else o
+    h, c = h[o], c[o]
+    same, twin = h[1:] == h[:-1], c[1:] == c[:-1]
+    if (same & ~twin).any():  # two windows share 64 bits
+        p = np.lexsort((c, h))
+        o, h, c = o[p], h[p], c[p]
+        twin = c[1:] == c[:-1]
+    return o, np.flatnonzero(np.concatenate(([True], ~(same & twin)))) if len(h) else np.zeros(0, np.int64), h, c
 
 
 def _marked(keys: np.ndarray, bits: int, buckets: int, marks: dict) -> np.ndarray:
@@ -293,22 +302,10 @@ def _marked(keys: np.ndarray, bits: int, buckets: int, marks: dict) -> np.ndarra
 
 
 def merge_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs merged pairwise by binary search: keys, and each one's place in the runs put one after the other."""
-    at, todo = 0, []
-    for r in runs:
-        todo.append((r, np.arange(at, at + len(r))))
-        at += len(r)
-    while len(todo) > 1:
-        merged = []
-        for (a, x), (b, y) in zip(todo[::2], todo[1::2]):
-            place = np.searchsorted(a, b, side="right") + np.arange(len(b))
-            rest = np.ones(len(a) + len(b), bool)
-            rest[place] = False
-            key, tag = np.empty(len(rest), a.dtype), np.empty(len(rest), x.dtype)
-            key[place], key[rest], tag[place], tag[rest] = b, a, y, x
-            merged.append((key, tag))
-        todo = merged + ([todo[-1]] if len(todo) % 2 else [])
-    return todo[0]
+    """Sorted runs merged (a stable sort does that pairwise): keys, and each one's place in the runs put one after the other."""
+    key = np.concatenate(runs)
+    at = np.argsort(key, kind="stable")
+    return key[at], at
 
 
 _GRAMS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
@@ -349,13 +346,13 @@ def _merge(kind):
         n = rows.column("n").to_pylist()
         runs = [unpack_sorted(b, m) for b, m in zip(rows.column("keys").to_pylist(), n)]
         several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=m) for b, m in zip(rows.column("several").to_pylist(), n)]).astype(bool)
-        h, at = merge_runs(runs)
+        _, at = merge_runs(runs)
+        h = np.concatenate(runs)
         if kind:
-            check = np.concatenate([unpack(b, m) for b, m in zip(rows.column("checks").to_pylist(), n)])[at]
+            check = np.concatenate([unpack(b, m) for b, m in zip(rows.column("checks").to_pylist(), n)])
         else:
             check = np.zeros(len(h), np.uint64)
-        o, begin = _grouped(h, check)
-        at = at[o]
+        at, begin, _, _ = _grouped(h, check, at)
         size = np.diff(np.concatenate((begin, [len(at)])))
         hit = np.zeros(len(at), bool)
         hit[at] = np.repeat((size > 1) | np.bitwise_or.reduceat(several[at], begin), size)
@@ -379,13 +376,13 @@ def _remove(length, bits, buckets, spare, with_bytes):
             flags = c.candidates(bits, _by_bucket(marks, 0), buckets)
             blocks = list(c.prints(flags, spare))
             at, h, check = map(np.concatenate, zip(*blocks))
-            o, begin = _grouped(h, check)
-            hit = _marked(h[o][begin], 64, buckets, found)
+            o, begin, h, check = _grouped(h, check)
+            hit = _marked(h[begin], 64, buckets, found)
             size = np.diff(np.concatenate((begin, [len(h)])))
-            at = at[o][np.repeat(hit, size)]
-            np.add.at(gone, at, 1)
-            np.subtract.at(gone, at + length, 1)
-        gone = np.cumsum(gone[:-1]) > 0
+            at = at[o[np.repeat(hit, size)]]  # each window once
+            gone[at] += 1
+            gone[at + length] -= 1
+        gone = np.cumsum(gone[:-1], dtype=np.int32) > 0
         rows = []
         for t, a, b in zip(c.texts, c.first.tolist(), c.end.tolist()):
             g = gone[a:b]

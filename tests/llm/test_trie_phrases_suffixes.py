@@ -258,3 +258,46 @@ def test_a_chunk_visits_only_the_buckets_it_has():
             alone = {p for x in k for p, _, _ in cuts(np.array([x]), bits, buckets)}
             assert alone == {p for p, _, _ in got}
     assert list(cuts(keys[:0], 64, 5)) == []
+
+
+def test_hashes_least_and_words_of_long_buffers():
+    """A buffer of any length is hashed in slices that fit a cache; a run's hash does not depend on where it stands."""
+    from gapmeter.llm.suffix import SLICE, ByteHasher, sliding_least, words_at
+    rng = np.random.default_rng(5)
+    b = rng.integers(0, 256, 2 * SLICE + 700, dtype=np.uint8)
+    for width in (8, 200):
+        hashes = ByteHasher(width, 22)
+        got = hashes(b)
+        assert len(got) == len(b) - width + 1 and len(np.unique(got)) == len(got)
+        for k in (0, 1, SLICE - width, SLICE - 1, SLICE, 2 * SLICE, len(got) - 1):
+            assert hashes(b[k:k + width])[0] == got[k]
+        assert len(hashes(b[:width - 1])) == 0
+    x = rng.integers(0, 50, 400).astype(np.uint64)
+    for width in (1, 2, 3, 64, 100, 169, 400):
+        assert sliding_least(x, width).tolist() == [min(x[k:k + width].tolist()) for k in range(len(x) - width + 1)]
+    raw = bytes([0, 255, 1, 0, 0, 7, 200, 128, 0, 0, 3])
+    assert words_at(np.frombuffer(raw, np.uint8)).tolist() == [int.from_bytes(raw[k:k + 8].ljust(8, b"\x00"), "big") for k in range(len(raw))]
+    assert len(words_at(np.zeros(0, np.uint8))) == 0
+
+
+def test_hashing_follows_bytes_not_pieces(monkeypatch):
+    """Many short repeated passages are hashed together, not one by one (CPU seconds of the last step)."""
+    import pyarrow as pa
+
+    from gapmeter.llm import suffix
+    rng = random.Random(9)
+    pick = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = pick(60)
+    texts = [pick(80) + shared + pick(80) for _ in range(200)]
+    chunk = suffix.Chunk(pa.table({"text": texts, "times": [1] * len(texts)}), 40)
+    flags = np.zeros(len(chunk.buf), bool)
+    for a in chunk.first:
+        flags[a + 80:a + 80 + 21] = True
+    assert len(list(chunk.pieces(flags))) == len(texts)
+    calls, plain = [], suffix.ByteHasher.__call__
+    monkeypatch.setattr(suffix.ByteHasher, "__call__", lambda self, b: calls.append(len(b)) or plain(self, b))
+    at, h, check = map(np.concatenate, zip(*chunk.prints(flags, 20)))
+    assert len(calls) == 2 and at.tolist() == np.flatnonzero(flags).tolist()
+    assert len({*zip(h.tolist(), check.tolist())}) == len({chunk.buf[k:k + 40].tobytes() for k in at}) == 21
+    found, _, several = chunk.classes(flags, 20)
+    assert found.tolist() == sorted(set(h.tolist())) and several.all()
