@@ -22,9 +22,14 @@ from .q_star import star
 FINAL_YEAR = 1998
 
 
+#: Lines of a text file: it is compressed, so one task reads it as a whole.
+LINES_PER_FILE = 1_000_000
+
+
 def _as_text(df, path, **options):
-    """CSV that keeps null, empty text and outer spaces apart."""
+    """CSV that keeps null, empty text and outer spaces apart, as compressed files of a bounded number of lines."""
     w = df.write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    w = w.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", LINES_PER_FILE)
     for k, v in options.items():
         w = w.option(k, v)
     w.csv(path)
