@@ -10,6 +10,7 @@ import gapmeter.session as SS
 from gapmeter.catalog import QUERIES
 from gapmeter.operators import dedup as DD
 from gapmeter.plans import layers as L
+from gapmeter.sources import adapter as AD
 from gapmeter.streaming import incremental as INC
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +95,14 @@ def test_slices_are_bounded():
     assert [SS.slices(n) for n in (0, 1, SS.SLICE_ROWS, SS.SLICE_ROWS + 1, 10**12)] == [1, 1, 1, 2, SS.MAX_SLICES]
 
 
+def test_dedup_moves_no_column_that_follows_from_others(spark):
+    moved = set(AD.registration_keys(AD.base_rows(spark, SF)).columns)
+    assert not moved & {"mass", "yr", "p_partkey", "l_tax", "l_extendedprice", "p_retailprice", "r_name"}
+    kinds = dict(AD.registration_keys(AD.base_rows(spark, SF)).dtypes)
+    assert kinds["id"] == "bigint" and kinds["jahr"] == "int"
+    assert {t for _, t in AD.registration_raw(spark, SF).dtypes} == {"string"}
+
+
 def test_text_files_are_compressed(spark):
     assert QUERIES["core_from_text"](spark, SF).count()
     path = next(p for _, p in reversed(INC._SCRATCH) if "/text-registration-" in p)
