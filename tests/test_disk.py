@@ -95,6 +95,13 @@ def test_slices_are_bounded():
     assert [SS.slices(n) for n in (0, 1, SS.SLICE_ROWS, SS.SLICE_ROWS + 1, 10**12)] == [1, 1, 1, 2, SS.MAX_SLICES]
 
 
+def test_joined_rows_in_slices_are_the_joined_rows(spark, monkeypatch):
+    rows = lambda df: sorted(map(repr, df.collect()))
+    monkeypatch.setattr(SS, "SLICE_ROWS", 2000)
+    parts = [rows(x) for x in AD.base_slices(spark, SF)]
+    assert len(parts) == 3 and all(parts) and sorted(sum(parts, [])) == rows(AD.base_rows(spark, SF))
+
+
 def test_dedup_moves_no_column_that_follows_from_others(spark):
     moved = set(AD.registration_keys(AD.base_rows(spark, SF)).columns)
     assert not moved & {"mass", "yr", "p_partkey", "l_tax", "l_extendedprice", "p_retailprice", "r_name"}
